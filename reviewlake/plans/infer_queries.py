@@ -1,0 +1,4 @@
+"""infer.* queries."""
+from __future__ import annotations
+
+from .registry import register  # noqa: F401
