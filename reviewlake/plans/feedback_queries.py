@@ -1,4 +1,172 @@
-"""feedback.* queries."""
+"""feedback.*: per-repo pattern reports over the newest 200 issues / 100 reviews."""
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions.text import ts_text
+from ..operators import analytics as A
+from ..operators import feedback as Fb
+from . import base
+from .fixtures import fixture
+from .registry import register
+
+WINDOW_SQL = """
+WITH iw AS (SELECT * FROM (
+    SELECT i.*, r.repo, r.pr_id, r.created_at AS review_ts,
+           row_number() OVER (PARTITION BY r.repo ORDER BY r.created_at DESC, r.review_id DESC, i.pos, i.issue_id) AS rn
+    FROM st_issues i JOIN st_reviews r ON r.review_id = i.review_id) t WHERE rn <= 200),
+rw AS (SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo ORDER BY created_at DESC, review_id DESC) AS rn FROM st_reviews) t
+  WHERE rn <= 100)"""
+
+
+def fb_oracle(body: str, *extra: str) -> str:
+    b = body.strip()
+    if b[:4].upper() == "WITH":
+        b = "," + b[4:]
+    else:
+        b = "\n" + b
+    return base.oracle_st(WINDOW_SQL + b, *extra)
+
+
+def _win(spark, sf):
+    return Fb.feedback_window(base.st_reviews(spark, sf), base.st_issues(spark, sf))
+
+
+@register("feedback.window", fb_oracle(f"""
+SELECT 'issue' AS kind, repo, issue_id AS id, strftime(review_ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, rn AS rank FROM iw
+UNION ALL
+SELECT 'review' AS kind, repo, review_id AS id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS ts, rn AS rank FROM rw"""))
+def _window(spark, sf):
+    iw, rw = _win(spark, sf)
+    return (iw.select(F.lit("issue").alias("kind"), "repo", F.col("issue_id").alias("id"),
+                      ts_text(F.col("review_ts")).alias("ts"), "rank")
+            .unionByName(rw.select(F.lit("review").alias("kind"), "repo", F.col("review_id").alias("id"),
+                                   ts_text(F.col("created_at")).alias("ts"), "rank")))
+
+
+@register("feedback.category_frequency", fb_oracle(
+    "SELECT repo, coalesce(category, 'general') AS category, count(*) AS count FROM iw GROUP BY 1, 2"))
+def _category_frequency(spark, sf):
+    return Fb.category_frequency(_win(spark, sf)[0])
+
+
+@register("feedback.severity_distribution", fb_oracle(
+    "SELECT repo, coalesce(severity, 'info') AS severity, count(*) AS count FROM iw GROUP BY 1, 2"))
+def _severity_distribution(spark, sf):
+    return Fb.severity_distribution(_win(spark, sf)[0])
+
+
+@register("feedback.owasp_frequency", fb_oracle(
+    "SELECT repo, owasp_id, count(*) AS count FROM iw WHERE owasp_id IS NOT NULL AND owasp_id <> '' GROUP BY 1, 2"))
+def _owasp_frequency(spark, sf):
+    return Fb.owasp_frequency(_win(spark, sf)[0])
+
+
+@register("feedback.threat_frequency", fb_oracle(
+    "SELECT repo, threat_type, count(*) AS count FROM iw WHERE threat_type IS NOT NULL AND threat_type <> '' GROUP BY 1, 2"))
+def _threat_frequency(spark, sf):
+    return Fb.threat_frequency(_win(spark, sf)[0])
+
+
+@register("feedback.file_hotspots", fb_oracle("""
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY count DESC, file_path, category) AS rank FROM (
+    SELECT repo, file_path, coalesce(category, 'general') AS category, count(*) AS count
+    FROM iw WHERE file_path IS NOT NULL AND file_path <> '' GROUP BY 1, 2, 3) g) t
+WHERE rank <= 15"""))
+def _file_hotspots(spark, sf):
+    return Fb.file_hotspots(_win(spark, sf)[0], 15)
+
+
+PARENT_SQL = """
+  CASE WHEN p NOT LIKE '%/%' THEN '.'
+       ELSE coalesce(nullif(regexp_extract(p, '^(.*)/[^/]*$', 1), ''), '/') END"""
+
+
+@register("feedback.directory_hotspots", fb_oracle(f"""
+WITH d AS (
+  SELECT repo, {PARENT_SQL} AS directory
+  FROM (SELECT repo, regexp_replace(regexp_replace(regexp_replace(regexp_replace(file_path, '/+', '/', 'g'),
+                                                                  '(^|/)(\\./)+', '\\1', 'g'), '/\\.$', ''), '(.)/$', '\\1')
+               AS p
+        FROM iw WHERE file_path IS NOT NULL AND file_path <> '') x)
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY count DESC, directory) AS rank FROM (
+    SELECT repo, directory, count(*) AS count FROM d WHERE directory <> '.' AND directory <> '' GROUP BY 1, 2) g) t
+WHERE rank <= 10"""))
+def _directory_hotspots(spark, sf):
+    return Fb.directory_hotspots(_win(spark, sf)[0], 10)
+
+
+STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _strip(x: str) -> str:
+    return STRIP.format(x=x)
+
+
+TITLE_SQL = ("regexp_replace(" + _strip(
+    "regexp_replace(" + _strip("regexp_replace(coalesce(title, ''), '(CRITICAL:\\s*)', '', 'g')")
+    + ", '\\s*\\(.*?\\)\\s*', ' ', 'g')") + ", '(?i)line \\d+', 'line N', 'g')")
+
+
+@register("feedback.recurring_titles", fb_oracle(f"""
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY count DESC, title_pattern) AS rank FROM (
+    SELECT repo, title_pattern, count(*) AS count FROM (SELECT repo, {TITLE_SQL} AS title_pattern FROM iw) x
+    WHERE title_pattern <> '' GROUP BY 1, 2) g) t
+WHERE rank <= 10"""))
+def _recurring_titles(spark, sf):
+    return Fb.recurring_titles(_win(spark, sf)[0], 10)
+
+
+@register("feedback.review_stats", fb_oracle("""
+SELECT repo, count(*) AS total_reviews, round(avg(score), 1) AS avg_score,
+       round(avg(security_score), 1) AS avg_security_score,
+       round(sum(CASE WHEN block_merge THEN 1 ELSE 0 END) / count(*) * 100, 1) AS block_rate
+FROM rw GROUP BY repo"""))
+def _review_stats(spark, sf):
+    return Fb.review_stats(_win(spark, sf)[1])
+
+
+@register("feedback.report")
+def _report(spark, sf):
+    return Fb.report(base.st_reviews(spark, sf), base.st_issues(spark, sf))
+
+
+def _counts(spark, sf):
+    return A.repo_review_count(base.st_reviews(spark, sf))
+
+
+@register("feedback.should_evolve", base.oracle_st("""
+SELECT c.repo, c.cnt, r.filename IS NOT NULL AS has_rule,
+       CASE WHEN c.cnt = 0 THEN false WHEN r.filename IS NULL THEN c.cnt >= 3 ELSE c.cnt % 10 = 0 END AS should_evolve
+FROM (SELECT repo, count(*) AS cnt FROM st_reviews GROUP BY repo) c
+LEFT JOIN fx_repo_rules r ON replace(replace(c.repo, '/', '_'), '\\', '_') || '.md' = r.filename""", "fx_repo_rules"))
+def _should_evolve(spark, sf):
+    return Fb.should_evolve(_counts(spark, sf), fixture(spark, sf, "fx_repo_rules"), 10)
+
+
+@register("feedback.evolve_decision", fb_oracle("""
+SELECT c.repo, c.cnt, CAST(coalesce(a.n, 0) AS BIGINT) AS total_issues_analyzed,
+       CASE WHEN c.cnt = 0 OR coalesce(a.n, 0) < 3 THEN 'skipped' ELSE 'ready' END AS status,
+       CASE WHEN c.cnt = 0 THEN 'no_review_data' WHEN coalesce(a.n, 0) < 3 THEN 'insufficient_data' END AS reason
+FROM (SELECT repo, count(*) AS cnt FROM st_reviews GROUP BY repo) c
+LEFT JOIN (SELECT repo, count(*) AS n FROM iw GROUP BY repo) a ON c.repo = a.repo"""))
+def _evolve_decision(spark, sf):
+    iw, _ = _win(spark, sf)
+    analyzed = iw.groupBy("repo").agg(F.count(F.lit(1)).alias("total_issues_analyzed"))
+    return Fb.evolve_decision(_counts(spark, sf), analyzed, force=False)
+
+
+@register("feedback.rule_key", base.oracle_st("""
+SELECT DISTINCT repo, replace(replace(repo, '/', '_'), '\\', '_') AS rule_key FROM st_reviews"""))
+def _rule_key(spark, sf):
+    return base.st_reviews(spark, sf).select("repo", Fb.rule_key(F.col("repo")).alias("rule_key")).distinct()
+
+
+@register("feedback.evolution_request")
+def _evolution_request(spark, sf):
+    rep = Fb.report(base.st_reviews(spark, sf), base.st_issues(spark, sf))
+    return Fb.evolution_request(rep, fixture(spark, sf, "fx_rules"))
