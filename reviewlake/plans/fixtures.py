@@ -157,6 +157,14 @@ SELECT doc_id,
 FROM {documents}
 """
 
+# OWASP update runs: ten category fetches per update; every update with id % 9 = 4 fails completely
+FX_SQL["fx_owasp_fetches"] = """
+SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS update_id,
+       'A' || lpad(CAST(p_partkey % 10 + 1 AS STRING), 2, '0') AS code,
+       (p_size % 4 <> 0 AND CAST(floor(p_partkey / 10) AS BIGINT) % 9 <> 4) AS ok
+FROM {part}
+"""
+
 FX_SQL["fx_secret_lines"] = """
 SELECT CAST(l_orderkey AS STRING) AS file_id, l_linenumber AS line_no,
        CASE l_partkey % 12 WHEN 0 THEN 'password = "hunter' || CAST(l_partkey AS STRING) || '"'
