@@ -71,6 +71,17 @@ SELECT 'run' || CAST(user_id AS STRING) AS run_id,
 FROM {events}
 """
 
+# run state transitions carried by events: a signup completes the run, an error fails it
+FX_SQL["fx_run_transitions"] = """
+SELECT 'run' || CAST(user_id AS STRING) AS run_id, event_id, ts,
+       CASE event_type WHEN 'signup' THEN 'completed' WHEN 'error' THEN 'error' END AS transition,
+       CASE WHEN event_type = 'signup' THEN CAST(CAST(floor(value) AS BIGINT) % 11 AS INT) END AS score,
+       CASE WHEN event_type = 'signup' THEN CAST(event_id % 7 AS INT) END AS issues,
+       CASE WHEN event_type = 'signup' THEN CAST(event_id % 3 AS INT) END AS critical,
+       CASE WHEN event_type = 'error' THEN 'failed: ' || props END AS error
+FROM {events}
+"""
+
 FX_SQL["fx_files"] = """
 SELECT 'proj' || CAST(p_partkey % 4 AS STRING) AS project,
        CASE p_partkey % 10
