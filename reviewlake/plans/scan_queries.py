@@ -1,4 +1,117 @@
-"""scan.* queries."""
+"""scan.*: deterministic pattern scans over fx_secret_lines, whole documents and the diff corpus."""
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..operators import diff as D
+from ..operators import scan as S
+from ..sources.tables import read_table
+from .diff_queries import LINES_SQL
+from .fixtures import fixture, oracle_with
+from .registry import register
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _lines(spark, sf):
+    """Planted source lines plus every line of every document."""
+    planted = fixture(spark, sf, "fx_secret_lines").select(
+        F.lit("lines").alias("source"), F.col("file_id").alias("id"), F.col("line_no").cast("bigint").alias("line_no"),
+        "content")
+    docs = S.split_lines(read_table(spark, sf, "documents").select("doc_id", "text")).select(
+        F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("id"),
+        F.col("line_no").cast("bigint").alias("line_no"), "content")
+    return planted.unionByName(docs)
+
+
+LINES_ORACLE = """
+src AS (
+  SELECT 'lines' AS source, file_id AS id, CAST(line_no AS BIGINT) AS line_no, content FROM fx_secret_lines
+  UNION ALL
+  SELECT 'documents', CAST(doc_id AS VARCHAR), CAST(k AS BIGINT), content FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS content,
+           unnest(generate_series(1, len(string_split(text, chr(10))))) AS k FROM documents) d)"""
+
+
+def _pack_oracle(pack) -> str:
+    parts = []
+    for rule_id, regex, sev, cat, thr in pack:
+        t = "CAST(NULL AS VARCHAR)" if thr is None else _lit(thr)
+        parts.append(f"SELECT source, id, line_no, content, {_lit(rule_id)} AS rule_id, {_lit(sev)} AS severity, "
+                     f"{_lit(cat)} AS category, {t} AS threat_type FROM src WHERE regexp_matches(content, {_lit(regex)})")
+    return oracle_with("WITH " + LINES_ORACLE.strip() + "\nSELECT source, id, line_no, rule_id, severity, category, threat_type FROM ("
+                       + "\nUNION ALL\n".join(parts) + ") m", "fx_secret_lines")
+
+
+def _pack_query(pack):
+    def build(spark, sf):
+        return S.scan(_lines(spark, sf), pack).select("source", "id", "line_no", "rule_id", "severity", "category",
+                                                       "threat_type")
+    return build
+
+
+register("scan.secret_leaks", _pack_oracle(S.SECRET_PACK))(_pack_query(S.SECRET_PACK))
+register("scan.injection", _pack_oracle(S.INJECTION_PACK))(_pack_query(S.INJECTION_PACK))
+register("scan.slop", _pack_oracle(S.SLOP_PACK))(_pack_query(S.SLOP_PACK))
+
+
+@register("scan.line_style", oracle_with("WITH " + LINES_ORACLE.strip() + """
+SELECT source, id, line_no, rule, 'low' AS severity FROM (
+  SELECT source, id, line_no, 'line_too_long' AS rule FROM src WHERE length(content) > 120
+  UNION ALL
+  SELECT source, id, line_no, 'trailing_whitespace' FROM src WHERE regexp_matches(content, '[ \\t]+\\z')
+  UNION ALL
+  SELECT source, id, line_no, 'mixed_indentation' FROM src WHERE regexp_matches(content, '^(\\t+ +| +\\t+)')) x""",
+                                         "fx_secret_lines"))
+def _line_style(spark, sf):
+    return S.line_style(_lines(spark, sf)).select("source", "id", "line_no", "rule", "severity")
+
+
+@register("scan.removed_keywords", oracle_with(f"""
+WITH {LINES_SQL},
+kw AS (SELECT doc_id, type, unnest(regexp_split_to_array(x, '[^A-Za-z0-9_]+')) AS keyword FROM lines
+       WHERE type IN ('added', 'removed'))
+SELECT doc_id AS pr, CAST(1 AS BIGINT) AS file_idx, CAST(1 AS BIGINT) AS hunk_idx, keyword,
+       count(*) FILTER (WHERE type = 'removed') AS removed, count(*) FILTER (WHERE type = 'added') AS added
+FROM kw WHERE keyword IN ({', '.join(_lit(k) for k in S.KEYWORDS)})
+GROUP BY doc_id, keyword
+HAVING count(*) FILTER (WHERE type = 'removed') > 0 AND count(*) FILTER (WHERE type = 'added') = 0"""))
+def _removed_keywords(spark, sf):
+    d = fixture(spark, sf, "fx_diffs").select(F.col("doc_id").alias("pr"), "diff")
+    c = D.diff_lines_all(d)
+    lines = D.diff_lines(c, D.diff_files(None, classified=c))
+    return S.removed_keywords(lines)
+
+
+@register("scan.duplicate_blocks", oracle_with("""
+WITH l AS (SELECT doc_id, k, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS n FROM (
+             SELECT doc_id, unnest(string_split(text, chr(10))) AS content,
+                    unnest(generate_series(1, len(string_split(text, chr(10))))) AS k FROM documents) d),
+ne AS (SELECT * FROM l WHERE n <> ''),
+b AS (SELECT doc_id, n || chr(10) || lead(n, 1) OVER w || chr(10) || lead(n, 2) OVER w || chr(10) || lead(n, 3) OVER w AS blk
+      FROM ne WINDOW w AS (PARTITION BY doc_id ORDER BY k))
+SELECT md5(blk) AS block_md5, count(*) AS occurrences, count(DISTINCT doc_id) AS docs
+FROM b WHERE blk IS NOT NULL GROUP BY md5(blk) HAVING count(*) > 1"""))
+def _duplicate_blocks(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    return S.duplicate_blocks(S.split_lines(docs), 4)
+
+
+@register("scan.severity_guidelines")
+def _severity_guidelines(spark, sf):
+    """Guideline tables written per repo from its recurring issue titles and worst severities, parsed back."""
+    from .base import st_issues, st_reviews
+    from ..functions import dims
+
+    i = st_issues(spark, sf).join(st_reviews(spark, sf).select("review_id", "repo"), "review_id")
+    worst = (i.groupBy("repo", "title").agg(F.min(dims.severity_rank(F.col("severity"))).alias("r"))
+             .withColumn("sev", F.element_at(F.array(*[F.lit(s) for s in dims.SEVERITIES]), F.col("r") + 1)))
+    table = worst.groupBy("repo").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("title", "sev"))),
+        lambda x: F.concat(F.lit("| "), x["title"], F.lit(" | **"), F.upper(x["sev"]), F.lit("** |"))), "\n").alias("rows"))
+    docs = table.select(F.col("repo").alias("document"), F.concat(
+        F.lit("# Rules\n\n## Severity Guidelines\n\n| Issue | Severity |\n|-------|----------|\n"), F.col("rows"),
+        F.lit("\n\n## Other\n| not | a guideline |")).alias("content"))
+    return S.severity_guidelines(docs)
