@@ -1,4 +1,61 @@
-"""infer.* queries."""
+"""infer.*: request building, provider routing and batched inference over fx_rule_requests / fx_diffs."""
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions import dims
+from ..operators import diff as D
+from ..operators import findings as Fd
+from ..operators import infer as In
+from ..operators import rules as R
+from .fixtures import fixture, oracle_with
+from .registry import register
+
+# routing configuration of the registered query: primary provider and per-provider configured models
+PRIMARY = "groq"
+CONFIGURED = {"groq": "llama-3.1-8b-instant"}
+
+
+def _requests(spark, sf):
+    req = fixture(spark, sf, "fx_rule_requests")
+    focus = req.groupBy("review_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("focus_pos", "focus"))), lambda x: x["focus"]).alias("focus"))
+    diffs = fixture(spark, sf, "fx_diffs").select(F.col("doc_id").cast("string").alias("review_id"), "diff")
+    files = D.changed_paths(D.diff_files(diffs.withColumnRenamed("review_id", "pr"))).withColumnRenamed("pr", "review_id")
+    prs = focus.join(diffs, "review_id", "left").join(files.withColumnRenamed("paths", "files"), "review_id", "left")
+    rules = R.resolve(req, fixture(spark, sf, "fx_rules"), fixture(spark, sf, "fx_repo_rules"))
+    return In.build_requests(prs, rules)
+
+
+@register("infer.requests")
+def _requests_q(spark, sf):
+    return _requests(spark, sf).select("review_id", "focus_areas", F.length("diff").alias("diff_chars"),
+                                       "files", F.length("rules").alias("rules_chars"))
+
+
+OVERRIDES = """
+CASE CAST(review_id AS BIGINT) % 4 WHEN 0 THEN 'openai' WHEN 2 THEN 'Anthropic' WHEN 3 THEN 'mock' END AS provider_override,
+CASE WHEN CAST(review_id AS BIGINT) % 5 = 0 THEN 'custom-model' END AS model_override"""
+
+
+def _routed(spark, sf):
+    r = fixture(spark, sf, "fx_reviews").selectExpr("review_id", *[x.strip() for x in OVERRIDES.strip().split(",\n")])
+    return In.route(r, PRIMARY, CONFIGURED)
+
+
+@register("infer.route", oracle_with(f"""
+SELECT review_id, provider,
+       coalesce(model_override, CASE provider WHEN 'groq' THEN 'llama-3.1-8b-instant' END,
+                CASE provider {' '.join(f"WHEN '{p}' THEN '{m}'" for p, m in dims.PROVIDER_DEFAULT_MODEL.items())} END) AS model
+FROM (SELECT review_id, model_override, lower(coalesce(provider_override, 'groq')) AS provider
+      FROM (SELECT review_id, {OVERRIDES} FROM fx_reviews) o) x""", "fx_reviews"))
+def _route(spark, sf):
+    return _routed(spark, sf).select("review_id", "provider", "model")
+
+
+@register("infer.apply")
+def _apply(spark, sf):
+    """Offline responses for every routed request, parsed back into reviews."""
+    out = In.apply(_routed(spark, sf))
+    reviews, _ = Fd.review_responses(out.select("review_id", "response"), "pr")
+    return out.join(reviews.select("review_id", "score", "block_merge", "parse_status"), "review_id")

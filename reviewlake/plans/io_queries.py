@@ -1,4 +1,102 @@
-"""io.* queries."""
+"""io.*: every reader/writer round-trips data derived from the driver tables through a scratch folder
+under ``spark.checkpoint.dir`` (shared storage on a cluster)."""
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions.text import ts_text
+from ..operators import analytics as A
+from ..sources import io as IO
+from ..sources.tables import read_table
+from ..session import scratch_path
+from . import base
+from .fixtures import fixture
+from .ingest_queries import webhooks
+from .registry import register
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"io/{name}/{uuid.uuid4().hex}")
+
+
+@register("io.webhooks")
+def _webhooks(spark, sf):
+    path = _scratch(spark, "webhooks")
+    IO.write_webhooks(webhooks(spark, sf), path)
+    return IO.read_webhooks(spark, path)
+
+
+@register("io.reviews_write")
+def _reviews_write(spark, sf):
+    path = _scratch(spark, "reviews")
+    IO.write_reviews(base.st_reviews(spark, sf), base.st_issues(spark, sf), path, mode="overwrite")
+    r, i = IO.read_reviews(spark, path)
+    return (r.groupBy("repo").agg(F.count(F.lit(1)).alias("reviews"))
+            .join(i.join(r.select("review_id", "repo"), "review_id").groupBy("repo").agg(F.count(F.lit(1)).alias("issues")),
+                  "repo", "left"))
+
+
+@register("io.reviews_read", base.oracle_st("""
+SELECT review_id, repo, pr_id, platform, author, score, security_score, block_merge, approval, ai_slop,
+       strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, target_branch FROM st_reviews"""))
+def _reviews_read(spark, sf):
+    path = _scratch(spark, "reviews")
+    IO.write_reviews(base.st_reviews(spark, sf), base.st_issues(spark, sf), path, mode="overwrite")
+    r, _ = IO.read_reviews(spark, path)
+    return r.withColumn("created_at", ts_text(F.col("created_at")))
+
+
+@register("io.files")
+def _files(spark, sf):
+    """documents written as a source tree (one folder per source), scanned back with size filter."""
+    path = _scratch(spark, "tree")
+    docs = read_table(spark, sf, "documents").select("source", "text")
+    docs.write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)  # one file per document
+    return IO.read_files(spark, path, 50_000).select("path", "size_bytes", F.length("text").alias("chars"))
+
+
+@register("io.rules")
+def _rules(spark, sf):
+    path = _scratch(spark, "rules")
+    docs = fixture(spark, sf, "fx_rules").unionByName(fixture(spark, sf, "fx_repo_rules"))
+    # one folder per document: filename=<name>/part-*.txt; read back as whole texts
+    docs.repartition("filename").write.partitionBy("filename").text(path)
+    df = spark.read.option("wholetext", "true").text(path)
+    return df.select("filename", F.col("value").alias("content"), F.col("_metadata.file_name").alias("part_file"))
+
+
+@register("io.ignore_file")
+def _ignore_file(spark, sf):
+    """Per-project ignore files (with comments and blank lines) written as text; proj0 has none and
+    inherits the default patterns."""
+    path = _scratch(spark, "ignore")
+    pats = fixture(spark, sf, "fx_ignore")
+    projects = fixture(spark, sf, "fx_files").select("project").distinct()
+    raw = (projects.filter(F.col("project") != "proj0").withColumn("_k", F.lit(1))
+           .join(F.broadcast(pats.withColumn("_k", F.lit(1))), "_k")
+           .select("project", F.concat(F.lit("  "), F.col("pattern"), F.lit("\t")).alias("value")))
+    extra = projects.select("project", F.lit("# comment").alias("value")).unionByName(
+        projects.select("project", F.lit("   ").alias("value")))
+    raw.unionByName(extra).write.partitionBy("project").text(path)
+    own = IO.parse_ignore(spark.read.text(path)).select("project", "pattern")
+    default = pats.select(F.concat(F.col("pattern"), F.lit("")).alias("pattern"))
+    return IO.effective_ignore(own, default, projects)
+
+
+@register("io.events")
+def _events(spark, sf):
+    path = _scratch(spark, "events")
+    fixture(spark, sf, "fx_run_events").write.json(path)
+    return IO.read_events(spark, path)
+
+
+@register("io.report_json")
+def _report_json(spark, sf):
+    path = _scratch(spark, "report")
+    results = fixture(spark, sf, "fx_file_results")
+    summary = A.project_status(A.project_summary(results, fixture(spark, sf, "fx_file_issues")))
+    IO.write_report(summary, A.kept_results(results).select("project", "pos", "file", "skipped", "is_error", "score"), path)
+    rep = spark.read.json(path)
+    return rep.select("project", "status", F.size("results").alias("results"))
