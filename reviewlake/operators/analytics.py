@@ -58,17 +58,18 @@ def overview(snaps: DataFrame) -> DataFrame:
     )
 
 
-NEWEST_FIRST = [F.col("created_at").desc(), F.col("review_id").desc()]
+def newest_first() -> list[Column]:
+    return [F.col("created_at").desc(), F.col("review_id").desc()]
 
 
 def score_trend(snaps: DataFrame, n: int = 50) -> DataFrame:
     """Last ``n`` reviews in arrival order."""
-    return (snaps.orderBy(*NEWEST_FIRST).limit(n)
+    return (snaps.orderBy(*newest_first()).limit(n)
             .select("created_at", "review_id", "score", "security_score", "pr_id"))
 
 
 def recent_reviews(snaps: DataFrame, n: int = 20) -> DataFrame:
-    return snaps.orderBy(*NEWEST_FIRST).limit(n)
+    return snaps.orderBy(*newest_first()).limit(n)
 
 
 def top_categories(issues: DataFrame, n: int = 10) -> DataFrame:
@@ -118,7 +119,7 @@ def repo_issues(reviews: DataFrame, issues: DataFrame, n: int = 200, category: s
 
 
 def repo_reviews(reviews: DataFrame, n: int = 50) -> DataFrame:
-    return _top_per_group(reviews, ["repo"], NEWEST_FIRST, n)
+    return _top_per_group(reviews, ["repo"], newest_first(), n)
 
 
 def repo_review_count(reviews: DataFrame) -> DataFrame:
