@@ -209,11 +209,13 @@ def plan_counts(plan: DataFrame, exclude: list[str], seconds_per_file: int = 10)
           F.sum("size").alias("_size"), F.sum(F.when(F.col("_kept"), F.col("size"))).alias("_ksize"),
           F.grouping_id().alias("_gid"))
     kind = F.when(F.col("category").isNotNull(), "category").when(F.col("language").isNotNull(), "language").otherwise("total")
-    return g.select(
+    out = g.select(
         "project", kind.alias("kind"), F.coalesce("category", "language").alias("key"),
         F.when(kind == "language", F.col("_k")).otherwise(F.col("_all")).alias("files"),
         F.when(kind == "total", F.col("_size").cast("bigint")).alias("size_bytes"),
         F.when(kind == "total", F.col("_k") * seconds_per_file).alias("est_seconds"))
+    # a language whose files are all excluded does not appear in the filtered counts
+    return out.filter((F.col("kind") != "language") | (F.col("files") > 0))
 
 
 def exclude_categories(plan: DataFrame, cats: list[str]) -> tuple[DataFrame, DataFrame]:
