@@ -149,8 +149,8 @@ def _assemble(spark, sf):
 
 @register("diff.parse_errors")
 def _parse_errors(spark, sf):
-    """Each multi-file diff with the hunk header lengths of every third document overstated, plus the
-    same sections without file headers (GitLab shape): both kinds must be reported."""
+    """Every document's diff with the stated source length overstated (hunk too short), plus the same
+    sections without file headers (GitLab shape): both kinds must be reported."""
     d = fixture(spark, sf, "fx_diffs")
     overstated = d.select(F.col("doc_id").alias("pr"),
                           F.regexp_replace("diff", r"@@ -1,(\d+) ", "@@ -1,9$1 ").alias("diff"))
