@@ -5,9 +5,12 @@ Per review: the PR action is rejected when review_id % 5 = 0, one required key i
 % 37 = 0, and headers are left empty when % 11 = 0 (payload-shape fallback)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import ingest as I
+from ..session import scratch_path
 from .fixtures import fixture, oracle_with
 from .registry import register
 
@@ -101,19 +104,28 @@ def ev_oracle(body: str) -> str:
     return oracle_with("WITH " + EV.strip() + "\n" + body, "fx_reviews")
 
 
+def staged_webhooks(spark, sf):
+    """Raw events as ingest sees them in production: written to storage first (a table under the
+    shared ``spark.checkpoint.dir``), then read back.  This also cuts the lineage of the JSON-building
+    fixture, whose projection would otherwise be fused into the parse projection."""
+    path = scratch_path(spark, f"fixtures/webhooks/{uuid.uuid4().hex}")
+    webhooks(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _classified(spark, sf):
-    return I.classify_events(webhooks(spark, sf))
+    return I.classify_events(staged_webhooks(spark, sf))
 
 
 @register("ingest.detect_platform", ev_oracle("SELECT review_id AS event_id, platform FROM ev"))
 def _detect(spark, sf):
-    return I.detect_platform(webhooks(spark, sf)).select("event_id", "platform")
+    return I.detect_platform(staged_webhooks(spark, sf)).select("event_id", "platform")
 
 
 @register("ingest.pr_events", ev_oracle("""
 SELECT review_id AS event_id, platform FROM cls WHERE reason IS NULL OR reason = 'missing_required_field'"""))
 def _pr_events(spark, sf):
-    return I.filter_pr_events(webhooks(spark, sf)).select("event_id", "platform")
+    return I.filter_pr_events(staged_webhooks(spark, sf)).select("event_id", "platform")
 
 
 for _p in ["github", "gitlab", "bitbucket", "azure"]:
@@ -131,7 +143,7 @@ def _unified(spark, sf):
 
 @register("ingest.quarantine", ev_oracle("SELECT review_id AS event_id, platform, reason FROM cls WHERE reason IS NOT NULL"))
 def _quarantine(spark, sf):
-    return I.quarantine(webhooks(spark, sf))
+    return I.quarantine(staged_webhooks(spark, sf))
 
 
 @register("ingest.target_is_detailed", ev_oracle("""
