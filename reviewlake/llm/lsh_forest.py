@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = member_rows.select(F.col("rep").alias("id")).distinct()
     if cut:
         needed = needed.union(inside.select(F.col("rep").alias("id"))).distinct()
-    texts = base_in.where("id is not null").join(needed, "id", "left_semi")
+    # a shuffled join at every size: the ids grow with the corpus
+    texts = base_in.where("id is not null").hint("merge").join(needed, "id", "left_semi")
     sets = texts.mapInArrow(_with_sets(shingle, size), "id long, sig binary, hashes binary")
     if cut:
         sets = shared.stored(sets, "forest-sets")
