@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lsh_forest, shared
+from . import bpe, fm_index, fst_tokens, lsh_forest, shared, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries that SQL can express on whole tables.
@@ -17,6 +18,26 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@_query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_report(shared.documents(spark, sf_dir))
+
+
+@_query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fst_tokens.token_count_report(shared.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @_query
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(shared.documents(spark, sf_dir), shingle=3, num=85, den=100)
+
+
+@_query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_report(shared.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.contamination_report(shared.documents(spark, sf_dir), shared.documents(spark, sf_dir, "benchmark"))
