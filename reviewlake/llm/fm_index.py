@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import shared, textbytes as tb
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 SAMPLE = 8
 #: Text bytes of the benchmark items that one pass searches; a larger benchmark takes several passes.
 BENCHMARK_BLOCK = 32 << 20
