@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fm_index, fst_tokens, lsh_forest, shared, simhash
+from . import bpe, flow_reshard, fm_index, fst_tokens, host_rank, lsh_forest, shared, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries that SQL can express on whole tables.
@@ -41,3 +41,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.contamination_report(shared.documents(spark, sf_dir), shared.documents(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op5_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow_reshard.shard_report(shared.documents(spark, sf_dir))
+
+
+@_query
+def op8_url_host_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rank.judge_pages(shared.documents(spark, sf_dir, "pages"))
