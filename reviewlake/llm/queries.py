@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flow_reshard, fm_index, fst_tokens, host_rank, lsh_forest, shared, simhash
+from . import bpe, flow_reshard, fm_index, fst_tokens, host_rank, license_scan, lsh_forest, shared, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries that SQL can express on whole tables.
@@ -51,3 +51,8 @@ def op5_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_url_host_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rank.judge_pages(shared.documents(spark, sf_dir, "pages"))
+
+
+@_query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(shared.documents(spark, sf_dir))
