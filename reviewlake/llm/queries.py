@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flow_reshard, fm_index, fst_tokens, host_rank, license_scan, lsh_forest, shared, simhash
+from . import bpe, flow_reshard, fm_index, fst_tokens, host_rank, kneser_ney, license_scan, lsh_forest, pii_lstm, shared, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries that SQL can express on whole tables.
@@ -56,3 +56,13 @@ def op8_url_host_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(shared.documents(spark, sf_dir))
+
+
+@_query
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.language_report(shared.documents(spark, sf_dir))
+
+
+@_query
+def op6_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_lstm.pii_report(shared.documents(spark, sf_dir))
