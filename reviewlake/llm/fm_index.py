@@ -254,13 +254,18 @@ def _find(phrases, with_text: bool):
     return run
 
 
+def _block_bounds(benchmark: DataFrame, text_col: str, limit: int) -> range:
+    """Numbers of the blocks of about `limit` text bytes that the benchmark is dealt to."""
+    total = benchmark.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return range(max(1, -(-total // limit)))
+
+
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The benchmark in blocks of about `limit` text bytes, one at a time on the driver."""
+    """The blocks of the benchmark, one at a time on the driver."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // limit))
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
+    blocks = _block_bounds(benchmark, text_col, limit)
+    for b in blocks:
+        part = items if len(blocks) == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(len(blocks))) == b)
         yield [(r["id"], r["text"]) for r in part.collect()]
 
 
@@ -320,25 +325,70 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
                         F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _cut(spans: list[dict], text: str | None) -> str | None:
+def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without the byte ranges `spans` (sorted, apart) and the spaces before them."""
     if not spans or text is None:
         return text
     raw, out, at = text.encode(), [], 0
-    for s in spans:
-        out.append(raw[at:s["start"]].rstrip(b" "))
-        at = s["end"]
+    for start, end in spans:
+        out.append(raw[at:start].rstrip(b" "))
+        at = end
     return b"".join([*out, raw[at:]]).decode()
 
 
-def remove_spans(found: DataFrame) -> DataFrame:
-    """id, text of `benchmark_matches` rows with every hit span cut out of the text."""
+def _clean(phrases, names: list[str]):
+    """(text, others) -> (text without hit spans, n_hit, others), for a benchmark of one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = phrases.value
+        for batch in batches:
+            for first, end, data, offsets in tb.text_slices(batch.column(0), SHARD_BYTES):
+                _, n_hit, _, spans = shard_matches(data, offsets, block)
+                part = batch.slice(first, end - first)
+                text = part.column(0)
+                if len(spans):
+                    places: dict[int, list[tuple[int, int]]] = {}
+                    for d, a, b in spans.tolist():
+                        places.setdefault(d, []).append((a - int(offsets[d]), b - int(offsets[d])))
+                    text = pa.array([cut(t, places.get(d, [])) for d, t in enumerate(text.to_pylist())], pa.string())
+                yield pa.RecordBatch.from_arrays([text, pa.array(n_hit, pa.int64()), *part.columns[1:]], ["text", "n_hit", *names])
+
+    return run
+
 
+def _clean_joined(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [_cut(s, t) for s, t in zip(batch.column("spans").to_pylist(), batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cut, pa.string())], ["id", "text"])
+            found = [[(s["start"], s["end"]) for s in x or []] for x in batch.column("spans").to_pylist()]
+            text = [cut(t, s) for t, s in zip(batch.column("text").to_pylist(), found)]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), batch.column("n_hit"), *(batch.column(c) for c in names)], ["text", "n_hit", *names])
+
+    return run
 
-    return found.select("id", "text", "spans").mapInArrow(run, "id long, text string")
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BENCHMARK_BLOCK, **options) -> DataFrame:
+    """`docs` with every hit span cut out of its text; documents of which no word is left are dropped.
+
+    Documents without a hit stay as they are, wordless and null texts too.  Columns keep their names and
+    order.  A benchmark above `block_bytes` is joined back by id, which must then be unique.
+    """
+    other = [f for f in docs.schema if f.name != text_col]
+    names = [f"c{i}" for i in range(len(other))]
+    shape = ", ".join(["text string, n_hit long", *(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, other))])
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, other)])
+    blocks = list(_block_bounds(benchmark, options.get("item_text_col", "text"), block_bytes))
+    if len(blocks) == 1:
+        items = next(_item_blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), block_bytes))
+        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items, options.get("width", 10)))
+        out = rows.mapInArrow(_clean(phrases, names), shape)
+    else:
+        found = benchmark_matches(docs, benchmark, id_col, text_col, block_bytes=block_bytes, with_text=False, **options)
+        own = names[[f.name for f in other].index(id_col)]
+        joined = rows.join(found.select(F.col("id").alias("_id"), "spans", "n_hit"), F.col(own) == F.col("_id"), "left").fillna({"n_hit": 0})
+        out = joined.mapInArrow(_clean_joined(names), shape)
+    left = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")
+    back = {f.name: n for n, f in zip(names, other)} | {text_col: "text"}
+    return out.where((F.col("n_hit") == 0) | left).select(*[F.col(back[c]).alias(c) for c in docs.columns])
 
 
 def items_digest(items: list[int]) -> str:
