@@ -14,6 +14,7 @@ import heapq
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -24,8 +25,26 @@ from . import shared
 
 #: Code points of a chunk, and those it shares with the next one.
 CHUNK, OVERLAP = 32_768, 512
-#: Pieces whose ids one Python worker remembers, and the longest such piece.
-MAX_KNOWN, LONGEST_KNOWN = 200_000, 64
+#: Pieces of each of two generations whose ids one Python worker remembers, and the longest such piece.
+MAX_KNOWN, LONGEST_KNOWN = 250_000, 64
+
+
+class _Known(dict):
+    """Ids of pieces; a missing one is encoded, or taken over from the older generation."""
+
+    def __init__(self, encode_piece: Callable[[bytes], list[int]]):
+        self.encode_piece, self.older = encode_piece, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = self.older.get(piece)
+        if found is None:
+            found = tuple(self.encode_piece(piece.encode()))
+        if len(piece) <= LONGEST_KNOWN:
+            if len(self) >= MAX_KNOWN:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class BytePairs:
@@ -39,12 +58,32 @@ class BytePairs:
                     token, rank = line.split()
                     self.ranks[base64.b64decode(token)] = int(rank)
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self.encode_piece)
 
     def encode_piece(self, raw: bytes) -> list[int]:
         """Merge the adjacent pair of the lowest rank, the leftmost first, until none is left."""
         if raw in self.ranks:
             return [self.ranks[raw]]
+        return self._encode_short(raw) if len(raw) <= 64 else self._encode_long(raw)
+
+    def _encode_short(self, raw: bytes) -> list[int]:
+        get, none = self.ranks.get, 1 << 60
+        parts = [raw[i:i + 1] for i in range(len(raw))]
+        pairs = [get(raw[i:i + 2], none) for i in range(len(raw) - 1)]
+        while pairs:
+            least = min(pairs)
+            if least == none:
+                break
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            pairs.pop(i)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+        return [self.ranks[p] for p in parts]
+
+    def _encode_long(self, raw: bytes) -> list[int]:
         n, ranks = len(raw), self.ranks
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         pair = lambda i: ranks.get(raw[i:after[after[i]]]) if after[i] < n else None
@@ -65,17 +104,7 @@ class BytePairs:
         return [ranks[raw[i:after[i]]] for i in range(n) if alive[i]]
 
     def encode(self, pieces: list[str]) -> list[int]:
-        known, ids = self.known, []
-        for piece in pieces:
-            found = known.get(piece)
-            if found is None:
-                found = tuple(self.encode_piece(piece.encode()))
-                if len(piece) <= LONGEST_KNOWN:
-                    if len(known) >= MAX_KNOWN:
-                        known.clear()
-                    known[piece] = found
-            ids += found
-        return ids
+        return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
