@@ -74,15 +74,19 @@ def gram_hashes(symbols_: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def _counted(bounds: np.ndarray, order: int) -> np.ndarray:
+    """True at the symbols that count, false at the breaks put before each text."""
+    counted = np.ones(bounds[-1], dtype=bool)
+    counted[(bounds[:-1, None] + np.arange(order - 1)).ravel()] = False
+    return counted
+
+
 def _one_model(texts: list[str], order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]], int]:
     """(n-gram hashes, log probabilities) and (context hashes, log back-off weights) by order, and the
     number of symbols."""
     all_symbols, bounds = symbols(texts, order)
     hashes = gram_hashes(all_symbols, order)
-    counted = np.ones(len(all_symbols), dtype=bool)
-    for a in bounds[:-1]:
-        counted[a:a + order - 1] = False
-    at = np.flatnonzero(counted)
+    at = np.flatnonzero(_counted(bounds, order))
     grams, first, counts = [None] * order, [None] * order, [None] * order
     for k in range(order):
         grams[k], where, raw = np.unique(hashes[k][at], return_index=True, return_counts=True)
@@ -150,13 +154,11 @@ class LanguageModels:
         """(texts, languages) cross-entropy per symbol in nats, and the number of letters of each text."""
         all_symbols, bounds = symbols(texts, self.order)
         hashes = gram_hashes(all_symbols, self.order)
-        _, first, inverse = np.unique(hashes[-1], return_index=True, return_inverse=True)
-        first = np.maximum(first, self.order - 1) if len(first) else first
-        each = self.log_probability(hashes, first)[inverse].astype(np.float64)
-        counted = np.ones(len(all_symbols), dtype=bool)
-        for a in bounds[:-1]:
-            counted[a:a + self.order - 1] = False
-        each[~counted] = 0
+        counted = _counted(bounds, self.order)
+        at = np.flatnonzero(counted)
+        _, first, inverse = np.unique(hashes[-1][at], return_index=True, return_inverse=True)
+        each = np.zeros((len(all_symbols), len(self.languages)))
+        each[at] = self.log_probability(hashes, at[first])[inverse]
         sums = tb.segment_sum(each, bounds)
         n = np.maximum(np.diff(bounds) - (self.order - 1), 1)
         return -sums / n[:, None], tb.segment_sum((counted & (all_symbols != _BREAK)).astype(np.int64), bounds)
