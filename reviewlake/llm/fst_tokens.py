@@ -134,8 +134,8 @@ def boundaries(classes: np.ndarray) -> np.ndarray:
 
 # ---- count transducer ----------------------------------------------------------------------------
 
-#: Compiled states, and pre-tokens whose count is remembered, in one Python worker.
-MAX_STATES, MAX_KNOWN = 120_000, 200_000
+#: Compiled states, and pre-tokens of each of two generations whose count is remembered, in one Python worker.
+MAX_STATES, MAX_KNOWN = 250_000, 200_000
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -163,13 +163,14 @@ class CountTransducer:
         self.prefixes = {t[:k] for t in self.tokens for k in range(1, len(t))}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.known: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
         self._reset()
 
     def _reset(self) -> None:
         # a state: (suffix, last token at each position from its start, count there less the count now)
         start = (b"", (None,), (0,))
         self.states, self.number, self.moves = [start], {start: 0}, {}
-        if len(self.fits) > 4 * MAX_STATES:
+        if len(self.fits) > 2 * MAX_STATES:
             self.fits = {}
 
     def merge(self, raw: bytes) -> list[bytes]:
@@ -214,6 +215,9 @@ class CountTransducer:
         found = self.known.get(piece)
         if found is not None:
             return found
+        found = self.older.get(piece)
+        if found is not None:
+            return self._remember(piece, found)
         if len(self.states) > MAX_STATES:
             self._reset()
         state, total, get = 0, 0, self.moves.get
@@ -223,10 +227,12 @@ class CountTransducer:
                 move = self._compile(state, b)
             state = move >> 9
             total += (move & 511) - 256
-        if len(piece) <= 64:
-            if len(self.known) > MAX_KNOWN:
-                self.known = {}
-            self.known[piece] = total
+        return self._remember(piece, total) if len(piece) <= 64 else total
+
+    def _remember(self, piece: bytes, total: int) -> int:
+        if len(self.known) >= MAX_KNOWN:
+            self.known, self.older = {}, self.known
+        self.known[piece] = total
         return total
 
 
