@@ -1,31 +1,27 @@
 """Model responses -> validated, normalised reviews and issues.
 
-Every function is DataFrame -> DataFrame over *all* reviews at once.  Per-review logic is a window
-``PARTITION BY review_id`` or a ``groupBy(review_id)``: one review's issues are bounded by the size
-of one model response, so no group can grow with the corpus.  Nothing leaves the JVM.
+A response is parsed once into a variant; its issues stay one array per review, on which synonyms, caps,
+prefixes, the short circuit, validation, counters and the summary are array functions.  There is no join
+and no shuffle before the issues are exploded, and no text can make the job fail: wrong types and
+shapes become a ``failure_reason``.  The row-level functions give the same steps on exploded issues.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import dims
 from ..functions.text import falsy, truthy
 
 # The 12 issue fields the model may return (anything else is dropped by the schema).
-# Numbers are read as text first so that integrality can be validated (7.0 ok, 7.5 not).
 ISSUE_FIELDS = ["severity", "title", "description", "file_path", "line_number", "line_end",
                 "code_snippet", "suggestion", "category", "owasp_id", "cwe_id", "threat_type"]
-RAW_ISSUE_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in ISSUE_FIELDS])
-RAW_RESPONSE_SCHEMA = T.StructType([
-    T.StructField("summary", T.StringType()),
-    T.StructField("score", T.StringType()),
-    T.StructField("issues", T.ArrayType(RAW_ISSUE_SCHEMA)),
-    T.StructField("approval_recommended", T.StringType()),
-    T.StructField("block_merge", T.StringType()),
-    T.StructField("ai_slop_detected", T.StringType()),
-])
+INTEGER_FIELDS = ["line_number", "line_end"]
+# an explicit null is as wrong as a number in these; the other texts may be null
+REQUIRED_TEXT = ["severity", "title", "description", "category"]
+NUMBER_KINDS = ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"]
+# texts that count as a boolean, lower-cased
+TRUE_TEXT, FALSE_TEXT = ["true", "t", "yes", "y", "on", "1"], ["false", "f", "no", "n", "off", "0"]
 
 # FIXED VALUES: fallback reviews when the response has no JSON span / the span is not JSON
 NO_JSON_SCORE, NO_JSON_APPROVE = 7, True
@@ -59,40 +55,88 @@ def extract_json(responses: DataFrame, text_col: str = "response") -> DataFrame:
                         .otherwise(F.lit("ok"))))
 
 
-def parse_response(responses: DataFrame, text_col: str = "response", mode: str = "pr") -> DataFrame:
+def _kind(v: Column, path: str = "$") -> Column:
+    """JSON kind at a path (OBJECT, ARRAY, STRING, BOOLEAN, VOID, a number kind); NULL if it is not there."""
+    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^[A-Z]+", 0)
+
+
+def _text(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "string")
+
+
+def _integer(text: Column) -> Column:
+    """A whole number (also of JSON true / false or of a numeric text) as bigint, else NULL."""
+    d = F.trim(text).try_cast("double")
+    whole = F.when((d == F.floor(d)) & (F.abs(d) < 9.0e18), F.coalesce(F.trim(text).try_cast("bigint"), d.cast("bigint")))
+    return F.when(text == "true", F.lit(1).cast("bigint")).when(text == "false", F.lit(0).cast("bigint")).otherwise(whole)
+
+
+def _integer_ok(text: Column, kind: Column) -> Column:
+    return kind.isin(*NUMBER_KINDS, "STRING", "BOOLEAN") & _integer(text).isNotNull()
+
+
+def _boolean(text: Column, kind: Column) -> Column:
+    """true / false of a JSON boolean, of 0 or 1, or of one of the usual words, else NULL."""
+    low = F.when(kind.isin(*NUMBER_KINDS), _integer(text).cast("string")).when(kind.isin("STRING", "BOOLEAN"), F.lower(text))
+    return F.when(low.isin(*TRUE_TEXT), True).when(low.isin(*FALSE_TEXT), False)
+
+
+def _raw_issue(x: Column) -> Column:
+    """One returned issue: its fields as text, the names of fields of a wrong type, and whether it is an object."""
+    wrong = []
+    for f in ISSUE_FIELDS:
+        k, path = _kind(x, f"$.{f}"), f"$.{f}"
+        ok = (k == "VOID") | _integer_ok(_text(x, path), k) if f in INTEGER_FIELDS else \
+            k == "STRING" if f in REQUIRED_TEXT else k.isin("STRING", "VOID")
+        wrong.append(F.when(~ok, F.lit(f)))
+    return F.struct(*[_text(x, f"$.{f}").alias(f) for f in ISSUE_FIELDS],
+                    F.array_compact(F.array(*wrong)).alias("wrong"), (_kind(x) == "OBJECT").alias("is_object"))
+
+
+def parse_response(responses: DataFrame, text_col: str = "response", mode: str = "pr", summary_chars: int | None = None) -> DataFrame:
     """Review-level fields with the fallbacks and defaults applied (``findings.defaults``).
 
-    Output adds: parse_status, summary, score_text, approval_recommended, stated_block, raw_issues.
+    Output adds: parse_status, summary, score_text, approval_recommended, stated_block, raw_issues and
+    response_failure (why the response itself is invalid, NULL if it is not).  A missing field takes its
+    default; an explicit null or a wrong type is a failure.  ``summary_chars`` cuts the summary taken
+    from a response without JSON (whole by default).
     """
-    df = extract_json(responses, text_col)
-    parsed = F.from_json(F.col("json_span"), RAW_RESPONSE_SCHEMA)
+    df = extract_json(responses, text_col).withColumn("_v", F.expr("try_parse_json(json_span)"))
+    v = F.col("_v")
     ok = F.col("parse_status") == "ok"
     no_json = F.col("parse_status") == "no_json"
-    df = df.withColumn("_p", F.when(ok, parsed))
+    # with no JSON object, or a malformed one, the variant is not used
+    top = {f: (_text(v, f"$.{f}"), _kind(v, f"$.{f}")) for f in ("summary", "score", "approval_recommended", "block_merge", "issues")}
+    df = df.withColumns({f"_{f}": F.when(ok, F.struct(t.alias("t"), k.alias("k"))) for f, (t, k) in top.items()})
+    t = lambda f: F.col(f"_{f}.t")
+    k = lambda f: F.col(f"_{f}.k")
+    given = lambda f: k(f).isNotNull()
+    # a block flag that is falsy counts as false, whatever its type
+    empty = (k("block_merge") == "VOID") | (t("block_merge") == "") | ((k("block_merge").isin("ARRAY", "OBJECT")) & t("block_merge").isin("[]", "{}"))
+    failure = (F.when(given("issues") & (k("issues") != "ARRAY") & ~((k("issues") == "STRING") & (t("issues") == ""))
+                      & ~((k("issues") == "OBJECT") & (t("issues") == "{}")), "issues_not_list")
+               .when(given("summary") & (k("summary") != "STRING"), "bad_summary")
+               .when(given("score") & ~F.coalesce(_integer_ok(t("score"), k("score")) & _integer(t("score")).between(0, 10), F.lit(False)), "bad_score")
+               .when(given("approval_recommended") & _boolean(t("approval_recommended"), k("approval_recommended")).isNull(), "bad_approval")
+               .when(given("block_merge") & ~F.coalesce(empty, F.lit(False)) & _boolean(t("block_merge"), k("block_merge")).isNull(), "bad_block"))
+    cut = F.col(text_col) if summary_chars is None else F.substring(F.col(text_col), 1, summary_chars)
     return (df
-            .withColumn("summary",
-                        F.when(no_json, F.substring(F.col(text_col), 1, 500))
-                        .when(~ok, F.lit(BAD_JSON_SUMMARY))
-                        .otherwise(F.coalesce(F.col("_p.summary"), F.lit(DEFAULT_SUMMARY[mode]))))
-            .withColumn("score_text",
-                        F.when(no_json, F.lit(str(NO_JSON_SCORE)))
-                        .when(~ok, F.lit(str(BAD_JSON_SCORE)))
-                        .otherwise(F.coalesce(F.col("_p.score"), F.lit(str(DEFAULT_SCORE)))))
-            .withColumn("approval_recommended",
-                        F.when(no_json, F.lit(NO_JSON_APPROVE))
-                        .when(~ok, F.lit(BAD_JSON_APPROVE))
-                        .otherwise(F.coalesce(F.col("_p.approval_recommended").cast("boolean"), F.lit(True))))
-            .withColumn("stated_block",
-                        F.when(ok, F.coalesce(F.col("_p.block_merge").cast("boolean"), F.lit(False)))
-                        .otherwise(F.lit(False)))
-            .withColumn("raw_issues", F.when(ok, F.col("_p.issues")))
-            .drop("_p"))
+            .withColumn("response_failure", F.when(ok, failure))
+            .withColumn("summary", F.when(no_json, cut).when(~ok, F.lit(BAD_JSON_SUMMARY)).otherwise(F.coalesce(t("summary"), F.lit(DEFAULT_SUMMARY[mode]))))
+            .withColumn("score_text", F.when(no_json, F.lit(str(NO_JSON_SCORE))).when(~ok, F.lit(str(BAD_JSON_SCORE)))
+                        .otherwise(F.coalesce(t("score"), F.lit(str(DEFAULT_SCORE)))))
+            .withColumn("approval_recommended", F.when(no_json, F.lit(NO_JSON_APPROVE)).when(~ok, F.lit(BAD_JSON_APPROVE))
+                        .otherwise(F.coalesce(_boolean(t("approval_recommended"), k("approval_recommended")), F.lit(True))))
+            .withColumn("stated_block", F.when(ok, F.coalesce(_boolean(t("block_merge"), k("block_merge")), F.lit(False))).otherwise(F.lit(False)))
+            .withColumn("raw_issues", F.when(ok & (k("issues") == "ARRAY"), F.transform(F.try_variant_get(v, "$.issues", "array<variant>"), _raw_issue)))
+            .drop("_v", *[f"_{f}" for f in top]))
 
 
 def explode_issues(parsed: DataFrame, key: str = "review_id") -> DataFrame:
-    """One row per returned issue with its 1-based position; unknown fields are already dropped."""
+    """One row per returned issue object with its 1-based position; unknown fields are already dropped."""
     return (parsed
-            .select(key, F.posexplode("raw_issues").alias("pos0", "i"))
+            .select(key, F.posexplode_outer("raw_issues").alias("pos0", "i"))
+            .where("i.is_object")
             .select(key, (F.col("pos0") + 1).cast("int").alias("pos"),
                     *[F.col(f"i.{f}").alias(f) for f in ISSUE_FIELDS]))
 
@@ -111,12 +155,13 @@ def normalize_severity(issues: DataFrame, src: str = "severity") -> DataFrame:
     return issues.withColumn("severity", severity_normalized(F.col(src)))
 
 
+def slop_capped(severity: Column, category: Column) -> Column:
+    return F.when((category == "ai_slop") & severity.isin("critical", "high"), F.lit("medium")).otherwise(severity)
+
+
 def cap_slop(issues: DataFrame) -> DataFrame:
     """``ai_slop`` issues never exceed medium (exact-case category test)."""
-    return issues.withColumn(
-        "severity",
-        F.when((F.col("category") == "ai_slop") & F.col("severity").isin("critical", "high"), F.lit("medium"))
-        .otherwise(F.col("severity")))
+    return issues.withColumn("severity", slop_capped(F.col("severity"), F.col("category")))
 
 
 def _starts_with_any(c: Column, prefixes: list[str]) -> Column:
@@ -126,18 +171,16 @@ def _starts_with_any(c: Column, prefixes: list[str]) -> Column:
     return out
 
 
+def marked_critical(severity: Column, text: Column, prefixes: list[str], mark: str) -> Column:
+    return F.when((severity == "critical") & ~_starts_with_any(F.coalesce(text, F.lit("")), prefixes),
+                  F.concat(F.lit(mark), F.coalesce(text, F.lit("")))).otherwise(text)
+
+
 def mark_critical(issues: DataFrame) -> DataFrame:
     """PR mode: prefix description and title of critical issues unless already prefixed."""
-    crit = F.col("severity") == "critical"
-    desc = F.coalesce(F.col("description"), F.lit(""))
-    title = F.coalesce(F.col("title"), F.lit(""))
-    return (issues
-            .withColumn("description",
-                        F.when(crit & ~_starts_with_any(desc, CRITICAL_DESC_PREFIXES),
-                               F.concat(F.lit(CRITICAL_DESC_MARK), desc)).otherwise(F.col("description")))
-            .withColumn("title",
-                        F.when(crit & ~_starts_with_any(title, CRITICAL_TITLE_PREFIXES),
-                               F.concat(F.lit(CRITICAL_TITLE_MARK), title)).otherwise(F.col("title"))))
+    sev = F.col("severity")
+    return (issues.withColumn("description", marked_critical(sev, F.col("description"), CRITICAL_DESC_PREFIXES, CRITICAL_DESC_MARK))
+            .withColumn("title", marked_critical(sev, F.col("title"), CRITICAL_TITLE_PREFIXES, CRITICAL_TITLE_MARK)))
 
 
 def default_path(issues: DataFrame, file_col: str = "file") -> DataFrame:
@@ -164,53 +207,43 @@ def short_circuit(issues: DataFrame, key: str = "review_id") -> DataFrame:
 # validation: one bad issue fails the whole review
 # ------------------------------------------------------------------------------------------
 
-def _int_text_ok(c: Column, lo: int | None = None, hi: int | None = None) -> Column:
-    d = F.expr("try_cast(NULL AS DOUBLE)") if c is None else c.try_cast("double")
-    ok = d.isNotNull() & (d == F.floor(d))
-    if lo is not None:
-        ok = ok & (d >= lo)
-    if hi is not None:
-        ok = ok & (d <= hi)
-    return ok
+def issue_failure(x: Column) -> Column:
+    """Reason code of an invalid normalised issue, NULL when valid."""
+    wrong = lambda f: F.array_contains(x["wrong"], f)
+    out = (F.when(~F.coalesce(x["severity"].isin(*dims.SEVERITIES), F.lit(False)), F.lit("bad_severity"))
+           .when(wrong("title"), F.lit("bad_title")).when(x["title"].isNull(), F.lit("missing_title"))
+           .when(wrong("description"), F.lit("bad_description")).when(x["description"].isNull(), F.lit("missing_description")))
+    for f in ISSUE_FIELDS:
+        if f not in ("severity", "title", "description"):
+            out = out.when(wrong(f), F.lit(f"bad_{f}"))
+    return out
 
 
-def issue_failure(severity: Column, title: Column, description: Column, line_number: Column,
-                  line_end: Column) -> Column:
-    """Reason code for an invalid issue, NULL when valid."""
-    return (F.when(~F.coalesce(severity.isin(*dims.SEVERITIES), F.lit(False)), F.lit("bad_severity"))
-            .when(title.isNull(), F.lit("missing_title"))
-            .when(description.isNull(), F.lit("missing_description"))
-            .when(line_number.isNotNull() & ~_int_text_ok(line_number), F.lit("bad_line_number"))
-            .when(line_end.isNotNull() & ~_int_text_ok(line_end), F.lit("bad_line_end")))
+def _fatal(x: Column, severity: Column) -> Column:
+    """Faults that fail the review even where the short circuit would drop the issue."""
+    wrong = lambda f: F.array_contains(x["wrong"], f)
+    crit = severity == "critical"
+    return (F.when(~x["is_object"], F.lit("issue_not_object"))
+            .when(crit & wrong("description"), F.lit("bad_description")).when(crit & wrong("title"), F.lit("bad_title"))
+            .when(crit & wrong("category"), F.lit("bad_category")))
 
 
-def validate(reviews: DataFrame, issues: DataFrame, key: str = "review_id") -> tuple[DataFrame, DataFrame]:
-    """Returns (reviews + ``failure_reason``, issues of valid reviews only).
+def normalized_issues(raw: Column, mode: str = "pr", file: Column | None = None) -> Column:
+    """Array of raw issues -> array of normalised issues (synonyms, slop cap, critical marks, default path)."""
 
-    ``reviews`` needs ``score_text``; failed reviews become the fixed failure row (score 0,
-    approval false, block true) and lose all issues via ``left_anti``.
-    """
-    bad_issue = (issues
-                 .withColumn("_r", issue_failure(F.col("severity"), F.col("title"), F.col("description"),
-                                                 F.col("line_number"), F.col("line_end")))
-                 .filter(F.col("_r").isNotNull())
-                 .groupBy(key).agg(F.min("_r").alias("_issue_reason")))
-    r = reviews.join(bad_issue, key, "left")
-    score_ok = _int_text_ok(F.col("score_text"), 0, 10)
-    reason = (F.when(~score_ok, F.lit("bad_score"))
-              .otherwise(F.col("_issue_reason")))
-    r = r.withColumn("failure_reason", reason).drop("_issue_reason")
-    failed = F.col("failure_reason").isNotNull()
-    r = (r.withColumn("score", F.when(failed, F.lit(0)).otherwise(F.col("score_text").try_cast("double").cast("int")))
-          .withColumn("summary", F.when(failed, F.lit(FAILED_SUMMARY)).otherwise(F.col("summary")))
-          .withColumn("approval_recommended", F.when(failed, F.lit(False)).otherwise(F.col("approval_recommended")))
-          .withColumn("stated_block", F.when(failed, F.lit(True)).otherwise(F.col("stated_block"))))
-    good_issues = issues.join(r.filter(failed).select(key), key, "left_anti")
-    typed = (good_issues
-             .withColumn("line_number", F.col("line_number").try_cast("double").cast("int"))
-             .withColumn("line_end", F.col("line_end").try_cast("double").cast("int"))
-             .withColumn("category", F.coalesce(F.col("category"), F.lit("general"))))
-    return r, typed
+    def one(x: Column, i: Column) -> Column:
+        sev = slop_capped(severity_normalized(x["severity"]), x["category"])
+        pr = mode == "pr"
+        desc = marked_critical(sev, x["description"], CRITICAL_DESC_PREFIXES, CRITICAL_DESC_MARK) if pr else x["description"]
+        title = marked_critical(sev, x["title"], CRITICAL_TITLE_PREFIXES, CRITICAL_TITLE_MARK) if pr else x["title"]
+        path = F.when(falsy(x["file_path"]), file).otherwise(x["file_path"]) if not pr else x["file_path"]
+        made = {"severity": sev, "title": title, "description": desc, "file_path": path,
+                "category": F.coalesce(x["category"], F.lit("general")),
+                **{f: _integer(x[f]) for f in INTEGER_FIELDS}}
+        return F.struct((i + 1).cast("int").alias("pos"), *[made.get(f, x[f]).alias(f) for f in ISSUE_FIELDS],
+                        x["wrong"].alias("wrong"), _fatal(x, sev).alias("fatal"), is_compilation_critical(sev, x["category"]).alias("circuit"))
+
+    return F.transform(raw, one)
 
 
 # ------------------------------------------------------------------------------------------
@@ -269,47 +302,74 @@ def block_merge(stated: Column, critical_count: Column, mode: str = "pr") -> Col
     return F.coalesce(stated, F.lit(False)) | (critical_count > 0)
 
 
-def critical_summary(reviews: DataFrame, issues: DataFrame, key: str = "review_id") -> DataFrame:
-    """Numbered critical titles (+ first 100 chars of the description) prepended to the summary."""
-    crit = (issues.filter(F.col("severity") == "critical")
-            .withColumn("_line", F.concat(
-                F.coalesce(F.col("title"), F.lit("Unknown issue")), F.lit(" - "),
-                F.substring(F.coalesce(F.col("description"), F.lit("")), 1, 100), F.lit("...\n")))
-            .groupBy(key)
-            .agg(F.count(F.lit(1)).alias("_n"),
-                 F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col("_line")))).alias("_items")))
-    crit = crit.withColumn("_block", F.concat(
-        F.lit("🚨 CRITICAL ERRORS FOUND ("), F.col("_n").cast("string"), F.lit("):\n"),
-        F.array_join(F.transform("_items", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["_line"])), "")))
-    out = reviews.join(crit.select(key, "_block"), key, "left")
-    return out.withColumn("summary", F.when(F.col("_block").isNotNull(),
-                                            F.concat(F.col("_block"), F.lit("\n"), F.col("summary")))
-                          .otherwise(F.col("summary"))).drop("_block")
+def critical_block(issues: Column, description_chars: int | None = None) -> Column:
+    """Numbered critical titles and descriptions of an issue array as text, NULL without a critical one.
+
+    ``description_chars`` cuts the descriptions (whole by default)."""
+    crit = F.filter(issues, lambda x: x["severity"] == "critical")
+    whole = lambda x: F.coalesce(x["description"], F.lit(""))
+    desc = whole if description_chars is None else lambda x: F.substring(whole(x), 1, description_chars)
+    lines = F.transform(crit, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(x["title"], F.lit("Unknown issue")),
+                                                    F.lit(" - "), desc(x), F.lit("...\n")))
+    return F.when(F.size(crit) > 0, F.concat(F.lit("🚨 CRITICAL ERRORS FOUND ("), F.size(crit).cast("string"), F.lit("):\n"),
+                                             F.array_join(lines, "")))
 
 
 # ------------------------------------------------------------------------------------------
 # the whole review pipeline, both modes
 # ------------------------------------------------------------------------------------------
 
-def review_responses(responses: DataFrame, mode: str = "pr", key: str = "review_id",
-                     file_col: str = "file") -> tuple[DataFrame, DataFrame]:
-    """responses(key, response[, file]) -> (reviews, issues) exactly as a reviewer would persist them."""
-    parsed = parse_response(responses, mode=mode)
-    issues = explode_issues(parsed, key) if mode == "pr" else \
-        parsed.select(key, file_col, F.posexplode("raw_issues").alias("pos0", "i")).select(
-            key, file_col, (F.col("pos0") + 1).cast("int").alias("pos"), *[F.col(f"i.{f}").alias(f) for f in ISSUE_FIELDS])
-    issues = cap_slop(normalize_severity(issues))
-    if mode == "pr":
-        issues = short_circuit(mark_critical(issues), key)
-    else:
-        issues = default_path(issues, file_col)
-    base = parsed.drop("raw_issues", "json_span")
-    reviews, issues = validate(base, issues, key)
+def _counted(issues: Column) -> dict[str, Column]:
+    """The counters of ``rollup_aggs`` on an issue array."""
+    n = lambda test: F.size(F.filter(issues, test)).cast("bigint")
+    of_severity = lambda s: lambda x: x["severity"] == s
+    security = F.filter(issues, lambda x: x["category"] == "security")
+    return {
+        "total_issues": F.size(issues).cast("bigint"),
+        **{f"{s}_count": n(of_severity(s)) for s in dims.SEVERITIES},
+        "ai_slop_count": n(lambda x: x["category"] == "ai_slop"),
+        "security_issues_count": F.size(security).cast("bigint"),
+        "security_penalty": F.aggregate(security, F.lit(0), lambda a, x: a + security_penalty(x["severity"])).cast("bigint"),
+        "secret_leak_detected": F.exists(issues, lambda x: F.coalesce(x["threat_type"] == "secret_leak", F.lit(False))),
+        "owasp_hits": F.array_sort(F.array_distinct(F.transform(F.filter(issues, lambda x: truthy(x["owasp_id"])), lambda x: x["owasp_id"]))),
+    }
+
+
+def review_responses(responses: DataFrame, mode: str = "pr", key: str = "review_id", file_col: str = "file",
+                     description_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """responses(key, response[, file]) -> (reviews, issues) exactly as a reviewer would persist them.
+
+    A review whose response or any kept issue is invalid becomes the fixed failure row (score 0, approval
+    false, block true) with ``failure_reason`` and no issues.
+    """
+    df = parse_response(responses, mode=mode)
+    df = df.withColumn("issues", normalized_issues(F.col("raw_issues"), mode, F.col(file_col) if mode != "pr" else None)).drop("raw_issues", "json_span")
+    df = df.withColumn("_fatal", F.array_min(F.transform("issues", lambda x: x["fatal"])))
+    if mode == "pr":  # any critical compilation or syntax issue: keep only those, positions kept
+        df = df.withColumn("issues", F.when(F.exists("issues", lambda x: F.coalesce(x["circuit"], F.lit(False))),
+                                            F.filter("issues", lambda x: x["circuit"])).otherwise(F.col("issues")))
+    reason = F.coalesce(F.when(F.col("response_failure") == "issues_not_list", F.col("response_failure")), F.col("_fatal"), F.col("response_failure"),
+                        F.array_min(F.transform("issues", issue_failure)))
+    df = df.withColumn("failure_reason", reason).drop("_fatal", "response_failure")
+    failed = F.col("failure_reason").isNotNull()
+    df = df.withColumn("issues", F.coalesce(F.when(~failed, F.col("issues")), F.from_json(F.lit("[]"), df.schema["issues"].dataType)))
+    summary = F.col("summary")
     if mode == "pr":
-        reviews = critical_summary(reviews, issues, key)
-    rolled = review_rollup(reviews, issues, key)
-    rolled = rolled.withColumn("block_merge", block_merge(F.col("stated_block"), F.col("critical_count"), mode))
-    return rolled, issues
+        block = critical_block(F.col("issues"), description_chars)
+        summary = F.when(block.isNotNull(), F.concat(block, F.lit("\n"), summary)).otherwise(summary)
+    df = df.withColumns({
+        "score": F.when(failed, F.lit(0)).otherwise(_integer(F.col("score_text")).cast("int")),
+        "summary": F.when(failed, F.lit(FAILED_SUMMARY)).otherwise(summary),
+        "approval_recommended": F.when(failed, F.lit(False)).otherwise(F.col("approval_recommended")),
+        "stated_block": failed | F.col("stated_block"),
+        **_counted(F.col("issues")),
+    })
+    df = df.withColumn("ai_slop_detected", F.col("ai_slop_count") > 0).withColumn("security_score", security_score_col())
+    df = df.withColumn("block_merge", block_merge(F.col("stated_block"), F.col("critical_count"), mode))
+    # an outer explode adds no filter that would repeat the parse below it
+    issues = df.select(key, *([file_col] if mode != "pr" else []), F.explode_outer("issues").alias("i")).where("i is not null") \
+        .select(key, *([file_col] if mode != "pr" else []), "i.pos", *[f"i.{f}" for f in ISSUE_FIELDS])
+    return df.drop("issues"), issues
 
 
 # ------------------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from ..functions import dims
 from ..functions.text import truthy
 
 UNIFIED_COLS = ["event_id", "platform", "pr_url", "pr_id", "repo_full_name", "source_branch", "target_branch",
-                "title", "description", "author", "diff", "additions", "deletions", "sha"]
+                "title", "description", "author", "diff", "additions", "deletions", "sha", "files_changed", "metadata"]
 
 
 WEBHOOK_SCHEMA = (
@@ -72,6 +72,12 @@ def platform_col() -> Column:
             .when(az_body, "azure").otherwise("unknown"))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` behind an exploded one-element array: a filter above it stays above it, so that the parse
+    below is neither repeated inside the filter nor evaluated twice."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_r")).select("_r.*")
+
+
 def detect_platform(df: DataFrame) -> DataFrame:
     return parse_body(df).withColumn("platform", platform_col())
 
@@ -90,7 +96,7 @@ def is_pr_event() -> Column:
 
 def filter_pr_events(df: DataFrame) -> DataFrame:
     d = df if "platform" in df.columns else detect_platform(df)
-    return d.filter(is_pr_event())
+    return _settled(d.withColumn("_pr", is_pr_event())).filter("_pr").drop("_pr")
 
 
 # required JSON paths per platform (a missing or null value means the event is ignored)
@@ -130,6 +136,11 @@ def _num_text(path: str) -> Column:
     return _v(path)
 
 
+def _metadata(**fields: Column) -> Column:
+    """Platform-specific fields as a map of texts (absent ones NULL)."""
+    return F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))])
+
+
 def unify_github() -> dict[str, Column]:
     return {
         "pr_url": _v("$.pull_request.html_url"), "pr_id": _num_text("$.pull_request.number"),
@@ -140,6 +151,8 @@ def unify_github() -> dict[str, Column]:
         "additions": F.coalesce(_v("$.pull_request.additions", "int"), F.lit(0)),
         "deletions": F.coalesce(_v("$.pull_request.deletions", "int"), F.lit(0)),
         "sha": _v("$.pull_request.head.sha"),
+        "metadata": _metadata(pr_number=_num_text("$.pull_request.number"), sha=_v("$.pull_request.head.sha"),
+                              repo_id=_v("$.repository.id"), action=_v("$.action")),
     }
 
 
@@ -151,6 +164,9 @@ def unify_gitlab() -> dict[str, Column]:
         "description": F.coalesce(_v("$.object_attributes.description"), F.lit("")),
         "author": _v("$.object_attributes.author.username"), "diff": F.lit(""),
         "additions": F.lit(0), "deletions": F.lit(0), "sha": _v("$.object_attributes.last_commit.id"),
+        "metadata": _metadata(merge_request_id=_v("$.object_attributes.id"), iid=_num_text("$.object_attributes.iid"),
+                              project_id=_v("$.project.id"), action=_v("$.object_attributes.action"),
+                              sha=_v("$.object_attributes.last_commit.id")),
     }
 
 
@@ -164,6 +180,8 @@ def unify_bitbucket() -> dict[str, Column]:
         "author": F.coalesce(_first_truthy(_v(f"{a}.username"), _v(f"{a}.display_name"), _v(f"{a}.nickname"),
                                            _v(f"{a}.uuid")), F.lit("unknown")),
         "diff": F.lit(""), "additions": F.lit(0), "deletions": F.lit(0), "sha": F.lit(None).cast("string"),
+        "metadata": _metadata(pr_id=_num_text("$.pullrequest.id"), repo_uuid=_v("$.repository.uuid"),
+                              workspace=_v("$.repository.workspace.slug"), event_key=_hdr("x-event-key")),
     }
 
 
@@ -177,6 +195,8 @@ def unify_azure() -> dict[str, Column]:
         "title": _v(f"{r}.title"), "description": F.coalesce(_v(f"{r}.description"), F.lit("")),
         "author": _v(f"{r}.createdBy.uniqueName"), "diff": F.lit(""),
         "additions": F.lit(0), "deletions": F.lit(0), "sha": F.lit(None).cast("string"),
+        "metadata": _metadata(pull_request_id=_num_text(f"{r}.pullRequestId"), repository_id=_v(f"{r}.repository.id"),
+                              project_id=_v(f"{r}.repository.project.id"), event_type=_v("$.eventType")),
     }
 
 
@@ -191,14 +211,14 @@ def quarantine_reason() -> Column:
 
 def classify_events(raw: DataFrame) -> DataFrame:
     """Every event with platform and quarantine reason (NULL = accepted)."""
-    return detect_platform(raw).withColumn("reason", quarantine_reason())
+    return _settled(detect_platform(raw).withColumn("reason", quarantine_reason()))
 
 
 def unify(classified: DataFrame, platforms: list[str] | None = None) -> DataFrame:
     """Accepted events -> unified PR rows (one projection with ``CASE platform`` per field)."""
     plats = platforms or list(PARSERS)
     maps = {p: PARSERS[p]() for p in plats}
-    fields = [c for c in UNIFIED_COLS if c not in ("event_id", "platform")]
+    fields = [c for c in UNIFIED_COLS if c not in ("event_id", "platform", "files_changed")]
     cols = []
     for f in fields:
         expr = None
@@ -206,7 +226,15 @@ def unify(classified: DataFrame, platforms: list[str] | None = None) -> DataFram
             expr = F.when(F.col("platform") == p, maps[p][f]) if expr is None else expr.when(F.col("platform") == p, maps[p][f])
         cols.append(expr.alias(f))
     ok = classified.filter(F.col("reason").isNull() & F.col("platform").isin(*plats))
-    return ok.select("event_id", "platform", *cols)
+    # a webhook names no files: with_files_changed fills them from the fetched diffs
+    return ok.select("event_id", "platform", *cols, F.array().cast("array<string>").alias("files_changed")).select(*UNIFIED_COLS)
+
+
+def with_files_changed(prs: DataFrame, paths: DataFrame) -> DataFrame:
+    """``files_changed`` from diff.changed_paths rows (pr = event_id, paths); without a diff it stays empty."""
+    found = paths.select(F.col("pr").alias("_pr"), F.col("paths").alias("_paths"))
+    joined = prs.join(found, F.col("event_id") == F.col("_pr"), "left")
+    return joined.withColumn("files_changed", F.coalesce("_paths", "files_changed")).drop("_pr", "_paths")
 
 
 def unified_prs(raw: DataFrame) -> DataFrame:

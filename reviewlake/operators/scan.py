@@ -1,15 +1,15 @@
 """Deterministic pattern scans over line corpora (re-aimed from prompt/rule text; not a model verdict).
 
 A pack is a small fixed table of (rule_id, regex, severity, category, threat_type).  Lines are
-first pre-filtered by one fused alternation of the whole pack (a codegen'd ``rlike``), and only the
-survivors are matched against the broadcast pack with a theta join, so the nested-loop cost is
-survivors x rules instead of lines x rules.  Regexes stay in the RE2 and Java common subset
+first pre-filtered by one fused alternation of the whole pack (a codegen'd ``rlike``); the
+survivors explode an array with one literal ``rlike`` per rule, so every pattern is compiled once
+and there is no join.  Regexes stay in the RE2 and Java common subset
 (no look-around, no back-references); word boundaries are spelled out as ASCII classes because
 ``\\b`` differs between the two engines on non-ASCII letters, and ``\\z`` replaces ``$``.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
@@ -50,20 +50,19 @@ KEYWORDS = ["await", "async", "static", "var", "public", "private", "protected",
 LINE_LIMIT = 120
 
 
-def pack_frame(spark: SparkSession, pack: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(pack, "rule_id string, regex string, severity string, category string, threat_type string")
-
-
 def fused(pack: list[tuple]) -> str:
     return "|".join(f"(?:{r[1]})" for r in pack)
 
 
 def scan(lines: DataFrame, pack: list[tuple], text: str = "content") -> DataFrame:
     """Lines x pack -> one row per (line, matching rule)."""
-    spark = lines.sparkSession
+    def found(rule: tuple) -> Column:
+        names = ("rule_id", "severity", "category", "threat_type")
+        values = (rule[0], *rule[2:])
+        return F.when(F.col(text).rlike(rule[1]), F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, values)]))
+
     cand = lines.filter(F.col(text).rlike(fused(pack)))
-    p = F.broadcast(pack_frame(spark, pack))
-    return cand.join(p, F.rlike(F.col(text), F.col("regex"))).drop("regex")
+    return cand.select("*", F.explode(F.array_compact(F.array(*[found(r) for r in pack]))).alias("_r")).select("*", "_r.*").drop("_r")
 
 
 def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,9 @@
 Spark builds the response text from fx_reviews + fx_issues ('Here is my review: {json} end', with
 'no json here' for review_id % 19 = 0 and '{bad json}' for % 23 = 0); the oracles read the same
 columns straight from the fixtures, so the whole parse -> normalise -> validate path is checked.
+Some responses have wrong types and shapes, by the review id: issues is a text (% 43 = 0), a list of
+texts (% 61), or one issue with a numeric title (% 67); the score is null (% 47) or 7.5 (% 53); the
+approval is "maybe" (% 41).
 """
 from __future__ import annotations
 
@@ -24,11 +27,14 @@ def responses(spark, sf):
            .select("review_id", F.transform("_i", lambda x: F.struct(*[x[f].alias(f) for f in ISSUE_JSON_FIELDS]))
                    .alias("issues")))
     j = rev.join(per, "review_id", "left")
-    body = F.to_json(F.struct(
-        F.concat(F.lit("summary "), F.col("review_id")).alias("summary"), F.col("score"),
-        F.coalesce(F.col("issues"), F.array()).alias("issues"),
-        F.col("approval_recommended"), F.col("model_block_merge").alias("block_merge")))
     rid = F.col("review_id").cast("bigint")
+    issues_json = (F.when(rid % 43 == 0, F.lit('"none"')).when(rid % 61 == 0, F.lit('["x"]'))
+                   .when(rid % 67 == 0, F.lit('[{"severity":"low","title":5,"description":"d"}]'))
+                   .otherwise(F.to_json(F.coalesce(F.col("issues"), F.array()))))
+    score_json = F.when(rid % 47 == 0, F.lit("null")).when(rid % 53 == 0, F.lit("7.5")).otherwise(F.col("score").cast("string"))
+    approval_json = F.when(rid % 41 == 0, F.lit('"maybe"')).otherwise(F.col("approval_recommended").cast("string"))
+    body = F.concat(F.lit('{"summary":"summary '), F.col("review_id"), F.lit('","score":'), score_json, F.lit(',"issues":'), issues_json,
+                    F.lit(',"approval_recommended":'), approval_json, F.lit(',"block_merge":'), F.col("model_block_merge").cast("string"), F.lit("}"))
     text = (F.when(rid % 19 == 0, F.lit("no json here")).when(rid % 23 == 0, F.lit("{bad json}"))
             .otherwise(F.concat(F.lit("Here is my review: "), body, F.lit(" end"))))
     return j.select("review_id", "platform", text.alias("response"),
@@ -54,13 +60,25 @@ STATUS_SQL = """CASE WHEN CAST(review_id AS BIGINT) % 19 = 0 THEN 'no_json'
 SEV_SQL = """CASE lower(raw_severity) WHEN 'information' THEN 'info' WHEN 'minor' THEN 'low'
                                    WHEN 'major' THEN 'high' ELSE lower(raw_severity) END"""
 SC_FLAG = "(severity = 'critical' AND lower(coalesce(category, '')) IN ('compilation', 'syntax'))"
+RID = "CAST(review_id AS BIGINT)"
+# the issues as the responses return them
+RAW_CTE = f"""
+raw AS (SELECT review_id, pos, raw_severity, title, description, file_path, line_number, category, owasp_id, threat_type
+        FROM fx_issues WHERE {STATUS_SQL} = 'ok' AND {RID} % 43 <> 0 AND {RID} % 61 <> 0 AND {RID} % 67 <> 0
+        UNION ALL
+        SELECT review_id, 1, 'low', '5', 'd', NULL, NULL, NULL, NULL, NULL
+        FROM fx_reviews WHERE {STATUS_SQL} = 'ok' AND {RID} % 43 <> 0 AND {RID} % 61 <> 0 AND {RID} % 67 = 0)"""
+# why a response is invalid
+FAIL_SQL = f"""CASE WHEN {STATUS_SQL} <> 'ok' THEN NULL WHEN {RID} % 43 = 0 THEN 'issues_not_list' WHEN {RID} % 61 = 0 THEN 'issue_not_object'
+            WHEN {RID} % 47 = 0 OR {RID} % 53 = 0 THEN 'bad_score' WHEN {RID} % 41 = 0 THEN 'bad_approval'
+            WHEN {RID} % 67 = 0 THEN 'bad_title' END"""
 PR_CTES = f"""
-resp AS (SELECT *, {STATUS_SQL} AS parse_status FROM fx_reviews),
+{RAW_CTE.strip()},
+resp AS (SELECT *, {STATUS_SQL} AS parse_status, {FAIL_SQL} AS fail FROM fx_reviews),
 norm AS (SELECT review_id, pos, category, file_path, line_number, owasp_id, threat_type, title AS title0,
                 description AS desc0, s0 AS severity0,
                 CASE WHEN category = 'ai_slop' AND s0 IN ('critical', 'high') THEN 'medium' ELSE s0 END AS severity
-         FROM (SELECT *, {SEV_SQL} AS s0 FROM fx_issues) i
-         WHERE {STATUS_SQL} = 'ok'),
+         FROM (SELECT *, {SEV_SQL} AS s0 FROM raw) i),
 marked AS (SELECT *,
   CASE WHEN severity = 'critical' AND NOT (starts_with(coalesce(desc0, ''), 'CRITICAL') OR starts_with(coalesce(desc0, ''), '🚨')
             OR starts_with(coalesce(desc0, ''), '❌') OR starts_with(coalesce(desc0, ''), 'critical'))
@@ -69,8 +87,9 @@ marked AS (SELECT *,
             OR starts_with(coalesce(title0, ''), '❌'))
        THEN 'CRITICAL: ' || coalesce(title0, '') ELSE title0 END AS title
   FROM norm),
-pr_issues AS (SELECT * FROM (SELECT *, bool_or({SC_FLAG}) OVER (PARTITION BY review_id) AS sc FROM marked) x
+sc_issues AS (SELECT * FROM (SELECT *, bool_or({SC_FLAG}) OVER (PARTITION BY review_id) AS sc FROM marked) x
               WHERE NOT sc OR {SC_FLAG}),
+pr_issues AS (SELECT * FROM sc_issues WHERE review_id NOT IN (SELECT review_id FROM resp WHERE fail IS NOT NULL)),
 pr_roll AS (SELECT review_id, count(*) AS n,
        sum(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) AS n_critical,
        sum(CASE WHEN severity = 'high' THEN 1 ELSE 0 END) AS n_high,
@@ -87,12 +106,12 @@ pr_roll AS (SELECT review_id, count(*) AS n,
          AS hits
   FROM pr_issues GROUP BY review_id),
 pr_reviews AS (
-  SELECT r.review_id, r.platform, r.parse_status,
-         CASE r.parse_status WHEN 'no_json' THEN 7 WHEN 'malformed' THEN 5 ELSE r.score END AS score,
-         CASE r.parse_status WHEN 'ok' THEN r.model_block_merge ELSE false END AS stated_block,
-         CASE r.parse_status WHEN 'no_json' THEN 'no json here' WHEN 'malformed' THEN 'Failed to parse AI response'
+  SELECT r.review_id, r.platform, r.parse_status, r.fail,
+         CASE WHEN r.fail IS NOT NULL THEN 0 WHEN r.parse_status = 'no_json' THEN 7 WHEN r.parse_status = 'malformed' THEN 5 ELSE r.score END AS score,
+         CASE WHEN r.fail IS NOT NULL THEN true WHEN r.parse_status = 'ok' THEN r.model_block_merge ELSE false END AS stated_block,
+         CASE WHEN r.fail IS NOT NULL THEN '🚨 Review failed: validation error' WHEN r.parse_status = 'no_json' THEN 'no json here' WHEN r.parse_status = 'malformed' THEN 'Failed to parse AI response'
               ELSE 'summary ' || r.review_id END AS summary0,
-         CASE r.parse_status WHEN 'no_json' THEN true WHEN 'malformed' THEN false ELSE r.approval_recommended END
+         CASE WHEN r.fail IS NOT NULL THEN false WHEN r.parse_status = 'no_json' THEN true WHEN r.parse_status = 'malformed' THEN false ELSE r.approval_recommended END
            AS approval_recommended,
          CAST(coalesce(p.n, 0) AS BIGINT) AS total_issues, CAST(coalesce(p.n_critical, 0) AS BIGINT) AS critical_count,
          CAST(coalesce(p.n_high, 0) AS BIGINT) AS high_count, CAST(coalesce(p.n_medium, 0) AS BIGINT) AS medium_count,
@@ -116,31 +135,32 @@ def _extract_json(spark, sf):
     return Fd.extract_json(responses(spark, sf)).select("review_id", "parse_status")
 
 
-@register("findings.explode_issues", oracle_with(f"""
-SELECT review_id, pos, raw_severity AS severity, title, description, file_path, line_number, category, owasp_id, threat_type
-FROM fx_issues WHERE {STATUS_SQL} = 'ok'""", "fx_issues"))
+@register("findings.explode_issues", pr_oracle("""
+SELECT review_id, pos, raw_severity AS severity, title, description, file_path, line_number, category, owasp_id, threat_type FROM raw"""))
 def _explode_issues(spark, sf):
     e = Fd.explode_issues(_parsed(spark, sf))
     return e.select("review_id", "pos", "severity", "title", "description", "file_path",
-                    F.col("line_number").cast("int").alias("line_number"), "category", "owasp_id", "threat_type")
+                    F.col("line_number").try_cast("int").alias("line_number"), "category", "owasp_id", "threat_type")
 
 
 @register("findings.defaults", oracle_with(f"""
 SELECT review_id,
        CASE s WHEN 'no_json' THEN 'no json here' WHEN 'malformed' THEN 'Failed to parse AI response'
               ELSE 'summary ' || review_id END AS summary,
-       CAST(CASE s WHEN 'no_json' THEN 7 WHEN 'malformed' THEN 5 ELSE score END AS INT) AS score,
-       CASE s WHEN 'no_json' THEN true WHEN 'malformed' THEN false ELSE approval_recommended END AS approval_recommended,
-       CASE s WHEN 'ok' THEN model_block_merge ELSE false END AS stated_block
-FROM (SELECT *, {STATUS_SQL} AS s FROM fx_reviews) r""", "fx_reviews"))
+       CASE s WHEN 'no_json' THEN '7' WHEN 'malformed' THEN '5'
+              ELSE CASE WHEN {RID} % 47 = 0 THEN '7' WHEN {RID} % 53 = 0 THEN '7.5' ELSE CAST(score AS VARCHAR) END END AS score,
+       CASE s WHEN 'no_json' THEN true WHEN 'malformed' THEN false ELSE {RID} % 41 = 0 OR approval_recommended END AS approval_recommended,
+       CASE s WHEN 'ok' THEN model_block_merge ELSE false END AS stated_block,
+       CASE WHEN fail IN ('issues_not_list', 'bad_score', 'bad_approval') THEN fail
+            WHEN fail IS NULL OR s <> 'ok' THEN NULL
+            WHEN {RID} % 47 = 0 OR {RID} % 53 = 0 THEN 'bad_score' WHEN {RID} % 41 = 0 THEN 'bad_approval' END AS response_failure
+FROM (SELECT *, {STATUS_SQL} AS s, {FAIL_SQL} AS fail FROM fx_reviews) r""", "fx_reviews"))
 def _defaults(spark, sf):
     p = _parsed(spark, sf)
-    return p.select("review_id", "summary", F.col("score_text").try_cast("double").cast("int").alias("score"),
-                    "approval_recommended", "stated_block")
+    return p.select("review_id", "summary", F.col("score_text").alias("score"), "approval_recommended", "stated_block", "response_failure")
 
 
-@register("findings.normalize_severity", oracle_with(f"""
-SELECT review_id, pos, {SEV_SQL} AS severity FROM fx_issues WHERE {STATUS_SQL} = 'ok'""", "fx_issues"))
+@register("findings.normalize_severity", pr_oracle(f"SELECT review_id, pos, {SEV_SQL} AS severity FROM raw"))
 def _normalize_severity(spark, sf):
     return Fd.normalize_severity(Fd.explode_issues(_parsed(spark, sf))).select("review_id", "pos", "severity")
 
@@ -155,24 +175,23 @@ def _mark_critical(spark, sf):
     return Fd.mark_critical(_norm_issues(spark, sf)).select("review_id", "pos", "title", "description")
 
 
-@register("findings.default_path", oracle_with(f"""
+@register("findings.default_path", pr_oracle("""
 SELECT review_id, pos, CASE WHEN file_path IS NULL OR file_path = '' THEN 'src/review' || review_id || '.py'
                             ELSE file_path END AS file_path
-FROM fx_issues WHERE {STATUS_SQL} = 'ok'""", "fx_issues"))
+FROM raw"""))
 def _default_path(spark, sf):
     p = _parsed(spark, sf, "file")
-    e = p.select("review_id", "file", F.posexplode("raw_issues").alias("pos0", "i")).select(
+    e = p.select("review_id", "file", F.posexplode_outer("raw_issues").alias("pos0", "i")).where("i.is_object").select(
         "review_id", "file", (F.col("pos0") + 1).cast("int").alias("pos"), F.col("i.file_path").alias("file_path"))
     return Fd.default_path(e, "file").select("review_id", "pos", "file_path")
 
 
-@register("findings.short_circuit", pr_oracle("SELECT review_id, pos, severity, category FROM pr_issues"))
+@register("findings.short_circuit", pr_oracle("SELECT review_id, pos, severity, category FROM sc_issues"))
 def _short_circuit(spark, sf):
     return Fd.short_circuit(Fd.mark_critical(_norm_issues(spark, sf))).select("review_id", "pos", "severity", "category")
 
 
-@register("findings.validate", pr_oracle("""
-SELECT review_id, CAST(NULL AS VARCHAR) AS failure_reason, CAST(score AS INT) AS score FROM pr_reviews"""))
+@register("findings.validate", pr_oracle("SELECT review_id, fail AS failure_reason, CAST(score AS INT) AS score FROM pr_reviews"))
 def _validate(spark, sf):
     reviews, _ = _pr(spark, sf)
     return reviews.select("review_id", "failure_reason", "score")
@@ -182,7 +201,7 @@ def _validate(spark, sf):
 SELECT review_id, 'pr' AS mode, total_issues, block_merge, score FROM pr_final
 UNION ALL
 SELECT r.review_id, 'file' AS mode, CAST(coalesce(n.n, 0) AS BIGINT) AS total_issues, r.stated_block AS block_merge, r.score
-FROM pr_reviews r LEFT JOIN (SELECT review_id, count(*) AS n FROM norm GROUP BY review_id) n ON r.review_id = n.review_id"""))
+FROM pr_reviews r LEFT JOIN (SELECT review_id, count(*) AS n FROM norm GROUP BY review_id) n ON r.review_id = n.review_id AND r.fail IS NULL"""))
 def _review_mode(spark, sf):
     resp = responses(spark, sf)
     pr, _ = Fd.review_responses(resp, "pr")
@@ -227,7 +246,7 @@ def _block_merge(spark, sf):
 @register("findings.critical_summary", pr_oracle("""
 WITH crit AS (
   SELECT review_id, count(*) AS n,
-         string_agg(k || '. ' || coalesce(title, 'Unknown issue') || ' - ' || substring(coalesce(description, ''), 1, 100)
+         string_agg(k || '. ' || coalesce(title, 'Unknown issue') || ' - ' || coalesce(description, '')
                     || '...' || chr(10), '' ORDER BY pos) AS items
   FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY pos) AS k FROM pr_issues WHERE severity = 'critical') c
   GROUP BY review_id)

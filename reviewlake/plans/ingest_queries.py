@@ -2,15 +2,13 @@
 surviving columns straight from fx_reviews under the same predicates).
 
 Per review: the PR action is rejected when review_id % 5 = 0, one required key is removed when
-% 37 = 0, and headers are left empty when % 11 = 0 (payload-shape fallback)."""
+% 37 = 0, headers are left empty when % 11 = 0 (payload-shape fallback), the body is broken JSON when
+% 31 = 0, and no platform can be told when % 29 = 0 (no headers, foreign body)."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import ingest as I
-from ..session import scratch_path
 from .fixtures import fixture, oracle_with
 from .registry import register
 
@@ -76,13 +74,17 @@ def webhooks(spark, sf):
            .when(p == "bitbucket", F.create_map(F.lit("X-Event-Key"),
                                                 F.when(reject, F.lit("pullrequest:fulfilled")).otherwise(F.lit("pullrequest:created"))))
            .otherwise(F.create_map(F.lit("X-VSS-ActivityId"), F.concat(F.lit("act-"), F.col("review_id")))))
-    headers = F.when(nohdr, F.create_map().cast("map<string,string>")).otherwise(hdr)
+    headers = F.when(nohdr | (rid % 29 == 0), F.create_map().cast("map<string,string>")).otherwise(hdr)
+    body = F.when(rid % 29 == 0, F.lit('{"zen": "hello"}')).when(rid % 31 == 0, F.lit('{"pull_request": {"number": 1,')).otherwise(body)
     return r.select(F.col("review_id").alias("event_id"), headers.alias("headers"), body.alias("body"))
 
 
 EV = """
-ev AS (SELECT *, CAST(review_id AS BIGINT) AS rid FROM fx_reviews),
-cls AS (SELECT *, CASE WHEN (platform IN ('github', 'bitbucket') AND rid % 11 = 0) OR rid % 5 = 0 THEN 'not_pr_event'
+ev0 AS (SELECT *, CAST(review_id AS BIGINT) AS rid FROM fx_reviews),
+ev AS (SELECT * REPLACE (CASE WHEN rid % 29 = 0 OR (rid % 31 = 0 AND rid % 11 = 0) THEN 'unknown' ELSE platform END AS platform) FROM ev0),
+cls AS (SELECT *, CASE WHEN platform = 'unknown' THEN 'unknown_platform'
+                       WHEN rid % 31 = 0 THEN CASE WHEN platform = 'bitbucket' AND rid % 5 <> 0 THEN 'missing_required_field' ELSE 'not_pr_event' END
+                       WHEN (platform IN ('github', 'bitbucket') AND rid % 11 = 0) OR rid % 5 = 0 THEN 'not_pr_event'
                        WHEN rid % 37 = 0 THEN 'missing_required_field' END AS reason FROM ev),
 uni AS (
   SELECT review_id AS event_id, platform,
@@ -96,7 +98,16 @@ uni AS (
          CASE WHEN platform = 'github' THEN 'https://github.com/' || repo || '/pull/' || pr_id || '.diff' ELSE '' END AS diff,
          CAST(CASE WHEN platform = 'github' THEN rid % 50 ELSE 0 END AS INT) AS additions,
          CAST(CASE WHEN platform = 'github' THEN rid % 20 ELSE 0 END AS INT) AS deletions,
-         CASE WHEN platform IN ('github', 'gitlab') THEN 'sha' || review_id END AS sha
+         CASE WHEN platform IN ('github', 'gitlab') THEN 'sha' || review_id END AS sha,
+         CASE platform
+           WHEN 'github' THEN 'action=opened;pr_number=' || pr_id || ';repo_id=' || CAST(rid % 1000 AS VARCHAR) || ';sha=sha' || review_id
+           WHEN 'gitlab' THEN 'action=open;iid=' || pr_id || ';merge_request_id=' || review_id || ';project_id=' || CAST(rid % 1000 AS VARCHAR)
+                              || ';sha=sha' || review_id
+           WHEN 'bitbucket' THEN 'event_key=pullrequest:created;pr_id=' || pr_id || ';repo_uuid={' || review_id || '};workspace='
+                                 || split_part(repo, '/', 1)
+           ELSE 'event_type=git.pullrequest.created;project_id=p' || split_part(repo, '/', 1) || ';pull_request_id=' || pr_id
+                || ';repository_id=r' || CAST(rid % 1000 AS VARCHAR) END AS metadata,
+         '' AS files_changed
   FROM cls WHERE reason IS NULL)"""
 
 
@@ -104,46 +115,43 @@ def ev_oracle(body: str) -> str:
     return oracle_with("WITH " + EV.strip() + "\n" + body, "fx_reviews")
 
 
-def staged_webhooks(spark, sf):
-    """Raw events as ingest sees them in production: written to storage first (a table under the
-    shared ``spark.checkpoint.dir``), then read back.  This also cuts the lineage of the JSON-building
-    fixture, whose projection would otherwise be fused into the parse projection."""
-    path = scratch_path(spark, f"fixtures/webhooks/{uuid.uuid4().hex}")
-    webhooks(spark, sf).write.parquet(path)
-    return spark.read.parquet(path)
+def _classified(spark, sf):
+    return I.classify_events(webhooks(spark, sf))
 
 
-def _classified(spark, sf):
-    return I.classify_events(staged_webhooks(spark, sf))
+def _flat(prs):
+    """Maps and lists leave as sorted text."""
+    meta = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    return prs.withColumn("metadata", F.array_join(meta, ";")).withColumn("files_changed", F.array_join("files_changed", ","))
 
 
 @register("ingest.detect_platform", ev_oracle("SELECT review_id AS event_id, platform FROM ev"))
 def _detect(spark, sf):
-    return I.detect_platform(staged_webhooks(spark, sf)).select("event_id", "platform")
+    return I.detect_platform(webhooks(spark, sf)).select("event_id", "platform")
 
 
 @register("ingest.pr_events", ev_oracle("""
 SELECT review_id AS event_id, platform FROM cls WHERE reason IS NULL OR reason = 'missing_required_field'"""))
 def _pr_events(spark, sf):
-    return I.filter_pr_events(staged_webhooks(spark, sf)).select("event_id", "platform")
+    return I.filter_pr_events(webhooks(spark, sf)).select("event_id", "platform")
 
 
 for _p in ["github", "gitlab", "bitbucket", "azure"]:
     def _mk(p):
         def build(spark, sf):
-            return I.unify(_classified(spark, sf), [p])
+            return _flat(I.unify(_classified(spark, sf), [p]))
         return build
     register(f"ingest.unify_{_p}", ev_oracle(f"SELECT * FROM uni WHERE platform = '{_p}'"))(_mk(_p))
 
 
 @register("ingest.unified_prs", ev_oracle("SELECT * FROM uni"))
 def _unified(spark, sf):
-    return I.unify(_classified(spark, sf))
+    return _flat(I.unify(_classified(spark, sf)))
 
 
 @register("ingest.quarantine", ev_oracle("SELECT review_id AS event_id, platform, reason FROM cls WHERE reason IS NOT NULL"))
 def _quarantine(spark, sf):
-    return I.quarantine(staged_webhooks(spark, sf))
+    return I.quarantine(webhooks(spark, sf))
 
 
 @register("ingest.target_is_detailed", ev_oracle("""
