@@ -131,7 +131,6 @@ CLI_EXTENSIONS = [
     ".go", ".rs", ".swift", ".kt", ".scala", ".rb", ".php",
     ".c", ".cpp", ".h", ".hpp", ".dart", ".vue", ".sh",
 ]
-MAX_FILE_BYTES = 50_000
 
 SKIP_DIRS = [
     "node_modules", ".git", "bin", "obj", "dist", "build",
@@ -222,14 +221,6 @@ OFFLINE_RESPONSE = (
     '"approval_recommended":true,"block_merge":false}'
 )
 
-# text caps
-DIFF_CAP = 10_000
-RULES_CAP = 15_000
-GENERATION_BASE_CAP = 8_000
-EVOLUTION_RULE_CAP = 2_000
-EVOLUTION_TOTAL_CAP = 6_000
-OWASP_DESCRIPTION_CAP = 2_000
-
 # ---------------------------------------------------------------------------------------------
 # literal-map lookups
 # ---------------------------------------------------------------------------------------------

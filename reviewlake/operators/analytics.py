@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..functions.ranking import running_sums
 from ..functions.text import falsy, truthy
 from . import findings
 
@@ -62,17 +63,17 @@ def newest_first() -> list[Column]:
     return [F.col("created_at").desc(), F.col("review_id").desc()]
 
 
-def score_trend(snaps: DataFrame, n: int = 50) -> DataFrame:
+def score_trend(snaps: DataFrame, n: int) -> DataFrame:
     """Last ``n`` reviews in arrival order."""
     return (snaps.orderBy(*newest_first()).limit(n)
             .select("created_at", "review_id", "score", "security_score", "pr_id"))
 
 
-def recent_reviews(snaps: DataFrame, n: int = 20) -> DataFrame:
+def recent_reviews(snaps: DataFrame, n: int) -> DataFrame:
     return snaps.orderBy(*newest_first()).limit(n)
 
 
-def top_categories(issues: DataFrame, n: int = 10) -> DataFrame:
+def top_categories(issues: DataFrame, n: int) -> DataFrame:
     return (issues.groupBy("category").agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.col("count").desc(), F.col("category").asc()).limit(n))
 
@@ -94,7 +95,7 @@ def security_breakdown(snaps: DataFrame) -> DataFrame:
         F.coalesce(F.round(F.avg("security_score"), 1), F.lit(0.0)).alias("avg_security_score"))
 
 
-def author_stats(snaps: DataFrame, n: int = 20) -> DataFrame:
+def author_stats(snaps: DataFrame, n: int) -> DataFrame:
     return (snaps.filter(truthy(F.col("author")))
             .groupBy("author").agg(
                 F.count(F.lit(1)).alias("reviews"),
@@ -108,18 +109,18 @@ def author_stats(snaps: DataFrame, n: int = 20) -> DataFrame:
 # per-repo store queries (all history)
 # ------------------------------------------------------------------------------------------
 
-def repo_issues(reviews: DataFrame, issues: DataFrame, n: int = 200, category: str | None = None) -> DataFrame:
-    """issues ⋈ reviews, newest ``n`` per repo (optional category).  Only the four review columns
+def repo_issues(reviews: DataFrame, issues: DataFrame, n: int | None, category: str | None = None) -> DataFrame:
+    """issues ⋈ reviews, newest ``n`` per repo, or all unranked for None (optional category).  Only the four review columns
     needed are carried into the join; the per-repo limit runs before the final exchange."""
     r = reviews.select("review_id", "repo", "pr_id", F.col("created_at").alias("review_ts"))
     i = issues if category is None else issues.filter(F.col("category") == category)
     j = i.join(r, "review_id")
     order = [F.col("review_ts").desc(), F.col("review_id").desc(), F.col("pos").asc(), F.col("issue_id").asc()]
-    return _top_per_group(j, ["repo"], order, n)
+    return j if n is None else _top_per_group(j, ["repo"], order, n)
 
 
-def repo_reviews(reviews: DataFrame, n: int = 50) -> DataFrame:
-    return _top_per_group(reviews, ["repo"], newest_first(), n)
+def repo_reviews(reviews: DataFrame, n: int | None) -> DataFrame:
+    return reviews if n is None else _top_per_group(reviews, ["repo"], newest_first(), n)
 
 
 def repo_review_count(reviews: DataFrame) -> DataFrame:
@@ -137,15 +138,15 @@ def _freq(df: DataFrame, keys: list[str], n: int | None) -> DataFrame:
     return _top_per_group(g, ["repo"], [F.col("cnt").desc(), *[F.col(k).asc() for k in keys]], n)
 
 
-def category_frequency(reviews: DataFrame, issues: DataFrame, n: int = 20) -> DataFrame:
+def category_frequency(reviews: DataFrame, issues: DataFrame, n: int) -> DataFrame:
     return _freq(_with_repo(reviews, issues), ["category"], n)
 
 
-def owasp_frequency(reviews: DataFrame, issues: DataFrame, n: int = 20) -> DataFrame:
+def owasp_frequency(reviews: DataFrame, issues: DataFrame, n: int) -> DataFrame:
     return _freq(_with_repo(reviews, issues.filter(truthy(F.col("owasp_id")))), ["owasp_id"], n)
 
 
-def file_frequency(reviews: DataFrame, issues: DataFrame, n: int = 20) -> DataFrame:
+def file_frequency(reviews: DataFrame, issues: DataFrame, n: int) -> DataFrame:
     """Non-NULL paths only; ``''`` is kept (SQL semantics, unlike the feedback hotspots)."""
     return _freq(_with_repo(reviews, issues.filter(F.col("file_path").isNotNull())), ["file_path", "category"], n)
 
@@ -154,7 +155,7 @@ def severity_distribution(reviews: DataFrame, issues: DataFrame) -> DataFrame:
     return _freq(_with_repo(reviews, issues), ["severity"], None)
 
 
-def threat_frequency(reviews: DataFrame, issues: DataFrame, n: int = 20) -> DataFrame:
+def threat_frequency(reviews: DataFrame, issues: DataFrame, n: int) -> DataFrame:
     return _freq(_with_repo(reviews, issues.filter(truthy(F.col("threat_type")))), ["threat_type"], n)
 
 
@@ -220,18 +221,24 @@ def file_breakdown(issues: DataFrame) -> DataFrame:
         *[F.count_if(F.col("severity") == s).alias(s) for s in dims.SEVERITIES])
 
 
-def important_issues(issues: DataFrame, n: int = 8) -> DataFrame:
-    """First ``n`` critical/high per review in issue order; a description whose first 80 characters
-    (lower-cased) already appeared among them is flagged as repeated."""
+def _ranked(df: DataFrame, group: list[str], order: list[Column], n: int | None) -> DataFrame:
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))) if n is None else _top_per_group(df, group, order, n)
+
+
+def important_issues(issues: DataFrame, n: int | None = None, key_chars: int | None = None) -> DataFrame:
+    """Critical/high issues per review in issue order (the first ``n`` if given); one whose lower-cased description
+    (its first ``key_chars`` characters if given) already appeared among them is flagged as repeated."""
     ch = issues.filter(F.col("severity").isin("critical", "high"))
-    ranked = _top_per_group(ch, ["review_id"], [F.col("pos").asc()], n)
-    w = Window.partitionBy("review_id", F.lower(F.substring(F.coalesce("description", F.lit("")), 1, 80))).orderBy("pos")
+    ranked = _ranked(ch, ["review_id"], [F.col("pos").asc()], n)
+    text = F.coalesce("description", F.lit(""))
+    w = Window.partitionBy("review_id", F.lower(text if key_chars is None else F.substring(text, 1, key_chars))).orderBy("pos")
     return ranked.withColumn("repeated_description", F.row_number().over(w) > 1)
 
 
-def section_issues(issues: DataFrame, n_security: int = 8, n_slop: int = 5) -> DataFrame:
-    sec = _top_per_group(issues.filter(F.col("category") == "security"), ["review_id"], [F.col("pos")], n_security)
-    slop = _top_per_group(issues.filter(F.col("category") == "ai_slop"), ["review_id"], [F.col("pos")], n_slop)
+def section_issues(issues: DataFrame, n_security: int | None = None, n_slop: int | None = None) -> DataFrame:
+    """Security and ai_slop issues per review in issue order, all or the first of each."""
+    sec = _ranked(issues.filter(F.col("category") == "security"), ["review_id"], [F.col("pos")], n_security)
+    slop = _ranked(issues.filter(F.col("category") == "ai_slop"), ["review_id"], [F.col("pos")], n_slop)
     return (sec.withColumn("section", F.lit("security"))
             .unionByName(slop.withColumn("section", F.lit("ai_slop"))))
 
@@ -270,29 +277,26 @@ def issue_table(issues: DataFrame) -> DataFrame:
 def error_streak(results: DataFrame, limit: int = 5) -> DataFrame:
     """Per project: position at which consecutive errors first reach ``limit`` (NULL if never).
 
-    Skipped files are invisible to the counter.  Islands: the running count of successes is the
-    island id; errors are counted within an island; the first position where that count equals
-    ``limit`` is the break.  All windows are per project and pre-sorted once.
+    Skipped files are invisible to the counter.  Islands: the running count of successes (distributed
+    running sums, so a large project is many tasks) is the island id; the ``limit``-th error of an
+    island is a break.  Only the first ``limit`` errors of an island are ranked.
     """
-    visible = results.filter(~F.col("skipped"))
-    w = Window.partitionBy("project").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    isl = visible.withColumn("_island", F.sum((~F.col("is_error")).cast("int")).over(w))
-    w2 = Window.partitionBy("project", "_island").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    isl = isl.withColumn("_errs", F.sum(F.col("is_error").cast("int")).over(w2))
-    return (isl.filter(F.col("_errs") == limit).groupBy("project").agg(F.min("pos").alias("break_pos")))
+    visible = results.filter(~F.col("skipped")).select("project", "pos", "is_error")
+    isl = running_sums(visible, ["project"], [F.col("pos")], {"_island": (~F.col("is_error")).cast("bigint")})
+    errors = _top_per_group(isl.filter("is_error"), ["project", "_island"], [F.col("pos")], limit)
+    return errors.filter(F.col("rank") == limit).groupBy("project").agg(F.min("pos").alias("break_pos"))
 
 
-def kept_results(results: DataFrame, limit: int = 5) -> DataFrame:
-    """Results up to and including the break (all results when there is none)."""
-    b = error_streak(results, limit)
-    return (results.join(b, "project", "left")
-            .filter(F.col("break_pos").isNull() | (F.col("pos") <= F.col("break_pos"))))
+def kept_results(results: DataFrame, limit: int = 5, stop_at_break: bool = False) -> DataFrame:
+    """Results with the project's ``break_pos``; with ``stop_at_break`` only those up to and including it."""
+    out = results.join(error_streak(results, limit), "project", "left")
+    return out.filter(F.col("break_pos").isNull() | (F.col("pos") <= F.col("break_pos"))) if stop_at_break else out
 
 
-def project_summary(results: DataFrame, issues: DataFrame | None = None, limit: int = 5) -> DataFrame:
+def project_summary(results: DataFrame, issues: DataFrame | None = None, limit: int = 5, stop_at_break: bool = False) -> DataFrame:
     """files, reviewed, skipped, errors, avg score (+ issue counts when ``issues`` is given)."""
     totals = results.groupBy("project").agg(F.count(F.lit(1)).alias("total_files"))
-    kept = kept_results(results, limit)
+    kept = kept_results(results, limit, stop_at_break)
     ok = ~F.col("skipped") & ~F.col("is_error")
     s = kept.groupBy("project").agg(
         F.count_if(ok).alias("reviewed"),
@@ -336,7 +340,7 @@ def file_issue_counts(kept: DataFrame, issues: DataFrame) -> DataFrame:
     return ok.join(n, ["project", "file"], "left").fillna(0, ["total_issues"])
 
 
-def worst_files(reviewed: DataFrame, n: int = 5) -> DataFrame:
+def worst_files(reviewed: DataFrame, n: int) -> DataFrame:
     """``n`` lowest-scored reviewed files per project (ties by path order)."""
     return _top_per_group(reviewed, ["project"], [F.col("score").asc(), F.col("pos").asc()], n)
 
@@ -353,8 +357,8 @@ def important_project_issues(issues: DataFrame, reviewed: DataFrame) -> DataFram
     """Critical/high issues of reviewed files, numbered by severity rank then path order."""
     i = issues.filter(F.col("severity").isin("critical", "high")).join(
         reviewed.select("project", "file", F.col("pos").alias("file_pos")), ["project", "file"])
-    w = Window.partitionBy("project").orderBy(dims.severity_rank(F.col("severity")), F.col("file_pos"), F.col("pos"))
-    return i.withColumn("idx", F.row_number().over(w))
+    order = [dims.severity_rank(F.col("severity")), F.col("file_pos"), F.col("pos")]
+    return running_sums(i, ["project"], order, {"idx": F.lit(1).cast("bigint")})
 
 
 # FIXED VALUES: categories counted as security-like in the project dashboard
@@ -368,22 +372,20 @@ def project_security_score(projects: DataFrame, issues: DataFrame) -> DataFrame:
             .withColumn("security_score", F.greatest(F.lit(0), F.lit(10) - 2 * F.col("security_like")).cast("int")))
 
 
-def progress(results: DataFrame, issues_per_file: DataFrame | None = None, limit: int = 5) -> DataFrame:
+def progress(results: DataFrame, issues_per_file: DataFrame | None = None, limit: int = 5, stop_at_break: bool = False) -> DataFrame:
     """Running percent done (of all files), running average score of reviewed files and issues so
-    far, in path order, up to the error-streak break."""
-    w = Window.partitionBy("project").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    wt = Window.partitionBy("project")
+    far, in path order (with ``stop_at_break`` up to the error-streak break)."""
     ok = ~F.col("skipped") & ~F.col("is_error")
-    df = results.withColumn("total", F.count(F.lit(1)).over(wt))
-    b = error_streak(results, limit)
-    df = df.join(b, "project", "left").filter(F.col("break_pos").isNull() | (F.col("pos") <= F.col("break_pos")))
+    df = results.join(results.groupBy("project").agg(F.count(F.lit(1)).alias("total")), "project")
+    if stop_at_break:
+        df = df.join(error_streak(results, limit), "project", "left").filter(F.col("break_pos").isNull() | (F.col("pos") <= F.col("break_pos")))
     if issues_per_file is not None:
         df = df.join(issues_per_file, ["project", "file"], "left")
     if "total_issues" not in df.columns:
         df = df.withColumn("total_issues", F.lit(0))
-    return (df
-            .withColumn("done", F.count(F.lit(1)).over(w))
-            .withColumn("pct", F.round(F.col("done") * 100.0 / F.col("total"), 0).cast("int"))
-            .withColumn("avg_now", F.round(F.avg(F.when(ok, F.col("score"))).over(w), 1))
-            .withColumn("issues_now", F.sum(F.when(ok, F.coalesce(F.col("total_issues"), F.lit(0))).otherwise(0))
-                        .over(w).cast("bigint")))
+    df = running_sums(df, ["project"], [F.col("pos")], {
+        "done": F.lit(1).cast("bigint"), "_scored": F.when(ok & F.col("score").isNotNull(), 1).cast("bigint"),
+        "_scores": F.when(ok, F.col("score")).cast("bigint"), "issues_now": F.when(ok, F.col("total_issues")).cast("bigint")})
+    return (df.withColumn("pct", F.round(F.col("done") * 100.0 / F.col("total"), 0).cast("int"))
+            .withColumn("avg_now", F.when(F.col("_scored") > 0, F.round(F.col("_scores") / F.col("_scored"), 1)))
+            .drop("_scored", "_scores"))

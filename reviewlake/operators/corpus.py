@@ -1,9 +1,8 @@
 """Source-file inventories: language, classification, ignore rules and the review plan.
 
 Dimension lookups are literal maps (fixed size, no join).  Ignore patterns come from data (an
-ignore file per project or a default set); they are translated to regular expressions *in Spark*
-and matched by a broadcast theta semi/anti join: the pattern side is one ignore file, a handful of
-rows, while the file side streams.
+ignore file per project or a default set); they are translated *in Spark* to one alternation per
+project, which meets the files by an equi-join and is matched once per file.
 """
 from __future__ import annotations
 
@@ -118,59 +117,66 @@ def classify(files: DataFrame, path: str = "rel_path") -> DataFrame:
 
 # ------------------------------------------------------------------------------------------ ignore rules
 
-def glob_regex(glob: Column) -> Column:
-    """fnmatch glob -> anchored dot-all regex: ``*`` -> ``.*`` (crosses ``/``), ``?`` -> ``.``,
-    ``[!x]`` -> ``[^x]``; other regex metacharacters are escaped.  Case-sensitive."""
-    r = F.regexp_replace(glob, r"([.+(){}^$|\\])", r"\\$1")
+def glob_body(glob: Column) -> Column:
+    """fnmatch glob -> regex text: ``*`` -> ``.*`` (crosses ``/``), ``?`` -> ``.``, ``[!x]`` -> ``[^x]``; a ``[``
+    that no ``]`` closes and all other regex metacharacters are literal.  Case-sensitive."""
+    r = F.regexp_replace(glob, r"([.+(){}^$|\\&~#])", r"\\$1")
+    r = F.regexp_replace(r, r"\[(?!!?\]?[^\]]*\])", r"\\[")
     r = F.regexp_replace(r, r"\?", ".")
     r = F.regexp_replace(r, r"\*", ".*")
-    r = F.regexp_replace(r, r"\[!", "[^")
-    return F.concat(F.lit("(?s)^"), r, F.lit("$"))
+    return F.regexp_replace(r, r"\[!", "[^")
 
 
-def compile_patterns(patterns: DataFrame, col: str = "pattern") -> DataFrame:
-    """Pattern rows -> (pattern, kind, re_name, re_path, re_path_sub, re_dir_prefix).
+def ignore_regexes(patterns: DataFrame, col: str = "pattern", group: str | None = None) -> DataFrame:
+    """One row per group (or one in all) with up to three alternations, NULL where there is no pattern.
 
-    kind ``name``: no ``/`` -> basename or any directory part; ``dir``: no ``/`` but ends in ``/`` ->
-    any directory part; ``path``: contains ``/`` -> whole path, or everything below it, or (for a
-    directory pattern) any path starting with it."""
+    ``re_dir`` holds patterns without ``/`` and is matched against directory parts; ``re_name`` those of them that
+    do not end in ``/``, against the file name; ``re_path`` those with a ``/``: the whole path, everything below
+    it, or (for a directory pattern) any path that starts with it.  A group's row is bounded by its ignore file."""
     p = F.regexp_replace(F.col(col), "/+$", "")
-    is_dir = F.col(col).endswith("/")
-    return patterns.select(
-        F.col(col).alias("pattern"),
-        F.when(~p.contains("/") & is_dir, "dir").when(~p.contains("/"), "name").otherwise("path").alias("kind"),
-        glob_regex(p).alias("re_p"),
-        glob_regex(F.concat(p, F.lit("/**"))).alias("re_sub"),
-        F.when(is_dir, glob_regex(F.concat(p, F.lit("*")))).alias("re_prefix"))
-
-
-def ignore_match(path: Column) -> Column:
-    """Join condition between a file path and one compiled pattern row."""
-    parts = path_parts(F.regexp_replace(path, r"\\", "/"))
-    rel = F.regexp_replace(path, r"\\", "/")
-    dir_parts = F.slice(parts, 1, F.size(parts) - 1)
-    any_dir = F.exists(dir_parts, lambda x: F.rlike(x, F.col("re_p")))
-    name_hit = F.rlike(F.element_at(parts, -1), F.col("re_p"))
-    path_hit = F.rlike(rel, F.col("re_p")) | F.rlike(rel, F.col("re_sub")) | \
-        F.coalesce(F.rlike(rel, F.col("re_prefix")), F.lit(False))
-    return (((F.col("kind") == "name") & (name_hit | any_dir))
-            | ((F.col("kind") == "dir") & any_dir)
-            | ((F.col("kind") == "path") & path_hit))
-
-
-def split_ignored(files: DataFrame, patterns: DataFrame, path: str = "rel_path",
-                  group: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(kept, ignored).  ``patterns`` may carry ``group`` (per-project ignore files); the pattern
-    side is broadcast and the file side streams through a nested-loop semi/anti join."""
-    comp = compile_patterns(patterns)
-    if group is not None and group in patterns.columns:
-        comp = comp.join(patterns.select(F.col("pattern"), F.col(group)), "pattern")
-    cond = ignore_match(F.col(path))
-    if group is not None and group in patterns.columns:
-        cond = cond & (F.col(f"f.{group}") == F.col(f"p.{group}"))
-    f = files.alias("f")
-    p = F.broadcast(comp.alias("p"))
-    return f.join(p, cond, "left_anti"), f.join(p, cond, "left_semi")
+    is_dir, inner = F.col(col).endswith("/"), p.contains("/")
+    one, below, prefix = glob_body(p), glob_body(F.concat(p, F.lit("/**"))), glob_body(F.concat(p, F.lit("*")))
+    keys = [group] if group else []
+    parts = patterns.where(p != "").select(
+        *keys, F.when(~inner, one).alias("dir"), F.when(~inner & ~is_dir, one).alias("name"),
+        F.when(inner, F.concat_ws("|", one, below, F.when(is_dir, prefix))).alias("path"))
+
+    def joined(c: str) -> Column:
+        text = F.array_join(F.array_sort(F.collect_set(c)), "|")
+        return F.when(text != "", F.concat(F.lit("(?s)^(?:"), text, F.lit(")$"))).alias(f"re_{c}")
+
+    return parts.groupBy(*keys).agg(joined("dir"), joined("name"), joined("path"))
+
+
+def flag_ignored(files: DataFrame, patterns: DataFrame, path: str = "rel_path", group: str | None = None,
+                 default: DataFrame | None = None) -> DataFrame:
+    """``files`` with ``ignored``, in one pass over the files.
+
+    ``patterns`` may carry ``group`` (per-project ignore files): an equi-join.  ``default`` patterns hold for groups
+    without a pattern of their own.  Without a group the one row of regexes joins on a constant."""
+    names = ["re_dir", "re_name", "re_path"]
+    if group:
+        f = files.join(ignore_regexes(patterns, group=group).withColumn("_own", F.lit(True)), group, "left")
+        if default is not None:
+            d = ignore_regexes(default).select(F.lit(1).alias("_k"), *[F.col(n).alias(f"_d{n}") for n in names])
+            f = f.withColumn("_k", F.lit(1)).join(d, "_k", "left")
+            f = f.withColumns({n: F.when(F.col("_own"), F.col(n)).otherwise(F.col(f"_d{n}")) for n in names}).drop("_k", *d.columns)
+        f = f.drop("_own")
+    else:
+        f = files.withColumn("_k", F.lit(1)).join(ignore_regexes(patterns).withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
+    rel = F.regexp_replace(F.col(path), r"\\", "/")
+    parts = path_parts(rel)
+    any_dir = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.rlike(x, F.col("re_dir")))
+    hit = lambda c: F.coalesce(c, F.lit(False))
+    ignored = hit(any_dir) | hit(F.rlike(F.element_at(parts, -1), F.col("re_name"))) | hit(F.rlike(rel, F.col("re_path")))
+    return f.withColumn("ignored", ignored).drop(*names)
+
+
+def split_ignored(files: DataFrame, patterns: DataFrame, path: str = "rel_path", group: str | None = None,
+                  default: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, ignored) files."""
+    flagged = flag_ignored(files, patterns, path, group, default)
+    return flagged.filter(~F.col("ignored")).drop("ignored"), flagged.filter("ignored").drop("ignored")
 
 
 def drop_skip_dirs(files: DataFrame, path: str = "rel_path") -> DataFrame:
@@ -178,9 +184,11 @@ def drop_skip_dirs(files: DataFrame, path: str = "rel_path") -> DataFrame:
 
 
 def eligible(files: DataFrame, path: str = "rel_path", size: str = "size_bytes",
-             extensions: list[str] | None = None) -> DataFrame:
+             extensions: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Files with a review extension; ``max_bytes`` leaves out larger ones (none by default)."""
     exts = dims.REVIEW_EXTENSIONS if extensions is None else extensions
-    return files.filter(F.lower(suffix(F.col(path))).isin(*exts) & (F.col(size) <= dims.MAX_FILE_BYTES))
+    out = files.filter(F.lower(suffix(F.col(path))).isin(*exts))
+    return out if max_bytes is None else out.filter(F.col(size) <= max_bytes)
 
 
 # ------------------------------------------------------------------------------------------ plan
@@ -224,24 +232,20 @@ def exclude_categories(plan: DataFrame, cats: list[str]) -> tuple[DataFrame, Dat
     return plan.filter(~hit), plan.filter(hit).groupBy("project", "category").agg(F.count(F.lit(1)).alias("skipped"))
 
 
-def cap_files(files: DataFrame, n: int = 100, path: str = "rel_path") -> DataFrame:
+def cap_files(files: DataFrame, n: int, path: str = "rel_path") -> DataFrame:
     """First ``n`` files per project in path order (a per-group limit: WindowGroupLimit)."""
     w = Window.partitionBy("project").orderBy(F.col(path))
     return files.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-TEXT_CAP = 10_000
-MIN_CHARS = 10
-
-
-def prepare_text(files: DataFrame, text: str = "text") -> DataFrame:
-    """status ``empty`` if the stripped text is shorter than 10 chars; otherwise the code is cut to
-    10 000 chars with a ``truncated`` flag; lines = newlines + 1 of the (cut) code."""
+def prepare_text(files: DataFrame, text: str = "text", max_chars: int | None = None, min_chars: int = 1) -> DataFrame:
+    """status ``empty`` if the stripped text has fewer than ``min_chars`` characters; else the code, whole or cut to
+    ``max_chars`` with a ``truncated`` flag; lines = newlines + 1 of the code."""
     t = F.coalesce(F.col(text), F.lit(""))
-    empty = F.length(py_strip(t)) < MIN_CHARS
-    code = F.substring(t, 1, TEXT_CAP)
+    empty = F.length(py_strip(t)) < min_chars
+    code = t if max_chars is None else F.substring(t, 1, max_chars)
     return (files
             .withColumn("status", F.when(empty, "empty").otherwise("ready"))
-            .withColumn("truncated", F.when(empty, F.lit(None)).otherwise(F.length(t) > TEXT_CAP))
+            .withColumn("truncated", F.when(~empty, F.length(code) < F.length(t)))
             .withColumn("code", F.when(~empty, code))
             .withColumn("lines", F.when(~empty, F.length(code) - F.length(F.replace(code, F.lit("\n"), F.lit(""))) + 1)))

@@ -1,9 +1,7 @@
 """Per-repository feedback mining over the newest issues / reviews, and rule-evolution triggers.
 
-All repos at once: the horizon is a per-repo ``row_number`` (``WindowGroupLimit`` prunes each map
-task to the newest ``max_issues`` rows per repo before the shuffle, so a repo holding a third of all
-issues costs no more than any other).  Eight reports read the same window; callers ``cache()`` it
-(or let ``ReuseExchange`` share it inside one plan).
+All repos and their whole history at once; a horizon of the newest issues and reviews of each repo is
+an argument (a per-repo ``row_number``, pruned by ``WindowGroupLimit`` before the shuffle).
 """
 from __future__ import annotations
 
@@ -12,19 +10,23 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.text import py_strip, truthy
+from ..session import ensure_checkpoint_dir
 from . import analytics
 
 
-def feedback_window(reviews: DataFrame, issues: DataFrame, max_issues: int = 200,
-                    max_reviews: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(newest ``max_issues`` issues per repo with the review's repo, newest ``max_reviews`` reviews per repo)."""
+def feedback_window(reviews: DataFrame, issues: DataFrame, max_issues: int | None = None,
+                    max_reviews: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(issues per repo with the review's repo, reviews per repo): all, or the newest ``max_issues`` / ``max_reviews``
+    of each repo with their rank."""
     iw = analytics.repo_issues(reviews, issues, max_issues)
     rw = analytics.repo_reviews(reviews, max_reviews)
     return iw, rw
 
 
 def _count(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy("repo", *keys).agg(F.count(F.lit(1)).alias("count"))
+    """Issues per repo and keys; rows that stand for several carry their number in ``_n``."""
+    one = F.col("_n") if "_n" in df.columns else F.lit(1)
+    return df.groupBy("repo", *keys).agg(F.sum(one).cast("bigint").alias("count"))
 
 
 def _top(df: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -49,7 +51,7 @@ def threat_frequency(window_issues: DataFrame) -> DataFrame:
     return _count(window_issues.filter(truthy(F.col("threat_type"))), ["threat_type"])
 
 
-def file_hotspots(window_issues: DataFrame, n: int = 15) -> DataFrame:
+def file_hotspots(window_issues: DataFrame, n: int) -> DataFrame:
     df = window_issues.filter(truthy(F.col("file_path"))).withColumn("category", F.coalesce("category", F.lit("general")))
     return _top(df, ["file_path", "category"], n)
 
@@ -67,7 +69,7 @@ def posix_parent(path: Column) -> Column:
     return F.when(last == 0, F.lit(".")).when(F.length(head) == 0, F.lit("/")).otherwise(head)
 
 
-def directory_hotspots(window_issues: DataFrame, n: int = 10) -> DataFrame:
+def directory_hotspots(window_issues: DataFrame, n: int) -> DataFrame:
     df = (window_issues.filter(truthy(F.col("file_path")))
           .withColumn("directory", posix_parent(F.col("file_path")))
           .filter((F.col("directory") != "") & (F.col("directory") != ".")))
@@ -81,7 +83,7 @@ def title_pattern(title: Column) -> Column:
     return F.regexp_replace(t, r"(?i)line \d+", "line N")
 
 
-def recurring_titles(window_issues: DataFrame, n: int = 10) -> DataFrame:
+def recurring_titles(window_issues: DataFrame, n: int) -> DataFrame:
     df = window_issues.withColumn("title_pattern", title_pattern(F.col("title"))).filter(F.col("title_pattern") != "")
     return _top(df, ["title_pattern"], n)
 
@@ -94,9 +96,18 @@ def review_stats(window_reviews: DataFrame) -> DataFrame:
         F.round(F.count_if(F.col("block_merge")) / F.count(F.lit(1)) * 100, 1).alias("block_rate"))
 
 
-def report(reviews: DataFrame, issues: DataFrame, max_issues: int = 200) -> DataFrame:
-    """All sub-reports as one nested row per repo (each list is bounded by the window size)."""
-    iw, rw = feedback_window(reviews, issues, max_issues)
+# lengths of the top lists of a report
+REPORT_FILES, REPORT_DIRECTORIES, REPORT_TITLES = 15, 10, 10
+
+
+def report(reviews: DataFrame, issues: DataFrame, max_issues: int | None = None, max_reviews: int | None = None) -> DataFrame:
+    """All sub-reports as one nested row per repo.  The issues are counted once by all keys that any list needs;
+    every list is made of those counts, so the issues are joined and shuffled once."""
+    window, rw = feedback_window(reviews, issues, max_issues, max_reviews)
+    ensure_checkpoint_dir(reviews.sparkSession)
+    keys = ["category", "severity", "owasp_id", "threat_type", "file_path", "title"]
+    counts = window.groupBy("repo", *keys).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    iw = counts
 
     def nest(df: DataFrame, name: str, cols: list[str], order: list[str]) -> DataFrame:
         return df.groupBy("repo").agg(
@@ -107,15 +118,15 @@ def report(reviews: DataFrame, issues: DataFrame, max_issues: int = 200) -> Data
         return df.withColumn("_neg", -F.col("count"))
 
     parts = [
-        iw.groupBy("repo").agg(F.count(F.lit(1)).alias("total_issues_analyzed")),
+        iw.groupBy("repo").agg(F.sum("_n").alias("total_issues_analyzed")),
         nest(by_count(category_frequency(iw), ["category"]), "category_frequency", ["category", "count"], ["_neg"]),
         severity_distribution(iw).groupBy("repo").agg(
             F.map_from_entries(F.collect_list(F.struct("severity", "count"))).alias("severity_distribution")),
         nest(by_count(owasp_frequency(iw), ["owasp_id"]), "owasp_frequency", ["owasp_id", "count"], ["_neg"]),
         nest(by_count(threat_frequency(iw), ["threat_type"]), "threat_type_frequency", ["threat_type", "count"], ["_neg"]),
-        nest(file_hotspots(iw), "file_hotspots", ["file_path", "category", "count"], ["rank"]),
-        nest(directory_hotspots(iw), "directory_hotspots", ["directory", "count"], ["rank"]),
-        nest(recurring_titles(iw), "top_recurring_titles", ["title_pattern", "count"], ["rank"]),
+        nest(file_hotspots(iw, REPORT_FILES), "file_hotspots", ["file_path", "category", "count"], ["rank"]),
+        nest(directory_hotspots(iw, REPORT_DIRECTORIES), "directory_hotspots", ["directory", "count"], ["rank"]),
+        nest(recurring_titles(iw, REPORT_TITLES), "top_recurring_titles", ["title_pattern", "count"], ["rank"]),
         review_stats(rw).select("repo", F.struct("total_reviews", "avg_score", "avg_security_score", "block_rate")
                                 .alias("review_stats")),
     ]
@@ -153,17 +164,18 @@ def evolve_decision(review_counts: DataFrame, analyzed: DataFrame, force: bool =
             .withColumn("reason", F.when(no_data, "no_review_data").when(insufficient, "insufficient_data")))
 
 
-def evolution_request(report_df: DataFrame, rules: DataFrame) -> DataFrame:
-    """Prompt context per repo: the report as JSON plus the base rules (2 000 chars each, 6 000 total).
+def evolution_request(report_df: DataFrame, rules: DataFrame, rule_chars: int | None = None, total_chars: int | None = None) -> DataFrame:
+    """Prompt context per repo: the report as JSON plus the base rules, whole or cut (each, and in all).
 
     The base-rule text is a single small row (three fixed documents) joined by broadcast."""
     names = dims.EVOLUTION_BASE_RULES
     order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("filename"))
     base = (rules.filter(F.col("filename").isin(*names) & truthy(F.col("content")))
-            .select(order.alias("o"), F.substring("content", 1, dims.EVOLUTION_RULE_CAP).alias("c"))
+            .select(order.alias("o"), (F.col("content") if rule_chars is None else F.substring("content", 1, rule_chars)).alias("c"))
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "c"))), lambda x: x["c"]),
                               "\n\n---\n\n").alias("base_rules")))
-    base = base.select(F.substring("base_rules", 1, dims.EVOLUTION_TOTAL_CAP).alias("base_rules"))
+    if total_chars is not None:
+        base = base.select(F.substring("base_rules", 1, total_chars).alias("base_rules"))
     payload = F.to_json(F.struct(*[F.col(c) for c in report_df.columns if c != "repo"]))
     # ``base`` is exactly one row (a global aggregate): broadcast it on a constant key
     return (report_df.select("repo", payload.alias("report_json"), F.lit(1).alias("_k"))

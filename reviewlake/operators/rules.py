@@ -1,8 +1,8 @@
 """Rule-document corpus: catalogue, lookup, priority resolution, coverage, OWASP extraction.
 
 Base and language rule documents form a small dimension (languages x six categories plus a few
-general files) and are broadcast.  Repo-specific rules grow with the number of repositories, so
-they are joined with a plain equi-join and the physical strategy is left to AQE.
+general files), repo-specific rules grow with the number of repositories; both are joined by plain
+equi-joins whose physical strategy is left to AQE and its size checks.
 """
 from __future__ import annotations
 
@@ -40,7 +40,7 @@ def valid_rule_name(name: Column) -> Column:
 
 def get_rule(requests: DataFrame, rules: DataFrame, name_col: str = "name") -> DataFrame:
     """Content by exact file name; path-like names are rejected (NULL)."""
-    r = F.broadcast(rules.select(F.col("filename").alias("_f"), F.col("content").alias("_c")))
+    r = rules.select(F.col("filename").alias("_f"), F.col("content").alias("_c"))
     j = requests.join(r, (F.col(name_col) == F.col("_f")) & valid_rule_name(F.col(name_col)), "left")
     return j.withColumn("content", F.col("_c")).drop("_f", "_c")
 
@@ -55,39 +55,41 @@ def resolve(requests: DataFrame, rules: DataFrame, repo_rules: DataFrame, key: s
     """Per request (key, repo, language, focus_pos, focus): ordered used-file list and content.
 
     Order: repo rule, then per focus (in order, duplicates kept) the language rule else the base
-    rule, then the OWASP document when ``security`` is a focus.  Unknown focus areas are skipped."""
-    docs = F.broadcast(rules.select("filename", "content"))
-    f = requests.withColumn("_area", F.lower(F.coalesce("focus", F.lit(""))))
+    rule, then the OWASP document when ``security`` is a focus.  Unknown focus areas and empty repo or
+    OWASP documents are skipped.
+
+    Requests with the same repo, language and focus list have the same rules, so only distinct lists are
+    resolved; the text of a list is put together once and joined to its requests last.
+    """
+    areas = F.transform(F.array_sort(F.collect_list(F.struct(F.col("focus_pos").alias("p"), F.lower(F.coalesce("focus", F.lit(""))).alias("a")))),
+                        lambda x: x["a"])
+    reqs = requests.groupBy(key, "repo").agg(F.max("language").alias("language"), areas.alias("areas"))
+    reqs = reqs.withColumn("_id", F.md5(F.to_json(F.struct("repo", "language", "areas"))))
+    lists = reqs.groupBy("_id").agg(F.first("repo").alias("repo"), F.first("language").alias("language"), F.first("areas").alias("areas"))
+
+    docs = rules.select("filename", "content")
+    f = lists.select("_id", "language", F.posexplode("areas").alias("o", "_area"))
     f = f.withColumn("_base", dims.lookup(dims.FOCUS_RULE_FILES, F.col("_area"))).filter(F.col("_base").isNotNull())
     f = f.withColumn("_lang_file", F.when(truthy(F.col("language")), F.concat(
         F.col("language"), F.lit("-"), F.regexp_replace("_base", r"\.md$", ""), F.lit(".md"))))
-    lang = docs.select(F.col("filename").alias("_lf"), F.col("content").alias("_lc"))
-    base = docs.select(F.col("filename").alias("_bf"), F.col("content").alias("_bc"))
-    f = f.join(lang, F.col("_lang_file") == F.col("_lf"), "left").join(base, F.col("_base") == F.col("_bf"), "left")
-    part = (F.when(F.col("_lf").isNotNull(),
-                   F.concat(F.lit("\n## Rules for "), F.upper("language"), F.lit(": "), F.upper("_area"), F.lit("\n"), F.col("_lc")))
-            .when(F.col("_bf").isNotNull(),
-                  F.concat(F.lit("\n## Rules for: "), F.upper("_area"), F.lit("\n"), F.col("_bc"))))
-    used = F.coalesce(F.col("_lf"), F.col("_bf"))
-    focus_parts = f.filter(used.isNotNull()).select(key, F.col("focus_pos").cast("int").alias("o"),
-                                                    used.alias("file"), part.alias("part"))
-    reqs = requests.groupBy(key, "repo").agg(
-        F.max(F.lower(F.coalesce("focus", F.lit(""))) == "security").alias("_sec"))
-    rr = repo_rule(reqs, repo_rules)
-    repo_part = rr.filter(F.col("repo_rule").isNotNull()).select(
-        key, F.lit(-1).alias("o"), F.concat(F.lit("repo/"), rule_key(F.col("repo")), F.lit(".md")).alias("file"),
-        F.concat(F.lit("\n## REPO-SPECIFIC RULES for "), F.col("repo"), F.lit("\n"), F.col("repo_rule")).alias("part"))
-    owasp = docs.filter(F.col("filename") == "owasp-top10.md").select(F.col("content").alias("_oc"), F.lit(1).alias("_k"))
-    owasp_part = (reqs.filter("_sec").withColumn("_k", F.lit(1)).join(F.broadcast(owasp), "_k")
-                  .select(key, F.lit(1 << 20).alias("o"), F.lit("owasp-top10.md").alias("file"),
-                          F.concat(F.lit("\n## OWASP Top 10 Rules\n"), F.col("_oc")).alias("part")))
-    parts = focus_parts.unionByName(repo_part).unionByName(owasp_part)
-    agg = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "file", "part"))).alias("_p"))
-    out = reqs.select(key).join(agg, key, "left")
-    return out.select(
-        key,
-        F.coalesce(F.transform("_p", lambda x: x["file"]), F.array().cast("array<string>")).alias("files"),
-        F.coalesce(py_strip(F.array_join(F.transform("_p", lambda x: x["part"]), "\n\n")), F.lit("")).alias("content"))
+    # which documents exist is settled on names alone
+    f = f.join(docs.select(F.col("filename").alias("_lf")), F.col("_lang_file") == F.col("_lf"), "left")
+    f = f.withColumn("file", F.coalesce("_lf", "_base"))
+    title = F.when(F.col("_lf").isNotNull(), F.concat(F.lit("\n## Rules for "), F.upper("language"), F.lit(": "), F.upper("_area"), F.lit("\n"))) \
+        .otherwise(F.concat(F.lit("\n## Rules for: "), F.upper("_area"), F.lit("\n")))
+    named = f.select("_id", "o", "file", title.alias("title"))
+    owasp = lists.filter(F.array_contains("areas", "security")).select(
+        "_id", F.lit(1 << 20).alias("o"), F.lit("owasp-top10.md").alias("file"), F.lit("\n## OWASP Top 10 Rules\n").alias("title"))
+    texts = named.unionByName(owasp).join(docs.withColumnRenamed("filename", "file"), "file")
+    repo_part = repo_rule(lists, repo_rules).filter(truthy(F.col("repo_rule"))).select(
+        "_id", F.lit(-1).alias("o"), F.concat(F.lit("repo/"), rule_key(F.col("repo")), F.lit(".md")).alias("file"),
+        F.concat(F.lit("\n## REPO-SPECIFIC RULES for "), F.col("repo"), F.lit("\n")).alias("title"), F.col("repo_rule").alias("content"))
+    parts = texts.filter((F.col("file") != "owasp-top10.md") | truthy(F.col("content"))).unionByName(repo_part)
+    agg = parts.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("o", "file", F.concat("title", "content").alias("part")))).alias("_p"))
+    agg = agg.select("_id", F.transform("_p", lambda x: x["file"]).alias("files"),
+                     py_strip(F.array_join(F.transform("_p", lambda x: x["part"]), "\n\n")).alias("content"))
+    return reqs.select(key, "_id").join(agg, "_id", "left").select(
+        key, F.coalesce("files", F.array().cast("array<string>")).alias("files"), F.coalesce("content", F.lit("")).alias("content"))
 
 
 def rule_category(focus: Column) -> Column:
@@ -102,19 +104,19 @@ def missing_rules(requests: DataFrame, cat: DataFrame) -> DataFrame:
             .select("language", rule_category(F.col("focus")).alias("category"))
             .filter(F.col("category").isNotNull()).distinct()
             .withColumn("filename", F.concat("language", F.lit("-"), "category", F.lit(".md"))))
-    return want.join(F.broadcast(cat.select("filename")), "filename", "left_anti")
+    return want.join(cat.select("filename"), "filename", "left_anti")
 
 
 def coverage(languages: DataFrame, cat: DataFrame) -> DataFrame:
     """language x all six categories existence matrix (pivot with fixed values)."""
     grid = languages.select("language", F.explode(F.array(*[F.lit(c) for c in dims.RULE_CATEGORIES])).alias("category"))
-    have = F.broadcast(cat.select("filename").withColumn("_has", F.lit(True)))
+    have = cat.select("filename").withColumn("_has", F.lit(True))
     j = grid.withColumn("filename", F.concat("language", F.lit("-"), "category", F.lit(".md"))).join(have, "filename", "left")
     return (j.groupBy("language").pivot("category", dims.RULE_CATEGORIES)
             .agg(F.max(F.coalesce("_has", F.lit(False)))))
 
 
-# base rule document per generatable category
+# FIXED VALUES: base rule document per generatable category
 GENERATION_BASE = {
     "security": "security.md",
     "performance": "performance.md",
@@ -125,42 +127,45 @@ GENERATION_BASE = {
 }
 
 
-def generation_request(missing: DataFrame, rules: DataFrame) -> DataFrame:
-    """Base rule text (first 8 000 chars) and display name per missing (language, category)."""
+def generation_request(missing: DataFrame, rules: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Base rule text (whole, or its first ``max_chars`` characters) and display name per missing (language, category)."""
     from .corpus import language_name
 
-    base = F.broadcast(rules.select(F.col("filename").alias("_bf"), F.col("content").alias("_bc")))
+    base = rules.select(F.col("filename").alias("_bf"), F.col("content").alias("_bc"))
+    text = F.col("_bc") if max_chars is None else F.substring("_bc", 1, max_chars)
     m = missing.withColumn("_base", dims.lookup(GENERATION_BASE, F.col("category")))
     return (m.join(base, F.col("_base") == F.col("_bf"), "left")
             .select("language", "category", language_name(F.col("language")).alias("display_name"),
-                    F.coalesce(F.substring("_bc", 1, dims.GENERATION_BASE_CAP), F.lit("")).alias("base_rules")))
+                    F.coalesce(text, F.lit("")).alias("base_rules")))
 
 
 # ------------------------------------------------------------------------------------------ OWASP
 
-def owasp_sections(docs: DataFrame, key: str = "doc_id", text: str = "raw_md") -> DataFrame:
-    """Per document: sorted distinct CWE ids and the description (between ``## Description`` /
-    ``## Overview`` and the next ``## ``; else lines 3-30), capped at 2 000 chars.
+def owasp_sections(docs: DataFrame, key: str = "doc_id", text: str = "raw_md", description_chars: int | None = None,
+                   fallback_end: int | None = None) -> DataFrame:
+    """Per document: sorted distinct CWE ids and the description: what stands between ``## Description`` /
+    ``## Overview`` and the next ``## ``, else the lines from the third on (before line ``fallback_end`` if given),
+    whole or cut to ``description_chars``.
 
     Lines are exploded once per document after hash-partitioning the documents, so the state window
     (last marker before each line) needs no further exchange."""
-    d = docs.select(F.col(key).alias("_k"), py_strip(F.col(text)).alias("_t")).repartition("_k")
-    lines = d.select("_k", F.posexplode(F.split("_t", "\r\n|\r|\n")).alias("i", "line"))
+    ids = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"CWE-\d+"), 0)))
+    d = docs.select(F.col(key).alias("_k"), py_strip(F.coalesce(F.col(text), F.lit(""))).alias("_t"), ids.alias("cwes")).repartition("_k")
+    lines = d.select("_k", "cwes", F.posexplode(F.split("_t", "\r\n|\r|\n")).alias("i", "line"))
     s = py_strip(F.col("line"))
     marker = F.when(s.startswith("## Description") | s.startswith("## Overview"), "start").when(s.startswith("## "), "end")
     w = Window.partitionBy("_k").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("_m", marker).withColumn("_state", F.last("_m", ignorenulls=True).over(w))
     in_desc = F.col("_m").isNull() & (F.col("_state") == "start")
+    in_rest = (F.col("i") >= 2) if fallback_end is None else (F.col("i") >= 2) & (F.col("i") < fallback_end)
     agg = lines.groupBy("_k").agg(
+        F.first("cwes").alias("cwes"),
         F.array_sort(F.collect_list(F.when(in_desc, F.struct("i", "line")))).alias("_d"),
-        F.array_sort(F.collect_list(F.when((F.col("i") >= 2) & (F.col("i") < 30), F.struct("i", "line")))).alias("_f"))
+        F.array_sort(F.collect_list(F.when(in_rest, F.struct("i", "line")))).alias("_f"))
     desc = py_strip(F.array_join(F.transform("_d", lambda x: x["line"]), "\n"))
     fallback = py_strip(F.array_join(F.transform("_f", lambda x: x["line"]), "\n"))
-    cwes = docs.select(F.col(key).alias("_k"),
-                       F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"CWE-\d+"), 0))).alias("cwes"))
-    out = agg.select("_k", F.substring(F.when(desc != "", desc).otherwise(fallback), 1, dims.OWASP_DESCRIPTION_CAP)
-                     .alias("description"))
-    return out.join(cwes, "_k").withColumnRenamed("_k", key)
+    whole = F.when(desc != "", desc).otherwise(fallback)
+    return agg.select(F.col("_k").alias(key), (whole if description_chars is None else F.substring(whole, 1, description_chars)).alias("description"), "cwes")
 
 
 def section_text(code: Column, title: Column, cwes: Column, description: Column) -> Column:
@@ -184,22 +189,45 @@ OWASP_DEFAULT_SEVERITY = [
     ("A10", "SSRF", "HIGH–CRITICAL"),
 ]
 
-OWASP_HEADER = "# OWASP Top 10 — 2021 Edition (Review Rules)\n\n---\n\n"
+# FIXED VALUES: head of the consolidated document; {updated} is the time of the update
+OWASP_HEADER = """# OWASP Top 10 — 2021 Edition (Review Rules)
 
+> Auto-generated from the official OWASP/Top10 GitHub repository.
+> Last updated: {updated}
+>
+> These rules are injected into AI code reviews when security is a focus area.
+> For the latest source see: https://github.com/OWASP/Top10
 
-def owasp_document(sections: DataFrame, edition: str = "edition") -> DataFrame:
-    """Consolidated document per edition: sections in A01..A10 order, then the severity table."""
+---
+
+## How to Use in Reviews
+
+For each security issue found, include:
+- `category`: "security"
+- `owasp_id`: The relevant OWASP category code (e.g. "A01", "A03")
+- `cwe_id`: The most specific CWE identifier if known
+- `threat_type`: One of injection, broken_auth, sensitive_data, xxe, broken_access,
+  misconfig, xss, deserialization, vulnerable_deps, insufficient_logging, secret_leak
+
+---
+
+"""
+
+
+def owasp_document(sections: DataFrame, updated: str, edition: str = "edition") -> DataFrame:
+    """Consolidated document per edition: usage header with the time of the update (an argument, never now()),
+    sections in A01..A10 order, then the severity table."""
     table = "\n\n---\n\n## Severity Guidelines\n\n| OWASP Category | Default Severity |\n|----------------|-----------------|\n" + \
         "".join(f"| {c} — {t} | {s} |\n" for c, t, s in OWASP_DEFAULT_SEVERITY)
     return sections.groupBy(edition).agg(
         F.count(F.lit(1)).alias("sections"),
-        F.concat(F.lit(OWASP_HEADER),
+        F.concat(F.lit(OWASP_HEADER.format(updated=updated)),
                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", "section"))), lambda x: x["section"]),
                               "\n\n---\n\n"),
                  F.lit(table)).alias("document"))
 
 
-def update_log(attempts: DataFrame, keep: int = 50) -> DataFrame:
+def update_log(attempts: DataFrame, keep: int) -> DataFrame:
     """Fetch attempts (update_id, code, ok) -> one log entry per update with fetched/total/errors;
     updates that fetched nothing fail and are not logged; the log keeps the newest ``keep``."""
     per = attempts.groupBy("update_id").agg(

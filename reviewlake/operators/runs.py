@@ -1,27 +1,27 @@
 """Review-run event log (batch form; ``reviewlake.streaming`` runs the same logic on a stream).
 
-Every window is ``PARTITION BY run_id``: one run's events are bounded by the run itself (the live
-log keeps at most ``max_events`` per run), and the per-run limit below is written as
-``row_number() <= n`` so Spark prunes each map task before the shuffle.
+Arrival sequences and counts are distributed running sums, so a run or repo that holds a third of all
+rows is many tasks; per-run limits are written as ``row_number() <= n`` so that Spark prunes each map
+task before the shuffle.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import global_rank
+from ..functions.ranking import global_rank, running_sums
 from ..functions.text import py_strip
 
 ARRIVAL = ["ts", "event_id"]
+RUN_FIELDS = ["platform", "pr_id", "title", "author", "source_branch", "target_branch", "repo"]
 
 
 def sequence(events: DataFrame) -> DataFrame:
     """1-based sequence per run in arrival order ``(ts, event_id)``."""
-    w = Window.partitionBy("run_id").orderBy(*ARRIVAL)
-    return events.withColumn("seq", F.row_number().over(w).cast("bigint"))
+    return running_sums(events, ["run_id"], [F.col(c) for c in ARRIVAL], {"seq": F.lit(1).cast("bigint")})
 
 
-def retain(events: DataFrame, n: int = 200) -> DataFrame:
+def retain(events: DataFrame, n: int) -> DataFrame:
     """Newest ``n`` (>= 1) events per run; sequence numbers are kept as they are."""
     n = max(1, int(n))
     w = Window.partitionBy("run_id").orderBy(F.col("seq").desc())
@@ -46,11 +46,13 @@ def since(events: DataFrame, cursors: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def run_state(events: DataFrame) -> DataFrame:
-    """Latest state per run.  Each event moves ``updated_at``; a completion sets status, score, issues
+    """Latest state per run, with the descriptive fields (``RUN_FIELDS``) that the events carry: the first non-NULL
+    value of each.  Each event moves ``updated_at``; a completion sets status, score, issues
     and critical; a failure sets status and error.  No transition guard: the last transition wins and
     each field keeps its last non-NULL value."""
     order = F.struct("ts", "event_id")
     trans = F.col("transition").isNotNull()
+    described = [F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in RUN_FIELDS if c in events.columns]
     return events.groupBy("run_id").agg(
         F.min("ts").alias("started_at"),
         F.max("ts").alias("updated_at"),
@@ -59,7 +61,7 @@ def run_state(events: DataFrame) -> DataFrame:
         F.max_by("score", F.when(F.col("score").isNotNull(), order)).alias("score"),
         F.max_by("issues", F.when(F.col("issues").isNotNull(), order)).alias("issues"),
         F.max_by("critical", F.when(F.col("critical").isNotNull(), order)).alias("critical"),
-        F.max_by("error", F.when(F.col("error").isNotNull(), order)).alias("error"))
+        F.max_by("error", F.when(F.col("error").isNotNull(), order)).alias("error"), *described)
 
 
 def list_runs(state: DataFrame) -> DataFrame:
@@ -127,8 +129,9 @@ def step_groups(events: DataFrame) -> DataFrame:
 
 
 def fresh(events: DataFrame) -> DataFrame:
-    """Drop redelivered events (same run and sequence number)."""
-    return events.dropDuplicates(["run_id", "seq"])
+    """One event of each run and sequence number: the first that arrived, by (ts, event_id)."""
+    first = F.min_by(F.struct(*events.columns), F.struct(*ARRIVAL))
+    return events.groupBy("run_id", "seq").agg(first.alias("_e")).select("_e.*")
 
 
 def evolve_triggers(reviews: DataFrame, repo_rules: DataFrame, trigger_every: int = 10, first_at: int = 3) -> DataFrame:
@@ -138,8 +141,8 @@ def evolve_triggers(reviews: DataFrame, repo_rules: DataFrame, trigger_every: in
     is every ``trigger_every``-th review."""
     from .feedback import rule_key
 
-    w = Window.partitionBy("repo").orderBy("created_at", "review_id")
-    counted = reviews.withColumn("count", F.row_number().over(w).cast("bigint"))
+    counted = running_sums(reviews.select("repo", "review_id", "created_at"), ["repo"], [F.col("created_at"), F.col("review_id")],
+                           {"count": F.lit(1).cast("bigint")})
     rr = repo_rules.select(F.col("filename").alias("_f"))
     j = counted.join(rr, F.concat(rule_key(F.col("repo")), F.lit(".md")) == F.col("_f"), "left")
     had = F.col("_f").isNotNull()

@@ -285,24 +285,23 @@ def _file_breakdown(spark, sf):
 
 @register("analytics.important_issues", base.oracle_st("""
 SELECT review_id, pos, issue_id, severity, title, rank,
-       row_number() OVER (PARTITION BY review_id, lower(substring(coalesce(description, ''), 1, 80)) ORDER BY pos) > 1
+       row_number() OVER (PARTITION BY review_id, lower(coalesce(description, '')) ORDER BY pos) > 1
          AS repeated_description
 FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY pos) AS rank
-      FROM st_issues WHERE severity IN ('critical', 'high')) t
-WHERE rank <= 8"""))
+      FROM st_issues WHERE severity IN ('critical', 'high')) t"""))
 def _important_issues(spark, sf):
-    return A.important_issues(base.st_issues(spark, sf), 8).select(
+    return A.important_issues(base.st_issues(spark, sf)).select(
         "review_id", "pos", "issue_id", "severity", "title", "rank", "repeated_description")
 
 
 @register("analytics.section_issues", base.oracle_st("""
 SELECT review_id, pos, issue_id, section, rank FROM (
   SELECT review_id, pos, issue_id, 'security' AS section, row_number() OVER (PARTITION BY review_id ORDER BY pos) AS rank
-  FROM st_issues WHERE category = 'security') a WHERE rank <= 8
+  FROM st_issues WHERE category = 'security') a
 UNION ALL
 SELECT review_id, pos, issue_id, section, rank FROM (
   SELECT review_id, pos, issue_id, 'ai_slop' AS section, row_number() OVER (PARTITION BY review_id ORDER BY pos) AS rank
-  FROM st_issues WHERE category = 'ai_slop') b WHERE rank <= 5"""))
+  FROM st_issues WHERE category = 'ai_slop') b"""))
 def _section_issues(spark, sf):
     return A.section_issues(base.st_issues(spark, sf)).select("review_id", "pos", "issue_id", "section", "rank")
 
@@ -337,8 +336,7 @@ vis AS (SELECT *, sum(CASE WHEN is_error THEN 0 ELSE 1 END)
 cnt AS (SELECT *, sum(CASE WHEN is_error THEN 1 ELSE 0 END)
                   OVER (PARTITION BY project, island ORDER BY pos ROWS UNBOUNDED PRECEDING) AS errs FROM vis),
 brk AS (SELECT project, min(pos) AS break_pos FROM cnt WHERE errs = 5 GROUP BY project),
-kept AS (SELECT f.*, b.break_pos FROM fx_file_results f LEFT JOIN brk b ON f.project = b.project
-         WHERE b.break_pos IS NULL OR f.pos <= b.break_pos)"""
+kept AS (SELECT f.*, b.break_pos FROM fx_file_results f LEFT JOIN brk b ON f.project = b.project)"""
 
 
 def _results(spark, sf):

@@ -135,9 +135,7 @@ WITH {IGNORED_CTE}
 SELECT f.project, f.rel_path, h.rel_path IS NOT NULL AS ignored
 FROM fx_files f LEFT JOIN hit h ON f.project = h.project AND f.rel_path = h.rel_path""", "fx_files", "fx_ignore"))
 def _ignored(spark, sf):
-    kept, ign = C.split_ignored(_files(spark, sf), fixture(spark, sf, "fx_ignore"))
-    return (kept.select("project", "rel_path", F.lit(False).alias("ignored"))
-            .unionByName(ign.select("project", "rel_path", F.lit(True).alias("ignored"))))
+    return C.flag_ignored(_files(spark, sf), fixture(spark, sf, "fx_ignore")).select("project", "rel_path", "ignored")
 
 
 @register("corpus.skip_dirs", oracle_with(f"""
@@ -147,7 +145,7 @@ def _skip_dirs(spark, sf):
     return C.drop_skip_dirs(_files(spark, sf)).select("project", "rel_path")
 
 
-ELIGIBLE_WHERE = f"lower(sfx) IN ({', '.join(repr(x) for x in dims.REVIEW_EXTENSIONS)}) AND size_bytes <= 50000"
+ELIGIBLE_WHERE = f"lower(sfx) IN ({', '.join(repr(x) for x in dims.REVIEW_EXTENSIONS)})"
 
 
 @register("corpus.eligible", oracle_with(f"""
@@ -164,7 +162,7 @@ plan AS (
            AS category
   FROM fs LEFT JOIN {_vals(dims.PROJECT_EXTENSION_LANGUAGE, 'ext', 'language')} ON lower(fs.sfx) = m.ext
   WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.project = fs.project AND h.rel_path = fs.rel_path)
-    AND {ELIGIBLE_WHERE.replace('sfx', 'fs.sfx').replace('size_bytes', 'fs.size_bytes')})"""
+    AND {ELIGIBLE_WHERE.replace('sfx', 'fs.sfx')})"""
 
 
 def _plan(spark, sf):
@@ -178,7 +176,7 @@ SELECT p.*, CAST(coalesce(i.ignored_by_reviewignore, 0) AS BIGINT) AS ignored_by
 FROM plan p LEFT JOIN ign i ON p.project = i.project""", "fx_files", "fx_ignore"))
 def _plan_q(spark, sf):
     plan, counts = _plan(spark, sf)
-    return plan.join(F.broadcast(counts), "project", "left").fillna(0, ["ignored_by_reviewignore"])
+    return plan.join(counts, "project", "left").fillna(0, ["ignored_by_reviewignore"])
 
 
 PLAN_EXCLUDE = ["test", "auto_generated"]
@@ -219,14 +217,14 @@ def _cap_files(spark, sf):
 
 @register("corpus.prepare_text", oracle_with("""
 SELECT f.project, f.rel_path,
-       CASE WHEN length(regexp_replace(coalesce(d.text, ''), '^\\s+|\\s+$', '', 'g')) < 10 THEN 'empty' ELSE 'ready' END
+       CASE WHEN length(regexp_replace(coalesce(d.text, ''), '^\\s+|\\s+$', '', 'g')) = 0 THEN 'empty' ELSE 'ready' END
          AS status,
-       CASE WHEN length(regexp_replace(coalesce(d.text, ''), '^\\s+|\\s+$', '', 'g')) < 10 THEN NULL
-            ELSE length(coalesce(d.text, '')) > 10000 END AS truncated,
-       CASE WHEN length(regexp_replace(coalesce(d.text, ''), '^\\s+|\\s+$', '', 'g')) < 10 THEN NULL
-            ELSE length(substring(d.text, 1, 10000)) END AS code_chars,
-       CASE WHEN length(regexp_replace(coalesce(d.text, ''), '^\\s+|\\s+$', '', 'g')) < 10 THEN NULL
-            ELSE length(substring(d.text, 1, 10000)) - length(replace(substring(d.text, 1, 10000), chr(10), '')) + 1 END
+       CASE WHEN length(regexp_replace(coalesce(d.text, ''), '^\\s+|\\s+$', '', 'g')) = 0 THEN NULL
+            ELSE false END AS truncated,
+       CASE WHEN length(regexp_replace(coalesce(d.text, ''), '^\\s+|\\s+$', '', 'g')) = 0 THEN NULL
+            ELSE length(d.text) END AS code_chars,
+       CASE WHEN length(regexp_replace(coalesce(d.text, ''), '^\\s+|\\s+$', '', 'g')) = 0 THEN NULL
+            ELSE length(d.text) - length(replace(d.text, chr(10), '')) + 1 END
          AS lines
 FROM fx_files f LEFT JOIN documents d ON f.doc_id = d.doc_id""", "fx_files"))
 def _prepare_text(spark, sf):

@@ -1,4 +1,4 @@
-"""feedback.*: per-repo pattern reports over the newest 200 issues / 100 reviews."""
+"""feedback.*: per-repo pattern reports over the whole history."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -11,13 +11,8 @@ from .fixtures import fixture
 from .registry import register
 
 WINDOW_SQL = """
-WITH iw AS (SELECT * FROM (
-    SELECT i.*, r.repo, r.pr_id, r.created_at AS review_ts,
-           row_number() OVER (PARTITION BY r.repo ORDER BY r.created_at DESC, r.review_id DESC, i.pos, i.issue_id) AS rn
-    FROM st_issues i JOIN st_reviews r ON r.review_id = i.review_id) t WHERE rn <= 200),
-rw AS (SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY repo ORDER BY created_at DESC, review_id DESC) AS rn FROM st_reviews) t
-  WHERE rn <= 100)"""
+WITH iw AS (SELECT i.*, r.repo, r.pr_id, r.created_at AS review_ts FROM st_issues i JOIN st_reviews r ON r.review_id = i.review_id),
+rw AS (SELECT * FROM st_reviews)"""
 
 
 def fb_oracle(body: str, *extra: str) -> str:
@@ -34,11 +29,16 @@ def _win(spark, sf):
 
 
 @register("feedback.window", fb_oracle(f"""
-SELECT 'issue' AS kind, repo, issue_id AS id, strftime(review_ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, rn AS rank FROM iw
+SELECT * FROM (
+  SELECT 'issue' AS kind, repo, issue_id AS id, strftime(review_ts, '%Y-%m-%d %H:%M:%S.%f') AS ts,
+         row_number() OVER (PARTITION BY repo ORDER BY review_ts DESC, review_id DESC, pos, issue_id) AS rank FROM iw) i WHERE rank <= 200
 UNION ALL
-SELECT 'review' AS kind, repo, review_id AS id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS ts, rn AS rank FROM rw"""))
+SELECT * FROM (
+  SELECT 'review' AS kind, repo, review_id AS id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS ts,
+         row_number() OVER (PARTITION BY repo ORDER BY created_at DESC, review_id DESC) AS rank FROM rw) r WHERE rank <= 100"""))
 def _window(spark, sf):
-    iw, rw = _win(spark, sf)
+    """The newest 200 issues and 100 reviews of each repo."""
+    iw, rw = Fb.feedback_window(base.st_reviews(spark, sf), base.st_issues(spark, sf), 200, 100)
     return (iw.select(F.lit("issue").alias("kind"), "repo", F.col("issue_id").alias("id"),
                       ts_text(F.col("review_ts")).alias("ts"), "rank")
             .unionByName(rw.select(F.lit("review").alias("kind"), "repo", F.col("review_id").alias("id"),

@@ -74,7 +74,10 @@ FROM {events}
 # run state transitions carried by events: a signup completes the run, an error fails it
 FX_SQL["fx_run_transitions"] = """
 SELECT 'run' || CAST(user_id AS STRING) AS run_id, event_id, ts,
-       CASE event_type WHEN 'signup' THEN 'completed' WHEN 'error' THEN 'error' END AS transition,
+       CASE WHEN user_id % 3 = 0 THEN NULL WHEN event_type = 'signup' THEN 'completed' WHEN event_type = 'error' THEN 'error' END AS transition,
+       CASE WHEN event_id % 5 <> 0 THEN 'github' END AS platform, CAST(user_id AS STRING) AS pr_id,
+       CASE WHEN event_id % 2 = 0 THEN 'PR ' || CAST(event_id AS STRING) END AS title, 'dev' || CAST(user_id % 7 AS STRING) AS author,
+       'feature/' || CAST(user_id AS STRING) AS source_branch, 'main' AS target_branch, 'org/repo' || CAST(user_id % 5 AS STRING) AS repo,
        CASE WHEN event_type = 'signup' THEN CAST(CAST(floor(value) AS BIGINT) % 11 AS INT) END AS score,
        CASE WHEN event_type = 'signup' THEN CAST(event_id % 7 AS INT) END AS issues,
        CASE WHEN event_type = 'signup' THEN CAST(event_id % 3 AS INT) END AS critical,
@@ -106,7 +109,7 @@ SELECT 'proj' || CAST(p_partkey % 4 AS STRING) AS project,
        CAST(floor(p_partkey / 4) AS BIGINT) AS pos,
        'f' || CAST(p_partkey AS STRING) AS file,
        (CAST(floor(p_partkey / 4) AS BIGINT) % 43 = 42) AS skipped,
-       (CAST(floor(p_partkey / 4) AS BIGINT) % 43 <> 42
+       (CAST(floor(p_partkey / 4) AS BIGINT) % 43 <> 42 AND (p_partkey % 4 < 2 OR (p_partkey % 4 = 2 AND p_size % 5 > 1))
          AND CAST(floor(p_partkey / 4) AS BIGINT) % 50 BETWEEN 40 AND 45) AS is_error,
        CAST(p_size % 11 AS INT) AS score
 FROM {part}
@@ -163,7 +166,7 @@ FX_SQL["fx_owasp_docs"] = """
 SELECT doc_id,
        '# Title CWE-' || CAST(doc_id % 90 + 10 AS STRING) || chr(10) || 'intro' || chr(10)
        || CASE doc_id % 3 WHEN 0 THEN '## Description' || chr(10) WHEN 1 THEN '## Overview' || chr(10) ELSE '' END
-       || substring(text, 1, 3000) || chr(10) || '### Sub CWE-79 and CWE-79' || chr(10)
+       || coalesce(text, '') || chr(10) || '### Sub CWE-79 and CWE-79' || chr(10)
        || '## How to Prevent' || chr(10) || 'see CWE-' || CAST(doc_id % 7 + 1 AS STRING) AS raw_md
 FROM {documents}
 """

@@ -16,7 +16,8 @@ CATALOG_SQL = """
 cat AS (SELECT filename,
                CASE WHEN contains(stem, '-') THEN split_part(stem, '-', 1) END AS language,
                CASE WHEN contains(stem, '-') THEN substring(stem, strpos(stem, '-') + 1) ELSE stem END AS category
-        FROM (SELECT filename, regexp_replace(filename, '\\.md$', '') AS stem FROM fx_rules) x)"""
+        FROM (SELECT filename, regexp_replace(filename, '\\.md$', '') AS stem
+              FROM (SELECT filename FROM fx_rules UNION ALL SELECT filename FROM fx_repo_rules) r) x)"""
 
 
 def _rules(spark, sf):
@@ -24,10 +25,11 @@ def _rules(spark, sf):
 
 
 def _catalog(spark, sf):
-    return R.catalog(_rules(spark, sf))
+    """Base and language documents and those of the repos in the data."""
+    return R.catalog(_rules(spark, sf).unionByName(fixture(spark, sf, "fx_repo_rules")))
 
 
-@register("rules.catalog", oracle_with(f"WITH {CATALOG_SQL} SELECT * FROM cat", "fx_rules"))
+@register("rules.catalog", oracle_with(f"WITH {CATALOG_SQL} SELECT * FROM cat", "fx_rules", "fx_repo_rules"))
 def _catalog_q(spark, sf):
     return _catalog(spark, sf)
 
@@ -35,7 +37,7 @@ def _catalog_q(spark, sf):
 @register("rules.filter", oracle_with(f"""
 WITH {CATALOG_SQL} SELECT * FROM cat WHERE lower(coalesce(language, '')) = 'python'
                                        AND lower(coalesce(category, '')) IN ('security', 'performance', 'compilation')""",
-                                      "fx_rules"))
+                                      "fx_rules", "fx_repo_rules"))
 def _filter(spark, sf):
     c = _catalog(spark, sf)
     return (R.filter_rules(c, language="Python", category="SECURITY")
@@ -69,8 +71,7 @@ def _repo_rule(spark, sf):
 FOCUS_VALUES = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in dims.FOCUS_RULE_FILES.items()) + ") AS m(area, base)"
 
 
-@register("rules.resolve", oracle_with(f"""
-WITH fp AS (SELECT q.review_id, q.focus_pos AS o, lower(q.focus) AS area, m.base, q.language
+RESOLVE_CTES = f"""fp AS (SELECT q.review_id, q.focus_pos AS o, lower(q.focus) AS area, m.base, q.language
             FROM fx_rule_requests q JOIN {FOCUS_VALUES} ON lower(q.focus) = m.area),
 fp2 AS (SELECT fp.*, l.filename AS lf, l.content AS lc, b.filename AS bf, b.content AS bc
         FROM fp LEFT JOIN fx_rules l ON l.filename = fp.language || '-' || replace(fp.base, '.md', '') || '.md'
@@ -86,11 +87,14 @@ parts AS (
   FROM fx_rule_requests q JOIN fx_repo_rules rr ON rr.filename = replace(q.repo, '/', '_') || '.md'
   UNION ALL
   SELECT DISTINCT q.review_id, 1048576, 'owasp-top10.md', chr(10) || '## OWASP Top 10 Rules' || chr(10) || w.content
-  FROM fx_rule_requests q JOIN fx_rules w ON w.filename = 'owasp-top10.md' WHERE lower(q.focus) = 'security')
-SELECT r.review_id, coalesce(string_agg(p.file, ',' ORDER BY p.o), '') AS files,
+  FROM fx_rule_requests q JOIN fx_rules w ON w.filename = 'owasp-top10.md' WHERE lower(q.focus) = 'security'),
+resolved AS (SELECT r.review_id, coalesce(string_agg(p.file, ',' ORDER BY p.o), '') AS files,
        coalesce({STRIP.format(x="string_agg(p.part, chr(10) || chr(10) ORDER BY p.o)")}, '') AS content
 FROM (SELECT DISTINCT review_id FROM fx_rule_requests) r LEFT JOIN parts p ON r.review_id = p.review_id
-GROUP BY r.review_id""", "fx_rule_requests", "fx_rules", "fx_repo_rules"))
+GROUP BY r.review_id)"""
+
+
+@register("rules.resolve", oracle_with(f"WITH {RESOLVE_CTES} SELECT * FROM resolved", "fx_rule_requests", "fx_rules", "fx_repo_rules"))
 def _resolve(spark, sf):
     out = R.resolve(fixture(spark, sf, "fx_rule_requests"), _rules(spark, sf), fixture(spark, sf, "fx_repo_rules"))
     return out.withColumn("files", F.array_join("files", ","))
@@ -119,7 +123,13 @@ def _coverage(spark, sf):
     return R.coverage(langs, _catalog(spark, sf))
 
 
-@register("rules.generation_request")
+@register("rules.generation_request", oracle_with(f"""
+WITH {MISSING_SQL}
+SELECT m.language, m.category, coalesce(n.name, upper(substring(m.language, 1, 1)) || lower(substring(m.language, 2))) AS display_name,
+       coalesce(b.content, '') AS base_rules
+FROM missing m LEFT JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in dims.LANGUAGE_DISPLAY.items())}) AS n(code, name) ON m.language = n.code
+LEFT JOIN fx_rules b ON b.filename = CASE m.category {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in R.GENERATION_BASE.items())} END""",
+                                                     "fx_rule_requests", "fx_rules"))
 def _generation_request(spark, sf):
     miss = R.missing_rules(fixture(spark, sf, "fx_rule_requests"), _catalog(spark, sf))
     return R.generation_request(miss, _rules(spark, sf))
@@ -137,20 +147,37 @@ s AS (SELECT *, last_value(mk IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i
 agg AS (SELECT doc_id,
                {STRIP.format(x="coalesce(string_agg(CASE WHEN mk IS NULL AND state = 'start' THEN line END, chr(10) ORDER BY i), '')")}
                  AS dsc,
-               {STRIP.format(x="coalesce(string_agg(CASE WHEN i >= 2 AND i < 30 THEN line END, chr(10) ORDER BY i), '')")} AS fb
+               {STRIP.format(x="coalesce(string_agg(CASE WHEN i >= 2 THEN line END, chr(10) ORDER BY i), '')")} AS fb
         FROM s GROUP BY doc_id)"""
 
 
 @register("rules.owasp_sections", oracle_with(f"""
 WITH {SECTIONS_SQL}
-SELECT a.doc_id, substring(CASE WHEN dsc <> '' THEN dsc ELSE fb END, 1, 2000) AS description,
+SELECT a.doc_id, CASE WHEN dsc <> '' THEN dsc ELSE fb END AS description,
        array_to_string(list_sort(list_distinct(regexp_extract_all(o.raw_md, 'CWE-\\d+'))), ',') AS cwes
 FROM agg a JOIN fx_owasp_docs o ON a.doc_id = o.doc_id""", "fx_owasp_docs"))
 def _owasp_sections(spark, sf):
     return R.owasp_sections(fixture(spark, sf, "fx_owasp_docs")).withColumn("cwes", F.array_join("cwes", ","))
 
 
-@register("rules.owasp_document")
+UPDATED = "2024-01-01 00:00 UTC"
+_SEVERITY_ROWS = "".join(f"| {c} — {t} | {s} |\n" for c, t, s in R.OWASP_DEFAULT_SEVERITY)
+_CODES = "(VALUES " + ", ".join(f"({i}, '{c}', '{t}')" for i, (_, c, t) in enumerate(dims.OWASP_CATEGORIES)) + ") AS k(i, code, title)"
+
+
+@register("rules.owasp_document", oracle_with(f"""
+WITH {SECTIONS_SQL},
+sec AS (SELECT CAST(floor(a.doc_id / 10) AS BIGINT) AS edition, k.code,
+               array_to_string(list_sort(list_distinct(regexp_extract_all(o.raw_md, 'CWE-\\d+'))), ', ') AS cwes, k.title,
+               CASE WHEN dsc <> '' THEN dsc ELSE fb END AS description
+        FROM agg a JOIN fx_owasp_docs o ON a.doc_id = o.doc_id JOIN {_CODES} ON a.doc_id % 10 = k.i)
+SELECT edition, count(*) AS sections, md5('{R.OWASP_HEADER.format(updated=UPDATED).replace("'", "''")}'
+  || string_agg('### ' || code || ' — ' || title || chr(10) || chr(10)
+                || CASE WHEN cwes <> '' THEN '**Related CWEs:** ' || cwes || chr(10) || chr(10) ELSE '' END || description,
+                chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY code)
+  || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Severity Guidelines' || chr(10) || chr(10)
+  || '| OWASP Category | Default Severity |' || chr(10) || '|----------------|-----------------|' || chr(10) || '{_SEVERITY_ROWS}') AS document_md5
+FROM sec GROUP BY edition""", "fx_owasp_docs"))
 def _owasp_document(spark, sf):
     """Ten documents per edition (doc_id / 10), mapped to A01..A10 by doc_id % 10."""
     sec = R.owasp_sections(fixture(spark, sf, "fx_owasp_docs"))
@@ -160,7 +187,7 @@ def _owasp_document(spark, sf):
     sec = (sec.withColumn("edition", F.floor(F.col("doc_id") / 10).cast("bigint")).withColumn("code", code)
            .withColumn("section", R.section_text(F.col("code"), dims.lookup(titles, F.col("code")), F.col("cwes"),
                                                  F.col("description"))))
-    return R.owasp_document(sec)
+    return R.owasp_document(sec, UPDATED).select("edition", "sections", F.md5("document").alias("document_md5"))
 
 
 @register("rules.owasp_update_log", oracle_with("""

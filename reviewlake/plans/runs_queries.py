@@ -56,7 +56,10 @@ st AS (SELECT run_id, min(ts) AS started_at, max(ts) AS updated_at, count(*) AS
               arg_max(score, (ts, event_id)) FILTER (WHERE score IS NOT NULL) AS score,
               arg_max(issues, (ts, event_id)) FILTER (WHERE issues IS NOT NULL) AS issues,
               arg_max(critical, (ts, event_id)) FILTER (WHERE critical IS NOT NULL) AS critical,
-              arg_max(error, (ts, event_id)) FILTER (WHERE error IS NOT NULL) AS error
+              arg_max(error, (ts, event_id)) FILTER (WHERE error IS NOT NULL) AS error,
+              arg_min(platform, (ts, event_id)) FILTER (WHERE platform IS NOT NULL) AS platform, min(pr_id) AS pr_id,
+              arg_min(title, (ts, event_id)) FILTER (WHERE title IS NOT NULL) AS title, min(author) AS author,
+              min(source_branch) AS source_branch, min(target_branch) AS target_branch, min(repo) AS repo
        FROM fx_run_transitions GROUP BY run_id)"""
 
 
@@ -71,7 +74,7 @@ def _state_text(df):
 @register("runs.state", oracle_with(f"""
 WITH {STATE_SQL}
 SELECT run_id, {TS.format(c='started_at')} AS started_at, {TS.format(c='updated_at')} AS updated_at, events, status,
-       score, issues, critical, error FROM st""", "fx_run_transitions"))
+       score, issues, critical, error, platform, pr_id, title, author, source_branch, target_branch, repo FROM st""", "fx_run_transitions"))
 def _state_q(spark, sf):
     return _state_text(_state(spark, sf))
 
@@ -143,7 +146,8 @@ def _step_groups(spark, sf):
 @register("runs.fresh", oracle_with("SELECT run_id, seq, event_id FROM fx_run_events", "fx_run_events"))
 def _fresh(spark, sf):
     ev = _events(spark, sf)
-    redelivered = ev.unionByName(ev)  # every event delivered twice
+    late = ev.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND")).withColumn("event_id", -F.col("event_id") - 1)
+    redelivered = ev.unionByName(late)  # every event delivered twice, later under another id
     return Rn.fresh(redelivered).select("run_id", "seq", "event_id")
 
 

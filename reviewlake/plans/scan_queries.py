@@ -69,10 +69,20 @@ def _line_style(spark, sf):
     return S.line_style(_lines(spark, sf)).select("source", "id", "line_no", "rule", "severity")
 
 
+# changes that lose a keyword (by part number), besides those of the documents
+PLANTED_DIFF = """
+SELECT -p_partkey - 1 AS pr, concat('--- a/k.py', chr(10), '+++ b/k.py', chr(10), '@@ -1,2 +1,2 @@', chr(10),
+  CASE p_partkey % 3 WHEN 0 THEN concat('-await call(x)', chr(10), '+call(x)') WHEN 1 THEN concat('-static var n = 1', chr(10), '+var n = 1')
+                     ELSE concat('-return 1', chr(10), '+return 2') END, chr(10), ' y') AS diff FROM {part}"""
+
+
 @register("scan.removed_keywords", oracle_with(f"""
 WITH {LINES_SQL},
-kw AS (SELECT doc_id, type, unnest(regexp_split_to_array(x, '[^A-Za-z0-9_]+')) AS keyword FROM lines
-       WHERE type IN ('added', 'removed'))
+planted AS (SELECT -p_partkey - 1 AS doc_id, unnest(['removed', 'added']) AS type,
+                   unnest(CASE p_partkey % 3 WHEN 0 THEN ['await call(x)', 'call(x)'] WHEN 1 THEN ['static var n = 1', 'var n = 1']
+                                             ELSE ['return 1', 'return 2'] END) AS x FROM part),
+kw AS (SELECT doc_id, type, unnest(regexp_split_to_array(x, '[^A-Za-z0-9_]+')) AS keyword
+       FROM (SELECT doc_id, type, x FROM lines UNION ALL SELECT * FROM planted) a WHERE type IN ('added', 'removed'))
 SELECT doc_id AS pr, CAST(1 AS BIGINT) AS file_idx, CAST(1 AS BIGINT) AS hunk_idx, keyword,
        count(*) FILTER (WHERE type = 'removed') AS removed, count(*) FILTER (WHERE type = 'added') AS added
 FROM kw WHERE keyword IN ({', '.join(_lit(k) for k in S.KEYWORDS)})
@@ -80,6 +90,7 @@ GROUP BY doc_id, keyword
 HAVING count(*) FILTER (WHERE type = 'removed') > 0 AND count(*) FILTER (WHERE type = 'added') = 0"""))
 def _removed_keywords(spark, sf):
     d = fixture(spark, sf, "fx_diffs").select(F.col("doc_id").alias("pr"), "diff")
+    d = d.unionByName(spark.sql(PLANTED_DIFF, part=read_table(spark, sf, "part")))
     c = D.diff_lines_all(d)
     lines = D.diff_lines(c, D.diff_files(None, classified=c))
     return S.removed_keywords(lines)
