@@ -1,10 +1,8 @@
 """Unified-diff corpus as a set-based job: no per-diff parser.
 
-Each PR's diff text is one row.  It is hash-partitioned by PR once (``repartition(pr)``) and then
-exploded into lines; ``Generate`` keeps the child's partitioning, so every window below
-(``PARTITION BY pr``) runs without another exchange: one shuffle of whole diff rows instead of
-one of exploded lines.  A diff is born in a single row, so no window partition is larger than the
-biggest input row.
+Each PR's diff is cut into sections at ``diff --git`` lines (no line of a hunk can start so), which are
+hash-partitioned by (PR, section) once and then exploded into lines; ``Generate`` keeps the partitioning,
+so every window below runs without another exchange, and a large PR is as many tasks as it has sections.
 
 Line classification (public unified-diff conventions):
 * ``@@ -s[,l] +s[,l] @@`` at column 0 opens a hunk (omitted length = 1); ``hunk_idx`` is the running
@@ -13,8 +11,12 @@ Line classification (public unified-diff conventions):
   it belongs to the hunk while the source *or* target count before it is still below the stated
   length.  So ``--- x`` inside a hunk is a removed line, and a trailing ``\\ No newline`` marker or
   the next file's headers fall outside.
-* a file section starts at a ``--- `` line outside every hunk; ``+++ `` gives the target.  Paths
-  drop ``a/`` / ``b/``; a ``/dev/null`` source is a new file, a ``/dev/null`` target a deleted one.
+* a file starts at a ``--- `` line outside every hunk; ``+++ `` gives the target.  Paths drop ``a/`` /
+  ``b/``; a ``/dev/null`` source is a new file, a ``/dev/null`` target a deleted one; a renamed file goes
+  by its target.  Sections without a ``--- `` line (mode changes, binaries, pure renames) are no files.
+
+A diff that does not parse has an error, no files and no lines, and counts as zero; so does an empty one,
+without the error.  No text can make the job fail.
 """
 from __future__ import annotations
 
@@ -22,37 +24,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HUNK_RE = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+SECTION_RE = r"(?m)(?=^diff --git )"
 DEV_NULL = "/dev/null"
 
 
+def _filename(header_text: Column) -> Column:
+    """Text after ``--- ``/``+++ `` up to a tab."""
+    return F.regexp_extract(header_text, r"^(?:---|\+\+\+) ([^\t]+)", 1)
+
+
+def _path(src: Column, tgt: Column) -> Column:
+    bare = lambda c: F.when(c.startswith("a/") | c.startswith("b/"), c.substr(3, 1 << 30)).otherwise(c)
+    renamed = (tgt != DEV_NULL) & (bare(src) != bare(tgt))
+    return F.when((src == DEV_NULL) | renamed, bare(tgt)).otherwise(bare(src))
+
+
 def diff_lines_all(prs: DataFrame, pr: str = "pr", diff: str = "diff") -> DataFrame:
     """Every physical line of every diff, classified.
 
-    Columns: pr, ln (0-based), text, hunk_idx, in_hunk, src_len, tgt_len, src_start, tgt_start,
-    src_before, tgt_before, is_file_header, file_idx.
+    Columns: pr, sec, ln (0-based in the section), text, is_hunk_header, in_hunk, hunk_idx and file_idx (per PR),
+    src_len, tgt_len, src_start, tgt_start, src_before, tgt_before, is_file_header, header (path and kinds of the
+    line's file, NULL before any).
     """
-    base = prs.select(F.col(pr).alias("pr"), F.col(diff).alias("_diff")).repartition("pr")
-    lines = base.select("pr", F.posexplode(F.split(F.coalesce("_diff", F.lit("")), "\n")).alias("ln", "text"))
-    w_pr = Window.partitionBy("pr").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("_next", F.lead("text").over(Window.partitionBy("pr").orderBy("ln")))
+    base = prs.select(F.col(pr).alias("pr"), F.posexplode(F.split(F.coalesce(F.col(diff), F.lit("")), SECTION_RE)).alias("sec", "_t"))
+    lines = base.repartition("pr", "sec").select("pr", "sec", F.posexplode(F.split("_t", "\n")).alias("ln", "text"))
+    w = Window.partitionBy("pr", "sec").orderBy("ln")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     is_hdr = F.col("text").rlike(HUNK_RE)
-    df = lines.withColumn("is_hunk_header", is_hdr).withColumn(
-        "hunk_idx", F.sum(is_hdr.cast("int")).over(w_pr))
+    df = lines.withColumn("_next", F.lead("text").over(w)).withColumn("is_hunk_header", is_hdr)
+    df = df.withColumn("_h", F.sum(F.col("is_hunk_header").cast("int")).over(so_far))
 
     def grp(i: int) -> Column:
         return F.regexp_extract("text", HUNK_RE, i)
 
-    df = (df
-          .withColumn("_ss", F.when(is_hdr, grp(1).cast("int")))
-          .withColumn("_sl", F.when(is_hdr, F.coalesce(F.nullif(grp(2), F.lit("")).cast("int"), F.lit(1))))
-          .withColumn("_ts", F.when(is_hdr, grp(3).cast("int")))
-          .withColumn("_tl", F.when(is_hdr, F.coalesce(F.nullif(grp(4), F.lit("")).cast("int"), F.lit(1)))))
-    w_h = Window.partitionBy("pr", "hunk_idx").orderBy("ln")
+    def number(i: int, omitted: int | None = None) -> Column:
+        return F.when(F.col("is_hunk_header"), grp(i).try_cast("bigint") if omitted is None else
+                      F.when(grp(i) == "", F.lit(omitted).cast("bigint")).otherwise(grp(i).try_cast("bigint")))
+
+    df = df.withColumns({"_ss": number(1), "_sl": number(2, 1), "_ts": number(3), "_tl": number(4, 1)})
+    w_h = Window.partitionBy("pr", "sec", "_h").orderBy("ln")
     w_hb = w_h.rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("text").substr(1, 1)
     # the empty element after a final newline is not a line of the diff
     trailing = (F.col("text") == "") & F.col("_next").isNull()
-    body = ~F.col("is_hunk_header") & (F.col("hunk_idx") > 0) & ~trailing
+    body = ~F.col("is_hunk_header") & (F.col("_h") > 0) & ~trailing
     counts_src = body & ((first == " ") | (first == "-") | (F.col("text") == ""))
     counts_tgt = body & ((first == " ") | (first == "+") | (F.col("text") == ""))
     df = (df
@@ -60,83 +75,98 @@ def diff_lines_all(prs: DataFrame, pr: str = "pr", diff: str = "diff") -> DataFr
           .withColumn("src_len", F.first("_sl").over(w_h))
           .withColumn("tgt_start", F.first("_ts").over(w_h))
           .withColumn("tgt_len", F.first("_tl").over(w_h))
-          .withColumn("src_before", F.coalesce(F.sum(counts_src.cast("int")).over(w_hb), F.lit(0)))
-          .withColumn("tgt_before", F.coalesce(F.sum(counts_tgt.cast("int")).over(w_hb), F.lit(0)))
+          .withColumn("src_before", F.coalesce(F.sum(counts_src.cast("bigint")).over(w_hb), F.lit(0)))
+          .withColumn("tgt_before", F.coalesce(F.sum(counts_tgt.cast("bigint")).over(w_hb), F.lit(0)))
           .drop("_ss", "_sl", "_ts", "_tl"))
     in_hunk = body & ((F.col("src_before") < F.col("src_len")) | (F.col("tgt_before") < F.col("tgt_len"))) \
         & ((first == " ") | (first == "-") | (first == "+") | (F.col("text") == ""))
-    df = df.withColumn("in_hunk", in_hunk)
+    df = df.withColumn("in_hunk", F.coalesce(in_hunk, F.lit(False)))
     file_hdr = ~F.col("in_hunk") & ~F.col("is_hunk_header") & F.col("text").startswith("--- ") \
         & F.coalesce(F.col("_next").startswith("+++ "), F.lit(False))
-    df = df.withColumn("is_file_header", file_hdr)
-    return df.withColumn("file_idx", F.sum(F.col("is_file_header").cast("int")).over(w_pr))
-
-
-def _filename(header_text: Column) -> Column:
-    """Text after ``--- ``/``+++ `` up to a tab."""
-    return F.regexp_extract(header_text, r"^(?:---|\+\+\+) ([^\t]+)", 1)
-
-
-def diff_files(prs: DataFrame, pr: str = "pr", diff: str = "diff", classified: DataFrame | None = None) -> DataFrame:
-    """Per (pr, file_idx): path, additions, deletions, is_new, is_deleted, hunks."""
-    c = diff_lines_all(prs, pr, diff) if classified is None else classified
-    hdr = (c.filter("is_file_header")
-           .select("pr", "file_idx", _filename(F.col("text")).alias("source_file"),
-                   _filename(F.col("_next")).alias("target_file")))
+    df = df.withColumn("is_file_header", file_hdr).withColumn("_f", F.sum(F.col("is_file_header").cast("int")).over(so_far))
+    src, tgt = _filename(F.col("text")), _filename(F.col("_next"))
+    named = F.when(F.col("is_file_header"), F.struct(_path(src, tgt).alias("path"), (src == DEV_NULL).alias("is_new"), (tgt == DEV_NULL).alias("is_deleted")))
+    df = df.withColumn("header", F.last(named, ignorenulls=True).over(so_far))
+    # numbers per PR: those of the sections before are added (one row per section)
+    ends = df.groupBy("pr", "sec").agg(F.max("_h").alias("_nh"), F.max("_f").alias("_nf"))
+    before = Window.partitionBy("pr").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select("pr", "sec", F.coalesce(F.sum("_nh").over(before), F.lit(0)).alias("_oh"), F.coalesce(F.sum("_nf").over(before), F.lit(0)).alias("_of"))
+    return (df.join(offsets, ["pr", "sec"]).withColumn("hunk_idx", F.col("_h") + F.col("_oh")).withColumn("file_idx", F.col("_f") + F.col("_of"))
+            .withColumn("_orphan", F.col("_f") == 0).drop("_h", "_f", "_oh", "_of"))
+
+
+def _hunk_stats(classified: DataFrame) -> DataFrame:
+    """Per (pr, file_idx): file header, counts and the first error of its hunks, in one aggregation of hunks."""
     first = F.col("text").substr(1, 1)
-    stats = (c.filter((F.col("file_idx") > 0))
-             .groupBy("pr", "file_idx").agg(
-                 F.count_if(F.col("in_hunk") & (first == "+")).alias("additions"),
-                 F.count_if(F.col("in_hunk") & (first == "-")).alias("deletions"),
-                 F.count_if(F.col("is_hunk_header")).alias("hunks")))
-    src, tgt = F.col("source_file"), F.col("target_file")
-    path = (F.when(src.startswith("a/") & tgt.startswith("b/"), src.substr(3, 1 << 30))
-            .when(src.startswith("a/") & (tgt == DEV_NULL), src.substr(3, 1 << 30))
-            .when(tgt.startswith("b/") & (src == DEV_NULL), tgt.substr(3, 1 << 30))
-            .otherwise(src))
-    return (hdr.join(stats, ["pr", "file_idx"], "left")
-            .select("pr", "file_idx", path.alias("path"),
-                    F.coalesce("additions", F.lit(0)).alias("additions"),
-                    F.coalesce("deletions", F.lit(0)).alias("deletions"),
-                    (src == DEV_NULL).alias("is_new"), (tgt == DEV_NULL).alias("is_deleted"),
-                    F.coalesce("hunks", F.lit(0)).alias("hunks")))
+    empty = F.col("text") == ""
+    n = lambda c: F.count_if(F.col("in_hunk") & c)
+    h = classified.groupBy("pr", "file_idx", "hunk_idx").agg(
+        F.max(F.when(F.col("is_file_header"), F.col("header"))).alias("header"), F.max("is_hunk_header").alias("opens"),
+        F.max(F.when(F.col("is_hunk_header"), F.struct("src_start", "src_len", "tgt_start", "tgt_len", "_orphan"))).alias("k"),
+        n(first == "+").alias("additions"), n(first == "-").alias("deletions"),
+        n((first == " ") | (first == "-") | empty).alias("src_seen"), n((first == " ") | (first == "+") | empty).alias("tgt_seen"))
+    src, tgt = F.col("k.src_len"), F.col("k.tgt_len")
+    error = (F.when(F.col("k._orphan"), "hunk_without_file_header")
+             .when(src.isNull() | tgt.isNull() | F.col("k.src_start").isNull() | F.col("k.tgt_start").isNull(), "bad_hunk_header")
+             .when((F.col("src_seen") < src) | (F.col("tgt_seen") < tgt), "hunk_too_short")
+             .when((F.col("src_seen") > src) | (F.col("tgt_seen") > tgt), "hunk_too_long"))
+    h = h.withColumn("error", F.when(F.col("opens"), error))
+    return h.groupBy("pr", "file_idx").agg(F.max("header").alias("header"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"),
+                                           F.count_if("opens").alias("hunks"), F.min("error").alias("error"))
+
+
+def diff_files(prs: DataFrame | None, pr: str = "pr", diff: str = "diff", classified: DataFrame | None = None) -> DataFrame:
+    """Per (pr, file_idx): path, additions, deletions, is_new, is_deleted, hunks; none of a diff with an error."""
+    f = _hunk_stats(diff_lines_all(prs, pr, diff) if classified is None else classified)
+    f = f.withColumn("_bad", F.min("error").over(Window.partitionBy("pr"))).filter(F.col("_bad").isNull() & F.col("header").isNotNull())
+    return f.select("pr", "file_idx", "header.path", "additions", "deletions", "header.is_new", "header.is_deleted", "hunks")
 
 
 def diff_hunks(classified: DataFrame) -> DataFrame:
-    """Per hunk: source/target start and length."""
-    return (classified.filter("is_hunk_header")
-            .select("pr", "file_idx", "hunk_idx", "src_start", "src_len", "tgt_start", "tgt_len"))
+    """Per hunk: source/target start and length (of diffs without an error)."""
+    hunks = classified.filter("is_hunk_header").select("pr", "file_idx", "hunk_idx", "src_start", "src_len", "tgt_start", "tgt_len")
+    return hunks.join(diff_errors(classified).select("pr"), "pr", "left_anti")
 
 
-def diff_lines(classified: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per in-hunk line: type, line number (target for added, else source), content."""
+def diff_lines(classified: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row per in-hunk line: type, line number (target for added, else source), content and path (of diffs
+    without an error).  ``files`` is not needed any more."""
     first = F.col("text").substr(1, 1)
     typ = F.when(first == "+", "added").when(first == "-", "removed").otherwise("context")
     number = F.when(first == "+", F.col("tgt_start") + F.col("tgt_before")).otherwise(F.col("src_start") + F.col("src_before"))
     ls = classified.filter("in_hunk").select(
         "pr", "file_idx", "hunk_idx", "ln", typ.alias("type"), number.alias("line_number"),
-        F.col("text").substr(2, 1 << 30).alias("content"))
-    return ls.join(files.select("pr", "file_idx", "path"), ["pr", "file_idx"], "left")
+        F.col("text").substr(2, 1 << 30).alias("content"), F.col("header.path").alias("path"))
+    return ls.join(diff_errors(classified).select("pr"), "pr", "left_anti")
 
 
-def diff_summary(files: DataFrame) -> DataFrame:
-    return files.groupBy("pr").agg(
+def diff_summary(files: DataFrame, prs: DataFrame | None = None) -> DataFrame:
+    """Counts per PR; with ``prs`` also zero rows of PRs without a file (empty diffs, diffs with an error)."""
+    s = files.groupBy("pr").agg(
         F.count(F.lit(1)).alias("files_count"),
         F.sum("additions").cast("bigint").alias("total_additions"),
         F.sum("deletions").cast("bigint").alias("total_deletions"))
+    return s if prs is None else prs.select("pr").distinct().join(s, "pr", "left").fillna(0, ["files_count", "total_additions", "total_deletions"])
 
 
-def changed_paths(files: DataFrame) -> DataFrame:
-    """Ordered path list per PR (a PR's file list is bounded by its diff row)."""
-    return files.groupBy("pr").agg(
+def changed_paths(files: DataFrame, prs: DataFrame | None = None) -> DataFrame:
+    """Ordered path list per PR (bounded by its diff); with ``prs`` also empty lists."""
+    p = files.groupBy("pr").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("file_idx", "path"))), lambda x: x["path"]).alias("paths"))
+    if prs is None:
+        return p
+    return prs.select("pr").distinct().join(p, "pr", "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
 
 
-def net_change(files: DataFrame) -> DataFrame:
-    s = diff_summary(files)
-    p = changed_paths(files)
-    return (s.join(p, "pr", "left")
-            .withColumn("net_change", F.col("total_additions") - F.col("total_deletions")))
+def net_change(files: DataFrame, prs: DataFrame | None = None) -> DataFrame:
+    """Summary, net change and path list per PR in one aggregation."""
+    s = files.groupBy("pr").agg(
+        F.count(F.lit(1)).alias("files_count"), F.sum("additions").cast("bigint").alias("total_additions"), F.sum("deletions").cast("bigint").alias("total_deletions"),
+        F.transform(F.array_sort(F.collect_list(F.struct("file_idx", "path"))), lambda x: x["path"]).alias("paths"))
+    if prs is not None:
+        s = prs.select("pr").distinct().join(s, "pr", "left").fillna(0, ["files_count", "total_additions", "total_deletions"]) \
+            .withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
+    return s.withColumn("net_change", F.col("total_additions") - F.col("total_deletions"))
 
 
 def extension_of(path: Column) -> Column:
@@ -167,19 +197,9 @@ def assemble_diff(file_patches: DataFrame, pr: str = "pr") -> DataFrame:
 
 
 def diff_errors(classified: DataFrame) -> DataFrame:
-    """Diffs that do not parse: a hunk ends before its stated lengths are met, or a hunk appears
-    before any file header.  Such a diff yields zero counts and an error code."""
-    first = F.col("text").substr(1, 1)
-    empty = F.col("text") == ""
-    h = classified.filter(F.col("hunk_idx") > 0).groupBy("pr", "hunk_idx").agg(
-        F.first("src_len", ignorenulls=True).alias("src_len"), F.first("tgt_len", ignorenulls=True).alias("tgt_len"),
-        F.count_if(F.col("in_hunk") & ((first == " ") | (first == "-") | empty)).alias("src_seen"),
-        F.count_if(F.col("in_hunk") & ((first == " ") | (first == "+") | empty)).alias("tgt_seen"),
-        F.min("file_idx").alias("file_idx"))
-    bad = h.withColumn(
-        "error",
-        F.when(F.col("file_idx") == 0, F.lit("hunk_without_file_header"))
-        .when((F.col("src_seen") < F.col("src_len")) | (F.col("tgt_seen") < F.col("tgt_len")), F.lit("hunk_too_short")))
-    return (bad.filter(F.col("error").isNotNull()).groupBy("pr").agg(F.min("error").alias("error"))
+    """Diffs that do not parse, with an error code and zero counts: a hunk before any file header, with numbers out
+    of range, or whose lines are fewer or more than it states."""
+    bad = _hunk_stats(classified).filter(F.col("error").isNotNull())
+    return (bad.groupBy("pr").agg(F.min("error").alias("error"))
             .withColumn("files_count", F.lit(0)).withColumn("total_additions", F.lit(0))
             .withColumn("total_deletions", F.lit(0)))

@@ -21,6 +21,29 @@ def _multi(spark, sf):
         F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "diff"))), lambda x: x["diff"]), "\n").alias("diff"))
 
 
+# hand-written diffs by part number, besides those of the documents: two sections with a new file and two hunks,
+# a deleted file, a renamed one with numbers above 2^31, a hunk cut short, and no diff at all
+PLANTED = """
+SELECT -p_partkey - 1 AS pr, CASE p_partkey % 5
+  WHEN 0 THEN concat_ws(chr(10), 'diff --git a/n.py b/n.py', 'new file mode 100644', '--- /dev/null', '+++ b/n.py', '@@ -0,0 +1,2 @@', '+a', '+b',
+                        'diff --git a/m.ts b/m.ts', '--- a/m.ts', '+++ b/m.ts', '@@ -1 +1,2 @@', ' x', '+y', '@@ -9 +10 @@', '-p', '+q')
+  WHEN 1 THEN concat_ws(chr(10), '--- a/old.go', '+++ /dev/null', '@@ -1,2 +0,0 @@', '-a', '-b')
+  WHEN 2 THEN concat_ws(chr(10), '--- a/from.js', '+++ b/to.js', '@@ -12345678901 +12345678901 @@', '-a', '+b')
+  WHEN 3 THEN concat_ws(chr(10), '--- a/x.py', '+++ b/x.py', '@@ -1,5 +1,5 @@', ' a', '+b')
+  ELSE '' END AS diff
+FROM {part}"""
+PLANTED_FILES_SQL = """
+planted AS (
+  SELECT -p.p_partkey - 1 AS pr, f.* FROM part p JOIN (VALUES
+    (0, 1, 'n.py', 2, 0, true, false, 1), (0, 2, 'm.ts', 2, 1, false, false, 2), (1, 1, 'old.go', 0, 2, false, true, 1),
+    (2, 1, 'to.js', 1, 1, false, false, 1)) AS f(kind, file_idx, path, additions, deletions, is_new, is_deleted, hunks) ON p.p_partkey % 5 = f.kind)"""
+
+
+def _planted(spark, sf):
+    from ..sources.tables import read_table
+    return spark.sql(PLANTED, part=read_table(spark, sf, "part"))
+
+
 def _classified(df):
     return D.diff_lines_all(df)
 
@@ -42,12 +65,14 @@ counts AS (
 
 
 @register("diff.files", oracle_with(f"""
-WITH {LINES_SQL}
+WITH {LINES_SQL},
+{PLANTED_FILES_SQL.strip()}
 SELECT doc_id AS pr, CAST(1 AS BIGINT) AS file_idx, 'src/doc' || CAST(doc_id AS VARCHAR) || '.py' AS path,
        additions, deletions, false AS is_new, false AS is_deleted, CAST(1 AS BIGINT) AS hunks
-FROM counts"""))
+FROM counts
+UNION ALL SELECT pr, file_idx, path, additions, deletions, is_new, is_deleted, hunks FROM planted"""))
 def _files(spark, sf):
-    return D.diff_files(_single(spark, sf))
+    return D.diff_files(_single(spark, sf).unionByName(_planted(spark, sf)))
 
 
 @register("diff.hunks", oracle_with(f"""
@@ -70,8 +95,7 @@ FROM lines
 WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))
 def _lines(spark, sf):
     c = _classified(_single(spark, sf))
-    files = D.diff_files(None, classified=c)
-    return D.diff_lines(c, files).select("pr", "file_idx", "hunk_idx", "type",
+    return D.diff_lines(c).select("pr", "file_idx", "hunk_idx", "type",
                                          F.col("line_number").cast("int").alias("line_number"), "content", "path")
 
 
@@ -80,12 +104,17 @@ per_pr AS (SELECT CAST(floor(doc_id / 3) AS BIGINT) AS pr, doc_id, additions, de
 
 
 @register("diff.summary", oracle_with(f"""
-WITH {MULTI_SQL}
+WITH {MULTI_SQL},
+{PLANTED_FILES_SQL.strip()}
 SELECT pr, count(*) AS files_count, CAST(sum(additions) AS BIGINT) AS total_additions,
        CAST(sum(deletions) AS BIGINT) AS total_deletions
-FROM per_pr GROUP BY pr"""))
+FROM per_pr GROUP BY pr
+UNION ALL
+SELECT -p.p_partkey - 1, count(f.pr), CAST(coalesce(sum(f.additions), 0) AS BIGINT), CAST(coalesce(sum(f.deletions), 0) AS BIGINT)
+FROM part p LEFT JOIN planted f ON f.pr = -p.p_partkey - 1 GROUP BY p.p_partkey"""))
 def _summary(spark, sf):
-    return D.diff_summary(D.diff_files(_multi(spark, sf)))
+    prs = _multi(spark, sf).unionByName(_planted(spark, sf))
+    return D.diff_summary(D.diff_files(prs), prs)
 
 
 @register("diff.net_change", oracle_with(f"""
@@ -96,7 +125,8 @@ SELECT pr, count(*) AS files_count, CAST(sum(additions) AS BIGINT) AS total_addi
        string_agg('src/doc' || CAST(doc_id AS VARCHAR) || '.py', ',' ORDER BY doc_id) AS paths
 FROM per_pr GROUP BY pr"""))
 def _net_change(spark, sf):
-    return D.net_change(D.diff_files(_multi(spark, sf))).withColumn("paths", F.array_join("paths", ","))
+    prs = _multi(spark, sf)
+    return D.net_change(D.diff_files(prs), prs).withColumn("paths", F.array_join("paths", ","))
 
 
 @register("diff.changed_paths", oracle_with(f"""
@@ -104,14 +134,17 @@ WITH {MULTI_SQL}
 SELECT pr, string_agg('src/doc' || CAST(doc_id AS VARCHAR) || '.py', ',' ORDER BY doc_id) AS paths
 FROM per_pr GROUP BY pr"""))
 def _changed_paths(spark, sf):
-    return D.changed_paths(D.diff_files(_multi(spark, sf))).withColumn("paths", F.array_join("paths", ","))
+    prs = _multi(spark, sf)
+    return D.changed_paths(D.diff_files(prs), prs).withColumn("paths", F.array_join("paths", ","))
 
 
 @register("diff.extension_stats", oracle_with(f"""
 WITH {MULTI_SQL}
-SELECT pr, 'py' AS ext, count(*) AS count FROM per_pr GROUP BY pr"""))
+SELECT pr, 'py' AS ext, count(*) AS count FROM per_pr GROUP BY pr
+UNION ALL
+SELECT pr, split_part(path, '.', 2), count(*) FROM (WITH {PLANTED_FILES_SQL.strip()} SELECT * FROM planted) p GROUP BY ALL"""))
 def _extension_stats(spark, sf):
-    return D.extension_stats(D.diff_files(_multi(spark, sf)))
+    return D.extension_stats(D.diff_files(_multi(spark, sf).unionByName(_planted(spark, sf))))
 
 
 @register("diff.is_diff", oracle_with(r"""
@@ -147,13 +180,20 @@ def _assemble(spark, sf):
     return D.assemble_diff(patches).select("pr", F.md5("diff").alias("diff_md5"))
 
 
-@register("diff.parse_errors")
+@register("diff.parse_errors", """
+SELECT doc_id AS pr, 'hunk_too_short' AS error, 0 AS files_count, 0 AS total_additions, 0 AS total_deletions FROM documents
+UNION ALL SELECT -doc_id - 1, 'hunk_without_file_header', 0, 0, 0 FROM documents
+UNION ALL SELECT 1000000000 + doc_id, 'hunk_too_long', 0, 0, 0 FROM documents
+UNION ALL SELECT 2000000000 + doc_id, 'bad_hunk_header', 0, 0, 0 FROM documents""")
 def _parse_errors(spark, sf):
-    """Every document's diff with the stated source length overstated (hunk too short), plus the same
-    sections without file headers (GitLab shape): both kinds must be reported."""
+    """Every document's diff with the stated source length overstated (hunk too short), the same sections without file
+    headers (GitLab shape), a hunk whose target runs over before its source is met, and a number beyond 64 bits."""
     d = fixture(spark, sf, "fx_diffs")
     overstated = d.select(F.col("doc_id").alias("pr"),
                           F.regexp_replace("diff", r"@@ -1,(\d+) ", "@@ -1,9$1 ").alias("diff"))
     headless = d.select((-F.col("doc_id") - 1).alias("pr"),
                         F.regexp_replace("diff", r"^--- [^\n]*\n\+\+\+ [^\n]*\n", "").alias("diff"))
-    return D.diff_errors(D.diff_lines_all(overstated.unionByName(headless)))
+    head = F.concat(F.lit("--- a/x\n+++ b/x\n"), F.lit("@@ -1,2 +1,1 @@\n+a\n+b\n c\n d"))
+    over = d.select((F.col("doc_id") + 1_000_000_000).alias("pr"), head.alias("diff"))
+    huge = d.select((F.col("doc_id") + 2_000_000_000).alias("pr"), F.regexp_replace("diff", r"@@ -1,", "@@ -99999999999999999999,").alias("diff"))
+    return D.diff_errors(D.diff_lines_all(overstated.unionByName(headless).unionByName(over).unionByName(huge)))
