@@ -26,22 +26,17 @@ def _top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
 # snapshot-level (one row per review)
 # ------------------------------------------------------------------------------------------
 
-def snapshot(reviews: DataFrame, issues: DataFrame) -> DataFrame:
-    """Per-review snapshot with counters plus ``categories`` / ``threat_types`` maps.
+def _counted_map(values: Column) -> Column:
+    """Values of one review -> map of value to number (a review's issues are bounded by one response)."""
+    return F.coalesce(F.map_from_entries(F.transform(F.array_distinct(values), lambda v: F.struct(
+        v.alias("key"), F.size(F.filter(values, lambda x: x == v)).cast("bigint").alias("value")))), F.create_map().cast("map<string,bigint>"))
 
-    Two-level aggregation: (review, category) counts first, then one map per review.  Each map is
-    bounded by the number of distinct categories in one review.
-    """
-    cats = (issues.groupBy("review_id", "category").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("review_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("categories")))
-    thr = (issues.filter(truthy(F.col("threat_type")))
-           .groupBy("review_id", "threat_type").agg(F.count(F.lit(1)).alias("n"))
-           .groupBy("review_id").agg(F.map_from_entries(F.collect_list(F.struct("threat_type", "n"))).alias("threat_types")))
-    rolled = findings.review_rollup(reviews, issues)
-    empty = F.create_map().cast("map<string,bigint>")
-    return (rolled.join(cats, "review_id", "left").join(thr, "review_id", "left")
-            .withColumn("categories", F.coalesce("categories", empty))
-            .withColumn("threat_types", F.coalesce("threat_types", empty)))
+
+def snapshot(reviews: DataFrame, issues: DataFrame) -> DataFrame:
+    """Per-review snapshot with counters plus ``categories`` / ``threat_types`` maps, in one aggregation of the issues."""
+    extra = [F.collect_list("category").alias("_c"), F.collect_list(F.when(truthy(F.col("threat_type")), F.col("threat_type"))).alias("_t")]
+    rolled = findings.review_rollup(reviews, issues, extra=extra)
+    return rolled.withColumns({"categories": _counted_map(F.col("_c")), "threat_types": _counted_map(F.col("_t"))}).drop("_c", "_t")
 
 
 def overview(snaps: DataFrame) -> DataFrame:
@@ -69,6 +64,13 @@ def score_trend(snaps: DataFrame, n: int) -> DataFrame:
             .select("created_at", "review_id", "score", "security_score", "pr_id"))
 
 
+def newest_snapshots(reviews: DataFrame, issues: DataFrame, n: int) -> DataFrame:
+    """Counters of the newest ``n`` reviews only: the reviews are chosen first, then their issues are rolled up."""
+    newest = reviews.orderBy(*newest_first()).limit(n)
+    few = issues.join(F.broadcast(newest.select("review_id")), "review_id", "left_semi")  # n rows
+    return findings.review_rollup(newest, few)
+
+
 def recent_reviews(snaps: DataFrame, n: int) -> DataFrame:
     return snaps.orderBy(*newest_first()).limit(n)
 

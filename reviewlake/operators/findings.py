@@ -274,13 +274,13 @@ ROLLUP_ZERO = {
 }
 
 
-def review_rollup(reviews: DataFrame, issues: DataFrame, key: str = "review_id") -> DataFrame:
-    """Per-review counters left-joined to reviews (reviews without issues get zeros).
+def review_rollup(reviews: DataFrame, issues: DataFrame, key: str = "review_id", extra: list[Column] | None = None) -> DataFrame:
+    """Per-review counters (and ``extra`` aggregates) left-joined to reviews (reviews without issues get zeros).
 
     The issues side is pre-aggregated to one row per review before the join, so the join is
     1:1 and no issue rows are shuffled twice.
     """
-    agg = issues.groupBy(key).agg(*rollup_aggs())
+    agg = issues.groupBy(key).agg(*rollup_aggs(), *(extra or []))
     out = reviews.join(agg, key, "left")
     for c, z in ROLLUP_ZERO.items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(z)))

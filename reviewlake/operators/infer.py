@@ -14,27 +14,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..functions.text import nullif_empty
 
 REQUEST_DEFAULT_FOCUS = ["compilation", "security", "bugs", "performance", "best_practices"]
 
 
-def build_requests(prs: DataFrame, rules: DataFrame, key: str = "review_id") -> DataFrame:
-    """prs(key, focus ARRAY, diff, files ARRAY) x resolved rules(key, content) -> capped request rows."""
-    r = rules.select(key, F.substring("content", 1, dims.RULES_CAP).alias("rules"))
+def build_requests(prs: DataFrame, rules: DataFrame, key: str = "review_id", diff_chars: int | None = None,
+                   rules_chars: int | None = None) -> DataFrame:
+    """prs(key, focus ARRAY, diff, files ARRAY) x resolved rules(key, content) -> request rows, whole or cut."""
+    cut = lambda c, n: c if n is None else F.substring(c, 1, n)
+    r = rules.select(key, cut(F.col("content"), rules_chars).alias("rules"))
     return (prs.join(r, key, "left")
             .select(key, F.array_join("focus", ", ").alias("focus_areas"),
-                    F.substring(F.coalesce("diff", F.lit("")), 1, dims.DIFF_CAP).alias("diff"),
+                    cut(F.coalesce("diff", F.lit("")), diff_chars).alias("diff"),
                     F.array_join(F.coalesce("files", F.array().cast("array<string>")), "\n").alias("files"),
                     F.coalesce("rules", F.lit("")).alias("rules")))
 
 
 def route(requests: DataFrame, primary: str, configured_models: dict[str, str],
           provider_col: str = "provider_override", model_col: str = "model_override") -> DataFrame:
-    """provider = lower(override or primary); model = override > configured model > provider default."""
-    prov = F.lower(F.coalesce(F.col(provider_col), F.lit(primary)))
-    model = F.coalesce(F.col(model_col), dims.lookup(configured_models, prov) if configured_models else F.lit(None),
+    """provider = lower(override or primary); model = override or configured model or provider default.
+
+    An empty override is none.  A provider without a model is not supported: ``route_error`` says so."""
+    prov = F.lower(F.coalesce(nullif_empty(F.col(provider_col)), F.lit(primary)))
+    model = F.coalesce(nullif_empty(F.col(model_col)), dims.lookup(configured_models, prov) if configured_models else F.lit(None),
                        dims.lookup(dims.PROVIDER_DEFAULT_MODEL, prov))
-    return requests.withColumn("provider", prov).withColumn("model", model)
+    return (requests.withColumn("provider", prov).withColumn("model", model)
+            .withColumn("route_error", F.when(model.isNull(), F.concat(F.lit("Unsupported AI provider: "), prov))))
 
 
 ResponseFn = Callable[[pd.DataFrame], pd.Series]
@@ -45,7 +51,9 @@ def offline_response(batch: pd.DataFrame) -> pd.Series:
 
 
 def apply(requests: DataFrame, fn: ResponseFn | None = None, key: str = "review_id") -> DataFrame:
-    """Run ``fn`` (pandas batch -> response text series) over request batches."""
+    """Run ``fn`` (pandas batch of whole requests -> response text series) over request batches.
+
+    The result is lazy: store it (``stored_apply``) before it is read more than once."""
     call = fn or offline_response
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,5 +68,12 @@ def apply(requests: DataFrame, fn: ResponseFn | None = None, key: str = "review_
     return requests.mapInPandas(run, schema)
 
 
+def stored_apply(requests: DataFrame, path: str, fn: ResponseFn | None = None, key: str = "review_id") -> DataFrame:
+    """``apply`` run once, its responses kept under ``path``: every later pass reads them from there."""
+    out = apply(requests, fn, key)
+    out.write.mode("overwrite").parquet(path)
+    return requests.sparkSession.read.schema(out.schema).parquet(path)
+
+
 def prompt_size(requests: DataFrame) -> Column:
     return F.length("diff") + F.length("rules") + F.length("files")

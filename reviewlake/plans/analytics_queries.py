@@ -21,6 +21,12 @@ def _snaps(spark, sf):
     return base.st_reviews_rollup(spark, sf)
 
 
+def _newest(spark, sf, n):
+    """The newest n reviews with their counters (block flag from the model and critical issues)."""
+    rolled = A.newest_snapshots(fixture(spark, sf, "fx_reviews"), base.st_issues(spark, sf), n)
+    return rolled.withColumn("block_merge", F.col("model_block_merge") | (F.col("critical_count") > 0))
+
+
 # ---------------------------------------------------------------- flagship
 
 def repo_overview(spark, sf):
@@ -66,11 +72,23 @@ register("analytics.repo_overview", REPO_OVERVIEW_SQL)(repo_overview)
 
 # ---------------------------------------------------------------- snapshots
 
-@register("analytics.snapshot")
+def _map_text(c: str):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+
+
+@register("analytics.snapshot", base.oracle_st(f"""
+WITH c AS (SELECT review_id, string_agg(category || '=' || n, ';' ORDER BY category) AS t
+           FROM (SELECT review_id, category, count(*) AS n FROM st_issues GROUP BY 1, 2) x GROUP BY 1),
+t AS (SELECT review_id, string_agg(threat_type || '=' || n, ';' ORDER BY threat_type) AS t
+      FROM (SELECT review_id, threat_type, count(*) AS n FROM st_issues WHERE threat_type <> '' GROUP BY 1, 2) x GROUP BY 1)
+SELECT r.review_id, r.repo, r.score, r.security_score, r.total_issues, r.critical_count, r.high_count, r.secret_leak_detected,
+       {_ts('r.created_at')} AS created_at, coalesce(c.t, '') AS categories, coalesce(t.t, '') AS threat_types
+FROM st_reviews r LEFT JOIN c ON r.review_id = c.review_id LEFT JOIN t ON r.review_id = t.review_id"""))
 def _snapshot(spark, sf):
-    issues = base.st_issues(spark, sf)
-    reviews = base.st_reviews(spark, sf)
-    return A.snapshot(reviews, issues).withColumn("created_at", ts_text(F.col("created_at")))
+    out = A.snapshot(base.st_reviews(spark, sf), base.st_issues(spark, sf))
+    return out.select("review_id", "repo", "score", "security_score", "total_issues", "critical_count", "high_count", "secret_leak_detected",
+                      ts_text(F.col("created_at")).alias("created_at"), _map_text("categories").alias("categories"),
+                      _map_text("threat_types").alias("threat_types"))
 
 
 @register("analytics.overview", base.oracle_st("""
@@ -92,7 +110,7 @@ def _overview(spark, sf):
 SELECT {_ts('created_at')} AS created_at, review_id, score, security_score, pr_id
 FROM st_reviews ORDER BY created_at DESC, review_id DESC LIMIT 50"""))
 def _score_trend(spark, sf):
-    return A.score_trend(_snaps(spark, sf), 50).withColumn("created_at", ts_text(F.col("created_at")))
+    return A.score_trend(_newest(spark, sf, 50), 50).withColumn("created_at", ts_text(F.col("created_at")))
 
 
 @register("analytics.top_categories", base.oracle_st("""
@@ -142,7 +160,7 @@ SELECT review_id, repo, pr_id, author, platform, score, security_score, total_is
        block_merge, {_ts('created_at')} AS created_at
 FROM st_reviews ORDER BY created_at DESC, review_id DESC LIMIT 20"""))
 def _recent_reviews(spark, sf):
-    return (A.recent_reviews(_snaps(spark, sf), 20)
+    return (A.recent_reviews(_newest(spark, sf, 20), 20)
             .select(*RECENT_COLS, ts_text(F.col("created_at")).alias("created_at")))
 
 

@@ -1,6 +1,8 @@
 """feedback.*: per-repo pattern reports over the whole history."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.text import ts_text
@@ -130,9 +132,45 @@ def _review_stats(spark, sf):
     return Fb.review_stats(_win(spark, sf)[1])
 
 
-@register("feedback.report")
+def _list_text(c: str, *fields: str):
+    return F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws("|", *[x[f].cast("string") for f in fields])), ";"), F.lit(""))
+
+
+def _list_sql(keys: str, where: str = "true", n: int | None = None) -> str:
+    names = [k.split(" AS ")[-1] for k in re.split(r", (?!')", keys)]
+    text = " || '|' || ".join([*names, "CAST(c AS VARCHAR)"])
+    return f"""(SELECT repo, string_agg({text}, ';' ORDER BY r) AS t FROM (
+      SELECT *, row_number() OVER (PARTITION BY repo ORDER BY c DESC, {', '.join(names)}) AS r
+      FROM (SELECT repo, {keys}, count(*) AS c FROM iw2 WHERE {where} GROUP BY ALL) g) h {f'WHERE r <= {n}' if n else ''} GROUP BY repo)"""
+
+
+@register("feedback.report", fb_oracle(f"""
+WITH d AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(file_path, '/+', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g'), '/\\.$', ''),
+                                    '(.)/$', '\\1') AS p FROM iw),
+iw2 AS (SELECT *, {PARENT_SQL} AS directory, {TITLE_SQL} AS title_pattern FROM d),
+st AS (SELECT repo, count(*) AS total_reviews, round(avg(score), 1) AS avg_score, round(avg(security_score), 1) AS avg_security_score,
+              round(sum(CASE WHEN block_merge THEN 1 ELSE 0 END) / count(*) * 100, 1) AS block_rate FROM rw GROUP BY repo)
+SELECT st.*, CAST(coalesce(n.c, 0) AS BIGINT) AS total_issues_analyzed, coalesce(a.t, '') AS category_frequency, coalesce(s.t, '') AS severity_distribution,
+       coalesce(o.t, '') AS owasp_frequency, coalesce(h.t, '') AS threat_type_frequency, coalesce(f.t, '') AS file_hotspots,
+       coalesce(e.t, '') AS directory_hotspots, coalesce(t.t, '') AS top_recurring_titles
+FROM st LEFT JOIN (SELECT repo, count(*) AS c FROM iw GROUP BY repo) n ON st.repo = n.repo
+LEFT JOIN {_list_sql("coalesce(category, 'general') AS category")} a ON st.repo = a.repo
+LEFT JOIN (SELECT repo, string_agg(severity || '=' || c, ';' ORDER BY severity) AS t FROM (SELECT repo, severity, count(*) AS c FROM iw GROUP BY 1, 2) x GROUP BY repo) s
+  ON st.repo = s.repo
+LEFT JOIN {_list_sql("owasp_id", "owasp_id <> ''")} o ON st.repo = o.repo
+LEFT JOIN {_list_sql("threat_type", "threat_type <> ''")} h ON st.repo = h.repo
+LEFT JOIN {_list_sql("file_path, coalesce(category, 'general') AS category", "file_path <> ''", Fb.REPORT_FILES)} f ON st.repo = f.repo
+LEFT JOIN {_list_sql("directory", "file_path <> '' AND directory <> '.' AND directory <> ''", Fb.REPORT_DIRECTORIES)} e ON st.repo = e.repo
+LEFT JOIN {_list_sql("title_pattern", "title_pattern <> ''", Fb.REPORT_TITLES)} t ON st.repo = t.repo"""))
 def _report(spark, sf):
-    return Fb.report(base.st_reviews(spark, sf), base.st_issues(spark, sf))
+    """Nested lists leave as text in their order."""
+    r = Fb.report(base.st_reviews(spark, sf), base.st_issues(spark, sf))
+    severity = F.array_join(F.transform(F.array_sort(F.map_entries("severity_distribution")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    return r.select("repo", "review_stats.*", "total_issues_analyzed", F.coalesce(severity, F.lit("")).alias("severity_distribution"),
+                    *[_list_text(c, *f).alias(c) for c, f in {
+                        "category_frequency": ["category", "count"], "owasp_frequency": ["owasp_id", "count"], "threat_type_frequency": ["threat_type", "count"],
+                        "file_hotspots": ["file_path", "category", "count"], "directory_hotspots": ["directory", "count"],
+                        "top_recurring_titles": ["title_pattern", "count"]}.items()])
 
 
 def _counts(spark, sf):
@@ -166,7 +204,12 @@ def _rule_key(spark, sf):
     return base.st_reviews(spark, sf).select("repo", Fb.rule_key(F.col("repo")).alias("rule_key")).distinct()
 
 
-@register("feedback.evolution_request")
+@register("feedback.evolution_request", fb_oracle("""
+SELECT r.repo, CAST(coalesce(n.c, 0) AS BIGINT) AS issues,
+       'text of security.md' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'text of compilation.md' || chr(10) || chr(10) || '---' || chr(10)
+       || chr(10) || 'text of best-practices.md' AS base_rules
+FROM (SELECT DISTINCT repo FROM st_reviews) r LEFT JOIN (SELECT repo, count(*) AS c FROM iw GROUP BY repo) n ON r.repo = n.repo"""))
 def _evolution_request(spark, sf):
     rep = Fb.report(base.st_reviews(spark, sf), base.st_issues(spark, sf))
-    return Fb.evolution_request(rep, fixture(spark, sf, "fx_rules"))
+    out = Fb.evolution_request(rep, fixture(spark, sf, "fx_rules"))
+    return out.select("repo", F.get_json_object("report_json", "$.total_issues_analyzed").cast("bigint").alias("issues"), "base_rules")

@@ -8,6 +8,7 @@ from ..operators import scan as S
 from ..sources.tables import read_table
 from .diff_queries import LINES_SQL
 from .fixtures import fixture, oracle_with
+from .base import oracle_st
 from .registry import register
 
 
@@ -110,7 +111,13 @@ def _duplicate_blocks(spark, sf):
     return S.duplicate_blocks(S.split_lines(docs), 4)
 
 
-@register("scan.severity_guidelines")
+@register("rules.severity_guidelines", oracle_st("""
+SELECT repo AS document, CAST(6 + row_number() OVER (PARTITION BY repo ORDER BY title) - 1 AS INT) AS i,
+       regexp_replace(title, '^\\s+|\\s+$', '', 'g') AS issue,
+       CASE min(r) WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'info' END AS severity
+FROM (SELECT v.repo, i.title, CASE i.severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 5 END AS r
+      FROM st_issues i JOIN st_reviews v ON i.review_id = v.review_id) x
+GROUP BY repo, title"""))
 def _severity_guidelines(spark, sf):
     """Guideline tables written per repo from its recurring issue titles and worst severities, parsed back."""
     from .base import st_issues, st_reviews

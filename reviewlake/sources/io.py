@@ -3,8 +3,9 @@ run events and the project report.  Everything is a Spark reader/writer with a d
 nothing passes through the driver."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import py_strip
 
@@ -13,8 +14,10 @@ REVIEWS_SCHEMA = ("review_id string, repo string, pr_id string, platform string,
                   "security_score int, block_merge boolean, approval boolean, ai_slop bigint, created_at timestamp_ntz, "
                   "target_branch string")
 ISSUES_SCHEMA = ("issue_id string, review_id string, pos int, severity string, category string, title string, "
-                 "description string, file_path string, line_number int, owasp_id string, threat_type string")
-EVENTS_SCHEMA = "run_id string, event_id bigint, seq bigint, ts timestamp_ntz, level string, step string, message string"
+                 "description string, file_path string, line_number bigint, line_end bigint, code_snippet string, suggestion string, "
+                 "owasp_id string, cwe_id string, threat_type string")
+EVENTS_SCHEMA = ("run_id string, event_id bigint, seq bigint, ts timestamp_ntz, level string, step string, message string, "
+                 "meta map<string,string>")
 
 
 def read_webhooks(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -29,32 +32,42 @@ def write_webhooks(df: DataFrame, path: str) -> None:
 
 
 def write_reviews(reviews: DataFrame, issues: DataFrame, path: str, mode: str = "append") -> None:
-    """Reviews and issues as Parquet, clustered by repo and time so repo filters skip files.
+    """Reviews and issues as Parquet, range-partitioned by repo and time, so that repo filters skip files and a repo
+    that holds a third of all reviews is many files.  Issue fields of the schema that are not given are NULL.
 
     Ids are deterministic, so a replayed batch written with ``mode='overwrite'`` into its own
     folder (see ``streaming.write_reviews_stream``) is idempotent."""
-    (reviews.repartition("repo").sortWithinPartitions("repo", "created_at")
+    (reviews.repartitionByRange("repo", "created_at", "review_id").sortWithinPartitions("repo", "created_at")
      .write.mode(mode).parquet(f"{path}/reviews"))
-    issues.sortWithinPartitions("review_id", "pos").write.mode(mode).parquet(f"{path}/issues")
+    shape = StructType.fromDDL(ISSUES_SCHEMA)
+    full = issues.select(*[(F.col(f.name) if f.name in issues.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape])
+    full.sortWithinPartitions("review_id", "pos").write.mode(mode).parquet(f"{path}/issues")
 
 
 def read_reviews(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What ``write_reviews`` wrote: one folder, or all ``batch=<id>`` folders of the streaming sink (``path/batch=*``)."""
     return (spark.read.schema(REVIEWS_SCHEMA).parquet(f"{path}/reviews"),
             spark.read.schema(ISSUES_SCHEMA).parquet(f"{path}/issues"))
 
 
-def read_files(spark: SparkSession, root: str, max_bytes: int = 50_000) -> DataFrame:
-    """Recursive scan of a source tree: path, size, text.  The size filter runs on file metadata
-    before any content is decoded; invalid UTF-8 becomes the replacement character."""
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-          .filter(F.col("length") <= max_bytes))
-    return df.select("path", F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("text"))
+def lenient_text(content: Column) -> Column:
+    """Bytes as text; invalid UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def read_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Recursive scan of a source tree: path, size, text.  ``max_bytes`` leaves out larger files by their metadata,
+    before any content is read (none by default); invalid UTF-8 becomes the replacement character."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if max_bytes is not None:
+        df = df.filter(F.col("length") <= max_bytes)
+    return df.select("path", F.col("length").alias("size_bytes"), lenient_text(F.col("content")).alias("text"))
 
 
 def read_rules(spark: SparkSession, directory: str) -> DataFrame:
-    """One row per rule document (whole text) with its file name."""
+    """One row per rule document (whole text) with its name: that of its file, or of its ``filename=<name>`` folder."""
     df = spark.read.option("wholetext", "true").text(directory)
-    name = F.col("_metadata.file_name")
+    name = F.col("filename") if "filename" in df.columns else F.col("_metadata.file_name")
     return df.select(name.alias("filename"), F.col("value").alias("content"))
 
 
@@ -65,7 +78,9 @@ def parse_ignore(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_ignore(spark: SparkSession, path: str) -> DataFrame:
-    return parse_ignore(spark.read.text(path)).select("pattern")
+    """Patterns of an ignore file, or of one per ``project=<name>`` folder with their project."""
+    lines = spark.read.text(path)
+    return parse_ignore(lines).select(*(["project"] if "project" in lines.columns else []), "pattern")
 
 
 def effective_ignore(project_patterns: DataFrame, default_patterns: DataFrame, projects: DataFrame) -> DataFrame:
@@ -78,15 +93,25 @@ def effective_ignore(project_patterns: DataFrame, default_patterns: DataFrame, p
     return project_patterns.select("project", "pattern").unionByName(inherited)
 
 
+# event times keep their microseconds
+EVENT_TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    events.write.mode("overwrite").options(**EVENT_TIME).json(path)
+
+
 def read_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    if streaming:
-        return spark.readStream.schema(EVENTS_SCHEMA).json(path)
-    return spark.read.schema(EVENTS_SCHEMA).json(path)
+    reader = spark.readStream if streaming else spark.read
+    return reader.schema(EVENTS_SCHEMA).options(**EVENT_TIME).json(path)
 
 
 def write_report(summary: DataFrame, results: DataFrame, path: str, key: str = "project") -> None:
-    """Project report: one JSON document per project with the summary header and the per-file
-    results nested in path order (a project's results are bounded by its file count)."""
-    nested = results.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in results.columns
-                                                                             if c != key]))).alias("results"))
-    summary.join(nested, key, "left").write.mode("overwrite").json(path)
+    """Project report as JSON lines: ``summary`` has one line per project, ``results`` one per file in path order,
+    so that no project has to fit one row."""
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    results.repartitionByRange(key, "pos").sortWithinPartitions(key, "pos").write.mode("overwrite").json(f"{path}/results")
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.json(f"{path}/summary"), spark.read.json(f"{path}/results")
