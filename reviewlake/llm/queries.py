@@ -20,7 +20,8 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]):
 
 @_query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.fingerprint_report(shared.documents(spark, sf_dir))
+    report = shared.stored(simhash.fingerprint_report(shared.documents(spark, sf_dir)), "simhash")
+    return simhash.near_counts(report)
 
 
 @_query

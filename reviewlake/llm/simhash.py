@@ -140,22 +140,33 @@ def block_tables(bits: int, blocks: int, radius: int) -> list[list[int]]:
 def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int | None = None, fingerprint_col: str = "fingerprint", bits: int = BITS) -> DataFrame:
     """Pairs (a, b, distance) of different fingerprints (hex) within `radius` bits, a < b, each once.
 
-    Equal fingerprints are one: join back by fingerprint to name their documents.  `blocks` (radius + 2 at
-    least; 2 * radius by default) sets how many tables there are and how long their keys.
+    Equal fingerprints are one: join back by fingerprint to name their documents.  `blocks` (radius + 1 by
+    default and at least) sets how many tables there are and how long their keys: C(blocks, radius) tables
+    with keys of `bits` * (blocks - radius) / blocks bits, which should well exceed the binary logarithm of
+    the number of fingerprints.
     """
-    blocks = max(radius + 2, 2 * radius) if blocks is None else blocks
+    blocks = radius + 1 if blocks is None else blocks
     words = bits // 64
     one = prints.select(F.col(fingerprint_col).alias("fp")).where("fp is not null").distinct()
     # words of 64 bits, the least first
-    longs = [F.conv(F.substring("fp", 16 * (words - 1 - w) + 1, 16), 16, -10).cast("long") for w in range(words)]
+    longs = [F.conv(F.substring("fp", 16 * (words - 1 - w) + 1, 16), 16, -10).cast("long").alias(f"w{w}") for w in range(words)]
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
     tables = block_tables(bits, blocks, radius)
-    cut = one.select("fp", F.array(*longs).alias("w"))
-    masks = F.array(*[F.array(*[F.lit(signed(m)).cast("long") for m in t]) for t in tables])
-    keyed = cut.select("fp", "w", F.posexplode(masks).alias("table", "mask"))
-    keyed = keyed.withColumn("key", F.zip_with("w", "mask", lambda x, m: x.bitwiseAND(m)))
-    a = keyed.select("table", "key", F.col("fp").alias("a"), F.col("w").alias("wa"))
-    b = keyed.select("table", "key", F.col("fp").alias("b"), F.col("w").alias("wb"))
-    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = a.join(b, ["table", "key"]).where("a < b").select("a", "b", apart.alias("distance")).where(F.col("distance") <= radius)
-    return pairs.distinct()
+    cut = one.select(*longs)
+    keys = [F.xxhash64(F.lit(t), *[F.col(f"w{w}").bitwiseAND(F.lit(signed(m)).cast("long")) for w, m in enumerate(masks)]) for t, masks in enumerate(tables)]
+    keyed = cut.select(*cut.columns, F.explode(F.array(*keys)).alias("key"))
+    a = keyed.select("key", *[F.col(f"w{w}").alias(f"a{w}") for w in range(words)])
+    b = keyed.select("key", *[F.col(f"w{w}").alias(f"b{w}") for w in range(words)])
+    apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(words)), F.lit(0))
+    name = lambda side: F.lower(F.concat(*[F.lpad(F.hex(F.col(f"{side}{w}")), 16, "0") for w in range(words - 1, -1, -1)]))
+    # longs order like this only within a sign: any total order will do to take each pair once
+    first = F.struct(*[F.col(f"a{w}") for w in range(words)]) < F.struct(*[F.col(f"b{w}") for w in range(words)])
+    pairs = a.join(b, "key").where(first & (apart <= radius)).select(name("a").alias("x"), name("b").alias("y"), apart.alias("distance"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").distinct()
+
+
+def near_counts(report: DataFrame, radius: int = 3, blocks: int | None = None, bits: int = BITS) -> DataFrame:
+    """`report` with n_near: how many other fingerprints are within `radius` bits of each row's own."""
+    pairs = near_fingerprints(report, radius, blocks, bits=bits)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("_fp")).groupBy("_fp").agg(F.count(F.lit(1)).alias("n_near"))
+    return report.join(ends, F.col("fingerprint") == F.col("_fp"), "left").drop("_fp").withColumn("n_near", F.coalesce("n_near", F.lit(0)))

@@ -20,7 +20,7 @@ def _check(rows, ordered):
         edited = text[:len(text) - len(text) // 2] + following[:len(text) // 2]
         fp, fe, fn = (x.hex() for x in simhash.fingerprints(pa.array([text, edited, following])))
         want = (len(text), hashlib.sha256(edited.encode()).hexdigest(), fp, fe, 1 - _bits(fp, fe) / 128, 1 - _bits(fp, fn) / 128)
-        assert want in [tuple(r)[1:] for r in rows if r.doc_id == i], i
+        assert want in [tuple(r)[1:7] for r in rows if r.doc_id == i], i
 
 
 def test_query_against_brute_force(spark):
@@ -28,6 +28,9 @@ def test_query_against_brute_force(spark):
     rows = QUERIES["op1_simhash"](spark, SF).collect()
     assert len(rows) == len(texts)
     _check(rows, sorted(texts.items()))
+    prints = {r.fingerprint for r in rows}
+    for r in rows:
+        assert r.n_near == sum(0 < _bits(r.fingerprint, p) <= 3 for p in prints)
 
 
 def test_edges(spark):
@@ -54,9 +57,10 @@ def test_block_tables_find_all_pairs_within_the_radius(spark):
                 x ^= 1 << k
             prints.add(f"{x:032x}")
     df = spark.createDataFrame([(p,) for p in sorted(prints)] * 2 + [(None,)], "fingerprint string")
-    got = {(r.a, r.b, r.distance) for r in simhash.near_fingerprints(df, radius=3).collect()}
     want = {(a, b, _bits(a, b)) for a in prints for b in prints if a < b and _bits(a, b) <= 3}
-    assert got == want and want
+    for blocks in (None, 5, 6):
+        got = simhash.near_fingerprints(df, radius=3, blocks=blocks).collect()
+        assert {(r.a, r.b, r.distance) for r in got} == want and len(got) == len(want) > 0
     assert simhash.near_fingerprints(df.where(F.lit(False))).collect() == []
 
 
