@@ -57,8 +57,16 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def _describe(shingle: int, size: int):
-    """(id, text) -> (id, n_shingles, digest of the set, signature)."""
+def region_keys(sig: np.ndarray, trees: int, depth: int, prefix: int) -> np.ndarray:
+    """One 64-bit key for each tree: a hash of the tree and of the first `prefix` values of its order."""
+    salts = tb.mix64(np.arange(500, 500 + prefix, dtype=np.uint64)) | np.uint64(1)
+    values = sig.reshape(len(sig), trees, depth)[:, :, :prefix].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return tb.mix64((values * salts).sum(2) + tb.mix64(np.arange(trees, dtype=np.uint64))).view(np.int64)
+
+
+def _describe(shingle: int, trees: int, depth: int, prefix: int):
+    """(id, text) -> (id, n_shingles, digest of the set, region keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,11 +74,11 @@ def _describe(shingle: int, size: int):
                 part = batch.slice(lo, 512)
                 sets = list(document_sets(part.column(1), shingle))
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else _EMPTY_DIGEST for s in sets]
-                sig = signatures(sets, size).astype(">u4")
+                keys = region_keys(signatures(sets, trees * depth), trees, depth, prefix)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                    pa.array([r.tobytes() if len(s) else None for r, s in zip(sig, sets)], pa.binary()),
-                ], ["id", "n_shingles", "digest", "sig"])
+                    pa.array([k.tolist() if len(s) else None for k, s in zip(keys, sets)], pa.list_(pa.int64())),
+                ], ["id", "n_shingles", "digest", "keys"])
 
     return run
 
@@ -196,35 +204,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     size = trees * depth
     base_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = shared.stored(base_in.mapInArrow(_describe(shingle, size), "id long, n_shingles long, digest binary, sig binary"), "forest")
+    base = shared.stored(base_in.mapInArrow(_describe(shingle, trees, depth, min_prefix), "id long, n_shingles long, digest binary, keys array<long>"), "forest")
 
     classes = (base.where("n_shingles > 0 and id is not null").groupBy("digest")
-               .agg(F.min(F.struct("id", "n_shingles", "sig")).alias("m")).select("digest", "m.*"))
+               .agg(F.min(F.struct("id", "n_shingles", "keys")).alias("m")).select("digest", "m.*"))
     classes = shared.stored(classes.withColumnRenamed("id", "rep"), "forest-classes")
-
-    def key(tree: int, d: int):
-        return F.xxhash64(F.lit(tree), F.lit(d), F.substring("sig", tree * depth * 4 + 1, d * 4))
-
-    def keyed(d: int) -> DataFrame:
-        return classes.select("rep", "n_shingles", F.posexplode(F.array(*[key(t, d) for t in range(trees)])).alias("tree", "key"),
-                              *([F.array(*[key(t, min_prefix) for t in range(trees)]).alias("tops")] if d > min_prefix else []))
-
+    keyed = classes.select("rep", "n_shingles", F.posexplode("keys").alias("tree", "key"))
     weight = F.sum(F.col("n_shingles") + size).alias("weight")
-
-    def regions(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"), weight, F.min("rep").alias("least"),
-                                               F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("n > 1")
-
-    top = shared.stored(regions(keyed(min_prefix)), "forest-regions")
+    top = keyed.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"), weight, F.min("rep").alias("least"),
+                                           F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("n > 1")
+    top = shared.stored(top, "forest-regions")
     # parts that fit a task; the same members in several trees are one part
-    parts = top.where(F.col("weight") <= region_weight).dropDuplicates(["n", "least", "who"]).select("tree", "key", F.lit(min_prefix).alias("d"))
-    large = top.where(F.col("weight") > region_weight).select("tree", F.col("key").alias("top"))
-    member_rows = keyed(min_prefix).join(parts.select("key"), "key").select("rep", "tree", "key")
+    parts = top.where(F.col("weight") <= region_weight).dropDuplicates(["n", "least", "who"]).select("key")
+    large = top.where(F.col("weight") > region_weight).select(F.col("key").alias("top"))
+    member_rows = keyed.join(parts, "key").select("rep", "tree", "key")
     cut = not large.isEmpty()
+    needed = member_rows.select(F.col("rep").alias("id"))
     if cut:
+        inside = shared.stored(keyed.withColumnRenamed("key", "top").join(large, "top"), "forest-large")
+        needed = needed.union(inside.select(F.col("rep").alias("id")))
+    # a shuffled join at every size: the ids grow with the corpus
+    texts = base_in.where("id is not null").hint("merge").join(needed.distinct(), "id", "left_semi")
+    sets = texts.mapInArrow(_with_sets(shingle, size), "id long, sig binary, hashes binary")
+    if cut:
+        sets = shared.stored(sets, "forest-sets")
         # adaptive depth: rows of a large region take the shallowest deeper prefix whose part fits
-        inside = keyed(depth).select("rep", "n_shingles", "tree", F.element_at("tops", F.col("tree") + 1).alias("top")).join(large.select("top"), "top")
-        left = inside.join(classes.select("rep", "sig"), "rep")
+        left = inside.join(sets.select(F.col("id").alias("rep"), "sig").dropDuplicates(["rep"]), "rep")
         for d in range(min_prefix + 1, depth + 1):
             here = F.xxhash64("tree", F.lit(d), F.substring(F.col("sig"), F.col("tree") * (depth * 4) + 1, F.lit(d * 4)))
             left = shared.stored(left.withColumn("key", here), f"forest-depth{d}")
@@ -238,16 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 blocks = F.ceil(F.col("weight") / region_weight).cast("long")
                 whole = sized.where(F.col("weight") > region_weight)
                 member_rows = member_rows.unionByName(whole.select("rep", "tree", F.xxhash64("key", F.pmod(F.xxhash64("rep"), blocks)).alias("key")))
-    member_rows = shared.stored(member_rows.distinct(), "forest-members")
-
-    needed = member_rows.select(F.col("rep").alias("id")).distinct()
-    if cut:
-        needed = needed.union(inside.select(F.col("rep").alias("id"))).distinct()
-    # a shuffled join at every size: the ids grow with the corpus
-    texts = base_in.where("id is not null").hint("merge").join(needed, "id", "left_semi")
-    sets = texts.mapInArrow(_with_sets(shingle, size), "id long, sig binary, hashes binary")
-    if cut:
-        sets = shared.stored(sets, "forest-sets")
+        member_rows = shared.stored(member_rows.distinct(), "forest-members")
     width = shared.shuffle_width(docs.sparkSession)
     order = F.substring(F.col("sig"), F.col("tree") * (depth * 4) + 1, F.lit(depth * 4))
 
