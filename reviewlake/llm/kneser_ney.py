@@ -163,7 +163,7 @@ class LanguageModels:
         n = np.maximum(np.diff(bounds) - (self.order - 1), 1)
         return -sums / n[:, None], tb.segment_sum((counted & (all_symbols != _BREAK)).astype(np.int64), bounds)
 
-    def calibrate(self, texts: dict[str, list[str]], share: float = 1.0, slack: float = 4.0, margin: float = 0.5) -> None:
+    def calibrate(self, texts: dict[str, list[str]], share: float = 1.0, slack: float = 8.0, margin: float = 0.5) -> None:
         """Set the rejection limit: the `share` quantile of the right language's cross-entropy over
         held-out labelled texts and a margin, plus `slack` / sqrt(letters) for the noise of short ones."""
         own = []
