@@ -182,3 +182,91 @@ def test_scan_packs(spark):
                                    ("d", "nothing here")], "id string, content string")
     hits = sorted((x.id, x.rule_id) for x in S.scan(lines, S.SECRET_PACK + S.INJECTION_PACK + S.SLOP_PACK).collect())
     assert hits == [("a", "secret.password"), ("b", "inj.inner_html"), ("c", "slop.catch_all")]
+
+
+def test_ranks_keep_every_row_under_adaptive_execution(spark):
+    """A wide table whose range partitions adaptive execution would merge: ranks are 1..n, each once."""
+    from reviewlake.functions.ranking import global_rank, running_sums
+
+    n = 300_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).alias("v"), F.repeat(F.lit("x"), 200).alias("wide"))
+    out = global_rank(df, [F.col("v")]).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rank").alias("d"), F.min("rank").alias("a"),
+                                            F.max("rank").alias("b"), F.count_if(F.col("rank") != F.col("v") + 1).alias("wrong")).first()
+    assert tuple(out) == (n, n, 1, n, 0)
+    hot = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"), "id")
+    got = running_sums(hot, ["k"], [F.col("id")], {"c": F.lit(1).cast("bigint"), "s": F.col("id")})
+    want = {}
+    for r in sorted(hot.collect(), key=lambda r: r.id):
+        c, s = want.get(r.k, (0, 0))
+        want[r.k] = (c + 1, s + r.id)
+    last = got.groupBy("k").agg(F.max(F.struct("id", "c", "s")).alias("m")).collect()
+    assert {r.k: (r.m.c, r.m.s) for r in last} == want and got.count() == 20_000
+
+
+def test_wrong_types_and_shapes_fail_the_review(spark):
+    ok = {"severity": "low", "title": "t", "description": "d"}
+    cases = {
+        "issues_not_list": [{"issues": "none"}, {"issues": 3}, {"issues": None}, {"issues": {"a": 1}}],
+        "issue_not_object": [{"issues": ["x"]}, {"issues": [ok, None]}, {"issues": [[1]]}],
+        "bad_title": [{"issues": [ok | {"title": 5}]}, {"issues": [ok | {"title": None}]}],
+        "bad_score": [{"score": None}, {"score": "high"}, {"score": 11}, {"score": [7]}],
+        "bad_approval": [{"approval_recommended": "maybe"}, {"approval_recommended": None}],
+        "bad_block": [{"block_merge": "perhaps"}],
+        "bad_summary": [{"summary": None}, {"summary": 4}],
+        "bad_severity": [{"issues": [ok | {"severity": 3}]}, {"issues": [{"title": "t", "description": "d"}]}],
+        "bad_line_number": [{"issues": [ok | {"line_number": 1.5}]}, {"issues": [ok | {"line_number": "x"}]}],
+        "bad_category": [{"issues": [ok | {"category": None}]}],
+        None: [{"issues": ""}, {"issues": {}}, {"block_merge": ""}, {"score": "7"}, {"approval_recommended": "Yes"}, {"block_merge": 1},
+               {"issues": [ok | {"line_number": 3_000_000_000, "file_path": None}]}, {"issues": [ok | {"line_number": "12"}]}],
+    }
+    rows = [(f"{k}-{i}", json.dumps(c), "f") for k, cs in cases.items() for i, c in enumerate(cs)]
+    reviews, issues = Fd.review_responses(_resp(spark, rows), "pr")
+    got = {r.review_id: r.failure_reason for r in reviews.collect()}
+    assert got == {f"{k}-{i}": k for k, cs in cases.items() for i in range(len(cs))}
+    assert {i.line_number for i in issues.collect()} == {3_000_000_000, 12}
+
+
+def test_one_parse_in_the_plans(spark):
+    """The review pipeline shuffles nothing and the webhook filter does not repeat the parse."""
+    from reviewlake.operators import ingest as In
+    from reviewlake.plans.ingest_queries import webhooks
+
+    from .conftest import SF_SMALL
+
+    plan = In.unified_prs(webhooks(spark, SF_SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(action") + plan.count("from_json(StructField(zen") == 1, plan.count("from_json")
+    reviews, _ = Fd.review_responses(_resp(spark, [("1", "{}", "f")]), "pr")
+    text = reviews._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Join" not in text
+
+
+def test_globs_and_ignore_files(spark):
+    files = spark.createDataFrame([(p, f) for p in ("own", "none") for f in ("foo[bar", "a/b.py", "a.py", "src/gen/x.py", "docs/y.md")], "project string, rel_path string")
+    own = spark.createDataFrame([("own", "foo[bar"), ("own", "src/gen/")], "project string, pattern string")
+    default = spark.createDataFrame([("[ab].py",), ("docs/",)], "pattern string")
+    out = C.flag_ignored(files, own, group="project", default=default).filter("ignored").select("project", "rel_path").collect()
+    assert sorted(map(tuple, out)) == [("none", "a.py"), ("none", "a/b.py"), ("none", "docs/y.md"), ("own", "foo[bar"), ("own", "src/gen/x.py")]
+
+
+def test_invalid_utf8_files_are_read(spark, tmp_path):
+    from reviewlake.sources.io import read_files
+
+    (tmp_path / "bad.py").write_bytes(b"ok \xff\xfe end")
+    assert "ok " in read_files(spark, str(tmp_path)).first().text
+
+
+def test_checkpoint_folder_is_required_on_a_cluster():
+    import pytest
+
+    from reviewlake.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Cluster())
