@@ -31,6 +31,8 @@ from .components import components
 TREES, DEPTH, MIN_PREFIX, SLACK = 16, 8, 4, 0.15
 #: Shingle hashes (8 bytes each) of one task's region.
 REGION_WEIGHT = 2_000_000
+#: Bits of the filter of document ids whose sets a later step needs (8 MB).
+FILTER_BITS = 1 << 26
 _EMPTY_DIGEST = b"\x00" * 16
 
 
@@ -83,11 +85,29 @@ def _describe(shingle: int, trees: int, depth: int, prefix: int):
     return run
 
 
-def _with_sets(shingle: int, size: int):
-    """(id, text) -> (id, sig, hashes): the full sets of documents that share a region."""
+def _place(col: str):
+    """Bit of an id in the filter of wanted ids."""
+    return F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
+
+
+def wanted_bits(ids: DataFrame, col: str = "id") -> np.ndarray:
+    """A filter of FILTER_BITS bits with the bit of every id set: built in Spark, of a fixed size however many ids."""
+    place = _place(col) + 1
+    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in rows:
+        out[(r["b"] - 1) * 4096:r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out
+
+
+def _with_sets(shingle: int, size: int, wanted):
+    """(id, text, place) -> (id, sig, hashes): the full sets of documents whose id may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 sets = list(document_sets(part.column(1), shingle))
@@ -223,9 +243,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if cut:
         inside = shared.stored(keyed.withColumnRenamed("key", "top").join(large, "top"), "forest-large")
         needed = needed.union(inside.select(F.col("rep").alias("id")))
-    # a shuffled join at every size: the ids grow with the corpus
-    texts = base_in.where("id is not null").hint("merge").join(needed.distinct(), "id", "left_semi")
-    sets = texts.mapInArrow(_with_sets(shingle, size), "id long, sig binary, hashes binary")
+    # texts are not shuffled: a filter of fixed size leaves out most that no region needs, the joins below the others
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted_bits(needed))
+    texts = base_in.where("id is not null").withColumn("place", _place("id"))
+    sets = texts.mapInArrow(_with_sets(shingle, size, wanted), "id long, sig binary, hashes binary")
     if cut:
         sets = shared.stored(sets, "forest-sets")
         # adaptive depth: rows of a large region take the shallowest deeper prefix whose part fits
