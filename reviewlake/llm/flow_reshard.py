@@ -3,8 +3,8 @@
 The old shards hold blocks of rows.  From their sizes and the new capacities a minimum-cost flow says
 how many bytes go from each old shard to each new one, so that the fewest bytes move (staying costs
 nothing).  The flow is laid out along the blocks of each old shard: a block inside one part of the flow
-moves or stays whole, a block on an edge is split by rows.  Only files of shards that gain or lose rows
-are rewritten.
+moves or stays whole, a block on an edge is split by rows, and a second, small flow evens out what the
+edges left over.  Only files of shards that gain or lose rows are rewritten.
 """
 from __future__ import annotations
 
@@ -72,50 +72,60 @@ def even_capacities(total: int, n: int) -> list[int]:
     return [total // n + (k < total % n) for k in range(n)]
 
 
-def reshard(rows: DataFrame, old_shard: Column, size: Column, order: list[Column], n_old: int, n_new: int = 16,
-            capacities: list[int] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`rows` with columns old_shard, size, shard, slot: old shard k is shard k again where the flow lets it.
-
-    Shard sizes differ from their capacities (equal ones by default) by less than one row at each edge of
-    the flow.  A row goes where the middle of its bytes falls.  `order` makes the order inside a block;
-    rows that tie in it are interchangeable.  slot counts the rows of a shard from 0 without a gap.
+def _laid_out(rows: DataFrame, flow: list[list[int]], order: list[Column]) -> DataFrame:
+    """`rows` with shard replaced: each source's rows, in block order, are laid along its parts of the flow.
 
-    Only one number for each old shard reaches the driver.  Blocks are cut by a hash of the order columns
-    into about `block_bytes` each, so an old shard with a third of all rows is many blocks.
+    What stays comes first, then the parts for the other shards; a row goes where the middle of its bytes falls.
     """
-    spark = rows.sparkSession
-    base = rows.withColumn("old_shard", old_shard.cast("int")).withColumn("size", size.cast("long"))
-    sizes = {r["old_shard"]: r["b"] for r in base.groupBy("old_shard").agg(F.sum("size").alias("b")).collect()}
-    supply = [int(sizes.get(k) or 0) for k in range(n_old)]
-    capacities = even_capacities(sum(supply), n_new) if capacities is None else capacities
-    flow = min_cost_flow(supply, capacities, lambda i, j: int(i != j))
-    blocks = F.element_at(F.array(*[F.lit(max(1, -(-s // block_bytes))) for s in supply]), F.col("old_shard") + 1)
-    base = shared.stored(base.withColumn("block", F.pmod(F.xxhash64(*order), blocks.cast("long"))), "reshard")
-
-    by_block = base.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"))
-    before = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_block.select("old_shard", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("from"))
-    inside = Window.partitionBy("old_shard", "block").orderBy(*order, "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["old_shard", "block"])
-    middle = F.col("from") + F.col("_in") + F.col("size") / 2
-    # what stays comes first, then the parts for the other shards
+    by_block = rows.groupBy("shard", "block").agg(F.sum("size").alias("bytes"))
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = by_block.select("shard", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy("shard", "block").orderBy(*order, "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["shard", "block"])
+    middle = F.col("_from") + F.col("_in") + F.col("size") / 2
     target = F.lit(None).cast("int")
     for i, parts in enumerate(flow):
         edge, chosen = 0, None
-        ranges = [(j, parts[j]) for j in sorted(range(n_new), key=lambda j: (j != i, j)) if parts[j]]
+        ranges = [(j, parts[j]) for j in sorted(range(len(parts)), key=lambda j: (j != i, j)) if parts[j]]
         for j, amount in ranges:
             edge += amount
             chosen = F.when(middle < edge, j) if chosen is None else chosen.when(middle < edge, j)
         if chosen is not None:
-            target = F.when(F.col("old_shard") == i, chosen.otherwise(ranges[-1][0])).otherwise(target)
-    placed = shared.stored(placed.withColumn("shard", target).drop("_in", "from"), "reshard-placed")
-
-    counts = placed.groupBy("shard", "old_shard", "block").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("shard", "old_shard", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    within = Window.partitionBy("shard", "old_shard", "block").orderBy(*order, "size")
-    return (placed.withColumn("_k", F.row_number().over(within) - 1).join(firsts, ["shard", "old_shard", "block"])
-            .withColumn("slot", (F.col("first") + F.col("_k")).cast("long")).drop("_k", "first", "block"))
+            target = F.when(F.col("shard") == i, chosen.otherwise(ranges[-1][0])).otherwise(target)
+    return placed.withColumn("shard", target).drop("_in", "_from")
+
+
+def reshard(rows: DataFrame, old_shard: Column, size: Column, order: list[Column], n_old: int, n_new: int = 16,
+            capacities: list[int] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`rows` with columns old_shard, size, shard, slot: old shard k is shard k again where the flow lets it.
+
+    Two flows are solved: the first from the old shards to the capacities (equal ones by default), the second evens
+    out what whole rows left over at the edges of the first.  Blocks hold rows of one size class, the largest rows
+    first, and what moves is taken from the end, so that the second flow moves small rows and shard sizes end within
+    such a row of their capacities.  `order` makes the order inside a block; rows that tie in it are
+    interchangeable.  slot counts the rows of a shard from 0 without a gap.
+
+    Only one number for each shard reaches the driver.  Blocks are cut by a hash of the order columns into about
+    `block_bytes` each, so an old shard with a third of all rows is many blocks.
+    """
+    base = rows.withColumn("old_shard", old_shard.cast("int")).withColumn("size", size.cast("long"))
+    sizes = {r["s"]: int(r["b"]) for r in base.groupBy(F.col("old_shard").alias("s")).agg(F.sum("size").alias("b")).collect()}
+    n_blocks = max(1, -(-max(sizes.values(), default=0) // block_bytes))
+    size_class = F.lit(64) - F.length(F.bin("size"))
+    block = size_class.cast("long") * n_blocks + F.pmod(F.xxhash64(*order), F.lit(n_blocks))
+    placed = shared.stored(base.withColumn("shard", F.col("old_shard")).withColumn("block", block), "reshard")
+    capacities = even_capacities(sum(sizes.values()), n_new) if capacities is None else capacities
+    for n in (n_old, n_new):
+        supply = [sizes.get(k, 0) for k in range(n)]
+        placed = shared.stored(_laid_out(placed, min_cost_flow(supply, capacities, lambda i, j: int(i != j)), order), "reshard-placed")
+        sizes = {r["shard"]: int(r["b"]) for r in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
+
+    counts = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("shard", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_first"))
+    within = Window.partitionBy("shard", "block").orderBy(*order, "size")
+    return (placed.withColumn("_k", F.row_number().over(within) - 1).join(firsts, ["shard", "block"])
+            .withColumn("slot", (F.col("_first") + F.col("_k")).cast("long")).drop("_k", "_first", "block"))
 
 
 def rewrite_affected(old: DataFrame, placed: DataFrame, keys: list[str], path: str) -> list[int]:
