@@ -25,7 +25,7 @@ from . import shared, textbytes as tb
 SHARD_BYTES = 1 << 20
 SAMPLE = 8
 #: Text bytes of the benchmark items that one pass searches; a larger benchmark takes several passes.
-BENCHMARK_BLOCK = 32 << 20
+BENCHMARK_BLOCK = 4 << 20
 
 
 class Phrases:

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 ORDER = 4
-#: The bound of the fit: labelled texts of each language, on average, and code points of each such text.
-SAMPLE_TEXTS, SAMPLE_CHARS = 400, 20_000
+#: The bound of the fit: labelled texts of each language, on average, code points of each such text, and languages.
+SAMPLE_TEXTS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 20_000, 256
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BREAK = 0x20
 _ROWS = 1024
@@ -190,17 +190,18 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
-        texts_each: int = SAMPLE_TEXTS, chars_each: int = SAMPLE_CHARS) -> LanguageModels | None:
-    """Models from about `texts_each` texts of each language (a hash of the id chooses), at most the first
+        texts_each: int = SAMPLE_TEXTS, chars_each: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> LanguageModels | None:
+    """Models of the `max_languages` languages with the most texts, from about `texts_each` texts of each language (a hash of the id chooses), at most the first
     `chars_each` code points of each, a fifth of them for calibration.  None without a labelled text.
 
     Null texts and null languages are left out.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return None
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, texts_each / n))]), F.col("lang"))
+    share = F.try_element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, texts_each / n))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("id", F.lit("kneser-ney")), F.lit(1 << 20))
     chosen = rows.where(draw < share * (1 << 20)).select("lang", F.substring("text", 1, chars_each).alias("text"), F.pmod(F.xxhash64("id"), F.lit(5)).alias("fold"))
     fitted: dict[str, list[str]] = {}

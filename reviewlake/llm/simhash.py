@@ -8,6 +8,7 @@ fingerprint is cut into, so one table for each choice of that many blocks finds
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -113,7 +114,8 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = width * buckets_per_task
     cuts = sorted({int(x) for x in rows.select("id").approxQuantile("id", [k / n for k in range(1, n)], 0.25 / n)})
-    bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c <= F.col("id"))), F.lit(0)) if cuts else F.lit(0)
+    edges = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")  # one literal, however many cuts
+    bucket = F.size(F.filter(edges, lambda c: c <= F.col("id"))) if cuts else F.lit(0)
     rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(bucket))
     firsts = [(r["bucket"], r["id"]) for r in rows.groupBy("bucket").agg(F.min("id").alias("id")).orderBy("bucket").collect()]
     guests = [(firsts[k - 1][0], b, i) for k, (b, i) in enumerate(firsts)]
