@@ -270,3 +270,24 @@ def test_checkpoint_folder_is_required_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Cluster())
+
+
+def test_eight_issue_review(spark):
+    """A review with two critical, three high and three medium issues over five categories, from response to tables."""
+    from reviewlake.operators import analytics as A
+
+    kinds = [("critical", "security"), ("critical", "reliability"), ("high", "security"), ("high", "performance"), ("high", "maintainability"),
+             ("medium", "reliability"), ("medium", "best_practices"), ("medium", "performance")]
+    body = {"summary": "Several problems.", "score": 6, "approval_recommended": False, "block_merge": True, "issues": [
+        {"severity": s, "title": f"title {k}", "description": f"text {k}", "file_path": f"m{k}.py", "line_number": 10 + k, "suggestion": "fix", "category": c}
+        for k, (s, c) in enumerate(kinds)]}
+    reviews, issues = Fd.review_responses(_resp(spark, [("1", json.dumps(body), "f")]), "pr")
+    r = reviews.first()
+    assert (r.total_issues, r.critical_count, r.high_count, r.medium_count, r.low_count, r.info_count) == (8, 2, 3, 3, 0, 0)
+    assert (r.score, r.block_merge, r.approval_recommended, r.security_score, r.security_issues_count) == (6, True, False, 4, 2)
+    assert r.summary.startswith("🚨 CRITICAL ERRORS FOUND (2):\n1. CRITICAL: title 0 - 🚨 CRITICAL: text 0...\n2. CRITICAL: title 1 - ")
+    matrix = {x.area: (x.critical, x.high, x.medium, x.total) for x in A.severity_type_matrix(reviews.select("review_id"), issues).collect()}
+    assert matrix == {"Security": (1, 1, 0, 2), "Reliability": (1, 1, 2, 4), "Maintainability": (0, 1, 1, 2)}
+    assert A.debt_hours(reviews.select("review_id"), issues).first().debt_hours == 8.5
+    comments = {x.pos: (x.file_path, x.line) for x in A.inline_comments(issues).collect()}
+    assert comments == {k + 1: (f"m{k}.py", 10 + k) for k in range(8)}
