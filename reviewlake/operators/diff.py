@@ -13,7 +13,8 @@ Line classification (public unified-diff conventions):
   the next file's headers fall outside.
 * a file starts at a ``--- `` line outside every hunk; ``+++ `` gives the target.  Paths drop ``a/`` /
   ``b/``; a ``/dev/null`` source is a new file, a ``/dev/null`` target a deleted one; a renamed file goes
-  by its target.  Sections without a ``--- `` line (mode changes, binaries, pure renames) are no files.
+  by its target.  A ``diff --git`` section without a ``--- `` line (mode change, binary, pure rename) is a file
+  without hunks, by the names of that line; ``new file mode`` and ``deleted file mode`` tell new and deleted ones.
 
 A diff that does not parse has an error, no files and no lines, and counts as zero; so does an empty one,
 without the error.  No text can make the job fail.
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HUNK_RE = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+GIT_RE = r"^diff --git (\S.*) (b/.*|\S+)$"
 SECTION_RE = r"(?m)(?=^diff --git )"
 DEV_NULL = "/dev/null"
 
@@ -83,8 +85,16 @@ def diff_lines_all(prs: DataFrame, pr: str = "pr", diff: str = "diff") -> DataFr
     df = df.withColumn("in_hunk", F.coalesce(in_hunk, F.lit(False)))
     file_hdr = ~F.col("in_hunk") & ~F.col("is_hunk_header") & F.col("text").startswith("--- ") \
         & F.coalesce(F.col("_next").startswith("+++ "), F.lit(False))
-    df = df.withColumn("is_file_header", file_hdr).withColumn("_f", F.sum(F.col("is_file_header").cast("int")).over(so_far))
-    src, tgt = _filename(F.col("text")), _filename(F.col("_next"))
+    section = Window.partitionBy("pr", "sec")
+    outside = lambda start: F.max(~F.col("in_hunk") & F.col("text").startswith(start)).over(section)
+    df = df.withColumn("_dash", file_hdr)
+    df = df.withColumn("_git", (F.col("ln") == 0) & F.col("text").rlike(GIT_RE) & ~F.max("_dash").over(section))
+    df = df.withColumn("is_file_header", F.col("_dash") | F.col("_git")).withColumn("_f", F.sum(F.col("is_file_header").cast("int")).over(so_far))
+    git = lambda i, gone: F.when(outside(gone), F.lit(DEV_NULL)).otherwise(F.regexp_extract("text", GIT_RE, i))
+    src = F.when(F.col("_git"), git(1, "new file mode")).otherwise(_filename(F.col("text")))
+    tgt = F.when(F.col("_git"), git(2, "deleted file mode")).otherwise(_filename(F.col("_next")))
+    df = df.withColumns({"_src": src, "_tgt": tgt})
+    src, tgt = F.col("_src"), F.col("_tgt")
     named = F.when(F.col("is_file_header"), F.struct(_path(src, tgt).alias("path"), (src == DEV_NULL).alias("is_new"), (tgt == DEV_NULL).alias("is_deleted")))
     df = df.withColumn("header", F.last(named, ignorenulls=True).over(so_far))
     # numbers per PR: those of the sections before are added (one row per section)
@@ -92,7 +102,7 @@ def diff_lines_all(prs: DataFrame, pr: str = "pr", diff: str = "diff") -> DataFr
     before = Window.partitionBy("pr").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ends.select("pr", "sec", F.coalesce(F.sum("_nh").over(before), F.lit(0)).alias("_oh"), F.coalesce(F.sum("_nf").over(before), F.lit(0)).alias("_of"))
     return (df.join(offsets, ["pr", "sec"]).withColumn("hunk_idx", F.col("_h") + F.col("_oh")).withColumn("file_idx", F.col("_f") + F.col("_of"))
-            .withColumn("_orphan", F.col("_f") == 0).drop("_h", "_f", "_oh", "_of"))
+            .withColumn("_orphan", F.col("_f") == 0).drop("_h", "_f", "_oh", "_of", "_dash", "_git", "_src", "_tgt"))
 
 
 def _hunk_stats(classified: DataFrame) -> DataFrame:

@@ -22,21 +22,23 @@ def _multi(spark, sf):
 
 
 # hand-written diffs by part number, besides those of the documents: two sections with a new file and two hunks,
-# a deleted file, a renamed one with numbers above 2^31, a hunk cut short, and no diff at all
+# a deleted file, a renamed one with numbers above 2^31, a hunk cut short, no diff at all, and files without hunks
 PLANTED = """
-SELECT -p_partkey - 1 AS pr, CASE p_partkey % 5
+SELECT -p_partkey - 1 AS pr, CASE p_partkey % 6
   WHEN 0 THEN concat_ws(chr(10), 'diff --git a/n.py b/n.py', 'new file mode 100644', '--- /dev/null', '+++ b/n.py', '@@ -0,0 +1,2 @@', '+a', '+b',
                         'diff --git a/m.ts b/m.ts', '--- a/m.ts', '+++ b/m.ts', '@@ -1 +1,2 @@', ' x', '+y', '@@ -9 +10 @@', '-p', '+q')
   WHEN 1 THEN concat_ws(chr(10), '--- a/old.go', '+++ /dev/null', '@@ -1,2 +0,0 @@', '-a', '-b')
   WHEN 2 THEN concat_ws(chr(10), '--- a/from.js', '+++ b/to.js', '@@ -12345678901 +12345678901 @@', '-a', '+b')
   WHEN 3 THEN concat_ws(chr(10), '--- a/x.py', '+++ b/x.py', '@@ -1,5 +1,5 @@', ' a', '+b')
+  WHEN 5 THEN concat_ws(chr(10), 'diff --git a/p.py b/q.py', 'similarity index 100%', 'rename from p.py', 'rename to q.py',
+                        'diff --git a/i.png b/i.png', 'new file mode 100644', 'Binary files /dev/null and b/i.png differ')
   ELSE '' END AS diff
 FROM {part}"""
 PLANTED_FILES_SQL = """
 planted AS (
   SELECT -p.p_partkey - 1 AS pr, f.* FROM part p JOIN (VALUES
     (0, 1, 'n.py', 2, 0, true, false, 1), (0, 2, 'm.ts', 2, 1, false, false, 2), (1, 1, 'old.go', 0, 2, false, true, 1),
-    (2, 1, 'to.js', 1, 1, false, false, 1)) AS f(kind, file_idx, path, additions, deletions, is_new, is_deleted, hunks) ON p.p_partkey % 5 = f.kind)"""
+    (2, 1, 'to.js', 1, 1, false, false, 1), (5, 1, 'q.py', 0, 0, false, false, 0), (5, 2, 'i.png', 0, 0, true, false, 0)) AS f(kind, file_idx, path, additions, deletions, is_new, is_deleted, hunks) ON p.p_partkey % 6 = f.kind)"""
 
 
 def _planted(spark, sf):
