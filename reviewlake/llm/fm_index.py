@@ -269,6 +269,25 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -
         yield [(r["id"], r["text"]) for r in part.collect()]
 
 
+def _block_hits(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, width: int, block_bytes: int) -> DataFrame:
+    """(key, all, items) of the rows (key, text, ..) with a hit: the spans and items of all blocks of the benchmark."""
+    spark = rows.sparkSession
+    found = []
+    for items in _item_blocks(benchmark, item_col, item_text_col, block_bytes):
+        phrases = spark.sparkContext.broadcast(Phrases(items, width))
+        found.append(rows.select(F.col("key").alias("id"), "text").mapInArrow(_find(phrases, False), f"id long, {FOUND}").where("n_hit > 0").select(F.col("id").alias("key"), "spans", "items"))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"),
+                                    F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """`rows` written once with a key of each row's own, so that all blocks see the same keys."""
+    return shared.stored(rows.withColumn("key", F.monotonically_increasing_id()), "fm-rows")
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                       item_text_col: str = "text", width: int = 10, block_bytes: int = BENCHMARK_BLOCK, with_text: bool = True) -> DataFrame:
     """One row per document: id, [text,] n_words, spans (byte ranges of hit words, merged), items, n_hit.
@@ -277,44 +296,51 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     consecutive words of an item, or all words of a shorter one; phrases match whole words within a
     document.  Null or empty texts have no words; items without id or words match nothing; repeated items
     count once; an empty benchmark finds nothing.  Other columns are not read.  A benchmark above
-    `block_bytes` is searched block by block; ids must then be unique.
+    `block_bytes` is searched block by block and the hits are merged by a key of each row's own, so null
+    and repeated ids give the same rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = []
-    for items in _item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        phrases = spark.sparkContext.broadcast(Phrases(items, width))
-        found.append(rows.mapInArrow(_find(phrases, with_text), f"id long, {'text string, ' * with_text}{FOUND}"))
-    if len(found) == 1:
-        return found[0]
-    narrow = found[0].select("id", "n_words", "spans", "items")
-    for f in found[1:]:
-        narrow = narrow.unionByName(f.select("id", "n_words", "spans", "items"))
-    merged = narrow.groupBy("id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"),
-                                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = rows.join(merged, "id")
-    return joined.mapInArrow(_merge, f"id long, text string, {FOUND}")
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the spans of several benchmark blocks and count the words under them."""
-    for batch in batches:
-        texts, spans, hits = batch.column("text").to_pylist(), [], []
-        for text, found in zip(texts, batch.column("all").to_pylist()):
-            raw, out = (text or "").encode(), []
-            for s in found:
-                if out and s["start"] <= out[-1]["end"]:
-                    out[-1]["end"] = max(out[-1]["end"], s["end"])
-                elif out and not tb.ALNUM[tb.LOWER[np.frombuffer(raw[out[-1]["end"]:s["start"]], dtype=np.uint8)]].any():
-                    out[-1]["end"] = s["end"]
-                else:
-                    out.append(dict(s))
-            spans.append(out)
-            hits.append(sum(len(text_words(raw[s["start"]:s["end"]].decode())) for s in out))
-        yield pa.RecordBatch.from_arrays([
-            batch.column("id"), batch.column("text"), batch.column("n_words"),
-            pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), batch.column("items"), pa.array(hits, pa.int64()),
-        ], ["id", "text", "n_words", "spans", "items", "n_hit"])
+    shape = f"id long, {'text string, ' * with_text}{FOUND}"
+    if len(_block_bounds(benchmark, item_text_col, block_bytes)) == 1:
+        items = next(_item_blocks(benchmark, item_col, item_text_col, block_bytes))
+        return rows.mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(Phrases(items, width)), with_text), shape)
+    rows = _keyed(rows)
+    joined = rows.join(_block_hits(rows, benchmark, item_col, item_text_col, width, block_bytes), "key", "left")
+    return joined.select("id", "text", "all", "items").mapInArrow(_merge(with_text), shape)
+
+
+def merged_spans(text: str | None, found: list[dict] | None) -> tuple[list[dict], int]:
+    """The sorted spans of several blocks as maximal runs of hit words, and the number of words under them."""
+    if not found:
+        return [], 0
+    raw, out = (text or "").encode(), []
+    for s in found:
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
+        elif out and not tb.ALNUM[tb.LOWER[np.frombuffer(raw[out[-1]["end"]:s["start"]], dtype=np.uint8)]].any():
+            out[-1]["end"] = s["end"]
+        else:
+            out.append(dict(s))
+    return out, sum(len(text_words(raw[s["start"]:s["end"]].decode())) for s in out)
+
+
+def _merge(with_text: bool):
+    """(id, text, all, items) -> (id, [text,] FOUND columns); null `all`: no hit in any block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in tb.text_slices(batch.column("text"), SHARD_BYTES):
+                _, _, bounds = tb.word_spans(tb.LOWER[data], offsets, tb.ALNUM)
+                part = batch.slice(first, end - first)
+                merged = [merged_spans(t, f) for t, f in zip(part.column("text").to_pylist(), part.column("all").to_pylist())]
+                kept = ["id", "text"][:1 + with_text]
+                yield pa.RecordBatch.from_arrays([
+                    *(part.column(k) for k in kept), pa.array(np.diff(bounds), pa.int64()),
+                    pa.array([m for m, _ in merged], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array([i or [] for i in part.column("items").to_pylist()], pa.list_(pa.int64())), pa.array([n for _, n in merged], pa.int64()),
+                ], [*kept, "n_words", "spans", "items", "n_hit"])
+
+    return run
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -357,11 +383,15 @@ def _clean(phrases, names: list[str]):
 
 
 def _clean_joined(names: list[str]):
+    """(text, all, others) -> (text without hit spans, n_hit, others), for hits of several blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[(s["start"], s["end"]) for s in x or []] for x in batch.column("spans").to_pylist()]
-            text = [cut(t, s) for t, s in zip(batch.column("text").to_pylist(), found)]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), batch.column("n_hit"), *(batch.column(c) for c in names)], ["text", "n_hit", *names])
+            texts = batch.column("text").to_pylist()
+            merged = [merged_spans(t, f) for t, f in zip(texts, batch.column("all").to_pylist())]
+            text = [cut(t, [(s["start"], s["end"]) for s in m]) for t, (m, _) in zip(texts, merged)]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array([n for _, n in merged], pa.int64()), *(batch.column(c) for c in names)],
+                                             ["text", "n_hit", *names])
 
     return run
 
@@ -370,7 +400,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """`docs` with every hit span cut out of its text; documents of which no word is left are dropped.
 
     Documents without a hit stay as they are, wordless and null texts too.  Columns keep their names and
-    order.  A benchmark above `block_bytes` is joined back by id, which must then be unique.
+    order.  A benchmark above `block_bytes` is searched block by block, as in `benchmark_matches`.
     """
     other = [f for f in docs.schema if f.name != text_col]
     names = [f"c{i}" for i in range(len(other))]
@@ -382,10 +412,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items, options.get("width", 10)))
         out = rows.mapInArrow(_clean(phrases, names), shape)
     else:
-        found = benchmark_matches(docs, benchmark, id_col, text_col, block_bytes=block_bytes, with_text=False, **options)
-        own = names[[f.name for f in other].index(id_col)]
-        joined = rows.join(found.select(F.col("id").alias("_id"), "spans", "n_hit"), F.col(own) == F.col("_id"), "left").fillna({"n_hit": 0})
-        out = joined.mapInArrow(_clean_joined(names), shape)
+        rows = _keyed(rows)
+        hits = _block_hits(rows, benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("width", 10), block_bytes)
+        out = rows.join(hits, "key", "left").select("text", "all", *names).mapInArrow(_clean_joined(names), shape)
     left = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")
     back = {f.name: n for n, f in zip(names, other)} | {text_col: "text"}
     return out.where((F.col("n_hit") == 0) | left).select(*[F.col(back[c]).alias(c) for c in docs.columns])

@@ -65,6 +65,20 @@ def test_benchmarks_above_one_block(spark):
     assert cut() == cut(block_bytes=1500)
 
 
+def test_blocks_keep_rows_with_null_and_repeated_ids(spark):
+    passages = [f"p{k} q{k} rr{k} s{k} t{k} u{k} v{k} é{k} x{k} y{k} z{k}" for k in range(40)]
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    more = [(None, f"ü {passages[0]} end"), (None, f"{passages[1]}"), (7, f"ééé {passages[2]}, {passages[3]} after"), (7, f"x {passages[4]}"), (7, "nothing é here"), (7, None)]
+    extra = spark.createDataFrame([(i, t, *[None] * 13) for i, t in more], edge_docs(spark).schema)
+    docs = edge_docs(spark).unionByName(extra)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    one = rows(fm.contamination_report(docs, items))
+    assert len(one) == docs.count() and sum(r[-1] for r in one) == 4
+    assert rows(fm.contamination_report(docs, items, block_bytes=300)) == one
+    assert rows(fm.benchmark_matches(docs, items, block_bytes=300)) == rows(fm.benchmark_matches(docs, items))
+    assert rows(fm.decontaminate(docs, items, block_bytes=300)) == rows(fm.decontaminate(docs, items))
+
+
 def test_spans_are_cut_out(spark):
     passage = "One two, three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, f"Before it. {passage} eleven. After it.", "x"), (2, "clean  text stays", "y"), (3, passage.upper() + "!", "z"), (4, None, "n"), (5, "...", "p")],
