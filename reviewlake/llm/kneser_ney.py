@@ -4,7 +4,7 @@ One model for each language over letters (lower-cased) and word breaks, fitted o
 labelled texts.  The models of an order share one sorted array of n-gram hashes, with a column of log
 probabilities for each language, and one of context hashes with back-off weights.  A text's language is
 the one of the lowest cross-entropy per character; texts that no model explains are rejected by a limit
-calibrated on labelled texts outside the fit.
+calibrated for each language and text length on labelled texts outside the fit.
 """
 from __future__ import annotations
 
@@ -22,6 +22,11 @@ from . import textbytes as tb
 ORDER = 4
 #: The bound of the fit: labelled texts of each language, on average, code points of each such text, and languages.
 SAMPLE_TEXTS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 20_000, 256
+#: Text lengths in letters with a rejection limit of their own; the quantile of held-out texts, how many times its distance
+#: from the median a limit lies above it, and the fewest texts of a limit.
+LENGTHS, SHARE, REACH, LEAST = (1, 4, 8, 16, 32, 64, 128, 256, 512), 0.98, 5.0, 20
+#: Symbols of a window.
+WINDOW = 64
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BREAK = 0x20
 _ROWS = 1024
@@ -126,7 +131,7 @@ class LanguageModels:
             self.grams.append(_merged([m[0][k] for m in models], np.nan))
             self.contexts.append(_merged([m[1][k] for m in models], 0.0))
         self.unseen = np.array([-np.log(m[2] + 1.0) for m in models], dtype=np.float32)
-        self.limit, self.slack = np.inf, 0.0
+        self.limits = np.full((len(self.languages), len(LENGTHS)), np.inf)
 
     def log_probability(self, hashes: list[np.ndarray], at: np.ndarray) -> np.ndarray:
         """(places, languages): log probability of each symbol after the ones before it."""
@@ -150,8 +155,8 @@ class LanguageModels:
         out[rows] = np.where(np.isnan(out[rows]), back[rows] + self.unseen, out[rows])
         return out
 
-    def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) cross-entropy per symbol in nats, and the number of letters of each text."""
+    def _scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, languages) log probabilities, 0 at breaks before a text, the bounds of the texts and their numbers of letters."""
         all_symbols, bounds = symbols(texts, self.order)
         hashes = gram_hashes(all_symbols, self.order)
         counted = _counted(bounds, self.order)
@@ -159,21 +164,74 @@ class LanguageModels:
         _, first, inverse = np.unique(hashes[-1][at], return_index=True, return_inverse=True)
         each = np.zeros((len(all_symbols), len(self.languages)))
         each[at] = self.log_probability(hashes, at[first])[inverse]
-        sums = tb.segment_sum(each, bounds)
-        n = np.maximum(np.diff(bounds) - (self.order - 1), 1)
-        return -sums / n[:, None], tb.segment_sum((counted & (all_symbols != _BREAK)).astype(np.int64), bounds)
-
-    def calibrate(self, texts: dict[str, list[str]], share: float = 1.0, slack: float = 8.0, margin: float = 0.5) -> None:
-        """Set the rejection limit: the `share` quantile of the right language's cross-entropy over
-        held-out labelled texts and a margin, plus `slack` / sqrt(letters) for the noise of short ones."""
-        own = []
+        return each, bounds, tb.segment_sum((counted & (all_symbols != _BREAK)).astype(np.int64), bounds)
+
+    def _mean(self, each: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return -tb.segment_sum(each, bounds) / np.maximum(np.diff(bounds) - (self.order - 1), 1)[:, None]
+
+    def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, languages) cross-entropy per symbol in nats, and the number of letters of each text."""
+        each, bounds, letters = self._scored(texts)
+        return self._mean(each, bounds), letters
+
+    def explained(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`cross_entropy`, and what of each text is held to a limit: the median over its windows of about
+        WINDOW symbols of the lowest cross-entropy, so that mixed texts and foreign passages pass.
+        """
+        each, bounds, letters = self._scored(texts)
+        entropy = self._mean(each, bounds)
+        held = entropy.min(1)
+        n = np.diff(bounds) - (self.order - 1)
+        some = np.flatnonzero(n > 0)
+        if len(some):
+            many = np.maximum(n[some] // WINDOW, 1)
+            text, first = np.repeat(np.arange(len(some)), many), np.cumsum(many) - many
+            k, size = np.arange(many.sum()) - first[text], n[some][text]
+            starts = size * k // many[text]
+            sums = np.add.reduceat(each, bounds[some][text] + self.order - 1 + starts, axis=0)
+            mean = -sums.max(1) / (size * (k + 1) // many[text] - starts)
+            mean = mean[np.lexsort((mean, text))]
+            held[some] = (mean[first + (many - 1) // 2] + mean[first + many // 2]) / 2
+        return entropy, letters, held
+
+    def calibrate(self, texts: dict[str, list[str]], share: float = SHARE, reach: float = REACH, least: int = LEAST) -> None:
+        """Set the rejection limit of each language and length in letters, from held-out labelled texts.
+
+        Only texts that the models give their label count, so that mislabelled ones do not.  A limit lies
+        `reach` times as far above the median cross-entropy as the `share` quantile; for the shorter
+        lengths pieces of these texts are measured, for the longest the whole texts.  A language with
+        fewer than `least` texts at a length takes the limit of the length below, and has none below the first.
+        """
         for i, name in enumerate(self.languages):
-            if texts.get(name):
-                entropy, letters = self.cross_entropy(texts[name])
-                own.append((entropy[:, i] - slack / np.sqrt(np.maximum(letters, 1)))[letters > 0])
-        own = [x for x in own if len(x)]
-        if own:
-            self.limit, self.slack = max(float(np.quantile(x, share)) for x in own) + margin, slack
+            if not texts.get(name):
+                continue
+            entropy, letters = self.cross_entropy(texts[name])
+            right = [t for t, e, n in zip(texts[name], entropy, letters) if n and e.argmin() == i]
+            for j, length in enumerate(LENGTHS):
+                self.limits[i, j] = self.limits[i, j - 1] if j else np.inf
+                whole = j == len(LENGTHS) - 1
+                pieces = right if whole else [p for t in right for p in _pieces(t, length)]
+                if pieces:
+                    _, letters, held = self.explained(pieces)
+                    own = held[letters >= length] if whole else held
+                    if len(own) >= least:
+                        middle, high = np.quantile(own, [0.5, share])
+                        self.limits[i, j] = middle + reach * (high - middle)
+        # a shorter text is never held to less than a longer one
+        self.limits = np.maximum.accumulate(self.limits[:, ::-1], axis=1)[:, ::-1]
+
+    def limit(self, language: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The rejection limit of texts of `letters` letters, that of the measured length next below."""
+        return self.limits[language, np.maximum(np.searchsorted(LENGTHS, letters, side="right") - 1, 0)]
+
+
+def _pieces(text: str, letters: int, most: int = 4) -> list[str]:
+    """Up to `most` pieces of about `letters` letters, evenly spread over the text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    at = np.flatnonzero(letter_table()[points] != _BREAK)
+    count = min(most, len(at) // letters)
+    firsts = [k * (len(at) - letters) // max(1, count - 1) for k in range(count)]
+    return [text[at[f]:at[f + letters - 1] + 1] for f in firsts]
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]], absent: float) -> tuple[np.ndarray, np.ndarray]:
@@ -227,12 +285,12 @@ def predict(texts: list[str], models: LanguageModels | None) -> tuple[list[str],
     """
     if models is None or not texts:
         return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-    entropy, letters = models.cross_entropy(texts)
+    entropy, letters, held = models.explained(texts)
     best = entropy.argmin(1)
     lowest = entropy[np.arange(len(texts)), best]
     weight = np.exp(-(entropy - lowest[:, None]) * np.minimum(letters, 64)[:, None])
     none = letters == 0
-    rejected = none | (lowest > models.limit + models.slack / np.sqrt(np.maximum(letters, 1)))
+    rejected = none | (held > models.limit(best, letters))
     names = ["und" if z else models.languages[b] for b, z in zip(best, none)]
     return names, np.where(none, 0.0, 1 / weight.sum(1)), rejected
 

@@ -51,6 +51,22 @@ def test_rejection(spark):
     assert kn.identify(docs, models).where("rejected").count() == 0
 
 
+def test_texts_of_a_language_left_out_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    junk = spark.createDataFrame([(-1, "these words are of that other nation " * 40, "fr"), (-2, "qzxkv wvzzq xkqjz zzxqw kkqxj " * 40, "fr")], "doc_id long, text string, lang string")
+    models = kn.fit(docs.where("lang <> 'es'").select("doc_id", "text", "lang").unionByName(junk))
+    share = {r["lang"]: r["share"] for r in kn.identify(docs, models).groupBy("lang").agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
+    assert share["es"] > 0.7 and max(share[k] for k in ("de", "en", "fr")) < 0.01
+
+
+def test_mislabelled_held_out_texts_lift_no_limit():
+    a, b = ["abab abba baab aabb " * 40] * 40, ["cdcd dccd ddcc cddc " * 40] * 40
+    clean, dirty = (kn.LanguageModels({"aa": a[:10], "bb": b[:10]}) for _ in range(2))
+    clean.calibrate({"aa": a, "bb": b})
+    dirty.calibrate({"aa": a + b[:3], "bb": b})
+    assert (clean.limits == dirty.limits).all() and np.isfinite(clean.limits).all()
+
+
 def test_edges(spark):
     rows = kn.language_report(edge_docs(spark)).collect()
     assert len(rows) == edge_docs(spark).count()
