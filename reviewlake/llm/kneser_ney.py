@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textbytes as tb
+from . import shared, textbytes as tb
 
 ORDER = 4
-#: The bound of the fit: labelled texts of each language, on average, code points of each such text, and languages.
-SAMPLE_TEXTS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 20_000, 256
+#: The bound of the fit: labelled texts of each language, on average, and code points of each such text.
+SAMPLE_TEXTS, SAMPLE_CHARS = 400, 20_000
+#: Languages whose texts are on the driver at once and whose models share their arrays.
+TOGETHER = 32
 #: Text lengths in letters with a rejection limit of their own; the quantile of held-out texts, how many times its distance
 #: from the median a limit lies above it, and the fewest texts of a limit.
 LENGTHS, SHARE, REACH, LEAST = (1, 4, 8, 16, 32, 64, 128, 256, 512), 0.98, 5.0, 20
@@ -120,22 +122,20 @@ def _one_model(texts: list[str], order: int) -> tuple[list[tuple[np.ndarray, np.
     return [(g, np.log(p)) for g, p in zip(grams, probability)], contexts, size
 
 
-class LanguageModels:
-    """Sorted hash arrays of all languages' models."""
+class _Block:
+    """Sorted hash arrays of some languages' models."""
 
-    def __init__(self, samples: dict[str, list[str]], order: int = ORDER):
-        self.languages, self.order = sorted(samples), order
-        models = [_one_model(samples[name], order) for name in self.languages]
+    def __init__(self, models: list, order: int):
+        self.order = order
         self.grams, self.contexts = [], []
         for k in range(order):
             self.grams.append(_merged([m[0][k] for m in models], np.nan))
             self.contexts.append(_merged([m[1][k] for m in models], 0.0))
         self.unseen = np.array([-np.log(m[2] + 1.0) for m in models], dtype=np.float32)
-        self.limits = np.full((len(self.languages), len(LENGTHS)), np.inf)
 
     def log_probability(self, hashes: list[np.ndarray], at: np.ndarray) -> np.ndarray:
         """(places, languages): log probability of each symbol after the ones before it."""
-        out = np.full((len(at), len(self.languages)), np.nan, dtype=np.float32)
+        out = np.full((len(at), len(self.unseen)), np.nan, dtype=np.float32)
         back = np.zeros_like(out)
         rows = np.arange(len(at))
         for k in range(self.order - 1, -1, -1):
@@ -155,6 +155,27 @@ class LanguageModels:
         out[rows] = np.where(np.isnan(out[rows]), back[rows] + self.unseen, out[rows])
         return out
 
+
+class LanguageModels:
+    """The models of all languages, in blocks of TOGETHER."""
+
+    def __init__(self, samples: dict[str, list[str]], order: int = ORDER):
+        self.languages, self.order, self.blocks = [], order, []
+        self.limits = np.empty((0, len(LENGTHS)))
+        self.add(samples)
+
+    def add(self, samples: dict[str, list[str]]) -> None:
+        """Learn further languages."""
+        names = sorted(samples)
+        for k in range(0, len(names), TOGETHER):
+            self.blocks.append(_Block([_one_model(samples[name], self.order) for name in names[k:k + TOGETHER]], self.order))
+        self.languages += names
+        self.limits = np.full((len(self.languages), len(LENGTHS)), np.inf)
+
+    def log_probability(self, hashes: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """(places, languages): log probability of each symbol after the ones before it."""
+        return np.concatenate([b.log_probability(hashes, at) for b in self.blocks], axis=1)
+
     def _scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, languages) log probabilities, 0 at breaks before a text, the bounds of the texts and their numbers of letters."""
         all_symbols, bounds = symbols(texts, self.order)
@@ -248,33 +269,49 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
-        texts_each: int = SAMPLE_TEXTS, chars_each: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> LanguageModels | None:
-    """Models of the `max_languages` languages with the most texts, from about `texts_each` texts of each language (a hash of the id chooses), at most the first
+        texts_each: int = SAMPLE_TEXTS, chars_each: int = SAMPLE_CHARS, together: int = TOGETHER) -> LanguageModels | None:
+    """Models of every language, from about `texts_each` texts of each (a hash of the id chooses), at most the first
     `chars_each` code points of each, a fifth of them for calibration.  None without a labelled text.
 
-    Null texts and null languages are left out.
+    Null texts and null languages are left out.  The sample of `together` languages is on the driver at once.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    counts = {r["lang"]: r["n"] for r in most.collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    share = F.try_element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, texts_each / n))]), F.col("lang"))
+    names = sorted(counts)
+    blocks = [names[k:k + together] for k in range(0, len(names), together)]
+    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, texts_each / counts[k])) for k in names], "lang string, share double")
+    share = F.try_element_at(F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, texts_each / counts[k]))]), F.col("lang")) if len(blocks) == 1 else F.col("share")
     draw = F.pmod(F.xxhash64("id", F.lit("kneser-ney")), F.lit(1 << 20))
-    chosen = rows.where(draw < share * (1 << 20)).select("lang", F.substring("text", 1, chars_each).alias("text"), F.pmod(F.xxhash64("id"), F.lit(5)).alias("fold"))
-    fitted: dict[str, list[str]] = {}
-    held: dict[str, list[str]] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["fold"], r["text"])):
-        (held if r["fold"] == 0 else fitted).setdefault(r["lang"], []).append(r["text"])
-    for name in held:
-        fitted.setdefault(name, held[name])  # so few texts that none was left for the fit
+    chosen = (rows if len(blocks) == 1 else rows.join(shares, "lang")).where(draw < share * (1 << 20)).select(
+        "lang", F.substring("text", 1, chars_each).alias("text"), F.pmod(F.xxhash64("id"), F.lit(5)).alias("fold"))
+    if len(blocks) > 1:
+        chosen = shared.stored(chosen, "language-sample")
     letters = letter_table()
     has = lambda t: bool((letters[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)] != _BREAK).any())
-    fitted = {k: v for k, v in ((k, [t for t in v if has(t)]) for k, v in fitted.items()) if v}
-    if not fitted:
+
+    def sample(block: list[str], fold: bool) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+        fitted: dict[str, list[str]] = {}
+        held: dict[str, list[str]] = {}
+        part = chosen if len(blocks) == 1 else chosen.where(F.col("lang").isin(block))
+        for r in sorted((part.where("fold = 0") if fold else part).collect(), key=lambda r: (r["lang"], r["fold"], r["text"])):
+            (held if r["fold"] == 0 else fitted).setdefault(r["lang"], []).append(r["text"])
+        for name in held:
+            fitted.setdefault(name, held[name])  # so few texts that none was left for the fit
+        return {k: v for k, v in ((k, [t for t in v if has(t)]) for k, v in fitted.items()) if v}, held
+
+    models = None
+    for block in blocks:
+        fitted, held = sample(block, False)
+        if fitted and models is None:
+            models = LanguageModels(fitted, order)
+        elif fitted:
+            models.add(fitted)
+    if models is None:
         return None
-    models = LanguageModels(fitted, order)
-    models.calibrate(held)
+    for block in blocks:  # held to all models
+        models.calibrate(held if len(blocks) == 1 else sample(block, True)[1])
     return models
 
 

@@ -67,6 +67,23 @@ def test_mislabelled_held_out_texts_lift_no_limit():
     assert (clean.limits == dirty.limits).all() and np.isfinite(clean.limits).all()
 
 
+def test_every_language_is_learned(spark):
+    name = lambda k: f"l{k:03d}"
+    texts = [(100 * k + n, " ".join(chr(0x4E00 + 8 * k + i % 8) * (1 + (i + n) % 3) for i in range(30)), name(k)) for k in range(300) for n in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    models = kn.fit(docs)
+    assert models.languages == [name(k) for k in range(300)]
+    assert kn.identify(docs.where("doc_id % 100 = 0"), models).where("lang_pred <> lang or rejected").count() == 0
+
+
+def test_blocks_of_languages_change_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, many = kn.fit(docs), kn.fit(docs, together=2)
+    assert one.languages == many.languages and len(many.blocks) == 2 and np.array_equal(one.limits, many.limits)
+    texts = [r.text for r in docs.where("text is not null").limit(50).collect()]
+    assert np.array_equal(one.cross_entropy(texts)[0], many.cross_entropy(texts)[0])
+
+
 def test_edges(spark):
     rows = kn.language_report(edge_docs(spark)).collect()
     assert len(rows) == edge_docs(spark).count()
