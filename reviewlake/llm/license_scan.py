@@ -56,6 +56,46 @@ TEMPLATES = {
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ],
+    "agpl-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0",
+    ],
+    "cc-by-sa-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ],
+    "cc0-1.0": [
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+        "SPDX-License-Identifier: CC0-1.0",
+    ],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "gpl-2.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+        "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+        "SPDX-License-Identifier: GPL-2.0",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies.",
+    ],
+    "lgpl-2.1": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1",
+    ],
+    "lgpl-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+    ],
 }
 
 
@@ -169,13 +209,23 @@ def scan(data: np.ndarray, offsets: np.ndarray, templates: Templates) -> tuple[n
     return words, matches
 
 
+def nearest(matches: list[tuple[int, str, int, int, float]]) -> list[tuple[int, str, int, int, float]]:
+    """The matches of one text without those that another licence's match of higher containment overlaps by
+    more than half of the shorter span: notices of sibling licences differ in a few words only."""
+    kept: list[tuple[int, str, int, int, float]] = []
+    for m in sorted(matches, key=lambda m: (-m[4], m[1], m[2], m[3])):
+        if not any(k[1] != m[1] and k[4] > m[4] and 2 * (min(k[3], m[3]) - max(k[2], m[2])) > min(k[3] - k[2], m[3] - m[2]) for k in kept):
+            kept.append(m)
+    return kept
+
+
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None,
                    bands: int = BANDS, contained: float = CONTAINED) -> DataFrame:
     """doc_id, n_words, n_matches, licenses, best, spans of every row.
 
     licenses: the distinct licence names found, sorted and comma-joined (empty: none); n_matches: spans
     found; spans: name:first word:end word, sorted and comma-joined; best: the highest containment (0:
-    none).  Words are runs of digits, a-z (A-Z lower-cased) and non-ASCII characters.
+    none).  Of spans of several licences that overlap, the ones of the highest containment count.  Words are runs of digits, a-z (A-Z lower-cased) and non-ASCII characters.
 
     Null and empty texts have no words; texts of fewer than five words no matches.  Rows are independent:
     repeated rows and null ids are returned as they come; an empty table gives no rows; other columns are
@@ -190,6 +240,7 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 found: list[list[tuple]] = [[] for _ in range(end - first)]
                 for m in set(matches):
                     found[m[0]].append(m)
+                found = [nearest(f) if len(f) > 1 else f for f in found]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, end - first), pa.array(words, pa.int64()),
                     pa.array([len(f) for f in found], pa.int64()),

@@ -68,6 +68,17 @@ def test_spans(spark):
     assert {r.doc_id: r.spans for r in ls.license_report(docs).collect()} == {1: "mit:2:7", 2: "mit:0:5,mit:8:13"}
 
 
+def test_sibling_notices(spark):
+    free = ("This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by "
+            "the Free Software Foundation; either version {} of the License, or (at your option) any later version.").format
+    notices = {"gpl-2.0": free("program", "", "2"), "gpl-3.0": free("program", "", "3"), "lgpl-2.1": free("library", "Lesser ", "2.1"),
+               "lgpl-3.0": free("program", "Lesser ", "3"), "agpl-3.0": free("program", "Affero ", "3")}
+    for name, kind in {"cc-by-4.0": "Attribution", "cc-by-sa-4.0": "Attribution-ShareAlike", "cc-by-nc-4.0": "Attribution-NonCommercial"}.items():
+        notices[name] = f"This work is licensed under a Creative Commons {kind} 4.0 International License."
+    docs = spark.createDataFrame([(k, f"Some words before. {t} And after.") for k, t in enumerate(notices.values())], "doc_id long, text string")
+    assert [r.licenses for r in ls.license_report(docs).orderBy("doc_id").collect()] == list(notices)
+
+
 def test_edges(spark):
     rows = ls.license_report(edge_docs(spark)).collect()
     assert len(rows) == edge_docs(spark).count() and {(r.n_matches, r.licenses, r.best, r.spans) for r in rows} == {(0, "", 0.0, "")}
