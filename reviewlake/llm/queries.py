@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flow_reshard, fm_index, fst_tokens, host_rank, kneser_ney, license_scan, lsh_forest, pii_lstm, shared, simhash
+from . import bpe, collocations, feast, flow_reshard, fm_index, fst_tokens, host_rank, kneser_ney, license_scan, lsh_forest, pigeonhole, pii_lstm, shared, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries that SQL can express on whole tables.
@@ -70,6 +70,21 @@ def op6_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_lstm.pii_report(shared.documents(spark, sf_dir))
 
 
+@_query
+def op11_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonhole.near_duplicates(shared.documents(spark, sf_dir))
+
+
+@_query
+def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feast.whiten(shared.documents(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_rollup_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(shared.documents(spark, sf_dir))
+
+
 ORACLES["op3_minhash_near_dedup"] = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
@@ -137,3 +152,26 @@ even AS (SELECT {host_rank.MARGIN} / greatest(1, count(DISTINCT host)) AS e FROM
 SELECT j.page_id, j.host, j.path, j.rule,
        coalesce(j.verdict, CASE WHEN coalesce(f.d, 0) > coalesce(f.t, 0) + even.e THEN 'block' ELSE 'allow' END) AS verdict
 FROM j CROSS JOIN even LEFT JOIN final f ON j.host = f.host"""
+
+ORACLES["op13_rollup_collocations"] = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS s FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(s, '[.,;:!?\x0A-\x0D]')) AS x FROM t),
+w AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS ws FROM p),
+total AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, m, ph, count(*) AS f
+      FROM (SELECT lang, m, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS ph
+            FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) k(m) WHERE len(ws) >= m) x) y
+      GROUP BY lang, m, ph HAVING count(*) >= {collocations.LEAST}),
+c AS (SELECT lang, m, ph, f AS a, string_split(ph, ' ') AS ws FROM f WHERE m > 1),
+cut AS (SELECT lang, ph, a, k, array_to_string(list_slice(ws, 1, k), ' ') AS p1, array_to_string(list_slice(ws, k + 1, m), ' ') AS p2
+        FROM (SELECT *, unnest(range(1, m)) AS k FROM c) x),
+scored AS (SELECT cut.lang, cut.ph, cut.a, k, x.f AS l, y.f AS r, CAST({collocations.SCORE} AS HUGEINT) * cut.a // (CAST(x.f AS HUGEINT) + y.f) AS score
+           FROM cut JOIN f x ON x.lang = cut.lang AND x.ph = p1 JOIN f y ON y.lang = cut.lang AND y.ph = p2),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) AS o FROM scored),
+inner_part AS (SELECT lang, q, max(a) AS longer
+               FROM (SELECT lang, a, array_to_string(list_slice(ws, i, i + s - 1), ' ') AS q
+                     FROM (SELECT lang, a, ws, s, unnest(range(1, m - s + 2)) AS i FROM c, (VALUES (2), (3)) z(s) WHERE s < m) x) y GROUP BY lang, q),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_part i ON i.lang = b.lang AND i.q = b.ph WHERE b.o = 1 AND (i.q IS NULL OR 100 * CAST(i.longer AS HUGEINT) < 80 * CAST(b.a AS HUGEINT))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(ph)) AS rank FROM kept)
+SELECT r.lang, CAST(rank AS BIGINT) AS rank, ph AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(t.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked r JOIN total t ON t.lang = r.lang WHERE rank <= {collocations.TOP}"""
