@@ -4,10 +4,11 @@ Only the longest windows are counted: every word with the words that lead it in
 piece's end.  Spark's ROLLUP over the lead columns sums the windows of each shorter prefix, and a phrase's
 count is that of the windows which begin with it.
 
-Two bounds keep what is shuffled small without changing a result.  Words are first counted by a hash
-position; a window is padded from a word on whose position counts under the least count, since no phrase
-with that word can be a candidate.  The counted windows of a whole head (all words but the last) under the
-least count are padded in the same way before the ROLLUP.
+Three things keep what is shuffled small without changing a result.  A window is padded from a word on that
+a bitmap of the frequent words does not hold, since no phrase with that word can be a candidate.  The most
+frequent words travel as short codes.  And the windows are dealt by language and first two words and sorted,
+so that a window whose longer prefixes are too rare is padded in place before the ROLLUP; pairs of words so
+frequent that their windows could outgrow a task are dealt by one word more.
 """
 from __future__ import annotations
 
@@ -25,6 +26,13 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 SCORE, HELD, HELD_OF = 2_000_000, 80, 100
 #: Hash positions of words (a bitmap of 16 MB, whatever the vocabulary).
 POSITIONS = 1 << 27
+#: Words and languages that travel as codes of one to three characters.  The others are spelled out after a mark,
+#: those with a space or control character in hex after another: no token holds a character below "!".
+CODED_WORDS, CODED_LANGS = 1 << 17, 1 << 10
+_MARK, _HEX = "=", "~"
+_SIGNS = [chr(c) for c in range(33, 127) if chr(c) not in (_MARK, _HEX)]
+#: Rows that are padded together.
+_CHUNK = 200_000
 _SLICE = 1 << 21
 _SEPARATOR = tb.byte_class((0x0A, 0x0D), *[(ord(c), ord(c)) for c in ".,;:!?"])
 _WORD = ~(_SEPARATOR | tb.byte_class((0x20, 0x20), (0x09, 0x09)))
@@ -66,75 +74,225 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, _Slic
             yield langs, salts[coded.indices.to_numpy()], found
 
 
-def _position_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> (position, n) of the words."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) -> (lang, word, n)."""
+    for batch in batches:
+        for langs, _, found in _slices(batch):
+            words = pa.table({"lang": langs.take(pa.array(found.doc)), "word": found.words.take(pa.array(found.code))})
+            yield from words.group_by(["lang", "word"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["lang", "word", "n"]).combine_chunks().to_batches()
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word) -> position."""
     for batch in batches:
         for _, salts, found in _slices(batch):
-            position, n = np.unique(found.positions(salts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(position), pa.array(n)], ["position", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.positions(salts))], ["position"])
 
 
-def frequent_positions(rows: DataFrame, least: int) -> np.ndarray:
-    """Bitmap (POSITIONS / 8 bytes) of the positions whose words occur at least `least` times in all."""
-    counts = rows.mapInArrow(_position_counts, "position long, n long").groupBy("position").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def frequent_bits(words: DataFrame) -> np.ndarray:
+    """Bitmap (POSITIONS / 8 bytes) of the hash positions of a (lang, word) table."""
     place = F.col("position") + 1
-    bits = counts.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toLocalIterator()
+    rows = words.select("lang", "word").mapInArrow(_positions, "position long").groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     out = np.zeros(POSITIONS // 8, dtype=np.uint8)
-    for r in bits:
+    for r in rows.toLocalIterator():
         out[(r["b"] - 1) * 4096:r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     return out
 
 
-def _windows(frequent, longest: int):
-    """(lang, text) -> (lang, head, last, n): the longest windows.  `head` is the first words, up to all
-    but one, joined by spaces, `last` the last word of a window that is not padded, or empty."""
+def word_codes(n: int) -> list[str]:
+    """The n shortest codes."""
+    codes: list[str] = []
+    longer = [""]
+    while len(codes) < n:
+        longer = [c + s for c in longer for s in _SIGNS]
+        codes += longer
+    return codes[:n]
+
+
+def _tokens(words: pa.Array, known: pa.Array, codes: pa.Array) -> pa.Array:
+    """The code of each word, or its spelling after a mark."""
+    spelled = pc.binary_join_element_wise(_MARK, words, "")
+    odd = pc.match_substring_regex(words, r"[\x00-\x20]")
+    if pc.any(odd).as_py():
+        spelled = pa.array([_HEX + w.encode().hex() if o else t for w, o, t in zip(words.to_pylist(), odd.to_pylist(), spelled.to_pylist())], pa.string())
+    return pc.coalesce(codes.take(pc.index_in(words, value_set=known)), spelled)
+
+
+def _spelling(token: str, words: dict[str, str]) -> str:
+    return token[1:] if token.startswith(_MARK) else bytes.fromhex(token[1:]).decode() if token.startswith(_HEX) else words[token]
+
+
+def _ahead(x: np.ndarray, k: int) -> np.ndarray:
+    """What stands k places on; zero at the end."""
+    out = np.zeros_like(x)
+    out[:max(0, len(x) - k)] = x[k:]
+    return out
+
+
+def _windows(frequent, coded, longest: int):
+    """(lang, text) -> (key, n): the longest windows, as the tokens of language and words joined by spaces; a padded
+    window has fewer."""
 
-    def leads(found: _Slice, salts: np.ndarray) -> list[pa.Array]:
+    def leads(found: _Slice, salts: np.ndarray, tokens: pa.Array) -> list[pa.Array]:
         """The lead columns: null where the window is padded."""
         bits, position = frequent.value, found.positions(salts)
         common = (bits[position >> 3] >> (position & 7).astype(np.uint8)) & 1 == 1
-        columns, alive, n = [], common, len(common)
+        columns, alive = [], common
         for k in range(longest):
             if k:  # the word k places on, in the same piece and frequent
-                alive = alive & np.append(found.led[k - 1:], np.zeros(k - 1, dtype=bool)) & np.append(common[k:], np.zeros(k, dtype=bool))[:n]
-            code = np.append(found.code[k:], np.zeros(k, dtype=found.code.dtype))[:n]
-            columns.append(found.words.take(pa.array(code, mask=~alive)))
+                alive = alive & _ahead(found.led, k - 1) & _ahead(common, k)
+            columns.append(tokens.take(pa.array(_ahead(found.code, k), mask=~alive)))
         return columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs_known, words_known = (pa.array(x, pa.string()) for x in coded.value)
+        lang_codes, codes = (pa.array(word_codes(len(x)), pa.string()) for x in (langs_known, words_known))
         for batch in batches:
             for langs, salts, found in _slices(batch):
-                columns = leads(found, salts)
-                head = pc.binary_join_element_wise(columns[0].fill_null(""), *columns[1:-1], " ", null_handling="skip")
-                table = pa.table({"lang": langs.take(pa.array(found.doc)), "head": head, "last": columns[-1].fill_null("")})
-                counted = table.group_by(["lang", "head", "last"], use_threads=False).aggregate([([], "count_all")])
-                yield from counted.rename_columns(["lang", "head", "last", "n"]).select(["lang", "head", "last", "n"]).combine_chunks().to_batches(max_chunksize=50_000)
+                columns = leads(found, salts, _tokens(found.words, words_known, codes))
+                lang = _tokens(langs, langs_known, lang_codes).take(pa.array(found.doc))
+                key = pc.binary_join_element_wise(lang, *columns, " ", null_handling="skip")
+                counted = pa.table({"key": key}).group_by("key", use_threads=False).aggregate([([], "count_all")])
+                yield from counted.rename_columns(["key", "n"]).combine_chunks().to_batches(max_chunksize=50_000)
+
+    return run
+
+
+def _prefix_ends(data: np.ndarray, at: np.ndarray, levels: int) -> np.ndarray:
+    """(levels, rows): where the first 1, 2, ... tokens of each row end; a row of fewer tokens ends with itself."""
+    spaces = np.flatnonzero(data == 32)
+    first = np.searchsorted(spaces, at[:-1])
+    count = np.searchsorted(spaces, at[1:]) - first
+    spaces = np.append(spaces, 0)
+    return np.stack([np.where(count >= k, spaces[np.minimum(first + k - 1, len(spaces) - 1)], at[1:]) for k in range(1, levels + 1)])
+
+
+def _common_prefix(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many bytes each row has in common with the row before it; 0 for the first."""
+    size = np.diff(at)
+    out = np.zeros(len(size), dtype=np.int64)
+    most = np.minimum(size[1:], size[:-1])
+    left = np.arange(1, len(size))
+    k = 0
+    while len(left):
+        left = left[most[left - 1] > k]
+        left = left[data[at[left] + k] == data[at[left - 1] + k]]
+        out[left] += 1
+        k += 1
+    return out
+
+
+def padded(keys: pa.Array, n: np.ndarray, hot: np.ndarray, longest: int, least: int) -> tuple[list[pa.Array], list[np.ndarray]]:
+    """Sorted windows -> (windows, counts): each cut to its longest prefix of two words or more that occurs `least` times
+    in all rows, else (of a hot pair) to two words or to one; what is cut alike is one row."""
+    keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    at = np.frombuffer(keys.buffers()[1], dtype=np.int32)[keys.offset:keys.offset + len(keys) + 1].astype(np.int64)
+    data = np.frombuffer(keys.buffers()[2], dtype=np.uint8)[at[0]:at[-1]]
+    at = at - at[0]
+    ends, same = _prefix_ends(data, at, longest + 1), _common_prefix(data, at)
+    left, out_keys, out_n = n.astype(np.int64), [], []
+    for words in range(longest, 0, -1):
+        size = ends[words] - at[:-1]
+        starts = np.flatnonzero(np.concatenate(([True], ~((size[1:] == size[:-1]) & (same[1:] >= size[1:])))))
+        rest = np.add.reduceat(left, starts)
+        enough = np.add.reduceat(n, starts) >= least if words > 1 else np.ones(len(starts), dtype=bool)
+        if words == 2:
+            enough |= hot[starts]
+        chosen = np.flatnonzero(enough & (rest > 0))
+        if len(chosen):
+            row = starts[chosen]
+            lengths = size[row]
+            offsets = np.concatenate(([0], np.cumsum(lengths)))
+            source = np.repeat(at[row] - offsets[:-1], lengths) + np.arange(offsets[-1])
+            out_keys.append(pa.StringArray.from_buffers(len(row), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[source])))
+            out_n.append(rest[chosen])
+        left = left * ~np.repeat(enough, np.diff(np.append(starts, len(n))))
+    return out_keys, out_n
+
+
+def _pads(longest: int, least: int):
+    """(key, n, hot) sorted by key, whole first pairs in a task -> (key, n) padded."""
+
+    def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for keys, n in zip(*padded(table.column("key"), table.column("n").to_numpy(), table.column("hot").to_numpy(), longest, least)):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n)], ["key", "n"])
+
+    def pair(key: str) -> list[str]:
+        return key.split(" ", 3)[:3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < _CHUNK:
+                continue
+            # the last pair may go on in the next batch
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys, last = table.column("key"), pair(table.column("key")[-1].as_py())
+            low, high = 0, table.num_rows - 1
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (low, mid) if pair(keys[mid].as_py()) == last else (mid + 1, high)
+            if low:
+                yield from made(table.slice(0, low))
+            held = table.slice(low).to_batches()
+        held = [b for b in held if b.num_rows]
+        if held:
+            yield from made(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+def _spelled(coded):
+    """(lang, size, phrase, f) with codes -> with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, words = (dict(zip(word_codes(len(x)), x)) for x in coded.value)
+        for batch in batches:
+            phrases = [" ".join(_spelling(t, words) for t in p.split(" ")) if p else "" for p in batch.column("phrase").to_pylist()]
+            lang = [_spelling(t, langs) for t in batch.column("lang").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), batch.column("size"), pa.array(phrases, pa.string()), batch.column("f")], ["lang", "size", "phrase", "f"])
+
+    return run
+
+
+def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST, least: int = LEAST, coded_words: int = CODED_WORDS,
+                  hot_share: float | None = None) -> DataFrame:
     """(lang, size, phrase, f) of every phrase of 1 to `longest` words that occurs at least `least` times in
-    its language, and one row (lang, 0, '', all its word occurrences) for each language."""
+    its language, and one row (lang, 0, '', all its word occurrences) for each language.
+
+    Words that make up `hot_share` of all (by default what a task holds on average) are hot: pairs of them are
+    dealt by their next word too."""
     spark = docs.sparkSession
+    width = shared.shuffle_width(spark)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_positions(rows, least))
-    made = rows.mapInArrow(_windows(frequent, longest), "lang string, head string, last string, n long")
-    # by head, so that a head's windows are summed without a further shuffle
-    counted = made.repartition(shared.shuffle_width(spark), "lang", "head").groupBy("lang", "head", "last").agg(F.sum("n").alias("n"))
-    whole = counted.where((F.col("last") != "") & (F.col("n") >= least))
-    heads = counted.groupBy("lang", "head").agg(F.sum("n").alias("n"))
-    words = F.split("head", " ", -1)
-    kept = F.when((F.col("n") >= least) | (F.size(words) < longest - 1), words).otherwise(F.slice(words, 1, longest - 2))
-    names = [f"w{k}" for k in range(1, longest)]
-    leads = heads.select("lang", "n", kept.alias("w")).select("lang", "n", *[F.coalesce(F.get("w", F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(names)])
+    words = rows.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    words = shared.stored(words, "frequent-words")
+    frequent = spark.sparkContext.broadcast(frequent_bits(words))
+    top = lambda c, most: words.groupBy(c).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), c).limit(most).collect()
+    langs, first = top("lang", CODED_LANGS), top("word", coded_words)
+    coded = spark.sparkContext.broadcast(([r["lang"] for r in langs], [r["word"] for r in first]))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    limit = total * (1 / width if hot_share is None else hot_share)
+    hot = [c for c, r in zip(word_codes(len(first)), first) if r["n"] >= limit]
+    made = rows.mapInArrow(_windows(frequent, coded, longest), "key string, n long")
+    prefix = lambda k: F.substring_index("key", " ", k + 1)
+    token = lambda k: F.substring_index(prefix(k), " ", -1)
+    is_hot = token(1).isin(hot) & token(2).isin(hot) if hot else F.lit(False)
+    deal = F.when(is_hot, prefix(max(2, longest - 1))).otherwise(prefix(2)) if hot else prefix(2)
+    dealt = made.repartition(width, deal).sortWithinPartitions("key").withColumn("hot", is_hot)
+    windows = dealt.mapInArrow(_pads(longest, least), "key string, n long")
+    names = [f"w{k}" for k in range(1, longest + 1)]
+    split = windows.select(F.split("key", " ", -1).alias("w"), "n")
+    leads = split.select(F.get("w", F.lit(0)).alias("lang"), "n", *[F.coalesce(F.get("w", F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(names, 1)])
     listed = ", ".join(names)
     rolled = spark.sql(f"SELECT lang, {listed}, grouping_id() AS level, sum(n) AS f FROM {{t}} GROUP BY lang, ROLLUP({listed})", t=leads)
-    size = F.expr(f"{len(names)} - bit_count(level)").cast("int")
-    padded = F.exists(F.array(*[F.col(c) == "" for c in names]), lambda x: x)  # grouped-away columns are null
-    shorter = rolled.where(F.coalesce(~padded, F.lit(True)) & ((F.col("f") >= least) | (size == 0)))
-    shorter = shorter.select("lang", size.alias("size"), F.concat_ws(" ", *names).alias("phrase"), "f")
-    return shorter.unionByName(whole.select("lang", F.lit(longest).alias("size"), F.concat_ws(" ", "head", "last").alias("phrase"), F.col("n").alias("f")))
+    size = F.expr(f"{longest} - bit_count(level)").cast("int")
+    for c in names:  # grouped-away columns are null
+        rolled = rolled.where(F.col(c).isNull() | (F.col(c) != ""))
+    found = rolled.where((F.col("f") >= least) | (size == 0))
+    found = found.select("lang", size.alias("size"), F.concat_ws(" ", *names).alias("phrase"), "f")
+    return found.mapInArrow(_spelled(coded), "lang string, size int, phrase string, f long")
 
 
 def _exact(c):
