@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared, textbytes as tb
@@ -270,24 +270,23 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
         texts_each: int = SAMPLE_TEXTS, chars_each: int = SAMPLE_CHARS, together: int = TOGETHER) -> LanguageModels | None:
-    """Models of every language, from about `texts_each` texts of each (a hash of the id chooses), at most the first
-    `chars_each` code points of each, a fifth of them for calibration.  None without a labelled text.
+    """Models of every language, from `texts_each` distinct texts of each with a letter (those of the smallest
+    hashes, or all if there are fewer), at most the first `chars_each` code points of each, a fifth of them for
+    calibration.  None without a labelled text.
 
-    Null texts and null languages are left out.  The sample of `together` languages is on the driver at once.
+    Null texts and null languages are left out; ids are not read.  The sample of `together` languages is on
+    the driver at once.
     """
-    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text", F.lit("kneser-ney")).alias("h"), F.substring("text", 1, chars_each).alias("text"))
+    smallest = Window.partitionBy("lang").orderBy("h")
+    drawn = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= texts_each).select("lang", "h")
+    chosen = rows.join(drawn, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    chosen = shared.stored(chosen.select("lang", "text", F.pmod(F.xxhash64("h"), F.lit(5)).alias("fold")), "language-sample")
+    names = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
+    if not names:
         return None
-    names = sorted(counts)
     blocks = [names[k:k + together] for k in range(0, len(names), together)]
-    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, texts_each / counts[k])) for k in names], "lang string, share double")
-    share = F.try_element_at(F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, texts_each / counts[k]))]), F.col("lang")) if len(blocks) == 1 else F.col("share")
-    draw = F.pmod(F.xxhash64("id", F.lit("kneser-ney")), F.lit(1 << 20))
-    chosen = (rows if len(blocks) == 1 else rows.join(shares, "lang")).where(draw < share * (1 << 20)).select(
-        "lang", F.substring("text", 1, chars_each).alias("text"), F.pmod(F.xxhash64("id"), F.lit(5)).alias("fold"))
-    if len(blocks) > 1:
-        chosen = shared.stored(chosen, "language-sample")
     letters = letter_table()
     has = lambda t: bool((letters[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)] != _BREAK).any())
 

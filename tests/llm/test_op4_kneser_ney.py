@@ -92,3 +92,21 @@ def test_edges(spark):
     assert kn.language_report(empty_docs(spark)).collect() == []
     unlabelled = kn.language_report(edge_docs(spark).withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in unlabelled} == {"und"}
+
+
+def test_sample_of_repeated_texts_and_null_ids(spark):
+    """One text in thousands of rows, rows without an id, texts without a letter: every language is learned, no more texts than asked for."""
+    rows = [(None, "the same words in all of them", "aa")] * 3200 + [(None, f"{chr(97 + i % 26)}{chr(97 + i % 7)} les mots {i}", "bb") for i in range(300)]
+    rows += [(7, "42", "cc")] * 50 + [(7, "dernier mot", "cc"), (8, "123", "dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = kn.fit(docs, texts_each=20)
+    assert sorted(models.languages) == ["aa", "bb", "cc"]  # dd has no letter
+    got = {r.lang: r.lang_pred for r in kn.identify(docs.dropDuplicates(["lang", "text"]), models).where("lang_pred <> 'und'").collect()}
+    assert got == {"aa": "aa", "bb": "bb", "cc": "cc"}
+    drawn = []
+    was, kn.LanguageModels.__init__ = kn.LanguageModels.__init__, lambda self, texts, *a, **k: (drawn.append({n: len(t) for n, t in texts.items()}), was(self, texts, *a, **k))[1]
+    try:
+        kn.fit(docs, texts_each=20)
+    finally:
+        kn.LanguageModels.__init__ = was
+    assert all(n <= 20 for d in drawn for n in d.values())
