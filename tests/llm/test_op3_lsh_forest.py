@@ -47,6 +47,15 @@ def test_edges(spark):
     assert lsh_forest.near_duplicates(empty_docs(spark)).collect() == []
 
 
+def test_an_id_with_several_texts_has_one_component(spark):
+    a, b, c = ("a b c d e f", "g h i j k l", "m n o p q r")
+    rows = [(3, a), (9, a), (9, b), (7, b), (7, b), (20, c), (5, c), (5, None), (None, a), (30, "s t u v w x")]
+    got = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == [
+        (3, 3, True), (5, 5, True), (5, 5, True), (7, 3, False), (7, 3, False), (9, 3, False), (9, 3, False), (20, 5, False), (30, 30, True)]
+    assert [(r.component_id, r.kept, r.n_shingles) for r in got if r.doc_id is None] == [(None, True, 2)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7), (119, 100), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
