@@ -31,11 +31,11 @@ BENCHMARK_BLOCK = 4 << 20
 class Phrases:
     """The distinct windows of a block of benchmark items, over symbols of the block's own words."""
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], width: int):
         words, ids = [], []
         for item, text in items:
             starts_hashes = text_words(text)
-            if item is not None and len(starts_hashes):
+            if len(starts_hashes):
                 ids.append(item)
                 words.append(starts_hashes)
         self.vocabulary = np.unique(np.concatenate(words)) if words else np.empty(0, dtype=np.uint64)
@@ -46,7 +46,7 @@ class Phrases:
         for item, hashes in zip(ids, words):
             symbols = (np.searchsorted(self.vocabulary, hashes) + 1).tolist()
             for k in range(max(1, len(symbols) - width + 1)):
-                of.setdefault(tuple(symbols[k:k + width]), set()).add(item)
+                of.setdefault(tuple(symbols[k:k + width]), set()).update([] if item is None else [item])
         windows = sorted(of, key=lambda w: (len(w), w))
         self.lengths = np.array([len(w) for w in windows], dtype=np.int64)
         self.symbols = np.zeros((len(windows), width), dtype=np.int64)
@@ -260,9 +260,9 @@ def _block_bounds(benchmark: DataFrame, text_col: str, limit: int) -> range:
     return range(max(1, -(-total // limit)))
 
 
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, str | None]]]:
+def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int | None, str | None]]]:
     """The blocks of the benchmark, one at a time on the driver."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     blocks = _block_bounds(benchmark, text_col, limit)
     for b in blocks:
         part = items if len(blocks) == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(len(blocks))) == b)
@@ -294,8 +294,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters.  A phrase is `width`
     consecutive words of an item, or all words of a shorter one; phrases match whole words within a
-    document.  Null or empty texts have no words; items without id or words match nothing; repeated items
-    count once; an empty benchmark finds nothing.  Other columns are not read.  A benchmark above
+    document.  Null or empty texts have no words; items without words match nothing; items without an
+    id are searched but not named; repeated items count once; an empty benchmark finds nothing.  Other columns are not read.  A benchmark above
     `block_bytes` is searched block by block and the hits are merged by a key of each row's own, so null
     and repeated ids give the same rows.
     """

@@ -10,7 +10,7 @@ _LOWER = {i: i + 32 for i in range(65, 91)}
 
 LONG = " ".join(f"w{(i * i) % 7919}x" for i in range(30_000))
 #: Nulls, empty and long texts, repeated rows, and columns named like the operators' own.
-EDGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, row string, key int, score string, rejected string, n_hit int, spans int, token_ids string, bucket int, text_crc32 int"
+EDGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, row string, key int, score string, rejected string, n_hit int, spans int, token_ids string, bucket int, text_crc32 int, _gone long, _pred string"
 EDGE_TEXTS = [
     (0, ""), (1, None), (None, "no name for this one"), (2, "one two three four"), (2, "one two three four"), (3, LONG),
     (4, " \t\n "), (5, "日本語 😀 naïve ½ it's"), (6, "Mail bob@mail7.example.com or +1 (319) 555-5132, 10.0.0.1, 4111 1111 1111 1111."), (7, "!!! ???"),
@@ -23,7 +23,7 @@ def lower(text: str | None) -> str:
 
 
 def edge_docs(spark):
-    rows = [(i, t, None if k % 4 == 0 else "en", None if k % 3 == 0 else "s", None, k, "r", k, "x", None, k, 1, None, k, 0) for k, (i, t) in enumerate(EDGE_TEXTS)]
+    rows = [(i, t, None if k % 4 == 0 else "en", None if k % 3 == 0 else "s", None, k, "r", k, "x", None, k, 1, None, k, 0, k, "zz") for k, (i, t) in enumerate(EDGE_TEXTS)]
     return spark.createDataFrame(rows, EDGE_SCHEMA)
 
 
@@ -70,15 +70,15 @@ def hits(docs: list, bench: list, width: int = 10) -> list:
     phrases: dict = {}
     for item, text in bench:
         w = ALNUM.findall(lower(text))
-        for k in range(max(1, len(w) - width + 1) if w and item is not None else 0):
-            phrases.setdefault(tuple(w[k:k + width]), set()).add(item)
+        for k in range(max(1, len(w) - width + 1) if w else 0):
+            phrases.setdefault(tuple(w[k:k + width]), set()).update([] if item is None else [item])
     out = []
     for text in docs:
         w, hit, items = ALNUM.findall(lower(text)), set(), set()
         for size in {len(p) for p in phrases}:
             for k in range(len(w) - size + 1):
                 found = phrases.get(tuple(w[k:k + size]))
-                if found:
+                if found is not None:
                     hit.update(range(k, k + size))
                     items |= found
         out.append((len(w), len(hit), sorted(items)))

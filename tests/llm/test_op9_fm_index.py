@@ -25,7 +25,7 @@ def test_random_texts_against_brute_force():
     for _ in range(150):
         words = ["a", "b", "c", "Da", "é"][:rng.randint(1, 5)] + [f"zz{k}" for k in range(rng.choice([0, 3, 50]))]
         make = lambda most: rng.choice([" ", ", "]).join(rng.choice(words) for _ in range(rng.randint(0, most)))
-        bench = [(rng.randint(0, 9), rng.choice([make(12), make(3), None, make(30)])) for _ in range(rng.randint(0, 6))]
+        bench = [(rng.choice([*range(10), None]), rng.choice([make(12), make(3), None, make(30)])) for _ in range(rng.randint(0, 6))]
         docs = [rng.choice([make(40), make(5), None, "", (bench[0][1] or "") if bench else ""]) for _ in range(rng.randint(1, 12))]
         docs += docs[:3]
         width = rng.choice([2, 3, 10])
@@ -69,7 +69,7 @@ def test_blocks_keep_rows_with_null_and_repeated_ids(spark):
     passages = [f"p{k} q{k} rr{k} s{k} t{k} u{k} v{k} é{k} x{k} y{k} z{k}" for k in range(40)]
     items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
     more = [(None, f"ü {passages[0]} end"), (None, f"{passages[1]}"), (7, f"ééé {passages[2]}, {passages[3]} after"), (7, f"x {passages[4]}"), (7, "nothing é here"), (7, None)]
-    extra = spark.createDataFrame([(i, t, *[None] * 13) for i, t in more], edge_docs(spark).schema)
+    extra = spark.createDataFrame([(i, t, *[None] * (len(edge_docs(spark).columns) - 2)) for i, t in more], edge_docs(spark).schema)
     docs = edge_docs(spark).unionByName(extra)
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
     one = rows(fm.contamination_report(docs, items))
@@ -81,11 +81,13 @@ def test_blocks_keep_rows_with_null_and_repeated_ids(spark):
 
 def test_spans_are_cut_out(spark):
     passage = "One two, three four five six seven eight nine ten"
-    docs = spark.createDataFrame([(1, f"Before it. {passage} eleven. After it.", "x"), (2, "clean  text stays", "y"), (3, passage.upper() + "!", "z"), (4, None, "n"), (5, "...", "p")],
+    docs = spark.createDataFrame([(1, f"Before it. {passage} eleven. After it.", "x"), (2, "clean  text stays", "y"), (3, passage.upper() + "!", "z"), (4, None, "n"), (5, "...", "p"), (6, "with no id five: cut", "q")],
                                  "doc_id long, text string, c0 string")
-    bench = spark.createDataFrame([(1, passage), (2, None), (None, "clean  text stays")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, passage), (2, None), (None, "no id five")], "item_id long, text string")
     out = {r.doc_id: (r.text, r.c0) for r in fm.decontaminate(docs, bench).collect()}
-    assert out == {1: ("Before it. eleven. After it.", "x"), 2: ("clean  text stays", "y"), 4: (None, "n"), 5: ("...", "p")}
+    assert out == {1: ("Before it. eleven. After it.", "x"), 2: ("clean  text stays", "y"), 4: (None, "n"), 5: ("...", "p"), 6: ("with: cut", "q")}
+    report = {r.doc_id: r for r in fm.contamination_report(docs, bench).collect()}
+    assert (report[6].n_hit, report[6].n_items, report[6].contaminated) == (3, 0, True) and report[6].items_sha256 == fm.items_digest([])
 
 
 def test_edges(spark):
