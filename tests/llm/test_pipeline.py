@@ -60,6 +60,14 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(map(str, (tuple(r) for r in STAGES["near_dedup"](spark, docs, SF).collect()))) == ["(1, 'a b c d e f')", "(3, None)", "(None, 'a b c d e f')"]
 
 
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    a, b = "a b c d e f", "g h i j k l"
+    docs = spark.createDataFrame([(9, a, 1), (3, a, 2), (9, b, 3), (9, b, 4), (8, None, 5), (8, None, 6), (8, "", 7)], "doc_id long, text string, _gone int")
+    out = STAGES["near_dedup"](spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(3, a), (8, ""), (9, b)]
+
+
 def test_last_stage_edges(spark):
     out = STAGES["byte_bpe"](spark, edge_docs(spark), SF)
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids"] and out.count() == edge_docs(spark).count()
