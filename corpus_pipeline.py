@@ -36,23 +36,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs
     rows = docs.select(F.struct(*_columns(docs, ("text",))).alias("row"), "text")
     kept = kneser_ney.identify(rows, models).where(~F.col("rejected"))
-    out = kept.select("row.*", "text", F.col("lang_pred").alias("_pred")) if "_pred" not in docs.columns else kept.select("row.*", "text")
-    if "_pred" not in docs.columns:
-        out = out.withColumn("lang", F.coalesce("lang", "_pred"))
-    return out.select(*_columns(docs))
+    out = {c: F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns}
+    out["lang"] = F.coalesce(out["lang"], "lang_pred")
+    return kept.select(*[c.alias(name) for name, c in out.items()])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each near-duplicate group, and one of rows that repeat an
-    id and a text.  Documents without an id or without words stay.
+    """Keep the document of the smallest id of each near-duplicate group.
+
+    Rows are compared each for itself: of rows that share an id, those with different texts stay or go by
+    their own group (in a group, ties of the id go to the smallest text), and of rows that repeat id and text one stays.
+    Documents without an id or without words stay, though of repeated rows with an id one.
     """
-    found = lsh_forest.near_duplicates(docs, shingle=SHINGLE, num=SIMILAR, den=100)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not repeated.isEmpty():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id is null"))
-    return out
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1").isEmpty():
+        found = lsh_forest.near_duplicates(docs, shingle=SHINGLE, num=SIMILAR, den=100)
+        gone = found.where(~F.col("kept")).select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*_columns(docs))
+    key = shared.free_name(docs, "row_key")
+    rows = shared.stored(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
+    named = rows.where("doc_id is not null")
+    found = lsh_forest.near_duplicates(named, id_col=key, shingle=SHINGLE, num=SIMILAR, den=100)
+    groups = found.select(F.col(key).alias("k"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c"))
+    placed = named.select(F.col(key).alias("own"), F.col("doc_id").alias("i"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("t")).join(groups, F.col("own") == F.col("k"))
+    # rows without words have no group: they are told apart by id and text
+    group = F.when(F.col("c").isNull(), F.struct(F.lit(None).cast("long").alias("c"), "i", "t")).otherwise(F.struct("c", F.lit(None).cast("long").alias("i"), F.lit(None).cast("string").alias("t")))
+    stay = placed.groupBy(group.alias("g")).agg(F.min(F.struct("i", "t", "own")).alias("m")).select(F.col("m.own").alias("stay"))
+    kept = named.join(stay, F.col(key) == F.col("stay"), "left_semi")
+    return kept.unionByName(rows.where("doc_id is null")).select(*_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
