@@ -1,8 +1,11 @@
-"""Unified-diff corpus as a set-based job: no per-diff parser.
+"""Unified-diff corpus as a set-based job: a segmented scan of the parser's state, no per-diff parser.
 
-Each PR's diff is cut into sections at ``diff --git`` lines (no line of a hunk can start so), which are
-hash-partitioned by (PR, section) once and then exploded into lines; ``Generate`` keeps the partitioning,
-so every window below runs without another exchange, and a large PR is as many tasks as it has sections.
+Each PR's diff is cut into sections at ``diff --git`` lines (no line of a hunk can start so) and each section
+into runs of lines, so a section of any size is many tasks.  The state before a line is the open hunk and how
+many source and target lines it has had.  A run is a map of states: its last hunk header (if any) replaces the
+hunk, its lines add to the counts.  The maps of a section's runs are composed over one row per run; every line
+is then classified in its run, once.  Files and hunks are numbered, and errors found, over *pieces*: one row
+for the lines of a run between two headers.
 
 Line classification (public unified-diff conventions):
 * ``@@ -s[,l] +s[,l] @@`` at column 0 opens a hunk (omitted length = 1); ``hunk_idx`` is the running
@@ -24,10 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 HUNK_RE = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 GIT_RE = r"^diff --git (\S.*) (b/.*|\S+)$"
 SECTION_RE = r"(?m)(?=^diff --git )"
 DEV_NULL = "/dev/null"
+#: Lines of one run (about 1 MB).
+RUN_LINES = 20_000
 
 
 def _filename(header_text: Column) -> Column:
@@ -41,113 +48,167 @@ def _path(src: Column, tgt: Column) -> Column:
     return F.when((src == DEV_NULL) | renamed, bare(tgt)).otherwise(bare(src))
 
 
-def diff_lines_all(prs: DataFrame, pr: str = "pr", diff: str = "diff") -> DataFrame:
-    """Every physical line of every diff, classified.
+def _numbers(header: Column) -> list[Column]:
+    """Source and target start and length of a hunk header; null where a number has no 64 bits."""
+    def number(i: int, name: str, omitted: int | None = None) -> Column:
+        digits = F.regexp_extract(header, HUNK_RE, i)
+        value = digits.try_cast("bigint")
+        return (value if omitted is None else F.when(digits == "", F.lit(omitted).cast("bigint")).otherwise(value)).alias(name)
+
+    return [number(1, "src_start"), number(2, "src_len", 1), number(3, "tgt_start"), number(4, "tgt_len", 1)]
+
+
+def _counts(text: Column, sign: str) -> Column:
+    """Whether a line of a hunk counts toward the side of removed (-) or added (+) lines."""
+    return (text == "") | text.startswith(" ") | text.startswith(sign)
+
+
+def _runs(prs: DataFrame, pr: str, diff: str, run_lines: int) -> DataFrame:
+    """(pr, sec, start, parts, l): runs of a section's lines, each with the line that follows it."""
+    def cut(section: Column, sec: Column) -> Column:
+        lines = F.split(section, "\n")
+        starts = F.sequence(F.lit(0), F.size(lines) - 1, F.lit(run_lines))
+        return F.transform(starts, lambda s: F.struct(sec.alias("sec"), s.alias("start"), F.size(starts).alias("parts"), F.slice(lines, s + 1, run_lines + 1).alias("l")))
+
+    sections = F.split(F.coalesce(F.col(diff), F.lit("")), SECTION_RE)
+    return prs.select(F.col(pr).alias("pr"), F.explode(F.flatten(F.transform(sections, cut))).alias("r")).select("pr", "r.*").repartition("pr", "sec", "start")
+
 
-    Columns: pr, sec, ln (0-based in the section), text, is_hunk_header, in_hunk, hunk_idx and file_idx (per PR),
-    src_len, tgt_len, src_start, tgt_start, src_before, tgt_before, is_file_header, header (path and kinds of the
-    line's file, NULL before any).
+def _states_before(runs: DataFrame, run_lines: int) -> DataFrame:
+    """(pr, sec, start, before): the hunk open before each run of the sections of several runs, with the counts it
+    has had, from the composed maps of the runs before."""
+    own = F.slice("l", 1, run_lines)
+    last = F.array_max(F.transform(own, lambda x, i: F.when(x.rlike(HUNK_RE), i)))
+    rest = F.when(F.col("last").isNull(), own).otherwise(F.slice(own, F.col("last") + 2, run_lines))
+    n = lambda sign: F.size(F.filter("rest", lambda x: _counts(x, sign))).cast("bigint")
+    maps = runs.where("parts > 1").withColumn("last", last).withColumn("rest", rest).select(
+        "pr", "sec", "start", F.when(F.col("last").isNotNull(), F.get("l", F.col("last"))).alias("hdr"), n("-").alias("src"), n("+").alias("tgt"))
+    before = Window.partitionBy("pr", "sec").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    maps = maps.withColumns({"src_all": total("src"), "tgt_all": total("tgt")})
+    opened = F.when(F.col("hdr").isNotNull(), F.struct("hdr", "src_all", "tgt_all"))
+    states = maps.select("pr", "sec", "start", "src_all", "tgt_all", F.last(opened, ignorenulls=True).over(before).alias("o")).where("o is not null")
+    # counts as offsets of the running counts inside the run
+    state = F.struct(*_numbers(F.col("o.hdr")), (F.col("o.src_all") - F.col("src_all")).alias("src_at"), (F.col("o.tgt_all") - F.col("tgt_all")).alias("tgt_at"))
+    return states.select("pr", "sec", "start", state.alias("before"))
+
+
+def diff_lines_all(prs: DataFrame, pr: str = "pr", diff: str = "diff", run_lines: int = RUN_LINES) -> DataFrame:
+    """Every physical line of every diff, classified in its run.
+
+    Columns: pr, sec, start (the run's first line), ln (0-based in the section), text, is_hunk_header, in_hunk, the
+    open hunk's src_start, src_len, tgt_start, tgt_len, src_before and tgt_before; hunk and file (running counts of
+    hunk headers and of ``--- `` headers in the run), named (on a ``--- `` header: path and kinds), path (the last
+    such path in the run), git (names of a section's ``diff --git`` line), new_mode, deleted_mode.
     """
-    base = prs.select(F.col(pr).alias("pr"), F.posexplode(F.split(F.coalesce(F.col(diff), F.lit("")), SECTION_RE)).alias("sec", "_t"))
-    lines = base.repartition("pr", "sec").select("pr", "sec", F.posexplode(F.split("_t", "\n")).alias("ln", "text"))
-    w = Window.partitionBy("pr", "sec").orderBy("ln")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    is_hdr = F.col("text").rlike(HUNK_RE)
-    df = lines.withColumn("_next", F.lead("text").over(w)).withColumn("is_hunk_header", is_hdr)
-    df = df.withColumn("_h", F.sum(F.col("is_hunk_header").cast("int")).over(so_far))
-
-    def grp(i: int) -> Column:
-        return F.regexp_extract("text", HUNK_RE, i)
-
-    def number(i: int, omitted: int | None = None) -> Column:
-        return F.when(F.col("is_hunk_header"), grp(i).try_cast("bigint") if omitted is None else
-                      F.when(grp(i) == "", F.lit(omitted).cast("bigint")).otherwise(grp(i).try_cast("bigint")))
-
-    df = df.withColumns({"_ss": number(1), "_sl": number(2, 1), "_ts": number(3), "_tl": number(4, 1)})
-    w_h = Window.partitionBy("pr", "sec", "_h").orderBy("ln")
-    w_hb = w_h.rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("text").substr(1, 1)
+    runs = _runs(prs, pr, diff, run_lines)
+    runs = runs.join(_states_before(runs, run_lines), ["pr", "sec", "start"], "left")
+    pairs = F.transform("l", lambda x, i: F.struct(x.alias("text"), F.get("l", i + 1).alias("next")))
+    df = runs.select("pr", "sec", "start", "before", F.posexplode(pairs).alias("i", "t")).where(F.col("i") < run_lines)
+    df = df.select("pr", "sec", "start", "before", (F.col("start") + F.col("i")).alias("ln"), "t.text", "t.next")
+    so_far = Window.partitionBy("pr", "sec", "start").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
+    text, nxt = F.col("text"), F.col("next")
     # the empty element after a final newline is not a line of the diff
-    trailing = (F.col("text") == "") & F.col("_next").isNull()
-    body = ~F.col("is_hunk_header") & (F.col("_h") > 0) & ~trailing
-    counts_src = body & ((first == " ") | (first == "-") | (F.col("text") == ""))
-    counts_tgt = body & ((first == " ") | (first == "+") | (F.col("text") == ""))
-    df = (df
-          .withColumn("src_start", F.first("_ss").over(w_h))
-          .withColumn("src_len", F.first("_sl").over(w_h))
-          .withColumn("tgt_start", F.first("_ts").over(w_h))
-          .withColumn("tgt_len", F.first("_tl").over(w_h))
-          .withColumn("src_before", F.coalesce(F.sum(counts_src.cast("bigint")).over(w_hb), F.lit(0)))
-          .withColumn("tgt_before", F.coalesce(F.sum(counts_tgt.cast("bigint")).over(w_hb), F.lit(0)))
-          .drop("_ss", "_sl", "_ts", "_tl"))
-    in_hunk = body & ((F.col("src_before") < F.col("src_len")) | (F.col("tgt_before") < F.col("tgt_len"))) \
-        & ((first == " ") | (first == "-") | (first == "+") | (F.col("text") == ""))
-    df = df.withColumn("in_hunk", F.coalesce(in_hunk, F.lit(False)))
-    file_hdr = ~F.col("in_hunk") & ~F.col("is_hunk_header") & F.col("text").startswith("--- ") \
-        & F.coalesce(F.col("_next").startswith("+++ "), F.lit(False))
-    section = Window.partitionBy("pr", "sec")
-    outside = lambda start: F.max(~F.col("in_hunk") & F.col("text").startswith(start)).over(section)
-    df = df.withColumn("_dash", file_hdr)
-    df = df.withColumn("_git", (F.col("ln") == 0) & F.col("text").rlike(GIT_RE) & ~F.max("_dash").over(section))
-    df = df.withColumn("is_file_header", F.col("_dash") | F.col("_git")).withColumn("_f", F.sum(F.col("is_file_header").cast("int")).over(so_far))
-    git = lambda i, gone: F.when(outside(gone), F.lit(DEV_NULL)).otherwise(F.regexp_extract("text", GIT_RE, i))
-    src = F.when(F.col("_git"), git(1, "new file mode")).otherwise(_filename(F.col("text")))
-    tgt = F.when(F.col("_git"), git(2, "deleted file mode")).otherwise(_filename(F.col("_next")))
-    df = df.withColumns({"_src": src, "_tgt": tgt})
-    src, tgt = F.col("_src"), F.col("_tgt")
-    named = F.when(F.col("is_file_header"), F.struct(_path(src, tgt).alias("path"), (src == DEV_NULL).alias("is_new"), (tgt == DEV_NULL).alias("is_deleted")))
-    df = df.withColumn("header", F.last(named, ignorenulls=True).over(so_far))
-    # numbers per PR: those of the sections before are added (one row per section)
-    ends = df.groupBy("pr", "sec").agg(F.max("_h").alias("_nh"), F.max("_f").alias("_nf"))
-    before = Window.partitionBy("pr").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ends.select("pr", "sec", F.coalesce(F.sum("_nh").over(before), F.lit(0)).alias("_oh"), F.coalesce(F.sum("_nf").over(before), F.lit(0)).alias("_of"))
-    return (df.join(offsets, ["pr", "sec"]).withColumn("hunk_idx", F.col("_h") + F.col("_oh")).withColumn("file_idx", F.col("_f") + F.col("_of"))
-            .withColumn("_orphan", F.col("_f") == 0).drop("_h", "_f", "_oh", "_of", "_dash", "_git", "_src", "_tgt"))
-
-
-def _hunk_stats(classified: DataFrame) -> DataFrame:
-    """Per (pr, file_idx): file header, counts and the first error of its hunks, in one aggregation of hunks."""
-    first = F.col("text").substr(1, 1)
-    empty = F.col("text") == ""
+    line = ~((text == "") & nxt.isNull())
+    side = lambda sign: (line & _counts(text, sign)).cast("bigint")
+    is_header = text.startswith("@@") & text.rlike(HUNK_RE)
+    df = df.withColumn("is_hunk_header", is_header).withColumns({
+        "src_at": F.sum(side("-")).over(so_far) - side("-"), "tgt_at": F.sum(side("+")).over(so_far) - side("+"), "hunk": F.sum(F.col("is_hunk_header").cast("int")).over(so_far)})
+    opened = F.when(F.col("is_hunk_header"), F.struct(*_numbers(text), "src_at", "tgt_at"))
+    df = df.withColumn("o", F.coalesce(F.last(opened, ignorenulls=True).over(so_far), F.col("before")))
+    src_before, tgt_before = F.col("src_at") - F.col("o.src_at"), F.col("tgt_at") - F.col("o.tgt_at")
+    inside = ~F.col("is_hunk_header") & line & ((src_before < F.col("o.src_len")) | (tgt_before < F.col("o.tgt_len"))) & (_counts(text, "-") | _counts(text, "+"))
+    df = df.select("pr", "sec", "start", "ln", "text", "next", "is_hunk_header", "hunk", F.coalesce(inside, F.lit(False)).alias("in_hunk"), "o.src_start", "o.src_len", "o.tgt_start", "o.tgt_len",
+                   src_before.alias("src_before"), tgt_before.alias("tgt_before"))
+    out = ~F.col("in_hunk")
+    dash = out & ~F.col("is_hunk_header") & text.startswith("--- ") & F.coalesce(nxt.startswith("+++ "), F.lit(False))
+    df = df.withColumn("named", F.when(dash, _named(_filename(text), _filename(nxt))))
+    git = F.when((F.col("ln") == 0) & text.startswith("diff --git ") & text.rlike(GIT_RE), F.struct(F.regexp_extract("text", GIT_RE, 1).alias("src"), F.regexp_extract("text", GIT_RE, 2).alias("tgt")))
+    return df.withColumns({"file": F.sum(F.col("named").isNotNull().cast("int")).over(so_far), "path": F.last("named.path", ignorenulls=True).over(so_far),
+                           "git": git, "new_mode": out & text.startswith("new file mode"), "deleted_mode": out & text.startswith("deleted file mode")}).drop("next")
+
+
+def _named(src: Column, tgt: Column) -> Column:
+    return F.struct(_path(src, tgt).alias("path"), (src == DEV_NULL).alias("is_new"), (tgt == DEV_NULL).alias("is_deleted"))
+
+
+def _pieces(classified: DataFrame) -> DataFrame:
+    """One row for the lines of a run between two headers: counts, the hunk or file it opens, and per PR hunk_idx,
+    file_idx, header (of its file) and orphan (no file header before it in the section)."""
+    text = F.col("text")
     n = lambda c: F.count_if(F.col("in_hunk") & c)
-    h = classified.groupBy("pr", "file_idx", "hunk_idx").agg(
-        F.max(F.when(F.col("is_file_header"), F.col("header"))).alias("header"), F.max("is_hunk_header").alias("opens"),
-        F.max(F.when(F.col("is_hunk_header"), F.struct("src_start", "src_len", "tgt_start", "tgt_len", "_orphan"))).alias("k"),
-        n(first == "+").alias("additions"), n(first == "-").alias("deletions"),
-        n((first == " ") | (first == "-") | empty).alias("src_seen"), n((first == " ") | (first == "+") | empty).alias("tgt_seen"))
+    p = classified.groupBy("pr", "sec", "start", "hunk", "file").agg(
+        F.max("is_hunk_header").alias("opens"), F.max(F.when(F.col("is_hunk_header"), F.struct("src_start", "src_len", "tgt_start", "tgt_len"))).alias("k"),
+        F.max("named").alias("named"), F.max("git").alias("git"), F.max("new_mode").alias("new_mode"), F.max("deleted_mode").alias("deleted_mode"),
+        n(text.startswith("+")).alias("additions"), n(text.startswith("-")).alias("deletions"), n(_counts(text, "-")).alias("src_seen"), n(_counts(text, "+")).alias("tgt_seen"))
+    p = p.repartition("pr").sortWithinPartitions("pr", "sec", "start", "hunk", "file")
+    order = ["sec", "start", "hunk", "file"]
+    section = Window.partitionBy("pr", "sec").orderBy(*order[1:])
+    whole, so_far = section.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), section.rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumns({"s_named": F.max("named").over(whole), "s_git": F.max("git").over(whole), "s_new": F.max("new_mode").over(whole), "s_deleted": F.max("deleted_mode").over(whole),
+                       "header": F.last("named", ignorenulls=True).over(so_far)})
+    side = lambda gone, name: F.when(F.col(gone), F.lit(DEV_NULL)).otherwise(F.col(f"s_git.{name}"))
+    by_git = F.when(F.col("s_named").isNull() & F.col("s_git").isNotNull(), _named(side("s_new", "src"), side("s_deleted", "tgt")))
+    starts = F.col("named").isNotNull() | (F.col("s_named").isNull() & F.col("git").isNotNull())
+    p = p.withColumn("header", F.coalesce("header", by_git)).withColumn("starts", starts)
+    per_pr = Window.partitionBy("pr").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumns({"hunk_idx": F.sum(F.col("opens").cast("int")).over(per_pr), "file_idx": F.sum(F.col("starts").cast("int")).over(per_pr)})
+    return p.withColumn("orphan", F.col("header").isNull()).drop("s_named", "s_git", "s_new", "s_deleted", "new_mode", "deleted_mode")
+
+
+def _hunks(pieces: DataFrame) -> DataFrame:
+    """Per (pr, file_idx, hunk_idx): counts, the hunk's numbers, its first error; header of a file that starts there."""
+    h = pieces.groupBy("pr", "file_idx", "hunk_idx").agg(
+        F.max(F.when(F.col("starts"), F.col("header"))).alias("header"), F.max("opens").alias("opens"), F.max(F.when(F.col("opens"), F.struct("k.*", "orphan"))).alias("k"),
+        *[F.sum(c).alias(c) for c in ("additions", "deletions", "src_seen", "tgt_seen")])
     src, tgt = F.col("k.src_len"), F.col("k.tgt_len")
-    error = (F.when(F.col("k._orphan"), "hunk_without_file_header")
+    error = (F.when(F.col("k.orphan"), "hunk_without_file_header")
              .when(src.isNull() | tgt.isNull() | F.col("k.src_start").isNull() | F.col("k.tgt_start").isNull(), "bad_hunk_header")
              .when((F.col("src_seen") < src) | (F.col("tgt_seen") < tgt), "hunk_too_short")
              .when((F.col("src_seen") > src) | (F.col("tgt_seen") > tgt), "hunk_too_long"))
-    h = h.withColumn("error", F.when(F.col("opens"), error))
-    return h.groupBy("pr", "file_idx").agg(F.max("header").alias("header"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"),
-                                           F.count_if("opens").alias("hunks"), F.min("error").alias("error"))
+    return h.withColumn("error", F.when(F.col("opens"), error))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Rows (with `error`) of the PRs without any error."""
+    return rows.withColumn("_bad", F.min("error").over(Window.partitionBy("pr"))).filter(F.col("_bad").isNull()).drop("_bad")
 
 
 def diff_files(prs: DataFrame | None, pr: str = "pr", diff: str = "diff", classified: DataFrame | None = None) -> DataFrame:
     """Per (pr, file_idx): path, additions, deletions, is_new, is_deleted, hunks; none of a diff with an error."""
-    f = _hunk_stats(diff_lines_all(prs, pr, diff) if classified is None else classified)
-    f = f.withColumn("_bad", F.min("error").over(Window.partitionBy("pr"))).filter(F.col("_bad").isNull() & F.col("header").isNotNull())
+    hunks = _hunks(_pieces(diff_lines_all(prs, pr, diff) if classified is None else classified))
+    f = hunks.groupBy("pr", "file_idx").agg(F.max("header").alias("header"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"),
+                                            F.count_if("opens").alias("hunks"), F.min("error").alias("error"))
+    f = _parsed(f).filter(F.col("header").isNotNull())
     return f.select("pr", "file_idx", "header.path", "additions", "deletions", "header.is_new", "header.is_deleted", "hunks")
 
 
 def diff_hunks(classified: DataFrame) -> DataFrame:
     """Per hunk: source/target start and length (of diffs without an error)."""
-    hunks = classified.filter("is_hunk_header").select("pr", "file_idx", "hunk_idx", "src_start", "src_len", "tgt_start", "tgt_len")
-    return hunks.join(diff_errors(classified).select("pr"), "pr", "left_anti")
+    return _parsed(_hunks(_pieces(classified))).filter("opens").select("pr", "file_idx", "hunk_idx", "k.src_start", "k.src_len", "k.tgt_start", "k.tgt_len")
 
 
-def diff_lines(classified: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def diff_lines(classified: DataFrame) -> DataFrame:
     """One row per in-hunk line: type, line number (target for added, else source), content and path (of diffs
-    without an error).  ``files`` is not needed any more."""
-    first = F.col("text").substr(1, 1)
-    typ = F.when(first == "+", "added").when(first == "-", "removed").otherwise("context")
-    number = F.when(first == "+", F.col("tgt_start") + F.col("tgt_before")).otherwise(F.col("src_start") + F.col("src_before"))
-    ls = classified.filter("in_hunk").select(
-        "pr", "file_idx", "hunk_idx", "ln", typ.alias("type"), number.alias("line_number"),
-        F.col("text").substr(2, 1 << 30).alias("content"), F.col("header.path").alias("path"))
-    return ls.join(diff_errors(classified).select("pr"), "pr", "left_anti")
+    without an error).
+
+    The classified lines are checkpointed in the shared folder while the frame is built: the pieces read them, and
+    the lines join the numbers of their run without a further shuffle.
+    """
+    ensure_checkpoint_dir(classified.sparkSession)
+    kept = F.col("in_hunk") | F.col("is_hunk_header") | F.col("named").isNotNull() | F.col("git").isNotNull() | F.col("new_mode") | F.col("deleted_mode")
+    held = classified.filter(kept).checkpoint()
+    pieces = _pieces(held)
+    bad = _hunks(pieces).filter(F.col("error").isNotNull()).select("pr").distinct()
+    runs = pieces.groupBy("pr", "sec", "start").agg(
+        F.min(F.col("hunk_idx") - F.col("hunk")).alias("hunks_before"), F.min(F.col("file_idx") - F.col("file")).alias("files_before"),
+        F.max(F.when(F.col("file") == 0, F.col("header.path"))).alias("path_before")).join(bad, "pr", "left_anti")
+    text = F.col("text")
+    typ = F.when(text.startswith("+"), "added").when(text.startswith("-"), "removed").otherwise("context")
+    number = F.when(text.startswith("+"), F.col("tgt_start") + F.col("tgt_before")).otherwise(F.col("src_start") + F.col("src_before"))
+    return held.filter("in_hunk").join(runs, ["pr", "sec", "start"]).select(
+        "pr", (F.col("file") + F.col("files_before")).alias("file_idx"), (F.col("hunk") + F.col("hunks_before")).alias("hunk_idx"), "ln", typ.alias("type"), number.alias("line_number"),
+        text.substr(2, 1 << 30).alias("content"), F.coalesce("path", "path_before").alias("path"))
 
 
 def diff_summary(files: DataFrame, prs: DataFrame | None = None) -> DataFrame:
@@ -209,7 +270,7 @@ def assemble_diff(file_patches: DataFrame, pr: str = "pr") -> DataFrame:
 def diff_errors(classified: DataFrame) -> DataFrame:
     """Diffs that do not parse, with an error code and zero counts: a hunk before any file header, with numbers out
     of range, or whose lines are fewer or more than it states."""
-    bad = _hunk_stats(classified).filter(F.col("error").isNotNull())
+    bad = _hunks(_pieces(classified)).filter(F.col("error").isNotNull())
     return (bad.groupBy("pr").agg(F.min("error").alias("error"))
             .withColumn("files_count", F.lit(0)).withColumn("total_additions", F.lit(0))
             .withColumn("total_deletions", F.lit(0)))

@@ -97,7 +97,7 @@ def test_diff_parsing(spark):
     assert set(files) == {"x.py", "new.py", "old.py"}
     assert (files["x.py"].additions, files["x.py"].deletions) == (1, 1)
     assert files["new.py"].is_new and files["old.py"].is_deleted
-    lines = sorted((x.path, x.type, x.line_number) for x in D.diff_lines(c, D.diff_files(None, classified=c)).collect())
+    lines = sorted((x.path, x.type, x.line_number) for x in D.diff_lines(c).collect())
     assert ("x.py", "removed", 2) in lines and ("x.py", "added", 2) in lines and ("x.py", "context", 3) in lines
     assert ("new.py", "added", 1) in lines and ("old.py", "removed", 1) in lines
     assert D.diff_errors(c).count() == 0
