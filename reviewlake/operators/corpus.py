@@ -1,11 +1,17 @@
 """Source-file inventories: language, classification, ignore rules and the review plan.
 
 Dimension lookups are literal maps (fixed size, no join).  Ignore patterns come from data (an
-ignore file per project or a default set); they are translated *in Spark* to one alternation per
-project, which meets the files by an equi-join and is matched once per file.
+ignore file per project or a default set) and are indexed by shape: names, suffixes and literal
+paths become keys, which the paths' own parts and prefixes meet in an equi-join; only patterns
+with other wildcards reach a regex, compiled once per list of patterns and Python worker.
 """
 from __future__ import annotations
 
+import fnmatch
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,59 +123,110 @@ def classify(files: DataFrame, path: str = "rel_path") -> DataFrame:
 
 # ------------------------------------------------------------------------------------------ ignore rules
 
-def glob_body(glob: Column) -> Column:
-    """fnmatch glob -> regex text: ``*`` -> ``.*`` (crosses ``/``), ``?`` -> ``.``, ``[!x]`` -> ``[^x]``; a ``[``
-    that no ``]`` closes and all other regex metacharacters are literal.  Case-sensitive."""
-    r = F.regexp_replace(glob, r"([.+(){}^$|\\&~#])", r"\\$1")
-    r = F.regexp_replace(r, r"\[(?!!?\]?[^\]]*\])", r"\\[")
-    r = F.regexp_replace(r, r"\?", ".")
-    r = F.regexp_replace(r, r"\*", ".*")
-    return F.regexp_replace(r, r"\[!", "[^")
+_WILD = r"[*?\[]"
+#: Kinds of keys: a directory part, the file name, their ends from a dot on, the whole path, a directory above it, and
+#: a directory part or file name that is not the first part.
+_DIR, _NAME, _DIR_END, _NAME_END, _PATH, _ABOVE, _LATER_DIR, _LATER_NAME = range(8)
 
 
-def ignore_regexes(patterns: DataFrame, col: str = "pattern", group: str | None = None) -> DataFrame:
-    """One row per group (or one in all) with up to three alternations, NULL where there is no pattern.
+def _key(kind: int, key: Column, starts: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), key.alias("key"), (F.lit(None).cast("string") if starts is None else starts).alias("starts"))
 
-    ``re_dir`` holds patterns without ``/`` and is matched against directory parts; ``re_name`` those of them that
-    do not end in ``/``, against the file name; ``re_path`` those with a ``/``: the whole path, everything below
-    it, or (for a directory pattern) any path that starts with it.  A group's row is bounded by its ignore file."""
-    p = F.regexp_replace(F.col(col), "/+$", "")
-    is_dir, inner = F.col(col).endswith("/"), p.contains("/")
-    one, below, prefix = glob_body(p), glob_body(F.concat(p, F.lit("/**"))), glob_body(F.concat(p, F.lit("*")))
-    keys = [group] if group else []
-    parts = patterns.where(p != "").select(
-        *keys, F.when(~inner, one).alias("dir"), F.when(~inner & ~is_dir, one).alias("name"),
-        F.when(inner, F.concat_ws("|", one, below, F.when(is_dir, prefix))).alias("path"))
 
-    def joined(c: str) -> Column:
-        text = F.array_join(F.array_sort(F.collect_set(c)), "|")
-        return F.when(text != "", F.concat(F.lit("(?s)^(?:"), text, F.lit(")$"))).alias(f"re_{c}")
+def pattern_index(patterns: DataFrame, col: str = "pattern") -> DataFrame:
+    """``patterns`` with ``keys`` (kind, key, starts: a text the path must start with besides) and ``wild``: whether the
+    pattern has no keys and must be matched as a whole.
 
-    return parts.groupBy(*keys).agg(joined("dir"), joined("name"), joined("path"))
+    A pattern without ``/`` holds for directory parts and, unless it ends in ``/``, the file name; one with a ``/`` for
+    the whole path, everything below it and, if it ends in ``/``, any path that starts with it."""
+    p = F.regexp_replace(F.col(col), "/+$", "")
+    is_dir, inner = F.col(col).endswith("/"), p.contains("/")
+    plain = lambda c: ~c.rlike(_WILD)
+    unless_dir = lambda k: F.when(~is_dir, k)
+    end, stem, later = p.substr(2, 1 << 30), F.regexp_replace(p, r"/\*\*?$", ""), p.substr(4, 1 << 30)
+    parent = F.regexp_replace(p, "/[^/]*$", "")
+    keys = (F.when(~inner & plain(p), F.array(_key(_DIR, p), unless_dir(_key(_NAME, p))))
+            .when(~inner & p.startswith("*.") & plain(end), F.array(_key(_DIR_END, end), unless_dir(_key(_NAME_END, end))))
+            .when(inner & plain(p), F.array(_key(_PATH, p), _key(_ABOVE, p), F.when(is_dir, _key(_ABOVE, parent, p))))
+            .when((stem != p) & (stem != "") & plain(stem), F.array(_key(_ABOVE, stem)))
+            .when(p.startswith("**/") & ~is_dir & plain(later) & (later != "") & ~later.contains("/"), F.array(_key(_LATER_DIR, later), _key(_LATER_NAME, later))))
+    return patterns.where(p != "").withColumn("keys", F.array_compact(keys)).withColumn("wild", F.col("keys").isNull())
+
+
+def path_keys(path: Column) -> Column:
+    """Array of (kind, key): everything of a path that a pattern's key can equal."""
+    parts = path_parts(path)
+    n = F.size(parts)
+    dirs, name = F.slice(parts, 1, n - 1), F.element_at(parts, -1)
+    numbered = lambda kind, texts: F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+
+    def ends(text: Column) -> Column:
+        """'.b.c' and '.c' of 'a.b.c'."""
+        cut = F.split(text, r"\.")
+        return F.transform(F.slice(cut, 2, F.size(cut)), lambda _, i: F.concat(F.lit("."), F.array_join(F.slice(cut, i + 2, F.size(cut)), ".")))
+
+    above = F.transform(dirs, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
+    kinds = [numbered(_DIR, dirs), numbered(_NAME, F.array(name)), numbered(_DIR_END, F.flatten(F.transform(dirs, ends))), numbered(_NAME_END, ends(name)), numbered(_PATH, F.array(path)),
+             numbered(_ABOVE, above), numbered(_LATER_DIR, F.slice(dirs, 2, n)), numbered(_LATER_NAME, F.when(n > 1, F.array(name)).otherwise(F.array().cast("array<string>")))]
+    return F.array_distinct(F.concat(*kinds))
+
+
+def _compiled(globs: list[str]):
+    """One regex for a list of globs (``*`` and ``?`` cross ``/``, ``[!x]`` negates, an unclosed ``[`` is literal); none
+    for no globs.  A glob that is no valid class matches nothing."""
+    good = []
+    for g in globs:
+        try:
+            good.append(re.compile(fnmatch.translate(g)).pattern)
+        except re.error:
+            pass
+    return re.compile("|".join(f"(?:{g})" for g in good)) if good else None
+
+
+def _matches_wild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, path, globs) -> (group, path) of the paths that a glob holds for."""
+    lists: dict[tuple, tuple] = {}
+    for batch in batches:
+        hit = []
+        for path, globs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            key = tuple(globs)
+            if key not in lists:
+                bare = [(g.rstrip("/"), g.endswith("/")) for g in globs]
+                parts = [(g, d) for g, d in bare if "/" not in g]
+                whole = [(g, d) for g, d in bare if "/" in g]
+                lists[key] = (_compiled([g for g, _ in parts]), _compiled([g for g, d in parts if not d]),
+                              _compiled([x for g, d in whole for x in (g, g + "/**", *[g + "*"] * d)]))
+            in_dir, in_name, in_path = lists[key]
+            *dirs, name = path.split("/")
+            hit.append(bool((in_dir and any(map(in_dir.match, dirs))) or (in_name and in_name.match(name)) or (in_path and in_path.match(path))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["_g", "_rel"]).filter(pa.array(hit, pa.bool_()))
 
 
 def flag_ignored(files: DataFrame, patterns: DataFrame, path: str = "rel_path", group: str | None = None,
                  default: DataFrame | None = None) -> DataFrame:
-    """``files`` with ``ignored``, in one pass over the files.
-
-    ``patterns`` may carry ``group`` (per-project ignore files): an equi-join.  ``default`` patterns hold for groups
-    without a pattern of their own.  Without a group the one row of regexes joins on a constant."""
-    names = ["re_dir", "re_name", "re_path"]
-    if group:
-        f = files.join(ignore_regexes(patterns, group=group).withColumn("_own", F.lit(True)), group, "left")
-        if default is not None:
-            d = ignore_regexes(default).select(F.lit(1).alias("_k"), *[F.col(n).alias(f"_d{n}") for n in names])
-            f = f.withColumn("_k", F.lit(1)).join(d, "_k", "left")
-            f = f.withColumns({n: F.when(F.col("_own"), F.col(n)).otherwise(F.col(f"_d{n}")) for n in names}).drop("_k", *d.columns)
-        f = f.drop("_own")
-    else:
-        f = files.withColumn("_k", F.lit(1)).join(ignore_regexes(patterns).withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
-    rel = F.regexp_replace(F.col(path), r"\\", "/")
-    parts = path_parts(rel)
-    any_dir = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.rlike(x, F.col("re_dir")))
-    hit = lambda c: F.coalesce(c, F.lit(False))
-    ignored = hit(any_dir) | hit(F.rlike(F.element_at(parts, -1), F.col("re_name"))) | hit(F.rlike(rel, F.col("re_path")))
-    return f.withColumn("ignored", ignored).drop(*names)
+    """``files`` with ``ignored``.
+
+    ``patterns`` may carry ``group`` (per-project ignore files).  ``default`` patterns hold for groups without a
+    pattern of their own.  A file without a path is not ignored.  The keys of the paths meet those of the patterns in
+    an equi-join by (group, kind, key); the paths of groups with other wildcards are matched in Arrow batches."""
+    own = F.concat(F.lit("="), F.col(group).cast("string")) if group else F.lit("")
+    rules = patterns.select(own.alias("_g"), F.col("pattern"))
+    f = files.withColumn("_g", own).withColumn("_rel", F.regexp_replace(F.col(path), r"\\", "/"))
+    if group and default is not None:
+        owners = pattern_index(rules).select(F.col("_g").alias("_own")).distinct()
+        f = f.join(owners, F.col("_g") == F.col("_own"), "left").withColumn("_g", F.coalesce("_own", F.lit(""))).drop("_own")
+        rules = rules.unionByName(default.select(F.lit("").alias("_g"), "pattern"))
+    index = pattern_index(rules.distinct())
+    keys = index.select(F.col("_g").alias("_kg"), F.explode("keys").alias("k")).select("_kg", "k.*").distinct()
+    paths = f.select("_g", "_rel").where(F.col("_rel").isNotNull())
+    held = paths.select("_g", "_rel", F.explode(path_keys(F.col("_rel"))).alias("p")).join(
+        keys, (F.col("_g") == F.col("_kg")) & (F.col("p.kind") == F.col("kind")) & (F.col("p.key") == F.col("key")))
+    held = held.where(F.col("starts").isNull() | F.col("_rel").startswith(F.col("starts"))).select("_g", "_rel")
+    globs = index.where("wild").groupBy(F.col("_g").alias("_kg")).agg(F.array_sort(F.collect_set("pattern")).alias("globs"))
+    wild = paths.join(globs, F.col("_g") == F.col("_kg")).select("_g", "_rel", "globs").mapInArrow(_matches_wild, "_g string, _rel string")
+    hits = held.unionByName(wild).distinct().select(F.col("_g").alias("_hg"), F.col("_rel").alias("_hrel"))
+    f = f.join(hits, (F.col("_g") == F.col("_hg")) & (F.col("_rel") == F.col("_hrel")), "left")
+    return f.withColumn("ignored", F.col("_hrel").isNotNull()).drop("_g", "_rel", "_hg", "_hrel")
 
 
 def split_ignored(files: DataFrame, patterns: DataFrame, path: str = "rel_path", group: str | None = None,
