@@ -112,13 +112,20 @@ def author_stats(snaps: DataFrame, n: int) -> DataFrame:
 # ------------------------------------------------------------------------------------------
 
 def repo_issues(reviews: DataFrame, issues: DataFrame, n: int | None, category: str | None = None) -> DataFrame:
-    """issues ⋈ reviews, newest ``n`` per repo, or all unranked for None (optional category).  Only the four review columns
-    needed are carried into the join; the per-repo limit runs before the final exchange."""
+    """issues ⋈ reviews, newest ``n`` per repo, or all unranked for None (optional category).
+
+    The threshold is cut before the join: issues are counted per review, and a repo's newest reviews are kept up to
+    the one that fills ``n`` (at most ``n`` reviews with an issue each).  Only their issues are joined and ranked."""
     r = reviews.select("review_id", "repo", "pr_id", F.col("created_at").alias("review_ts"))
     i = issues if category is None else issues.filter(F.col("category") == category)
-    j = i.join(r, "review_id")
-    order = [F.col("review_ts").desc(), F.col("review_id").desc(), F.col("pos").asc(), F.col("issue_id").asc()]
-    return j if n is None else _top_per_group(j, ["repo"], order, n)
+    if n is None:
+        return i.join(r, "review_id")
+    newest = [F.col("review_ts").desc(), F.col("review_id").desc()]
+    counted = r.join(i.groupBy("review_id").agg(F.count(F.lit(1)).alias("_issues")), "review_id")
+    counted = _top_per_group(counted, ["repo"], newest, n, "_r")
+    before = Window.partitionBy("repo").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    kept = counted.withColumn("_before", F.sum("_issues").over(before)).filter(F.coalesce("_before", F.lit(0)) < n).drop("_issues", "_r", "_before")
+    return _top_per_group(i.join(kept, "review_id"), ["repo"], [*newest, F.col("pos").asc(), F.col("issue_id").asc()], n)
 
 
 def repo_reviews(reviews: DataFrame, n: int | None) -> DataFrame:

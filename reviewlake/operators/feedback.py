@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..functions.heavy import most_frequent
 from ..functions.text import py_strip, truthy
-from ..session import ensure_checkpoint_dir
 from . import analytics
 
 
@@ -24,9 +24,7 @@ def feedback_window(reviews: DataFrame, issues: DataFrame, max_issues: int | Non
 
 
 def _count(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Issues per repo and keys; rows that stand for several carry their number in ``_n``."""
-    one = F.col("_n") if "_n" in df.columns else F.lit(1)
-    return df.groupBy("repo", *keys).agg(F.sum(one).cast("bigint").alias("count"))
+    return df.groupBy("repo", *keys).agg(F.count(F.lit(1)).alias("count"))
 
 
 def _top(df: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -78,14 +76,18 @@ def directory_hotspots(window_issues: DataFrame, n: int) -> DataFrame:
 
 def title_pattern(title: Column) -> Column:
     """Strip ``CRITICAL:`` markers, parenthesised text -> one space, ``line 12`` -> ``line N``."""
-    t = py_strip(F.regexp_replace(F.coalesce(title, F.lit("")), r"(CRITICAL:\s*)", ""))
-    t = py_strip(F.regexp_replace(t, r"\s*\(.*?\)\s*", " "))
+    t = F.coalesce(title, F.lit(""))
+    t = py_strip(F.when(t.contains("CRITICAL:"), F.regexp_replace(t, r"(CRITICAL:\s*)", "")).otherwise(t))
+    t = F.when(t.contains("("), py_strip(F.regexp_replace(t, r"\s*\(.*?\)\s*", " "))).otherwise(t)
     return F.regexp_replace(t, r"(?i)line \d+", "line N")
 
 
-def recurring_titles(window_issues: DataFrame, n: int) -> DataFrame:
-    df = window_issues.withColumn("title_pattern", title_pattern(F.col("title"))).filter(F.col("title_pattern") != "")
-    return _top(df, ["title_pattern"], n)
+def recurring_titles(window_issues: DataFrame, n: int, capacity: int | None = None) -> DataFrame:
+    """The ``n`` most frequent title patterns of each repo, with count and rank.
+
+    The distinct titles of a repo are not shuffled: see ``functions.heavy``."""
+    df = window_issues.select("repo", title_pattern(F.col("title")).alias("title_pattern")).filter(F.col("title_pattern") != "")
+    return most_frequent(df, "repo", "title_pattern", n, **({} if capacity is None else {"capacity": capacity}))
 
 
 def review_stats(window_reviews: DataFrame) -> DataFrame:
@@ -101,38 +103,47 @@ REPORT_FILES, REPORT_DIRECTORIES, REPORT_TITLES = 15, 10, 10
 
 
 def report(reviews: DataFrame, issues: DataFrame, max_issues: int | None = None, max_reviews: int | None = None) -> DataFrame:
-    """All sub-reports as one nested row per repo.  The issues are counted once by all keys that any list needs;
-    every list is made of those counts, so the issues are joined and shuffled once."""
+    """All sub-reports as one nested row per repo.
+
+    Every issue gives one entry (list, two keys) for each list that it is in, titles and directories already in normal
+    form; one aggregation counts the entries of all lists.  The lists of a fixed length take their first entries by a
+    rank that prunes before the shuffle."""
     window, rw = feedback_window(reviews, issues, max_issues, max_reviews)
-    ensure_checkpoint_dir(reviews.sparkSession)
-    keys = ["category", "severity", "owasp_id", "threat_type", "file_path", "title"]
-    counts = window.groupBy("repo", *keys).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
-    iw = counts
-
-    def nest(df: DataFrame, name: str, cols: list[str], order: list[str]) -> DataFrame:
-        return df.groupBy("repo").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct(*order, *cols))),
-                        lambda x: F.struct(*[x[c].alias(c) for c in cols])).alias(name))
-
-    def by_count(df: DataFrame, keys: list[str]) -> DataFrame:
-        return df.withColumn("_neg", -F.col("count"))
-
-    parts = [
-        iw.groupBy("repo").agg(F.sum("_n").alias("total_issues_analyzed")),
-        nest(by_count(category_frequency(iw), ["category"]), "category_frequency", ["category", "count"], ["_neg"]),
-        severity_distribution(iw).groupBy("repo").agg(
-            F.map_from_entries(F.collect_list(F.struct("severity", "count"))).alias("severity_distribution")),
-        nest(by_count(owasp_frequency(iw), ["owasp_id"]), "owasp_frequency", ["owasp_id", "count"], ["_neg"]),
-        nest(by_count(threat_frequency(iw), ["threat_type"]), "threat_type_frequency", ["threat_type", "count"], ["_neg"]),
-        nest(file_hotspots(iw, REPORT_FILES), "file_hotspots", ["file_path", "category", "count"], ["rank"]),
-        nest(directory_hotspots(iw, REPORT_DIRECTORIES), "directory_hotspots", ["directory", "count"], ["rank"]),
-        nest(recurring_titles(iw, REPORT_TITLES), "top_recurring_titles", ["title_pattern", "count"], ["rank"]),
-        review_stats(rw).select("repo", F.struct("total_reviews", "avg_score", "avg_security_score", "block_rate")
-                                .alias("review_stats")),
-    ]
-    out = reviews.select("repo").distinct()
-    for p in parts:
-        out = out.join(p, "repo", "left")
+    none = F.lit(None).cast("string")
+
+    def entry(name: str, key: Column, second: Column = none, where: Column | None = None) -> Column:
+        e = F.struct(F.lit(name).alias("list"), key.alias("k1"), second.alias("k2"))
+        return e if where is None else F.when(where, e)
+
+    general, path, directory = F.coalesce("category", F.lit("general")), F.col("file_path"), F.col("_directory")
+    whole = [entry("category_frequency", general), entry("severity_distribution", F.coalesce("severity", F.lit("info"))),
+             entry("owasp_frequency", F.col("owasp_id"), where=truthy(F.col("owasp_id"))), entry("threat_type_frequency", F.col("threat_type"), where=truthy(F.col("threat_type")))]
+    first = [entry("file_hotspots", path, general, truthy(path)), entry("directory_hotspots", directory, where=truthy(directory) & (directory != ".")),
+             entry("top_recurring_titles", F.col("_title"), where=F.col("_title") != "")]
+    named = window.withColumn("_directory", F.when(truthy(path), posix_parent(path))).withColumn("_title", title_pattern(F.col("title")))
+
+    def counted(df: DataFrame, entries: list[Column]) -> DataFrame:
+        return df.select("repo", F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy("repo", "e.list", "e.k1", "e.k2").agg(F.count(F.lit(1)).alias("count"))
+
+    lengths = {"file_hotspots": REPORT_FILES, "directory_hotspots": REPORT_DIRECTORIES, "top_recurring_titles": REPORT_TITLES}
+    w = Window.partitionBy("repo", "list").orderBy(F.col("count").desc(), F.col("k1").asc(), F.col("k2").asc())
+    length = F.element_at(F.create_map(*[F.lit(x) for kv in lengths.items() for x in kv]), F.col("list"))
+    ranked = counted(named, first).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max(lengths.values())).filter(F.col("r") <= length).drop("r")
+    entries = counted(window, whole).unionByName(ranked)
+
+    def nested(name: str, *cols: str) -> Column:
+        """The list's entries by count descending, then key."""
+        found = F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct((-F.col("count")).alias("neg"), "k1", "k2", "count"))))
+        made = F.transform(found, lambda x: F.struct(*[x[k].alias(c) for k, c in zip(("k1", "k2") if len(cols) > 1 else ("k1",), cols)], x["count"].alias("count")))
+        return F.when(F.size(made) > 0, made).alias(name)
+
+    severity = F.collect_list(F.when(F.col("list") == "severity_distribution", F.struct("k1", "count")))
+    lists = entries.groupBy("repo").agg(
+        F.sum(F.when(F.col("list") == "severity_distribution", F.col("count"))).alias("total_issues_analyzed"), nested("category_frequency", "category"),
+        F.when(F.size(severity) > 0, F.map_from_entries(severity)).alias("severity_distribution"), nested("owasp_frequency", "owasp_id"), nested("threat_type_frequency", "threat_type"),
+        nested("file_hotspots", "file_path", "category"), nested("directory_hotspots", "directory"), nested("top_recurring_titles", "title_pattern"))
+    stats = review_stats(rw).select("repo", F.struct("total_reviews", "avg_score", "avg_security_score", "block_rate").alias("review_stats"))
+    out = reviews.select("repo").distinct().join(lists, "repo", "left").join(stats, "repo", "left")
     return out.withColumn("total_issues_analyzed", F.coalesce("total_issues_analyzed", F.lit(0)))
 
 
