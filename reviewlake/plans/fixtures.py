@@ -7,8 +7,11 @@ under test are DataFrame functions in ``reviewlake.operators`` and never appear
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_path
 from ..sources.tables import read_table
 
 FX_SQL: dict[str, str] = {}
@@ -209,13 +212,25 @@ def _placeholders(sql: str) -> list[str]:
     return [f for _, f, _, _ in string.Formatter().parse(sql) if f]
 
 
+#: Staged fixtures of this process: (application, folder, name) -> path.
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Build fixture ``name`` over the driver tables in ``sf_dir``."""
-    sql = FX_SQL[name]
-    binds = {}
-    for ph in _placeholders(sql):
-        binds[ph] = fixture(spark, sf_dir, ph) if ph.startswith("fx_") else read_table(spark, sf_dir, ph)
-    return spark.sql(sql, **binds)
+    """Fixture ``name`` over the driver tables in ``sf_dir``: input tables, as a store would hold them.
+
+    Written once per application to the shared scratch folder and read from there, so that queries read tables and
+    do not build them again."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        sql = FX_SQL[name]
+        binds = {}
+        for ph in _placeholders(sql):
+            binds[ph] = fixture(spark, sf_dir, ph) if ph.startswith("fx_") else read_table(spark, sf_dir, ph)
+        path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+        spark.sql(sql, **binds).write.parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
 
 
 def oracle_with(body: str, *names: str) -> str:
