@@ -39,7 +39,7 @@ def register(op_id: str, oracle: str | None = None):
 def load_all() -> dict[str, Entry]:
     # importing the modules fills REGISTRY
     from . import (analytics_queries, corpus_queries, diff_queries, feedback_queries,  # noqa: F401
-                   findings_queries, infer_queries, ingest_queries, io_queries, rules_queries,
+                   findings_queries, incremental_queries, infer_queries, ingest_queries, io_queries, rules_queries,
                    runs_queries, scan_queries)
 
     return REGISTRY

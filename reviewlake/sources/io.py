@@ -20,10 +20,12 @@ EVENTS_SCHEMA = ("run_id string, event_id bigint, seq bigint, ts timestamp_ntz,
                  "meta map<string,string>")
 
 
-def read_webhooks(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Raw webhook events (one JSON object per line: event_id, headers, body text)."""
+def read_webhooks(spark: SparkSession, path: str, streaming: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """Raw webhook events (one JSON object per line: event_id, headers, body text).  A stream may bound the new files
+    of one micro-batch."""
     if streaming:
-        return spark.readStream.schema(WEBHOOK_SCHEMA).json(path)
+        reader = spark.readStream.schema(WEBHOOK_SCHEMA)
+        return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).json(path)
     return spark.read.schema(WEBHOOK_SCHEMA).json(path)
 
 
