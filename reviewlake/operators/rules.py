@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..functions.markdown import fenced_spans, in_spans
 from ..functions.text import py_strip, truthy
 from .feedback import rule_key
 
@@ -147,24 +148,25 @@ def owasp_sections(docs: DataFrame, key: str = "doc_id", text: str = "raw_md", d
     ``## Overview`` and the next ``## ``, else the lines from the third on (before line ``fallback_end`` if given),
     whole or cut to ``description_chars``.
 
-    Lines are exploded once per document after hash-partitioning the documents, so the state window
-    (last marker before each line) needs no further exchange."""
+    Lines in fenced code blocks are text, not headings.  Lines are exploded once per document after hash-partitioning
+    the documents, so the state window (last marker before each line) needs no further exchange; each line is
+    kept once."""
     ids = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"CWE-\d+"), 0)))
-    d = docs.select(F.col(key).alias("_k"), py_strip(F.coalesce(F.col(text), F.lit(""))).alias("_t"), ids.alias("cwes")).repartition("_k")
-    lines = d.select("_k", "cwes", F.posexplode(F.split("_t", "\r\n|\r|\n")).alias("i", "line"))
+    d = docs.select(F.col(key).alias("_k"), F.split(py_strip(F.coalesce(F.col(text), F.lit(""))), "\r\n|\r|\n").alias("_l"), ids.alias("cwes")).repartition("_k")
+    d = d.withColumn("_fenced", fenced_spans(F.col("_l")))
+    lines = d.select("_k", "cwes", "_fenced", F.posexplode("_l").alias("i", "line"))
     s = py_strip(F.col("line"))
-    marker = F.when(s.startswith("## Description") | s.startswith("## Overview"), "start").when(s.startswith("## "), "end")
+    heading = s.startswith("## ") & ~in_spans(F.col("i"), F.col("_fenced"))
+    marker = F.when(heading & (s.startswith("## Description") | s.startswith("## Overview")), "start").when(heading, "end")
     w = Window.partitionBy("_k").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("_m", marker).withColumn("_state", F.last("_m", ignorenulls=True).over(w))
-    in_desc = F.col("_m").isNull() & (F.col("_state") == "start")
+    in_desc = F.coalesce(F.col("_m").isNull() & (F.col("_state") == "start"), F.lit(False))
     in_rest = (F.col("i") >= 2) if fallback_end is None else (F.col("i") >= 2) & (F.col("i") < fallback_end)
-    agg = lines.groupBy("_k").agg(
-        F.first("cwes").alias("cwes"),
-        F.array_sort(F.collect_list(F.when(in_desc, F.struct("i", "line")))).alias("_d"),
-        F.array_sort(F.collect_list(F.when(in_rest, F.struct("i", "line")))).alias("_f"))
-    desc = py_strip(F.array_join(F.transform("_d", lambda x: x["line"]), "\n"))
-    fallback = py_strip(F.array_join(F.transform("_f", lambda x: x["line"]), "\n"))
-    whole = F.when(desc != "", desc).otherwise(fallback)
+    agg = lines.filter(in_desc | in_rest | (F.col("i") == 0)).groupBy("_k").agg(
+        F.first("cwes").alias("cwes"), F.array_sort(F.collect_list(F.struct("i", "line", in_desc.alias("d"), in_rest.alias("r")))).alias("_l"))
+    joined = lambda part: py_strip(F.array_join(F.transform(F.filter("_l", lambda x: x[part]), lambda x: x["line"]), "\n"))
+    desc = joined("d")
+    whole = F.when(desc != "", desc).otherwise(joined("r"))
     return agg.select(F.col("_k").alias(key), (whole if description_chars is None else F.substring(whole, 1, description_chars)).alias("description"), "cwes")
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.markdown import fenced_spans, in_spans
 from ..functions.text import py_strip
 
 # FIXED VALUES: rule packs (rule_id, regex, severity, category, threat_type)
@@ -110,9 +111,80 @@ def duplicate_blocks(lines: DataFrame, k: int = 4, key: str = "doc_id", text: st
             .filter(F.col("occurrences") > 1))
 
 
+def _numbered(lines: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, j, line_no, n): the stripped lines of a document that are not blank, numbered from 0."""
+    norm = lines.select(F.col(key).alias("key"), "line_no", py_strip(F.col(text)).alias("n")).filter(F.col("n") != "")
+    return norm.withColumn("j", F.row_number().over(Window.partitionBy("key").orderBy("line_no")) - 1)
+
+
+def winnowed_prints(numbered: DataFrame, k: int, window: int) -> DataFrame:
+    """(key, j, print): of every ``window`` consecutive runs of ``k`` lines the run of the least hash (of equal ones the
+    last), so that any ``window + k - 1`` lines in common have a print in common."""
+    by = Window.partitionBy("key").orderBy("j")
+    grams = numbered.select("key", "j", F.md5(F.concat_ws("\n", "n", *[F.lead("n", i).over(by) for i in range(1, k)])).alias("print"), F.lead("n", k - 1).over(by).isNotNull().alias("full")).filter("full")
+    ahead = Window.partitionBy("key").orderBy("j").rowsBetween(0, window - 1)
+    least = grams.select("key", "j", F.min(F.struct("print", (-F.col("j")).alias("neg"))).over(ahead).alias("m"), F.max("j").over(Window.partitionBy("key")).alias("last"))
+    whole = least.filter((F.col("j") + (window - 1) <= F.col("last")) | (F.col("j") == 0))
+    return whole.select("key", (-F.col("m.neg")).alias("j"), F.col("m.print").alias("print")).distinct()
+
+
+def copied_blocks(lines: DataFrame, k: int = 4, window: int = 4, key: str = "doc_id", text: str = "content") -> DataFrame:
+    """Blocks of any length that stand elsewhere too, each with its place and the place of the original.
+
+    Every class of equal winnowed prints has a representative, its first place by (key, line); each other place is
+    matched with that one alone, so a class of m places gives m - 1 rows.  Matches that follow each other at the same
+    distance are merged by gaps and islands, and each block is extended by the equal lines on both sides (up to
+    ``window - 1``, which the prints cannot see).  ``window`` is at most ``k``: neighbouring prints then cover all lines
+    between them.
+
+    Columns: key, first_line, last_line, lines (not blank), of_key, of_first_line, of_last_line, block_md5.  Blocks
+    shorter than ``k`` lines, blank lines and indentation do not count; null texts have no blocks."""
+    if not 1 <= window <= k:
+        raise ValueError("window must be between 1 and k")
+    numbered = _numbered(lines, key, text)
+    prints = winnowed_prints(numbered, k, window)
+    first = prints.groupBy("print").agg(F.min(F.struct("key", "j")).alias("of"), F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("print").alias("p"), "of")
+    match = prints.join(first, F.col("print") == F.col("p")).filter((F.col("key") != F.col("of.key")) | (F.col("j") != F.col("of.j")))
+    match = match.select("key", "j", F.col("of.key").alias("of_key"), (F.col("of.j") - F.col("j")).alias("apart"))
+    line = Window.partitionBy("key", "of_key", "apart").orderBy("j")
+    gap = F.coalesce(F.col("j") - F.lag("j").over(line) > k, F.lit(True))
+    island = match.withColumn("new", gap.cast("int")).withColumn("island", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = island.groupBy("key", "of_key", "apart", "island").agg(F.min("j").alias("a"), (F.max("j") + (k - 1)).alias("b"))
+    # equal lines next to the ends
+    if window > 1:
+        here = numbered.select(F.col("key").alias("hk"), F.col("j").alias("hj"), F.col("n").alias("hn"))
+        there = numbered.select(F.col("key").alias("tk"), F.col("j").alias("tj"), F.col("n").alias("tn"))
+        steps = blocks.select("*", F.explode(F.array(*[F.lit(x) for x in range(-(window - 1), window) if x])).alias("step"))
+        at = F.when(F.col("step") < 0, F.col("a") + F.col("step")).otherwise(F.col("b") + F.col("step"))
+        steps = steps.withColumn("at", at)
+        beside = steps.join(here, (F.col("key") == F.col("hk")) & (F.col("at") == F.col("hj")), "left").join(there, (F.col("of_key") == F.col("tk")) & (F.col("at") + F.col("apart") == F.col("tj")), "left")
+        other = ~F.coalesce(F.col("hn") == F.col("tn"), F.lit(False))
+        reach = lambda side: F.coalesce(F.min(F.when(side & other, F.abs("step"))), F.lit(window)) - 1
+        blocks = beside.groupBy("key", "of_key", "apart", "island", "a", "b").agg(reach(F.col("step") < 0).alias("up"), reach(F.col("step") > 0).alias("down"))
+        blocks = blocks.select("key", "of_key", "apart", (F.col("a") - F.col("up")).alias("a"), (F.col("b") + F.col("down")).alias("b")).distinct()
+        # blocks that grew into each other at the same distance are one
+        by = Window.partitionBy("key", "of_key", "apart").orderBy("a", "b")
+        far = F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1))
+        merged = blocks.withColumn("new", F.coalesce(F.col("a") > far + 1, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+        blocks = merged.groupBy("key", "of_key", "apart", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    blocks = blocks.select("key", "of_key", "apart", "a", "b")
+    held = numbered.select(F.col("key").alias("hk"), F.col("j").alias("hj"), F.col("line_no").alias("hl"), F.col("n").alias("hn"))
+    places = blocks.withColumn("at", F.explode(F.sequence("a", "b")))
+    text_of = places.join(held, (F.col("key") == F.col("hk")) & (F.col("at") == F.col("hj"))).groupBy("key", "of_key", "apart", "a", "b").agg(
+        F.min("hl").alias("first_line"), F.max("hl").alias("last_line"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hj", "hn"))), lambda x: x["hn"]), "\n")).alias("block_md5"))
+    ends = numbered.select(F.col("key").alias("tk"), F.col("j").alias("tj"), F.col("line_no").alias("tl"))
+    out = text_of.withColumns({"from_j": F.col("a") + F.col("apart"), "to_j": F.col("b") + F.col("apart")})
+    for c, j in (("of_first_line", "from_j"), ("of_last_line", "to_j")):
+        out = out.join(ends, (F.col("of_key") == F.col("tk")) & (F.col(j) == F.col("tj"))).withColumn(c, F.col("tl")).drop("tk", "tj", "tl")
+    return out.select(F.col("key").alias(key), "first_line", "last_line", (F.col("b") - F.col("a") + 1).alias("lines"), F.col("of_key").alias(f"of_{key}"), "of_first_line", "of_last_line", "block_md5")
+
+
 def severity_guidelines(docs: DataFrame, key: str = "document", text: str = "content") -> DataFrame:
-    """Rows of the ``## Severity Guidelines`` table of each document -> (document, issue, severity)."""
-    ls = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("i", "line"))
+    """Rows of the ``## Severity Guidelines`` table of each document -> (document, issue, severity); headings and tables
+    in fenced code blocks are text."""
+    ls = docs.select(key, F.split(F.col(text), "\n").alias("_l")).withColumn("_fenced", fenced_spans(F.col("_l")))
+    ls = ls.select(key, "_fenced", F.posexplode("_l").alias("i", "line")).filter(~in_spans(F.col("i"), F.col("_fenced"))).drop("_fenced")
     s = py_strip(F.col("line"))
     w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     ls = ls.withColumn("_section", F.last(F.when(s.startswith("## "), s), ignorenulls=True).over(w))
