@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..sources import batches
+from ..sources import batches, io
 from . import analytics
 
 IDS, MEASURES, KEYS = "ids", "measures", "keys"
@@ -50,6 +51,30 @@ def add_batch(spark: SparkSession, path: str, batch_id: int, reviews: DataFrame,
         snaps.unpersist()
 
 
+def open_store(spark: SparkSession, path: str) -> None:
+    batches.open_batches(spark, path, {"reviews": io.REVIEWS_SCHEMA, "issues": io.ISSUES_SCHEMA})
+
+
+def add_reviews(spark: SparkSession, path: str, batch_id: int, reviews: DataFrame, issues: DataFrame) -> None:
+    """Reviews and their issues into a store whose key is review_id: a review that is there already, or delivered twice
+    in the batch, is stored once with the issues of the batch that brought it.  Fields of the schema that are not
+    given are null.  A batch id that is there already changes nothing."""
+    if batches.is_committed(spark, path, batch_id):
+        return
+    shape = lambda df, ddl: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl)])
+    new = first_deliveries(reviews, batches.read_batches(spark, path, "reviews", io.REVIEWS_SCHEMA)).persist()
+    try:
+        own = issues.join(new.select("review_id"), "review_id", "left_semi")
+        batches.write_batch(spark, path, batch_id, {"reviews": shape(new, io.REVIEWS_SCHEMA), "issues": shape(own, io.ISSUES_SCHEMA)})
+    finally:
+        new.unpersist()
+
+
+def stored_reviews(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(reviews, issues) of the store, each review once."""
+    return tuple(batches.read_batches(spark, path, name, ddl).drop("batch") for name, ddl in (("reviews", io.REVIEWS_SCHEMA), ("issues", io.ISSUES_SCHEMA)))
+
+
 def _measures(rows: DataFrame, keys: list[str]) -> DataFrame:
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     mean = lambda s, n: F.coalesce(F.round(F.try_divide(F.sum(s), F.sum(n)), 1), F.lit(0.0))

@@ -12,22 +12,25 @@ from . import base
 from .registry import register
 
 
-def _state(spark, sf) -> str:
+def _deliver(spark, sf, open_at, add) -> str:
     path = scratch_path(spark, f"incremental-{uuid.uuid4().hex}")
     reviews, issues = base.st_reviews(spark, sf), base.st_issues(spark, sf)
     part = F.pmod(F.crc32("review_id"), F.lit(7))
-    # batch 1 delivers some of batch 0 again, batch 2 some of both and one review twice over
-    batches = [(0, [0, 1, 2]), (1, [2, 3, 4]), (2, [0, 4, 5, 6])]
-    N.open_state(spark, path)
-    for batch, parts in batches:
+    # batch 1 delivers some of batch 0 again, batch 2 some of both and some of its own twice
+    open_at(spark, path)
+    for batch, parts in [(0, [0, 1, 2]), (1, [2, 3, 4]), (2, [0, 4, 5, 6])]:
         r = reviews.where(part.isin(parts))
         if batch == 2:
             r = r.unionByName(reviews.where(part == 6))
-        N.add_batch(spark, path, batch, r, issues.where(part.isin(parts)))
-    N.add_batch(spark, path, 1, reviews, issues)  # a batch that is there already
+        add(spark, path, batch, r, issues.where(part.isin(parts)))
+    add(spark, path, 1, reviews, issues)  # a batch that is there already
     return path
 
 
+def _state(spark, sf) -> str:
+    return _deliver(spark, sf, N.open_state, N.add_batch)
+
+
 _MEASURES = """
 count(*) AS total_reviews, coalesce(round(avg(score), 1), 0.0) AS avg_score, coalesce(round(avg(security_score), 1), 0.0) AS avg_security_score,
        CAST(coalesce(sum(total_issues), 0) AS BIGINT) AS total_issues, CAST(coalesce(sum(critical_count), 0) AS BIGINT) AS total_critical,
@@ -51,3 +54,11 @@ SELECT r.repo, 'threat_types', i.threat_type, count(*) FROM st_issues i JOIN st_
 WHERE i.threat_type <> '' GROUP BY 1, 2, 3"""))
 def _incremental_keys(spark, sf):
     return N.key_counts(spark, _state(spark, sf))
+
+
+@register("io.reviews_upsert", base.oracle_st("""
+SELECT r.review_id, r.repo, r.score, r.block_merge, count(i.issue_id) AS issues FROM st_reviews r LEFT JOIN st_issues i ON r.review_id = i.review_id GROUP BY 1, 2, 3, 4"""))
+def _reviews_upsert(spark, sf):
+    reviews, issues = N.stored_reviews(spark, _deliver(spark, sf, N.open_store, N.add_reviews))
+    counts = issues.groupBy("review_id").agg(F.count("issue_id").alias("issues"))
+    return reviews.join(counts, "review_id", "left").select("review_id", "repo", "score", "block_merge", F.coalesce("issues", F.lit(0)).cast("long").alias("issues"))

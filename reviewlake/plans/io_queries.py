@@ -38,15 +38,16 @@ def _webhooks(spark, sf):
 
 
 @register("io.reviews_write", base.oracle_st("""
-SELECT r.repo, count(DISTINCT r.review_id) AS reviews, count(i.issue_id) AS issues, md5(string_agg(i.issue_id, ',' ORDER BY i.issue_id)) AS issues_md5
+SELECT r.repo, count(DISTINCT r.review_id) AS reviews, count(i.issue_id) AS issues,
+       CAST(coalesce(sum(CAST('0x' || substr(md5(i.issue_id), 1, 8) AS BIGINT)), 0) AS BIGINT) AS issues_hash
 FROM st_reviews r LEFT JOIN st_issues i ON r.review_id = i.review_id GROUP BY r.repo"""))
 def _reviews_write(spark, sf):
     path = _scratch(spark, "reviews")
     IO.write_reviews(base.st_reviews(spark, sf), base.st_issues(spark, sf), path, mode="overwrite")
     r, i = IO.read_reviews(spark, path)
     ids = i.join(r.select("review_id", "repo"), "review_id").groupBy("repo").agg(
-        F.count(F.lit(1)).alias("issues"), F.md5(F.array_join(F.array_sort(F.collect_list("issue_id")), ",")).alias("issues_md5"))
-    return r.groupBy("repo").agg(F.count(F.lit(1)).alias("reviews")).join(ids, "repo", "left").fillna(0, ["issues"])
+        F.count(F.lit(1)).alias("issues"), F.sum(F.conv(F.substring(F.md5("issue_id"), 1, 8), 16, 10).cast("long")).alias("issues_hash"))
+    return r.groupBy("repo").agg(F.count(F.lit(1)).alias("reviews")).join(ids, "repo", "left").fillna(0, ["issues", "issues_hash"])
 
 
 @register("io.reviews_read", base.oracle_st("""
