@@ -7,9 +7,11 @@ under test are DataFrame functions in ``reviewlake.operators`` and never appear
 """
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table
@@ -212,6 +214,22 @@ def _placeholders(sql: str) -> list[str]:
     return [f for _, f, _, _ in string.Formatter().parse(sql) if f]
 
 
+_ROW_NUMBER = re.compile(r"row_number\(\) OVER \([^()]*\)")
+
+
+def _numbered(sql: str, binds: dict[str, DataFrame]) -> tuple[str, dict[str, DataFrame]]:
+    """The same rows with the row numbers of a one-table text counted on the table's own columns.
+
+    In one SELECT Spark computes all the texts first and sends them through the window's shuffle and sort; numbers
+    from a frame below leave only the columns that the texts are made of."""
+    if len(binds) != 1:
+        return sql, binds
+    (name, frame), = binds.items()
+    for k, window in enumerate(dict.fromkeys(_ROW_NUMBER.findall(sql))):
+        sql, frame = sql.replace(window, f"_number{k}"), frame.withColumn(f"_number{k}", F.expr(window))
+    return sql, {name: frame}
+
+
 #: Staged fixtures of this process: (application, folder, name) -> path.
 _STAGED: dict[tuple[str, str, str], str] = {}
 
@@ -227,6 +245,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         binds = {}
         for ph in _placeholders(sql):
             binds[ph] = fixture(spark, sf_dir, ph) if ph.startswith("fx_") else read_table(spark, sf_dir, ph)
+        sql, binds = _numbered(sql, binds)
         path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
         spark.sql(sql, **binds).write.parquet(path)
         _STAGED[key] = path
