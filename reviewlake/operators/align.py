@@ -11,7 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,16 +68,36 @@ def _parts(n: int, m: int, span: int) -> Iterator[tuple[slice, slice]]:
 _PAIRS = "pr {pr}, file_idx long, hunk_idx long, line_number long, new_line_number long, content string, new_content string"
 
 
-def _pairs_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("ln", kind="stable")
-    old, new = pdf[pdf["type"] == "removed"], pdf[pdf["type"] == "added"]
-    rows = []
-    for a, b in _parts(len(old), len(new), SPAN):
-        x, y = old.iloc[a], new.iloc[b]
-        for i, j in aligned(x["content"].tolist(), y["content"].tolist()):
-            r, s = x.iloc[i], y.iloc[j]
-            rows.append((r["pr"], r["file_idx"], r["hunk_idx"], r["line_number"], s["line_number"], r["content"], s["content"]))
-    return pd.DataFrame(rows, columns=["pr", "file_idx", "hunk_idx", "line_number", "new_line_number", "content", "new_content"])
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the blocks of a partition that is sorted by block and line; what is held is one block and one batch's pairs."""
+    key, old, new, rows = None, [], [], []
+
+    def close() -> None:
+        for a, b in _parts(len(old), len(new), SPAN):
+            x, y = old[a], new[b]
+            rows.extend((*key[:3], x[i][0], y[j][0], x[i][1], y[j][1]) for i, j in aligned([t for _, t in x], [t for _, t in y]))
+
+    def emitted() -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(names)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+
+    names = ["pr", "file_idx", "hunk_idx", "line_number", "new_line_number", "content", "new_content"]
+    types: list[pa.DataType] = []
+    for batch in batches:
+        types = [batch.schema.field("pr").type, *[pa.int64()] * 4, pa.string(), pa.string()]
+        for *at, kind, number, content in zip(*[batch[c].to_pylist() for c in (*names[:3], "block", "type", "line_number", "content")]):
+            if key != at:
+                if key is not None:
+                    close()
+                key, old, new = at, [], []
+            (old if kind == "removed" else new).append((number, content))
+        if rows:
+            yield emitted()
+    if key is not None:
+        close()
+        if rows:
+            yield emitted()
 
 
 def replaced_lines(diff_lines: DataFrame) -> DataFrame:
@@ -94,7 +114,9 @@ def replaced_lines(diff_lines: DataFrame) -> DataFrame:
     block = Window.partitionBy(*hunk, "block")
     left = left.withColumns({"_old": F.count_if(F.col("type") == "removed").over(block), "_new": F.count_if(F.col("type") == "added").over(block)}).filter("_old > 0 and _new > 0")
     rows = left.select(*hunk, "block", "ln", "type", F.col("line_number").cast("long").alias("line_number"), "content")
-    return rows.groupBy(*hunk, "block").applyInPandas(_pairs_of, _PAIRS.format(pr=diff_lines.schema["pr"].dataType.simpleString()))
+    # a hunk is a few lines: its blocks are met in the order of a sorted partition, not each by a call of its own
+    rows = rows.repartition(*hunk, "block").sortWithinPartitions(*hunk, "block", "ln")
+    return rows.mapInArrow(_pairs_of, _PAIRS.format(pr=diff_lines.schema["pr"].dataType.simpleString()))
 
 
 def replaced_keywords(diff_lines: DataFrame, keywords: list[str]) -> DataFrame:
