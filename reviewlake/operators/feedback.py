@@ -62,9 +62,12 @@ def posix_parent(path: Column) -> Column:
     p = F.regexp_replace(p, "/\\.$", "")             # drop a trailing '/.'
     p = F.when(p == ".", F.lit("")).otherwise(p)
     p = F.regexp_replace(p, "(.)/$", "$1")           # trailing '/', except for the root itself
-    last = F.locate("/", F.reverse(p))               # position of the last '/' counted from the end
-    head = p.substr(F.lit(1), F.length(p) - last)
-    return F.when(last == 0, F.lit(".")).when(F.length(head) == 0, F.lit("/")).otherwise(head)
+    # a path without '//', './' or a last '/', '/.' or line end is in normal form: no regex is run on it
+    normal = ~(path.contains("//") | path.contains("./") | path.endswith("/") | path.endswith("/.") | (path == ".") | F.right(path, F.lit(1)).isin("\n", "\r", "\u0085", "\u2028", "\u2029"))
+    p = F.when(normal, path).otherwise(p)
+    name = F.length(F.substring_index(p, "/", -1))    # of what follows the last '/'
+    head = p.substr(F.lit(1), F.length(p) - name - 1)
+    return F.when(~p.contains("/"), F.lit(".")).when(F.length(head) == 0, F.lit("/")).otherwise(head)
 
 
 def directory_hotspots(window_issues: DataFrame, n: int) -> DataFrame:
@@ -79,7 +82,7 @@ def title_pattern(title: Column) -> Column:
     t = F.coalesce(title, F.lit(""))
     t = py_strip(F.when(t.contains("CRITICAL:"), F.regexp_replace(t, r"(CRITICAL:\s*)", "")).otherwise(t))
     t = F.when(t.contains("("), py_strip(F.regexp_replace(t, r"\s*\(.*?\)\s*", " "))).otherwise(t)
-    return F.regexp_replace(t, r"(?i)line \d+", "line N")
+    return F.when(F.lower(t).contains("line "), F.regexp_replace(t, r"(?i)line \d+", "line N")).otherwise(t)
 
 
 def recurring_titles(window_issues: DataFrame, n: int, capacity: int | None = None) -> DataFrame:

@@ -23,3 +23,29 @@ def test_issue_fixture_numbers_before_texts(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     window = plan[re.search(r"\bWindow\b", plan).start():]
     assert "Magic number" in plan and "Magic number" not in window
+
+
+# ------------------------------------------------------------------------------------ paths and titles
+
+def test_posix_parent_of_odd_paths(spark):
+    """A path in normal form runs no regex; all give their parent as the regexes do."""
+    from reviewlake.operators import feedback as Fb
+
+    parts = ["a", "b.py", ".", "..", "", "x.", ".x", "é", "a\n", "a "]
+    paths = ["/".join(p) for p in [(a,) for a in parts] + [(a, b) for a in parts for b in parts] + [(a, b, c) for a in parts for b in parts for c in parts]]
+
+    def parent(p):
+        p = re.sub("/+", "/", p)
+        p = re.sub(r"(^|/)(\./)+", r"\1", p)
+        end = "(?=(?:\r\n|[\n\r\u0085  ])?\\Z)"
+        p = re.sub(r"/\." + end, "", p)
+        p = "" if p == "." else p
+        p = re.sub("([^\n\r\u0085  ])/" + end, r"\1", p)
+        return "." if "/" not in p else p[: p.rindex("/")] or "/"
+
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = df.select("p", Fb.posix_parent(F.col("p")).alias("d")).collect()
+    assert {r.p: r.d for r in got} == {p: parent(p) for p in paths}
+    texts = ["Line 12 and line 3", "LINE 4", "outline 5", "line x", "", None, "a (line 6) b", "CRITICAL: lInE 7"]
+    seen = spark.createDataFrame([(t,) for t in texts], "t string").select(Fb.title_pattern(F.col("t")).alias("x")).collect()
+    assert [r.x for r in seen] == ["line N and line N", "line N", "outline N", "line x", "", "", "a b", "line N"]
