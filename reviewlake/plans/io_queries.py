@@ -66,7 +66,7 @@ def _files(spark, sf):
     """documents written as a source tree (a folder per source and document), scanned back whole."""
     path = _scratch(spark, "tree")
     docs = read_table(spark, sf, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs.write.partitionBy("source", "doc_id").text(path)
+    IO.write_tree(docs, path, ["source", "doc_id"])
     found = IO.read_files(spark, path)
     part = lambda k: F.regexp_extract("path", f"/{k}=([^/]*)/", 1)
     return found.select(part("doc_id").cast("bigint").alias("doc_id"), part("source").alias("source"), "size_bytes", F.md5("text").alias("text_md5"))

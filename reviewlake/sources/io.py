@@ -3,6 +3,12 @@ run events and the project report.  Everything is a Spark reader/writer with a d
 nothing passes through the driver."""
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -52,6 +58,60 @@ def read_reviews(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             spark.read.schema(ISSUES_SCHEMA).parquet(f"{path}/issues"))
 
 
+# what a folder name may not hold, as Spark's partitioned writers escape it
+_ESCAPED = re.compile("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]")
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _is_local(spark: SparkSession, path: str) -> bool:
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return (path if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else default).startswith("file:")
+
+
+def write_tree(df: DataFrame, root: str, folders: list[str], text: str = "text") -> None:
+    """A source tree: each text and a line feed in a file of the folder ``<root>/<column>=<value>/...``, as
+    ``partitionBy(*folders).text(root)`` lays it out; texts of one task that share a folder share its file.
+
+    Under a local path (shared storage that is mounted) the tasks write the files themselves: Hadoop's local file system
+    starts two ``chmod`` processes for each file, and the committer moves the folders one by one in the driver.  A file
+    appears under its name when it is whole, so a task that is run again replaces its own files."""
+    if not _is_local(df.sparkSession, root):
+        df.select(*folders, text).write.partitionBy(*folders).text(root)
+        return
+    top = re.sub("^file:(//)?", "", root)
+
+    def folder(values: tuple) -> str:
+        return os.path.join(top, *[f"{c}=" + (_ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", v) if v else _NO_VALUE) for c, v in zip(folders, values)])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name, open_key, out, files = f"part-{task.partitionId():05d}.txt", None, None, 0
+        unfinished = f".{name}.{task.taskAttemptId()}"
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                os.replace(out.name, os.path.join(os.path.dirname(out.name), name))
+
+        for batch in batches:
+            *keys, texts = [column.to_pylist() for column in batch.columns]
+            for key, content in zip(zip(*keys), texts):
+                if key != open_key or out is None:
+                    close()
+                    where = folder(key)
+                    os.makedirs(where, exist_ok=True)
+                    open_key, out, files = key, open(os.path.join(where, unfinished), "wb"), files + 1
+                out.write(content or b"")
+                out.write(b"\n")
+        close()
+        yield pa.RecordBatch.from_pydict({"files": [files]}, schema=pa.schema([("files", pa.int64())]))
+
+    os.makedirs(top, exist_ok=True)
+    # null and the empty text share a folder
+    rows = df.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in folders], F.col(text).cast("binary").alias(text)).sortWithinPartitions(*folders)
+    rows.mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
+
+
 def lenient_text(content: Column) -> Column:
     """Bytes as text; invalid UTF-8 becomes the replacement character."""
     return F.make_valid_utf8(content.cast("string"))
@@ -59,8 +119,16 @@ def lenient_text(content: Column) -> Column:
 
 def read_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """Recursive scan of a source tree: path, size, text.  ``max_bytes`` leaves out larger files by their metadata,
-    before any content is read (none by default); invalid UTF-8 becomes the replacement character."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    before any content is read (none by default); invalid UTF-8 becomes the replacement character.
+
+    The folders of a level are listed in a few tasks for each core; Spark starts one for each folder, up to 10 000 a level."""
+    listing, cores = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(listing)
+    spark.conf.set(listing, str(min(int(before), 4 * cores)))
+    try:
+        df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    finally:
+        spark.conf.set(listing, before)
     if max_bytes is not None:
         df = df.filter(F.col("length") <= max_bytes)
     return df.select("path", F.col("length").alias("size_bytes"), lenient_text(F.col("content")).alias("text"))
