@@ -247,7 +247,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             binds[ph] = fixture(spark, sf_dir, ph) if ph.startswith("fx_") else read_table(spark, sf_dir, ph)
         sql, binds = _numbered(sql, binds)
         path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-        spark.sql(sql, **binds).write.parquet(path)
+        spark.sql(sql, **binds).write.option("compression", "zstd").parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(_STAGED[key])
 
