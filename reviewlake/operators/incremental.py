@@ -51,28 +51,37 @@ def add_batch(spark: SparkSession, path: str, batch_id: int, reviews: DataFrame,
         snaps.unpersist()
 
 
+#: Tables of the review store; ``dropped`` holds the reviews whose issues in a batch do not count.
+_STORE = {"reviews": io.REVIEWS_SCHEMA, "issues": io.ISSUES_SCHEMA, "dropped": "review_id string"}
+
+
 def open_store(spark: SparkSession, path: str) -> None:
-    batches.open_batches(spark, path, {"reviews": io.REVIEWS_SCHEMA, "issues": io.ISSUES_SCHEMA})
+    batches.open_batches(spark, path, _STORE)
 
 
 def add_reviews(spark: SparkSession, path: str, batch_id: int, reviews: DataFrame, issues: DataFrame) -> None:
     """Reviews and their issues into a store whose key is review_id: a review that is there already, or delivered twice
     in the batch, is stored once with the issues of the batch that brought it.  Fields of the schema that are not
-    given are null.  A batch id that is there already changes nothing."""
+    given are null.  A batch id that is there already changes nothing.
+
+    Issues are written as they come, without a shuffle of their texts; beside them go the ids of the batch's issues
+    that are not of a review the batch brought, which ``stored_reviews`` leaves out."""
     if batches.is_committed(spark, path, batch_id):
         return
     shape = lambda df, ddl: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl)])
     new = first_deliveries(reviews, batches.read_batches(spark, path, "reviews", io.REVIEWS_SCHEMA)).persist()
     try:
-        own = issues.join(new.select("review_id"), "review_id", "left_semi")
-        batches.write_batch(spark, path, batch_id, {"reviews": shape(new, io.REVIEWS_SCHEMA), "issues": shape(own, io.ISSUES_SCHEMA)})
+        own = issues.where("review_id is not null")
+        dropped = own.select("review_id").distinct().join(new.select("review_id"), "review_id", "left_anti")
+        batches.write_batch(spark, path, batch_id, {"reviews": shape(new, io.REVIEWS_SCHEMA), "issues": shape(own, io.ISSUES_SCHEMA), "dropped": shape(dropped, _STORE["dropped"])})
     finally:
         new.unpersist()
 
 
 def stored_reviews(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(reviews, issues) of the store, each review once."""
-    return tuple(batches.read_batches(spark, path, name, ddl).drop("batch") for name, ddl in (("reviews", io.REVIEWS_SCHEMA), ("issues", io.ISSUES_SCHEMA)))
+    """(reviews, issues) of the store, each review once, with the issues of the batch that brought it."""
+    reviews, issues, dropped = (batches.read_batches(spark, path, name, ddl) for name, ddl in _STORE.items())
+    return reviews.drop("batch"), issues.join(dropped, ["batch", "review_id"], "left_anti").drop("batch")
 
 
 def _measures(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -37,7 +37,7 @@ def write_batch(spark: SparkSession, path: str, batch_id: int, tables: dict[str,
     if is_committed(spark, path, batch_id):
         return
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}/batch={batch_id}")
         if after is not None:
             after(name)
     spark.createDataFrame([(True,)], "committed boolean").write.mode("overwrite").parquet(f"{path}/{_COMMITS}/batch={batch_id}")
