@@ -87,8 +87,9 @@ def _integer_ok(text: Column, kind: Column) -> Column:
 
 def _boolean(text: Column, kind: Column) -> Column:
     """true / false of a JSON boolean, of 0 or 1, or of one of the usual words, else NULL."""
-    low = F.when(kind.isin(*NUMBER_KINDS), _integer(text).cast("string")).when(kind.isin("STRING", "BOOLEAN"), F.lower(text))
-    return F.when(low.isin(*TRUE_TEXT), True).when(low.isin(*FALSE_TEXT), False)
+    number = text.try_cast("double")
+    word = dims.lookup({**dict.fromkeys(TRUE_TEXT, True), **dict.fromkeys(FALSE_TEXT, False)}, F.lower(text))
+    return F.when(kind.isin(*NUMBER_KINDS), F.when(number == 1, True).when(number == 0, False)).when(kind.isin("STRING", "BOOLEAN"), word)
 
 
 def _fields(names: list[str], kind: str) -> str:
