@@ -267,7 +267,7 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     width = shared.shuffle_width(spark)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     words = rows.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    words = shared.stored(words, "frequent-words")
+    words = shared.stored(shared.gathered(words), "frequent-words")
     frequent = spark.sparkContext.broadcast(frequent_bits(words))
     top = lambda c, most: words.groupBy(c).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), c).limit(most).collect()
     langs, first = top("lang", CODED_LANGS), top("word", coded_words)
@@ -292,7 +292,7 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
         rolled = rolled.where(F.col(c).isNull() | (F.col(c) != ""))
     found = rolled.where((F.col("f") >= least) | (size == 0))
     found = found.select("lang", size.alias("size"), F.concat_ws(" ", *names).alias("phrase"), "f")
-    return found.mapInArrow(_spelled(coded), "lang string, size int, phrase string, f long")
+    return shared.gathered(found).mapInArrow(_spelled(coded), "lang string, size int, phrase string, f long")
 
 
 def _exact(c):

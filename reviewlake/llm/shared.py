@@ -29,6 +29,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """A table that is small beside the shuffle it comes from, dealt to a 16th of the partitions (but one for each core).
+
+    Stored, it has so many files fewer.  Hadoop starts `chmod` processes for each file of a local folder, and until such a
+    process runs its own program it counts with all the memory of the executor that started it.
+    """
+    width = shuffle_width(df.sparkSession)
+    return df.repartition(min(width, max(df.sparkSession.sparkContext.defaultParallelism, width // 16)))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that `df` does not have yet."""
     while name.lower() in {c.lower() for c in df.columns}:

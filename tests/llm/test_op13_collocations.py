@@ -88,6 +88,32 @@ def test_codes_and_hot_pairs(spark, coded_words, hot_share, monkeypatch):
     assert got == {(k, p): n for k, f in want.items() for p, n in f.items() if n >= 4}
 
 
+def test_few_files_from_a_wide_shuffle(spark, monkeypatch):
+    """Stored tables have few files, not one for each shuffle partition, and the same rows."""
+    rng = random.Random(9)
+    docs = [("en", " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("xyz") for _ in range(400))) for _ in range(40)]
+    files, stored = {}, collocations.shared.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(collocations.shared, "stored", counted)
+    wide = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wide}
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        got = result(collocations.collocations(spark.createDataFrame(docs, "lang string, text string"), least=2))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_force(docs, least=2) and got
+    most = max(spark.sparkContext.defaultParallelism, 100 // 16)
+    assert set(files) == {"frequent-words", "collocations"} and max(files.values()) <= most, files
+
+
 def test_edges(spark):
     docs = [(r.lang, r.text) for r in edge_docs(spark).collect()]
     assert result(collocations.collocations(edge_docs(spark), least=2)) == brute_force(docs, least=2)
