@@ -3,8 +3,11 @@ run events and the project report.  Everything is a Spark reader/writer with a d
 nothing passes through the driver."""
 from __future__ import annotations
 
+import errno
 import os
 import re
+import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import py_strip
+from ..session import scratch_path
 
 WEBHOOK_SCHEMA = "event_id string, headers map<string,string>, body string"
 REVIEWS_SCHEMA = ("review_id string, repo string, pr_id string, platform string, author string, score int, "
@@ -108,8 +112,10 @@ def write_tree(df: DataFrame, root: str, folders: list[str], text: str = "text")
 
     os.makedirs(top, exist_ok=True)
     # null and the empty text share a folder
-    rows = df.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in folders], F.col(text).cast("binary").alias(text)).sortWithinPartitions(*folders)
-    rows.mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
+    rows = df.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in folders], F.col(text).cast("binary").alias(text))
+    # each task takes the topmost folders in an order of its own: tasks that make folders inside the same one wait for each other
+    turn = F.xxhash64(F.col(folders[0]), F.spark_partition_id())
+    rows.sortWithinPartitions(turn, *folders).mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
 
 
 def lenient_text(content: Column) -> Column:
@@ -117,20 +123,122 @@ def lenient_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+_LISTED = 10_000  # entries: how far a task of the listing goes on by itself, and the files that a reading task gets
+_READ_BYTES = 128 << 20  # or so many bytes of them
+_BATCH_BYTES = 4 << 20  # contents handed over at once
+
+
+def _list_tree(spark: SparkSession, top: str) -> tuple[DataFrame, int, int]:
+    """The files under a local folder (``path`` as bytes, ``size``) with their number and bytes.  Names and empty files that
+    Spark's readers leave out are left out.
+
+    The folders are listed in rounds: a task lists those dealt to it and goes on to the folders inside while these are few;
+    the others are dealt anew.  The lists are stored, so the driver holds counts only; there are as many rounds as the tree is
+    deep at most."""
+
+    def hidden(name: bytes, folder: bool) -> bool:
+        under = name.startswith(b"_") and b"=" not in name
+        summary = name.startswith((b"_metadata", b"_common_metadata"))
+        return (under or name.startswith(b".") or name.endswith(b"._COPYING_")) and not summary or under and not folder
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: deque[bytes] = deque()
+        rows: list[tuple[bytes, int | None]] = []  # without a size: a folder for the next round
+        seen = 0
+
+        def folders() -> Iterator[bytes]:
+            for batch in batches:
+                yield from batch.column(0).to_pylist()
+            while found and seen < _LISTED:
+                yield found.popleft()
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], ["path", "size"])
+            rows.clear()
+            return out
+
+        for folder in folders():
+            try:
+                inside = os.scandir(folder)
+            except FileNotFoundError:  # deleted meanwhile
+                continue
+            with inside:
+                for e in inside:
+                    seen += 1
+                    try:
+                        size = None if e.is_dir() else e.stat().st_size
+                    except OSError as x:  # a link to nothing, or one inside itself beyond what the system follows
+                        if x.errno not in (errno.ENOENT, errno.ELOOP):
+                            raise
+                        continue
+                    if size == 0 or hidden(e.name, size is None):
+                        continue
+                    if size is None and seen < _LISTED:
+                        found.append(e.path)
+                    else:
+                        rows.append((e.path, size))
+                    if len(rows) >= _LISTED:
+                        yield batch()
+        rows.extend((p, None) for p in found)
+        yield batch()
+
+    base, cores = scratch_path(spark, f"listing/{uuid.uuid4().hex}"), spark.sparkContext.defaultParallelism
+    todo, n_todo, rounds, n_files, n_bytes = spark.range(1, numPartitions=1).select(F.lit(os.fsencode(top)).alias("path")), 1, [], 0, 0
+    while n_todo:
+        rounds.append(f"{base}/{len(rounds)}")
+        dealt = todo if n_todo == 1 else todo.repartition(max(min(n_todo, 4 * cores), n_todo // _LISTED))
+        dealt.mapInArrow(entries, "path binary, size long").write.parquet(rounds[-1])
+        listed = spark.read.schema("path binary, size long").parquet(rounds[-1])
+        todo = listed.filter(F.col("size").isNull()).select("path")
+        n_all, files, size = listed.agg(F.count(F.lit(1)), F.count("size"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        n_todo, n_files, n_bytes = n_all - files, n_files + files, n_bytes + size
+    return spark.read.schema("path binary, size long").parquet(*rounds).filter(F.col("size").isNotNull()), n_files, n_bytes
+
+
+def _read_local(spark: SparkSession, top: str, max_bytes: int | None) -> DataFrame:
+    """``path``, ``length`` and ``content`` of the files under a local folder, listed and read by the tasks."""
+
+    def contents(paths: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in paths:
+            read, size = [], 0
+            for path in some.to_pylist():
+                with open(path, "rb") as f:
+                    read.append(f.read())
+                size += len(read[-1])
+                if size >= _BATCH_BYTES:
+                    yield pa.array(read, pa.binary())
+                    read, size = [], 0
+            if read:
+                yield pa.array(read, pa.binary())
+
+    files, n, size = _list_tree(spark, top)
+    tasks = max(min(n, spark.sparkContext.defaultParallelism), n // _LISTED, size // _READ_BYTES, 1)
+    if max_bytes is not None:
+        files = files.filter(F.col("size") <= max_bytes)
+    return files.repartition(tasks).select(F.concat(F.lit("file:"), F.make_valid_utf8(F.col("path").cast("string"))).alias("path"), F.col("size").alias("length"),
+                                           F.arrow_udf(contents, "binary").asNondeterministic()("path").alias("content"))
+
+
 def read_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """Recursive scan of a source tree: path, size, text.  ``max_bytes`` leaves out larger files by their metadata,
     before any content is read (none by default); invalid UTF-8 becomes the replacement character.
 
-    The folders of a level are listed in a few tasks for each core; Spark starts one for each folder, up to 10 000 a level."""
-    listing, cores = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext.defaultParallelism
-    before = spark.conf.get(listing)
-    spark.conf.set(listing, str(min(int(before), 4 * cores)))
-    try:
-        df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    finally:
-        spark.conf.set(listing, before)
-    if max_bytes is not None:
-        df = df.filter(F.col("length") <= max_bytes)
+    Under a local path (shared storage that is mounted) the tasks list and read the files.  Spark's own reader, which takes all other
+    paths, keeps the whole listing in the driver and counts 4 MB for opening a file, which makes a task of each 31 small files."""
+    top = os.path.abspath(re.sub("^file:(//)?", "", root))
+    if _is_local(spark, root) and os.path.isdir(top) and not re.search(r"[][{}*?\\]", top):
+        df = _read_local(spark, top, max_bytes)
+    else:
+        listing, cores = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext.defaultParallelism
+        before = spark.conf.get(listing)
+        # the folders of a level are listed in a few tasks for each core; Spark starts one for each folder, up to 10 000 a level
+        spark.conf.set(listing, str(min(int(before), 4 * cores)))
+        try:
+            df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        finally:
+            spark.conf.set(listing, before)
+        if max_bytes is not None:
+            df = df.filter(F.col("length") <= max_bytes)
     return df.select("path", F.col("length").alias("size_bytes"), lenient_text(F.col("content")).alias("text"))
 
 
